@@ -54,3 +54,16 @@ def barrier(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that later projections read rather than recompute: a one-row generator is not collapsed."""
     made = F.struct(*[c.alias(k) for k, c in columns.items()])
     return df.withColumn("_made", F.explode(F.array(made))).select("*", *[F.col("_made")[k].alias(k) for k in columns]).drop("_made")
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, spread: list[str], total: int, hot_keys: int = 20_000) -> DataFrame:
+    """left outer join to right, which has one row for each value of keys (longs) and in weight the rows that left has
+    for it. Keys with over a hot_keys-th of all total rows, of which there can be no more than hot_keys, are
+    looked up by broadcast; their rows then go through the shuffle for the other keys spread by other columns, where
+    nothing matches them. So no task gets more than a hot_keys-th of the rows for a key."""
+    payload = [c for c in right.columns if c not in (*keys, weight)]
+    hot = F.broadcast(right.where(F.col(weight) > total // hot_keys).select(*keys, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in payload]))
+    cold = right.where(F.col(weight) <= total // hot_keys).select(F.col(keys[0]).alias("_key"), *keys[1:], *[F.col(c).alias(f"_cold_{c}") for c in payload])
+    both = left.join(hot, keys, "left").withColumn("_key", F.when(F.col("_hot"), F.xxhash64(F.lit("spread"), *spread)).otherwise(F.col(keys[0])))
+    both = both.join(cold.hint("merge"), ["_key", *keys[1:]], "left")
+    return both.select(*left.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in payload])
