@@ -11,6 +11,7 @@ from .byte_bpe import encode_documents
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .quality_rules import judge
 from .shared import table
 from .topk import search
 
@@ -29,6 +30,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, size=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
@@ -43,6 +49,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_exact_topk": op3_exact_topk,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_quality_rules": op6_quality_rules,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op10_packing": op10_packing,
 }
