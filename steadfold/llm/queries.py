@@ -12,6 +12,7 @@ from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_rules import judge
+from .secrets import scan_secrets
 from .shared import table
 from .topk import search
 
@@ -40,6 +41,12 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, size=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined("base"), 256).alias("base_sha256"), joined("all_spans").alias("spans"), "n_learned")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return pack_documents(table(spark, sf_dir, "documents"), path, window=4096, end_id=2, with_ids=False)
@@ -51,6 +58,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op10_packing": op10_packing,
 }
 
