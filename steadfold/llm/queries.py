@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from . import kneser_ney
 from .byte_bpe import encode_documents
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
@@ -22,6 +23,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
+    rows = docs.select("doc_id", "text", "lang")
+    out = kneser_ney.score(rows, kneser_ney.train(rows, trusted))
+    return out.select("doc_id", "lang", F.round("entropy", 6).alias("entropy"), F.round("perplexity", 6).alias("perplexity"), "kept")
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
@@ -54,6 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_exact_topk": op3_exact_topk,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
