@@ -12,6 +12,7 @@ from .byte_bpe import encode_documents
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .pii import pseudonymise
 from .quality_rules import judge
 from .secrets import scan_secrets
 from .shared import table
@@ -40,6 +41,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="the registered query's example key")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -66,6 +71,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_exact_topk": op3_exact_topk,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_secret_scan": op8_secret_scan,
