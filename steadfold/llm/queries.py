@@ -16,6 +16,7 @@ from .pii import pseudonymise
 from .quality_rules import judge
 from .secrets import scan_secrets
 from .shared import table
+from .token_shards import materialise
 from .topk import search
 
 
@@ -61,6 +62,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined("base"), 256).alias("base_sha256"), joined("all_spans").alias("spans"), "n_learned")
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return materialise(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)[1]
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return pack_documents(table(spark, sf_dir, "documents"), path, window=4096, end_id=2, with_ids=False)
@@ -75,6 +81,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op9_token_shards": op9_token_shards,
     "op10_packing": op10_packing,
 }
 
