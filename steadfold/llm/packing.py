@@ -8,7 +8,6 @@ short for 10^11 pieces as for 10^5; every piece then finds its window by its ord
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -95,14 +94,18 @@ class WordTokenizer:
     """A word-level-split tokenizer file. Words between blanks are tokenized once and remembered: the file's rules
     drop white space and never join or change text across it."""
 
-    GAP = re.compile("[ \n]+")
+    #: Stems (words without a mark at the end, in one case) that are remembered at most.
+    STEMS = 400_000
+
     def __init__(self, path: str):
         self.model = tokenizers.Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.marks = {m: self._ids(m) for m in MARKS}
         self.letters = dict(enumerate(byte_letters()))
+        self.merge = self.model.model.tokenize
         # A word of letters is one match of the split pattern, and a mark after it another: such words can skip the
         # general path if the two agree on samples of them.
+        self.stems: dict[str, bytes] = {}
         self.direct = all(self._word(w) == self._ids(w) and self._word(w) + self.marks[m] == self._ids(w + m) for w in ("ab", "Édition", "größe", "日本", "ĳsselmeer") for m in MARKS)
         self.recent = Recent(self._words_to_ids)
 
@@ -113,12 +116,20 @@ class WordTokenizer:
         """The ids of letters alone, by the file's normalizer and merges, without the search for splits."""
         if word.isascii():
             word = word.lower()
-        else:
-            word = self.model.normalizer.normalize_str(word)
-            if not word.isalpha():
-                return self._ids(word)
-            word = word.encode().decode("latin-1").translate(self.letters)
-        return struct.pack(f"<{len(t := self.model.model.tokenize(word))}I", *[x.id for x in t])
+        got = self.stems.get(word)
+        if got is None:
+            stem = word
+            if not word.isascii():
+                stem = self.model.normalizer.normalize_str(word)
+                if not stem.isalpha():
+                    return self._ids(word)
+                stem = stem.encode().decode("latin-1").translate(self.letters)
+            got = struct.pack(f"<{len(t := self.merge(stem))}I", *[x.id for x in t])
+            if len(self.stems) >= self.STEMS:
+                self.stems.clear()
+            if len(word) <= 64:
+                self.stems[word] = got
+        return got
 
     def _words_to_ids(self, words: list[str]) -> list[bytes]:
         if not self.direct:
@@ -135,7 +146,7 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, as little-endian unsigned 32-bit integers."""
-        return self.recent.joined([self.GAP.split(t) if "\n" in t or "  " in t else t.split(" ") for t in texts])
+        return self.recent.joined([t.replace("\n", " ").split(" ") for t in texts])
 
 
 @lru_cache(2)
