@@ -17,7 +17,7 @@ ORACLE_SQL: dict[str, str] = {}
 def _expanded(sql: str) -> str:
     """{frame:x} becomes a frame's common table expression, {u:text} a draw and {probit:p} an inverse normal."""
     sql = re.sub(r"\{frame:(\w+)\}", lambda m: SQL[m[1]], sql)
-    while m := re.search(r"\{(u|probit):([^{}]*)\}", sql):
+    while m := re.search(r"\{(u|probit):([^{}]*)\}", sql):  # innermost first
         sql = sql[: m.start()] + (hash_uniform_sql if m[1] == "u" else probit_sql)(m[2]) + sql[m.end() :]
     return sql
 
