@@ -24,8 +24,8 @@ def ecdf(df: DataFrame, row_id: str, value: str, train: Column, out: str = "cdf"
     at = prefix_sums(counts, [], "_v", {"_below": "_k"})
     share = (F.col("_below") + F.col("_k") / 2) / F.lit(float(max(n, 1)))
     edge = 1 / (2 * max(n, 1))
-    placed = at.select("_v", F.least(F.greatest(share, F.lit(edge)), F.lit(1 - edge)).alias(out))
-    return df.join(placed, F.col(value) == F.col("_v")).drop("_v")
+    placed = at.select(F.col("_v").alias("_place"), F.least(F.greatest(share, F.lit(edge)), F.lit(1 - edge)).alias(out))
+    return df.join(placed, F.col(value) == F.col("_place")).drop("_place")
 
 
 def normal_scores(df: DataFrame, row_id: str, value: str, train: Column, out: str = "score") -> DataFrame:

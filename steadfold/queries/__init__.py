@@ -1,4 +1,4 @@
 """All registered queries of the analytics operators."""
 
-from . import metrics, prep, schema, stress  # noqa: F401
+from . import metrics, models, prep, schema, stress  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
