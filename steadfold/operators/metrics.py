@@ -17,8 +17,7 @@ def prefix_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str]
     """df with, for each name in sums, the sum of that column over the rows of the same keys with a smaller order.
     Rows must be distinct in (keys, order)."""
     cuts = sorted({c for c in df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []})
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    some = df.withColumn("_b", bucket)
+    some = df.withColumn("_b", sum(((F.lit(c) < F.col(order)).cast("int") for c in cuts), F.lit(0)))
     inner = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = some.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
