@@ -9,27 +9,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import probit, ratio
 from .metrics import prefix_sums
 
 
-def ecdf(df: DataFrame, row_id: str, value: str, train: Column, out: str = "cdf") -> DataFrame:
-    """df with the mid-rank share of training rows below each value, kept 1 / (2 n) away from 0 and 1. Rows outside
-    training are placed among training rows and do not move them."""
-    counts = df.groupBy(F.col(value).alias("_v")).agg(F.sum(train.cast("long")).alias("_k"))
-    n = counts.agg(F.sum("_k")).first()[0] or 0
-    at = prefix_sums(counts, [], "_v", {"_below": "_k"})
-    share = (F.col("_below") + F.col("_k") / 2) / F.lit(float(max(n, 1)))
-    edge = 1 / (2 * max(n, 1))
-    placed = at.select(F.col("_v").alias("_place"), F.least(F.greatest(share, F.lit(edge)), F.lit(1 - edge)).alias(out))
-    return df.join(placed, F.col(value) == F.col("_place")).drop("_place")
+def ecdf(df: DataFrame, value: str, train: Column, out: str = "cdf", keys: list[str] = ()) -> DataFrame:
+    """df with the mid-rank share of the training rows (of the same keys) below each value, kept 1 / (2 n) away from 0
+    and 1. Rows outside training are placed among training rows and do not move them. All keys go through one plan."""
+    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.sum(train.cast("long")).alias("_k"))
+    totals = F.broadcast(counts.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(F.greatest(F.sum("_k"), F.lit(1)).alias("_n")))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    at = prefix_sums(counts, list(keys), "_v", {"_below": "_k"})
+    at = at.join(totals, same) if keys else at.crossJoin(totals)
+    share, edge = (F.col("_below") + F.col("_k") / 2) / F.col("_n"), 1 / (2 * F.col("_n"))
+    placed = at.select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col("_v").alias("_place"), F.least(F.greatest(share, edge), 1 - edge).alias(out))
+    match = F.col(value) == F.col("_place")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
+    return df.join(placed, match).drop("_place", *[f"_p_{k}" for k in keys])
 
 
-def normal_scores(df: DataFrame, row_id: str, value: str, train: Column, out: str = "score") -> DataFrame:
-    return ecdf(df, row_id, value, train, "_cdf").withColumn(out, probit(F.col("_cdf"))).drop("_cdf")
+def normal_scores(df: DataFrame, value: str, train: Column, out: str = "score", keys: list[str] = ()) -> DataFrame:
+    return ecdf(df, value, train, "_cdf", keys).withColumn(out, probit(F.col("_cdf"))).drop("_cdf")
 
 
 def tilt(df: DataFrame, t: str, strength: float, keys: list[str] = (), out: str = "w") -> DataFrame:
@@ -258,9 +264,3 @@ def scenario_scores(preds: DataFrame, weights: DataFrame, row_id: str, y: str =
     clean = rank_metrics(preds, ["model"], y, p).select("model", F.col("roc_auc").alias("_r"), F.col("pr_auc").alias("_p"))
     out = under.join(F.broadcast(clean), "model")
     return out.select("scenario_id", "model", "roc_auc", "pr_auc", (F.col("roc_auc") - F.col("_r")).alias("delta_roc_auc"), (F.col("pr_auc") - F.col("_p")).alias("delta_pr_auc"))
-
-
-def running_share(df: DataFrame, keys: list[str], order: str, mass: str) -> Column:
-    """Share of mass up to and with each row, within keys."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return ratio(F.sum(mass).over(w), F.sum(mass).over(Window.partitionBy(*keys)))

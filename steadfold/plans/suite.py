@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,55 +50,59 @@ class Suite:
             made[mask] = fit_frame(train, chosen, frame.label, frame.row_id)
         return Suite(frame, {name: made[m] for name, m in masks.items()}, settings)
 
+    @cached_property
     def predictions(self) -> DataFrame:
-        """(row, model, y, p) of the test rows."""
+        """(row, model, y, p) of the test rows; kept, since every stress reads them."""
         test = self.frame.part(False).df.select(self.frame.row_id, F.col(self.frame.label).alias("y"), *self.frame.features)
-        return score_models(test, self.packages, [self.frame.row_id, "y"])
+        return score_models(test, self.packages, [self.frame.row_id, "y"]).persist()
+
+    @cached_property
+    def clean(self) -> DataFrame:
+        return metrics.rank_metrics(self.predictions, ["model"]).persist()
 
     def models(self) -> DataFrame:
         """(model, n_features, n_consistent, n_inconsistent, sign_consistency, clean_roc_auc, clean_pr_auc)."""
         spark = self.frame.df.sparkSession
         corr = metrics.marginal_correlations(self.frame.part(True).df, self.frame.features, self.frame.label)
         coef = spark.createDataFrame([(m, f, c) for m, p in self.packages.items() for f, _, _, c in p if f != "(intercept)"], "model string, feature string, coef double")
-        clean = metrics.rank_metrics(self.predictions(), ["model"]).select("model", F.col("roc_auc").alias("clean_roc_auc"), F.col("pr_auc").alias("clean_pr_auc"))
+        clean = self.clean.select("model", F.col("roc_auc").alias("clean_roc_auc"), F.col("pr_auc").alias("clean_pr_auc"))
         return metrics.sign_consistency(coef, corr, ["model"]).join(clean, "model")
 
+    @cached_property
     def axes(self) -> DataFrame:
-        """(row, train, axis, direction, t): normal scores along the principal axes and the distance from the middle."""
+        """(row, train, axis, t): normal scores along the principal axes and the distance from the middle."""
         f = self.frame
         values, vectors, reach, fit = reweight.principal_axes(f.df, f.features, F.col(f.train), self.settings.n_axes)
         columns = reweight.axis_columns(f.features, values, vectors, reach, fit, self.settings.n_axes)
-        made = f.df.withColumns({k: F.round(c, 9) for k, c in columns.items()})
-        out = None
-        for axis in columns:
-            one = reweight.normal_scores(made.select(f.row_id, f.train, F.col(axis).alias("_v")), f.row_id, "_v", F.col(f.train), "_s")
-            signs = F.explode(F.array(F.struct(F.lit("up").alias("direction"), F.lit(1.0).alias("sign")), F.struct(F.lit("down").alias("direction"), F.lit(-1.0).alias("sign"))))
-            one = one.withColumn("_d", signs).select(f.row_id, F.col(f.train).alias("train"), F.lit(axis).alias("axis"), "_d.direction", (F.col("_s") * F.col("_d.sign")).alias("t"))
-            out = one if out is None else out.unionByName(one)
-        return out
+        long = metrics.long_form(f.df.withColumns({k: F.round(c, 9) for k, c in columns.items()}), list(columns), [f.row_id, f.train])
+        long = long.select(f.row_id, F.col(f.train).alias("train"), F.col("feature").alias("axis"), F.col("value").alias("_v"))
+        return reweight.normal_scores(long, "_v", F.col("train"), "t", ["axis"]).drop("_v").persist()
 
+    @cached_property
     def scenarios(self) -> tuple[DataFrame, DataFrame]:
-        """(scenarios, weights of test rows). Strengths come from training rows' distinct scores, compressed."""
+        """(scenarios, weights of test rows). Strengths come from training rows' distinct scores, compressed; those of
+        the way down are found on the same scores with their sign changed."""
         f, s, spark = self.frame, self.settings, self.frame.df.sparkSession
-        axes, rows = self.axes(), []
-        for axis, direction in [(r["axis"], r["direction"]) for r in axes.select("axis", "direction").distinct().orderBy("axis", "direction").collect()]:
-            values, counts = reweight.knots(axes.where((F.col("axis") == axis) & (F.col("direction") == direction) & F.col("train")), "t")
-            for level, (strength, ok) in zip(s.ess_levels, reweight.calibrate_ess(reweight.ess_share(values, counts), list(s.ess_levels))):
-                rows.append((f"{axis}-{direction}-{level:g}", "population", axis, direction, level, strength, ok))
-        table = spark.createDataFrame(rows, "scenario_id string, family string, axis string, direction string, level double, strength double, attainable boolean")
-        tilted = axes.join(F.broadcast(table.where("attainable").select("scenario_id", "axis", "direction", "strength")), ["axis", "direction"])
-        tilted = reweight.tilt(tilted.withColumn("t", F.col("t") * F.col("strength")), "t", 1.0, ["scenario_id", "train"])
-        labelled = tilted.join(f.df.select(f.row_id, F.col(f.label).alias("y")), f.row_id)
+        rows = []
+        for axis in sorted(r["axis"] for r in self.axes.select("axis").distinct().collect()):
+            values, counts = reweight.knots(self.axes.where((F.col("axis") == axis) & F.col("train")), "t")
+            for direction, sign in (("up", 1.0), ("down", -1.0)):
+                for level, (strength, ok) in zip(s.ess_levels, reweight.calibrate_ess(reweight.ess_share(sign * values, counts), list(s.ess_levels))):
+                    rows.append((f"{axis}-{direction}-{level:g}", "population", axis, direction, level, strength, ok, sign * strength))
+        table = spark.createDataFrame(rows, "scenario_id string, family string, axis string, direction string, level double, strength double, attainable boolean, _signed double")
+        tilted = self.axes.join(F.broadcast(table.where("attainable").select("scenario_id", "axis", "_signed")), "axis")
+        tilted = reweight.tilt(tilted.withColumn("t", F.col("t") * F.col("_signed")), "t", 1.0, ["scenario_id", "train"])
+        labelled = tilted.join(f.df.select(f.row_id, F.col(f.label).alias("y")), f.row_id).select(f.row_id, "scenario_id", "train", "y", "w").persist()
         train_ess = metrics.ess(labelled.where("train"), ["scenario_id"], "w").select("scenario_id", F.col("ess_fraction").alias("train_ess"))
         test = labelled.where("NOT train")
         test_ess = metrics.ess(test, ["scenario_id"], "w").select("scenario_id", F.col("ess_fraction").alias("test_ess"))
-        out = table.join(train_ess, "scenario_id", "left").join(test_ess, "scenario_id", "left").join(metrics.ess_by_class(test, ["scenario_id"], "y", "w"), "scenario_id", "left")
+        out = table.drop("_signed").join(train_ess, "scenario_id", "left").join(test_ess, "scenario_id", "left").join(metrics.ess_by_class(test, ["scenario_id"], "y", "w"), "scenario_id", "left")
         ok = F.coalesce(reweight.supported(F.col("train_ess"), F.col("test_ess"), F.least("ess_negatives", "ess_positives")), F.lit(False))
         out = out.withColumn("supported", ok).withColumn("usable", F.col("attainable") & F.col("supported"))
         return reweight.cohort(out, ["axis", "direction"]), test.select("scenario_id", f.row_id, "w")
 
     def reweighting_scores(self) -> DataFrame:
-        return reweight.scenario_scores(self.predictions(), self.scenarios()[1], self.frame.row_id)
+        return reweight.scenario_scores(self.predictions, self.scenarios[1], self.frame.row_id)
 
     def corruption_scores(self) -> DataFrame:
         """(family, level, repetition, model, roc_auc, pr_auc, delta_roc_auc): noise and median masking of all features."""
@@ -111,13 +116,12 @@ class Suite:
         rows = noisy.unionByName(masked).withColumn("y", F.col(f.label))
         scored = score_models(rows, self.packages, ["family", "level", "repetition", "y"])
         out = metrics.rank_metrics(scored, ["family", "level", "repetition", "model"])
-        clean = metrics.rank_metrics(self.predictions(), ["model"]).select("model", F.col("roc_auc").alias("_c"))
+        clean = self.clean.select("model", F.col("roc_auc").alias("_c"))
         return out.join(F.broadcast(clean), "model").withColumn("delta_roc_auc", F.col("roc_auc") - F.col("_c")).drop("_c")
 
     def summary(self) -> DataFrame:
         """(family, severity, model, mean, worst, sd, n_scenarios) of the change in AUC, cohort scenarios alone."""
-        scenarios, weights = self.scenarios()
-        scores = reweight.scenario_scores(self.predictions(), weights, self.frame.row_id)
+        scenarios, scores = self.scenarios[0], self.reweighting_scores()
         shifted = scores.join(scenarios.where("in_cohort").select("scenario_id", "family", F.col("level").alias("severity")), "scenario_id").select("family", "severity", "model", "delta_roc_auc")
         dirty = self.corruption_scores().select("family", F.col("level").alias("severity"), "model", "delta_roc_auc")
         return stats.family_scores(shifted.unionByName(dirty), ["family", "severity", "model"], "delta_roc_auc")

@@ -25,7 +25,7 @@ def normal_scores(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.columns import hash_uniform, probit
 
     df = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("v"), (hash_uniform(42, "split", F.col("o_orderkey")) < 0.7).alias("train"))
-    out = reweight.ecdf(df, "o_orderkey", "v", F.col("train"))
+    out = reweight.ecdf(df, "v", F.col("train"))
     return out.select("o_orderkey", r6("cdf").alias("cdf"), (F.round(probit(F.col("cdf")), 5) + 0.0).alias("score"))
 
 
@@ -71,8 +71,8 @@ def reweight_dependence(spark: SparkSession, d: str) -> DataFrame:
     from ..plans.frames import documents_frame
 
     df = documents_frame(spark, d).df.where("train")
-    scored = reweight.normal_scores(df, "doc_id", "n_chars", F.col("train"), "a")
-    scored = reweight.normal_scores(scored, "doc_id", "n_nl", F.col("train"), "b")
+    scored = reweight.normal_scores(df, "n_chars", F.col("train"), "a")
+    scored = reweight.normal_scores(scored, "n_nl", F.col("train"), "b")
     clip = lambda c: F.round(F.greatest(F.least(c, F.lit(2.5)), F.lit(-2.5)), 3).alias(c)
     pairs = scored.select(clip("a"), clip("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
