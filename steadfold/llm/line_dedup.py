@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, ascii_lower, fresh_path, remove_path
+from .shared import BLANKS, ascii_lower, fresh_path, lookup, remove_path
 
 KEY = ["h1", "h2"]
 
@@ -113,10 +113,6 @@ def line_index(docs: DataFrame, min_chars: int = 40, n_batches: int = 4, buckets
     return index
 
 
-#: Keys with over 1/HOT_KEYS of all postings are joined by broadcast: there can be at most HOT_KEYS of them.
-HOT_KEYS = 20_000
-
-
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, n_batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its text rid of lines that min_docs documents or more hold, but for the largest document id.
 
@@ -129,12 +125,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, n_batch
     total = keys.agg(F.sum("n_docs")).first()[0] or 0
     common = keys.where(F.col("n_docs") >= min_docs)
     # Any other document that holds a common key loses the line. A hot key may be in a third of all documents:
-    # those keys, few by their definition, are looked up; each of the others has a small part of the rows.
-    hot = F.col("n_docs") > total // HOT_KEYS
+    # lookup() spreads those rows, and the postings are made once for both kinds of key.
     postings = line_postings(docs.select(id_col, text_col), min_chars, id_col, text_col)
-    hit_hot = postings.join(F.broadcast(common.where(hot).drop("n_docs")), KEY)
-    hit_cold = postings.join(common.where(~hot).drop("n_docs").hint("merge"), KEY)
-    losses = hit_hot.unionByName(hit_cold).where("doc != keeper").groupBy("doc").agg(F.collect_set(F.struct(*KEY)).alias("_ld_gone"))
+    hits = lookup(postings, common, KEY, "n_docs", ["doc"], total).where("doc != keeper")
+    losses = hits.groupBy("doc").agg(F.collect_set(F.struct(*KEY)).alias("_ld_gone"))
     old = docs.columns
     kept = docs.withColumn("_ld_id", F.col(id_col).cast("long")).join(losses.withColumnRenamed("doc", "_ld_id"), "_ld_id", "left")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
