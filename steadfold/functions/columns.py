@@ -41,10 +41,10 @@ def probit(p: Column) -> Column:
     """The inverse of the standard normal distribution, to about 1e-9, for 0 < p < 1."""
     q = p - 0.5
     middle = _poly(ACKLAM_A, q * q, None) * q / _poly(ACKLAM_B, q * q, F.lit(1.0))
-    tail = lambda t: _poly(ACKLAM_C, t, None) / _poly(ACKLAM_D, t, F.lit(1.0))
-    low = tail(F.sqrt(-2 * F.ln(p)))
-    high = -tail(F.sqrt(-2 * F.ln(1 - p)))
-    return F.when(p < TAIL, low).when(p > 1 - TAIL, high).otherwise(middle)
+    # One tail stands for both, and nulls are dealt with once: generated code stays within what a method can hold.
+    t = F.coalesce(F.sqrt(-2 * F.ln(F.least(p, 1 - p))), F.lit(0.0))
+    tail = _poly(ACKLAM_C, t, None) / _poly(ACKLAM_D, t, F.lit(1.0))
+    return F.when(p.isNull(), F.lit(None).cast("double")).when(F.least(p, 1 - p) >= TAIL, middle).when(q < 0, tail).otherwise(-tail)
 
 
 def hash_uniform_sql(expression: str) -> str:

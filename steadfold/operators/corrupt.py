@@ -26,8 +26,10 @@ def available(flag: str | None, off: int = 0) -> Column:
 def gaussian(df: DataFrame, row_id: str, sd: dict[str, float], level: float | Column, rep: int | Column = 0, seed: int = 20260926, flags: dict[str, str] | None = None) -> DataFrame:
     """Each continuous column plus level times its deviation times a normal draw; cells that are not available stay."""
     flags = flags or {}
-    noise = lambda c: probit(F.greatest(draw(seed, "noise", rep, c, row_id), F.lit(1e-12)))
-    return df.withColumns({c: F.when(available(flags.get(c)), F.col(c) + level * F.lit(s) * noise(c)).otherwise(F.col(c)) for c, s in sd.items()})
+    # Draws get a projection of their own: the inverse normal names its argument many times.
+    drawn = df.withColumns({f"_u_{c}": F.greatest(draw(seed, "noise", rep, c, row_id), F.lit(1e-12)) for c in sd})
+    new = {c: F.when(available(flags.get(c)), F.col(c) + level * F.lit(s) * probit(F.col(f"_u_{c}"))).otherwise(F.col(c)) for c, s in sd.items()}
+    return drawn.withColumns(new).drop(*[f"_u_{c}" for c in sd])
 
 
 def selected(seed: int, family: str, rep: int | Column, unit: str, row_id: str, level: float | Column) -> Column:
