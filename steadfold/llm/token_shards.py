@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +98,12 @@ def token_sequences(docs: DataFrame, path: str, pattern: str, window: int, end_i
     return rows.mapInArrow(run, "part long, place long, doc_id long, n_docs long, n_tokens long, ids binary")
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    open_frame = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([open_frame(x.as_buffer()) for x in batch.column(2)], pa.binary())], batch.schema.names)
+
+
 def stride(window: int) -> int:
     """Bytes of a record: the ids, and a line end that Spark's text writer puts after them."""
     return 2 * window + 1
@@ -113,18 +120,21 @@ def materialise(docs: DataFrame, path: str, pattern: str, out: str | None = None
     spark = docs.sparkSession
     out = out or fresh_path(spark, "shards")
     staged = fresh_path(spark, "sequences")
-    token_sequences(docs, path, pattern, window, end_id, id_col, text_col).write.option("compression", "zstd").parquet(staged)
+    sequences = token_sequences(docs, path, pattern, window, end_id, id_col, text_col).write.option("compression", "zstd")
+    sequences.option("parquet.compression.codec.zstd.level", "5").option("parquet.page.size", str(4 << 20)).parquet(staged)
     made = spark.read.parquet(staged)
     parts = made.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").toArrow()
     ids, sizes = (parts.column(i).to_numpy() for i in (0, 1))
     first, total = np.concatenate([[0], np.cumsum(sizes)]), int(sizes.sum())
     sent = spark.sparkContext.broadcast((ids, first))
 
-    def numbered(df: DataFrame) -> DataFrame:
+    def numbered(df: DataFrame, squeezed: bool = False) -> DataFrame:
+        """df with its sequences' places; squeezed: ids as a compressed frame, which the exchange moves for less."""
         names = df.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, first = sent.value
+            pack = zstandard.ZstdCompressor(level=3).compress
             for batch in batches:
                 part, place = (batch.column(names.index(c)).to_numpy() for c in ("part", "place"))
                 sequence = first[np.searchsorted(ids, part)] + place
@@ -132,7 +142,8 @@ def materialise(docs: DataFrame, path: str, pattern: str, out: str | None = None
                 columns = [pa.array(x, pa.int64()) for x in (sequence, slot, slot // per_shard, slot % per_shard)]
                 if "ids" in names:
                     columns.append(pa.array([zlib.crc32(x.as_buffer()) for x in batch.column(names.index("ids"))], pa.int64()))
-                yield pa.RecordBatch.from_arrays([*columns, *batch.columns], [*made_names, *names])
+                old = [pa.array([pack(x.as_buffer()) for x in c], pa.binary()) if squeezed and n == "ids" else c for n, c in zip(names, batch.columns)]
+                yield pa.RecordBatch.from_arrays([*columns, *old], [*made_names, *names])
 
         made_names = ["sequence", "slot", "shard", "record", *["ids_crc32"] * ("ids" in names)]
         schema = ", ".join([f"{c} long" for c in made_names] + [f"{c} {kind}" for c, kind in df.dtypes])
@@ -140,9 +151,10 @@ def materialise(docs: DataFrame, path: str, pattern: str, out: str | None = None
 
     n_shards = -(-total // per_shard)
     if total:
-        records = numbered(made).select("shard", "slot", F.col("ids").cast("string").alias("ids"))
-        records = records.repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", "slot")
-        records.select("shard", "ids").write.partitionBy("shard").option("lineSep", "\n").text(out)
+        records = numbered(made, squeezed=True).select("shard", "slot", "ids")
+        records = records.repartitionByRange(n_shards, "shard").mapInArrow(_unpacked, "shard long, slot long, ids binary")
+        records = records.sortWithinPartitions("shard", "slot").select("shard", F.col("ids").cast("string").alias("ids"))  # an order that the writer knows, and keeps
+        records.write.partitionBy("shard").option("lineSep", "\n").text(out)
     about = {"sequences": total, "window": window, "stride": stride(window), "per_shard": per_shard, "shards": n_shards, "key": key, "end_id": end_id}
     _write_text(spark, f"{out}/about.json", json.dumps(about))
     return out, numbered(made).select("sequence", "slot", "shard", "record", "doc_id", "n_docs", "n_tokens", "ids_crc32")
