@@ -1,27 +1,39 @@
-"""A quality classifier: the perplexity of an interpolated modified Kneser-Ney n-gram model of trusted text.
+"""A quality classifier: the perplexity of an interpolated modified Kneser-Ney model of trusted text.
 
-Grams are of characters, over an alphabet of at most `symbols` classes, so that there can be no more than
-symbols ** order of them however much text is counted: the probability table has a proven size (48 ** 4 floats are
-21 MB) and goes to every task, where a document's grams join it by position. The counts themselves cover every trusted
-text; they are summed by gram, joined with the sums of their contexts, and discounted in sharded joins.
+The grams are pairs of words, over single words, over a spelling model, which gives every word that can be written its
+probability: character grams over an alphabet of at most `symbols` classes, with a table of a proven size (48 ** 4
+floats are 21 MB). Pairs and words are those of the trusted text, as many as there are; they are counted, discounted and
+looked up in sharded joins. A log probability is a sum: what the spelling gives, and for each gram that is known its
+gain over the lower order. So documents join the gains by gram, and what they gain is summed by document.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .recent import groups
-from .shared import stash
+from .shared import fresh_path, remove_path, stash
 
 SPACE, NEWLINE, DIGIT, UPPER, OTHER_LETTER, OTHER_MARK, OTHER = range(7)
 N_FIXED = 7
+#: A word; the number of what stands before the first word and after the last (not 0: a pair's number is
+#: not to be that of one of its words).
+WORDS = re.compile(r"\w+|[^\w\s]|\n")
+EDGE = 0x1E3779B97F4A7C15
+#: Grams with over a HOT-th of all occurrences (at most HOT words and HOT pairs) are looked up by broadcast. Of the
+#: others, those are sent to the join whose bit among 2 ** KNOWN_BITS (16 MB) some known gram has.
+HOT, KNOWN_BITS = 500_000, 27
+#: Gains are summed as whole billionths of a nat, so that no order of summing shows.
+UNIT = 1e9
 
 
 def code_points(text: str) -> np.ndarray:
@@ -81,14 +93,19 @@ def _summed(docs: DataFrame, numbers, size: int) -> DataFrame:
     return docs.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
-def _level(counts: DataFrame, symbols: int) -> tuple[DataFrame, DataFrame]:
-    """(g, p) and (context, rest) of one order: the discounted share of each gram in its context, and what the discounts
-    leave to the lower order. Discounts are those of Chen and Goodman, from the counts of counts."""
-    n1, n2, n3, n4 = (max(x or 0, 1) for x in counts.agg(*[F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4)]).first())
+def _discount(counts: DataFrame, n: str = "n") -> Column:
+    """Discounts of Chen and Goodman, from the counts of counts."""
+    n1, n2, n3, n4 = (max(x or 0, 1) for x in counts.agg(*[F.sum((F.col(n) == k).cast("long")) for k in (1, 2, 3, 4)]).first())
     y = n1 / (n1 + 2 * n2)
     cut = [min(max(k - (k + 1) * y * b / a, 0.1), k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return F.when(F.col(n) == 1, cut[0]).when(F.col(n) == 2, cut[1]).otherwise(cut[2])
+
+
+def _level(counts: DataFrame, symbols: int) -> tuple[DataFrame, DataFrame]:
+    """(g, p) and (context, rest) of one order: the discounted share of each gram in its context, and what the discounts
+    leave to the lower order."""
+    discount = _discount(counts)
     by_gram = counts.withColumn("context", F.expr(f"g div {symbols}"))
-    discount = F.when(F.col("n") == 1, cut[0]).when(F.col("n") == 2, cut[1]).otherwise(cut[2])
     contexts = by_gram.groupBy("context").agg(F.sum("n").alias("total"), F.sum(discount).alias("held"))
     joined = by_gram.join(contexts.hint("merge"), "context")
     return joined.select("g", ((F.col("n") - discount) / F.col("total")).alias("p")), contexts.select("context", (F.col("held") / F.col("total")).alias("rest"))
@@ -114,24 +131,178 @@ def probabilities(counts: DataFrame, symbols: int, order: int) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
+def _spaced(words: list[str], order: int) -> str:
+    pad = " " * (order - 1)
+    return pad + pad.join(words) + pad
+
+
+def _letter_grams(text: str, table: np.ndarray, symbols: int, order: int) -> np.ndarray:
+    """The grams of a text's words, each from the blanks before it to the one after it."""
+    g = grams(_spaced(WORDS.findall(text), order), table, symbols, order)[order - 1 :]
+    return g[(g % symbols != SPACE) | (g // symbols % symbols != SPACE)]
+
+
+@dataclass
+class Spelling:
+    """Hash and log probability of words, letter by letter. Classes of several characters share theirs equally."""
+
+    symbols: int
+    order: int
+    classes: np.ndarray
+    log_p: np.ndarray
+    spread: np.ndarray
+    seen: dict[str, tuple[int, float]] = field(default_factory=dict)
+
+    def __call__(self, words: Iterator[str]) -> dict[str, tuple[int, float]]:
+        """A dictionary that has all the words: at most about a million are kept."""
+        if len(self.seen) > 1_000_000:
+            self.seen = {}
+        new = list(set(words).difference(self.seen))
+        if new:
+            g = grams(_spaced(new, self.order), self.classes, self.symbols, self.order)
+            sums = np.concatenate([[0.0], np.cumsum(self.log_p[g] - self.spread[g % self.symbols], dtype=np.float64)])
+            sizes = np.array([len(w) for w in new])
+            start = self.order - 1 + np.concatenate([[0], np.cumsum(sizes[:-1] + self.order - 1)])
+            logs = sums[start + sizes + 1] - sums[start]
+            self.seen.update(zip(new, zip((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63) for w in new), logs.tolist())))
+        return self.seen
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the hashes of its words, between two edges, and their log probabilities."""
+        found = [WORDS.findall(t) for t in texts]
+        known, edge = self(set().union(*found)), (EDGE, -float(np.log(self.symbols)))
+        out = []
+        for words in found:
+            both = [edge, *map(known.__getitem__, words), edge]
+            out.append((np.array([x for x, _ in both], np.int64), np.array([y for _, y in both])))
+        return out
+
+
+def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One number for two words, as _pair has it."""
+    w = w.astype(np.uint64)
+    return v ^ ((w << np.uint64(21)) | (w >> np.uint64(43))).astype(np.int64)
+
+
+def _pair(v: Column, w: Column) -> Column:
+    return v.bitwiseXOR(F.shiftleft(w, 21).bitwiseOR(F.shiftrightunsigned(w, 43)))
+
+
+def _pairs(docs: DataFrame, spelling) -> DataFrame:
+    """(v, w, n): how often word w follows v, over all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spell = Spelling(*spelling.value)
+        for texts in groups((x.as_py() for b in batches for x in b.column(0)), 8_000_000):
+            ids = [h for h, _ in spell.encode(texts)]
+            v, w = np.concatenate([h[:-1] for h in ids]), np.concatenate([h[1:] for h in ids])
+            _, first, n = np.unique(pair(v, w), return_index=True, return_counts=True)
+            for at in range(0, len(n), 100_000):
+                some = first[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(v[some]), pa.array(w[some]), pa.array(n[at : at + 100_000])], ["v", "w", "n"])
+
+    return docs.mapInArrow(run, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
+
+
+def _spelled(docs: DataFrame, spelling) -> DataFrame:
+    """(w, s): every word of the texts, and what its spelling gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spell = Spelling(*spelling.value)
+        for texts in groups((x.as_py() for b in batches for x in b.column(0)), 8_000_000):
+            of_word = {x: y for ids, logs in spell.encode(texts) for x, y in zip(ids.tolist(), logs.tolist())}
+            w, s = np.array(list(of_word), np.int64), np.array(list(of_word.values()))
+            for at in range(0, len(w), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(w[at : at + 100_000]), pa.array(s[at : at + 100_000])], ["w", "s"])
+
+    return docs.mapInArrow(run, "w long, s double").groupBy("w").agg(F.max("s").alias("s"))
+
+
+def _gains(texts: DataFrame, spelling) -> tuple[DataFrame, float]:
+    """(g, gain, n) of every word and pair of the texts, and the log of what single words leave to their spelling. A
+    word's gain takes in what it leaves, as a context, to single words."""
+    spark = texts.sparkSession
+    paths = [fresh_path(spark, name) for name in ("pairs", "words")]  # not read any more at the end
+
+    def kept(df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    pairs = kept(_pairs(texts, spelling), paths[0])
+    discount = _discount(pairs)
+    contexts = pairs.groupBy(F.col("v").alias("w")).agg(F.sum("n").alias("total"), (F.sum(discount) / F.sum("n")).alias("rest"))
+    counts = pairs.groupBy("w").agg(F.count(F.lit(1)).alias("c"))  # in how many contexts a word was met
+    words = kept(counts.join(contexts.hint("merge"), "w").join(_spelled(texts, spelling).hint("merge"), "w"), paths[1])
+    of_word = _discount(words, "c")
+    types, held = words.agg(F.sum("c"), F.sum(of_word)).first()
+    if not types:
+        return pairs.select(F.col("v").alias("g"), F.col("n").alias("gain"), "n"), 0.0
+    unseen = held / types
+    words = words.withColumn("p", (F.col("c") - of_word) / types + unseen * F.exp("s"))
+    gain = lambda x: F.round(x * UNIT).cast("long").alias("gain")
+    singles = words.select(F.col("w").alias("g"), gain(F.log("p") - F.lit(float(np.log(unseen))) - F.col("s") + F.log("rest")), F.col("total").alias("n"))
+    after = pairs.join(words.select(F.col("w").alias("v"), "total", "rest").hint("merge"), "v").join(words.select("w", "p").hint("merge"), "w")
+    whole = (F.col("n") - discount) / F.col("total") + F.col("rest") * F.col("p")
+    doubles = after.select(_pair(F.col("v"), F.col("w")).alias("g"), gain(F.log(whole) - F.log("rest") - F.log("p")), "n")
+    gains = stash(singles.unionByName(doubles), "gains")
+    for path in paths:
+        remove_path(spark, path)
+    return gains, float(np.log(unseen))
+
+
+def _bits(numbers: DataFrame) -> np.ndarray:
+    """A bit for each number's place among 2 ** KNOWN_BITS; numbers has one column of longs, g."""
+    mask = (1 << KNOWN_BITS) - 1
+    words = numbers.groupBy(F.expr(f"(g & {mask}) div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(g & 63 AS int)))").alias("bits"))
+    return _dense(words, 1 << KNOWN_BITS - 6, np.int64(0)).view(np.uint64)
+
+
+def _has_bit(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
+    at = (g & ((1 << KNOWN_BITS) - 1)).astype(np.uint64)
+    return ((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows whose doc is among ids: exactly, by a merge join at every size, since ids may be few enough to be sent to
+    all tasks, or may not. Bits of their hashes spare most other texts the way there."""
+    hashed = F.xxhash64("doc").alias("g")
+    bits = rows.sparkSession.sparkContext.broadcast(_bits(ids.select(hashed)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_has_bit(bits.value, batch.column(0).to_numpy()))).drop_columns(["g"])
+
+    schema = "".join(f", `{c}` {kind}" for c, kind in rows.dtypes)
+    some = rows.where("doc IS NOT NULL").select(hashed, *rows.columns).mapInArrow(run, schema[2:])
+    return some.join(ids.hint("merge"), "doc", "left_semi")
+
+
 @dataclass
 class QualityModel:
     """limits: by language, the largest cross entropy (nats a character) that is kept; None: for other languages. The
     mean over few characters strays further: a text of n may lie slack / sqrt(n) above, which is three standard errors
-    where a character's surprise deviates by 1.5 nats."""
+    where a character's surprise deviates by 1.5 nats. hot: grams and their gains; known: bits of all grams."""
 
     symbols: int
     order: int
     classes: np.ndarray
     log_p: np.ndarray
+    spread: np.ndarray
+    unseen: float
+    gains: DataFrame
+    hot: tuple[np.ndarray, np.ndarray]
+    known: np.ndarray
     limits: dict[str | None, float]
     slack: float = 4.5
 
-    def keeps(self, entropy: float | None, n: int, lang: str | None) -> bool:
-        return entropy is not None and entropy <= self.limits.get(lang, self.limits.get(None, float("inf"))) + self.slack / n**0.5
 
-    def entropy(self, text: str) -> float | None:
-        return float(-self.log_p[grams(text, self.classes, self.symbols, self.order)].mean(dtype=np.float64)) if text else None
+def _memory(gains: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The hot grams, in order, with their gains, and the bits that known grams have."""
+    total = gains.agg(F.sum("n")).first()[0] or 0
+    rows = gains.where(F.col("n") > total // 2 // HOT).select("g", "gain").toArrow()
+    g, gain = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    order = np.argsort(g)
+    return (g[order], gain[order]), _bits(gains.select("g"))
 
 
 #: Languages that have limits of their own at most: the most frequent ones.
@@ -139,22 +310,27 @@ LANGUAGES = 1000
 
 
 def train(docs: DataFrame, trusted: DataFrame, symbols: int = 48, order: int = 4, fence: float = 10.0, least: int = 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> QualityModel:
-    """A model of the texts of docs whose id is in trusted (one column). A language's limit is its trusted documents'
-    third quartile of entropy plus `fence` times the distance from the first; languages with under `least` trusted
-    documents take the limit of all. Without trusted text every document is kept."""
+    """A model of the texts of docs whose id is in trusted (one column). A fifth of them, by hash, is not counted: how
+    new trusted text scores shows on them alone. A language's limit is their third quartile of entropy plus `fence`
+    times the distance from the first; languages with under `least` of them take the limit of all. Without trusted text
+    every document is kept."""
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), lang.alias("lang"))
-    # A merge join at every size: labels may be few enough to be sent to all tasks, or may not.
-    ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc")).distinct().hint("merge")
+    ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc")).distinct()
     points = _summed(rows.select("text"), code_points, 0x110000)
-    common = points.orderBy(F.desc("n"), "g").limit(4 * symbols)
-    classes = alphabet({r["g"]: r["n"] for r in common.collect()}, symbols)
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(classes)
-    counts = stash(_summed(rows.join(ids, "doc", "left_semi").select("text"), lambda t: grams(t, table.value, symbols, order), symbols**order), "grams")
-    model = QualityModel(symbols, order, classes, probabilities(counts, symbols, order), {})
-    scored = score(rows, model, "text", "lang").select("doc", "lang", "entropy").join(ids, "doc", "left_semi").where("entropy IS NOT NULL")
-    scored = stash(scored, "entropy")
+    common = {r["g"]: r["n"] for r in points.orderBy(F.desc("n"), "g").limit(4 * symbols).collect()}
+    classes = alphabet(common, symbols)
+    spread = np.log(np.maximum(np.bincount(classes[list(common)], minlength=symbols), 1))
+    context = docs.sparkSession.sparkContext
+    table = context.broadcast(classes)
+    theirs = stash(_of_ids(rows.where("text IS NOT NULL"), ids), "trusted")
+    held = F.pmod(F.xxhash64("doc", F.lit("held out")), F.lit(5)) == 0
+    counted = theirs.where(~held).select("text")
+    counts = stash(_summed(counted, lambda t: _letter_grams(t, table.value, symbols, order), symbols**order), "grams")
+    log_p = probabilities(counts, symbols, order)
+    gains, unseen = _gains(counted, context.broadcast((symbols, order, classes, log_p, spread)))
+    model = QualityModel(symbols, order, classes, log_p, spread, unseen, gains, *_memory(gains), {})
+    scored = stash(score(theirs.where(held), model, "text", "lang").select("lang", "entropy").where("entropy IS NOT NULL"), "entropy")
     quartiles = F.percentile_approx("entropy", [0.25, 0.75], 10_000).alias("q")
     limit = lambda q: float(q[1] + fence * (q[1] - q[0]))
     of_all = scored.agg(quartiles).first()["q"]
@@ -164,28 +340,61 @@ def train(docs: DataFrame, trusted: DataFrame, symbols: int = 48, order: int = 4
     return model
 
 
+def _asked(rows: DataFrame, model: QualityModel) -> DataFrame:
+    """(g, key, n, own, copies) from (key, text): the grams of each text that the join may know, and a row with what is known
+    without it."""
+    sent = rows.sparkSession.sparkContext.broadcast(((model.symbols, model.order, model.classes, model.log_p, model.spread), model.unseen, model.hot, model.known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling, unseen, (hot, hot_gain), known = sent.value
+        spell = Spelling(*spelling)
+        for batch in batches:
+            keys, at = batch.column(0).to_numpy(), 0
+            for texts in groups((x.as_py() for x in batch.column(1)), 2_000_000):
+                some, at = keys[at : at + len(texts)], at + len(texts)
+                coded = spell.encode(texts)
+                # the edge counts once, as the first context and the last word
+                g = [np.concatenate([h[1:], pair(h[:-1], h[1:])]) for h, _ in coded]
+                doc, g = np.repeat(np.arange(len(g)), [len(x) for x in g]), np.concatenate(g)
+                own = np.array([int(round((s[1:].sum() + unseen * (len(s) - 1)) * UNIT)) for _, s in coded])
+                place = np.minimum(np.searchsorted(hot, g), max(len(hot) - 1, 0))
+                is_hot = hot[place] == g if len(hot) else np.zeros(len(g), bool)
+                np.add.at(own, doc[is_hot], hot_gain[place[is_hot]])
+                ask = ~is_hot & _has_bit(known, g)
+                g, doc = g[ask], doc[ask]
+                sort = np.lexsort((doc, g))
+                g, doc = g[sort], doc[sort]
+                new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])])) if len(g) else np.zeros(0, np.int64)
+                n = np.diff(np.append(new, len(g)))
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(some), pa.array(np.zeros(len(some), np.int64)), pa.array(own), pa.array(np.ones(len(some), np.int64))], names)
+                for i in range(0, len(new), 100_000):
+                    k = new[i : i + 100_000]
+                    zero = pa.array(np.zeros(len(k), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(g[k]), pa.array(some[doc[k]]), pa.array(n[i : i + 100_000]), zero, zero], names)
+
+    names = ["g", "key", "n", "own", "copies"]
+    return rows.mapInArrow(run, "g long, key long, n long, own long, copies long")
+
+
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs with entropy, perplexity (a character) and kept.
 
     A null or empty text has neither and is not kept. A null or unknown language takes the limit of all. Every row of
-    docs comes once. Columns of docs must not be named like the three that are added.
+    docs comes once. Columns of docs must not be named like the three that are added, or begin with "_kn_".
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    at, lang_at = names.index(text_col), names.index(lang_col) if lang_col in names else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for batch in batches:
-            entropy, sizes = [], []
-            for x in batch.column(at):
-                text = x.as_py() or ""
-                entropy.append(m.entropy(text))
-                sizes.append(len(text))
-            langs = batch.column(lang_at).to_pylist() if lang_at is not None else [None] * len(entropy)
-            kept = [m.keeps(*x) for x in zip(entropy, sizes, langs)]
-            made = [pa.array(entropy, pa.float64()), pa.array([None if e is None else float(np.exp(e)) for e in entropy], pa.float64()), pa.array(kept, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, "entropy", "perplexity", "kept"])
-
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes)
-    return docs.mapInArrow(run, f"{schema}, entropy double, perplexity double, kept boolean")
+    text, lang = F.col(text_col), F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    key = F.xxhash64(text, F.char_length(text))
+    asked = _asked(docs.where(F.char_length(text) > 0).select(key.alias("key"), text.alias("text")), model)
+    joined = asked.join(model.gains.select("g", "gain").hint("merge"), "g", "left")
+    # Equal texts have one key; what they gain together is the same for each.
+    sums = joined.groupBy("key").agg(F.sum(F.col("own") + F.col("n") * F.coalesce("gain", F.lit(0))).alias("gain"), F.sum("copies").alias("copies"))
+    sums = sums.select(F.col("key").alias("_kn_key"), (-F.col("gain") / F.col("copies") / UNIT).alias("_kn_sum"))
+    # No text to look for has a key of its own, so that such rows do not meet in one task.
+    with_key = docs.withColumn("_kn_size", F.char_length(text)).withColumn("_kn_key", F.when(F.col("_kn_size") > 0, key).otherwise(F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith("map")])))
+    entropy = F.when(F.col("_kn_size") > 0, F.col("_kn_sum") / F.col("_kn_size"))
+    limits = F.lit(float(model.limits.get(None, float("inf"))))
+    own = [(k, v) for k, v in model.limits.items() if k is not None]
+    if own:
+        limits = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in own for x in kv]), lang), limits)
+    kept = F.coalesce(entropy <= limits + model.slack / F.sqrt("_kn_size"), F.lit(False))
+    return with_key.join(sums.hint("merge"), "_kn_key", "left").select(*docs.columns, entropy.alias("entropy"), F.exp(entropy).alias("perplexity"), kept.alias("kept"))

@@ -116,6 +116,65 @@ def test_classifier_without_trusted_text(spark):
     assert kneser_ney.score(df.where("false"), model).collect() == []
 
 
+def test_words_count_and_joined_gains_match_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary = [prose(rng, 1)[:-1] for _ in range(80)]
+    follow = {w: rng.sample(vocabulary, 2) for w in vocabulary}
+
+    def chain(n):
+        out = [rng.choice(vocabulary)]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]))
+        return out
+
+    good = [chain(60) for _ in range(80)]
+    mixed = [rng.sample(x, len(x)) for x in (chain(60) for _ in range(10))]  # the same words in another order
+    texts = [" ".join(x) for x in good + mixed] + ["zq " * 9]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    trusted = df.select("doc_id").where("doc_id < 70")
+    model = kneser_ney.train(df, trusted, symbols=24, order=3)
+    got = {r.doc_id: r.entropy for r in kneser_ney.score(df, model).collect()}
+    assert min(got[i] for i in range(80, 90)) > 1.5 * max(got[i] for i in range(70, 80))
+
+    # brute force, over the counted documents
+    held = {r.doc_id for r in df.where(F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(5)) == 0).collect()}
+    spell = kneser_ney.Spelling(24, 3, model.classes, model.log_p, model.spread)
+    pairs, spelled = Counter(), {}
+    for t in [t for i, t in enumerate(texts[:70]) if i not in held]:
+        ((ids, logs),) = spell.encode([t])
+        pairs.update(zip(ids.tolist(), ids[1:].tolist()))
+        spelled |= dict(zip(ids.tolist(), logs.tolist()))
+
+    def cuts(counts):
+        n = [max(sum(c == k for c in counts), 1) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k) for k in (1, 2, 3)]
+
+    before, total, met = Counter(w for _, w in pairs), Counter(), {}
+    for (v, w), n in pairs.items():
+        total[v] += n
+        met.setdefault(v, []).append(n)
+    cut1, cut2 = cuts(before.values()), cuts(pairs.values())
+    take = lambda n, cut: cut[min(n, 3) - 1]
+    left = sum(take(c, cut1) for c in before.values()) / len(pairs)
+    single = lambda w, s: (max(before[w] - take(before[w], cut1), 0) / len(pairs) if before[w] else 0) + left * np.exp(s)
+    for i, t in enumerate(texts):
+        ((ids, logs),) = spell.encode([t])
+        sum_ = 0.0
+        for v, w, s in zip(ids.tolist(), ids[1:].tolist(), logs[1:].tolist()):
+            p = single(w, s)
+            if v in total:
+                n = pairs[v, w]
+                p = ((n - take(n, cut2)) / total[v] if n else 0) + sum(take(x, cut2) for x in met[v]) / total[v] * p
+            sum_ -= np.log(p)
+        assert got[i] == pytest.approx(sum_ / len(t), rel=1e-6)
+    # all grams by the join, none by broadcast: the same
+    nothing = np.zeros(0, np.int64)
+    model.hot = (nothing, nothing)
+    assert {r.doc_id: r.entropy for r in kneser_ney.score(df, model).collect()} == got
+    assert model.gains.count() == len(pairs) + len(before)
+
+
 # --- exact top-k
 
 
