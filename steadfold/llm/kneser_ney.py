@@ -279,8 +279,8 @@ def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 @dataclass
 class QualityModel:
-    """limits: by language, the largest cross entropy (nats a character) that is kept; None: for other languages. The
-    mean over few characters strays further: a text of n may lie slack / sqrt(n) above, which is three standard errors
+    """limits: by language, the largest cross entropy (nats a character) that is kept, of an endless text; None: for other
+    languages. The mean over few characters strays further: a text of n may lie slack / sqrt(n) above, which is three standard errors
     where a character's surprise deviates by 1.5 nats. hot: grams and their gains; known: bits of all grams."""
 
     symbols: int
@@ -309,11 +309,12 @@ def _memory(gains: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray
 LANGUAGES = 1000
 
 
-def train(docs: DataFrame, trusted: DataFrame, symbols: int = 48, order: int = 4, fence: float = 10.0, least: int = 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> QualityModel:
+def train(docs: DataFrame, trusted: DataFrame, symbols: int = 48, order: int = 4, quantile: float = 0.99, least: int = 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> QualityModel:
     """A model of the texts of docs whose id is in trusted (one column). A fifth of them, by hash, is not counted: how
-    new trusted text scores shows on them alone. A language's limit is their third quartile of entropy plus `fence`
-    times the distance from the first; languages with under `least` of them take the limit of all. Without trusted text
-    every document is kept."""
+    new trusted text scores shows on them alone. A language's limit is the `quantile` of their entropies, each less what
+    its own length allows, or the third quartile of the entropies as they are, if that is more: long texts, which are
+    allowed nothing, come to lie about the middle. Languages with under `least` of them take the limit of all. Without
+    trusted text every document is kept."""
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), lang.alias("lang"))
     ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc")).distinct()
@@ -330,13 +331,13 @@ def train(docs: DataFrame, trusted: DataFrame, symbols: int = 48, order: int = 4
     log_p = probabilities(counts, symbols, order)
     gains, unseen = _gains(counted, context.broadcast((symbols, order, classes, log_p, spread)))
     model = QualityModel(symbols, order, classes, log_p, spread, unseen, gains, *_memory(gains), {})
-    scored = stash(score(theirs.where(held), model, "text", "lang").select("lang", "entropy").where("entropy IS NOT NULL"), "entropy")
-    quartiles = F.percentile_approx("entropy", [0.25, 0.75], 10_000).alias("q")
-    limit = lambda q: float(q[1] + fence * (q[1] - q[0]))
-    of_all = scored.agg(quartiles).first()["q"]
-    if of_all:
-        frequent = scored.where("lang IS NOT NULL").groupBy("lang").agg(quartiles, F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-        model.limits = {None: limit(of_all)} | {r["lang"]: limit(r["q"]) for r in frequent.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    over = (F.col("entropy") - model.slack / F.sqrt(F.char_length("text"))).alias("over")
+    scored = stash(score(theirs.where(held), model, "text", "lang").where("entropy IS NOT NULL").select("lang", "entropy", over), "entropy")
+    limit = F.greatest(F.percentile_approx("over", quantile, 10_000), F.percentile_approx("entropy", 0.75, 10_000)).alias("q")
+    of_all = scored.agg(limit).first()["q"]
+    if of_all is not None:
+        frequent = scored.where("lang IS NOT NULL").groupBy("lang").agg(limit, F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        model.limits = {None: of_all} | {r["lang"]: r["q"] for r in frequent.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     return model
 
 

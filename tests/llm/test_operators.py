@@ -175,6 +175,30 @@ def test_words_count_and_joined_gains_match_brute_force(spark):
     assert model.gains.count() == len(pairs) + len(before)
 
 
+def test_labelled_junk_goes_and_clean_text_stays(spark):
+    """On all of sf0.1: labels with quality 0, their texts that repeat words, toxic ones, and the ordinary rest."""
+    rows, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = rows.select("doc_id", "text", "lang")
+    model = kneser_ney.train(rows, labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id"))
+    got = kneser_ney.score(rows, model).join(labels, "doc_id", "left").select("text", "kept", "quality", "toxic").collect()
+
+    def repeats(text):
+        words = (text or "").split()
+        return sum(a == b for a, b in zip(words, words[1:])) > len(words) / 2
+
+    gone = lambda of: (lambda x: sum(not r.kept for r in x) / len(x))([r for r in got if of(r)])
+    figures = {
+        "quality 0": gone(lambda r: r.quality == 0),
+        "quality 0, repeated": gone(lambda r: r.quality == 0 and repeats(r.text)),
+        "toxic": gone(lambda r: r.toxic == 1),
+        "trusted": gone(lambda r: r.quality == 1 and r.toxic == 0),
+        "unlabelled": gone(lambda r: r.quality is None and r.text and not repeats(r.text)),
+    }
+    print(figures)
+    assert figures["quality 0"] > 0.8 and figures["quality 0, repeated"] > 0.3 and figures["toxic"] > 0.1
+    assert figures["trusted"] < 0.005 and figures["unlabelled"] < 0.16
+
+
 # --- exact top-k
 
 
