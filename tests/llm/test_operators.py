@@ -420,6 +420,21 @@ def test_base_spans_and_held_out_secrets(spark):
     assert secrets.scan_secrets(docs(spark, [])).collect() == []
 
 
+def test_secrets_with_tokens_of_letters_alone_are_found_whole(spark):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    made = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    key = lambda: rng.choice([made(24, letters), "/".join(made(rng.randint(7, 18), letters + "0123456789" * (k == 1)) for k in range(3))])
+    fill = [f"{prose(rng, 9)} token = \"{key()}\" {prose(rng, 9)}" for _ in range(150)] + [f"{prose(rng, 9)} \"{prose(rng, 3)}\" in 2020" for _ in range(150)]
+    model = secrets.train(docs(spark, fill).withColumn("source", F.lit("s1")))
+    held = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"] + [key() for _ in range(40)] + [made(24, letters) for _ in range(10)]
+    texts = [f"{prose(rng, 9)} token -> \"{k}\" {prose(rng, 9)}" for k in held]
+    whole = [[t[a:b] for a, b in secrets.learned_spans(model, t, "s1", [])] == [k] for t, k in zip(texts, held)]
+    assert whole[0] and sum(whole[1:41]) >= 36 and sum(whole[41:]) >= 8
+    clean = [f"{prose(rng, 9)} said \"{prose(rng, 4)}\" and {made(1, letters)}cDonald in 2021" for _ in range(50)]
+    assert sum(bool(secrets.learned_spans(model, t, "s1", [])) for t in clean) <= 2
+
+
 def test_viterbi_and_gradient_against_enumeration():
     from itertools import product
 
