@@ -23,6 +23,14 @@ PATTERNS = {
     "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{8,15}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4})(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Digits of cards by issuer, and letters of an IBAN by country, which a number has that others follow.
+ISSUED = r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5]|2[2-7])[0-9]{14}|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11,16}|35[0-9]{14,17}|6[0-9]{15,18}|5[06-9][0-9]{11,17})$"
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Code points that no text should have, of which one that a text has not stands around what is valid in it.
+MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 ROUNDS = 8
 #: Dates are permuted within blocks of 2**16 days from this one on; others keep to blocks before and after it.
 FIRST_DAY, DAYS = "1900-01-01", 65536
@@ -173,6 +181,50 @@ def pseudonym(m: Column, key: str) -> Column:
     return F.coalesce(*made)
 
 
+def _inner(m: Column) -> Column:
+    """(start, size) of the first, then longest, run of whole groups in m that is a valid card or IBAN; null if none."""
+    alone = lambda i: F.substr(m, i, F.lit(1)).isin(" ", "-", "")
+    places = F.sequence(F.lit(1), F.char_length(m))
+    starts = F.filter(places, lambda i: ~alone(i) & ((i == 1) | alone(F.greatest(i - 1, F.lit(1)))))
+    ends = F.reverse(F.filter(places, lambda i: ~alone(i) & alone(i + 1)))
+
+    def valid(part: Column) -> Column:
+        def card(digits: Column) -> Column:
+            last = F.char_length(digits)
+            return (_luhn(F.substr(digits, F.lit(1), last - 1)) + F.substr(digits, last, F.lit(1)).cast("int")) % 10 == 0
+
+        def iban(plain: Column) -> Column:
+            sized = [f"(?:{'|'.join(of.split())})[0-9]{{2}}[A-Z0-9]{{{n - 4}}}" for n, of in IBAN_SIZES.items()]
+            return F.when(plain.rlike(f"^(?:{'|'.join(sized)})$"), _mod97(F.concat(F.substr(plain, F.lit(5), F.char_length(plain)), F.substr(plain, F.lit(1), F.lit(4)))) == 1).otherwise(F.lit(False))
+
+        of_card = F.when(part.rlike("^[0-9][0-9 -]+$"), once(F.regexp_replace(part, "[^0-9]", ""), lambda d: F.when(d.rlike(ISSUED), card(d)).otherwise(F.lit(False))))
+        return F.coalesce(of_card, once(F.regexp_replace(part, " ", ""), iban))
+
+    tried = F.flatten(F.transform(starts, lambda a: F.transform(F.filter(ends, lambda b: b - a >= 12), lambda b: F.struct(a.alias("start"), (b - a + 1).alias("size")))))
+    return F.get(F.filter(tried, lambda t: valid(F.substr(m, t["start"], t["size"]))), F.lit(0))
+
+
+def _separated(text: Column, found: Column, mark: Column, key: str) -> Column:
+    """text with mark around valid cards and IBANs that other numbers stand next to, so that a search finds them alone and
+    goes on after them. A round separates one in each match; what is left of that match is searched in the next."""
+    both = f"^(?:{PATTERNS['card']}|{PATTERNS['iban']})$"
+
+    def cut(m: Column) -> Column:
+        whole = F.coalesce(*[F.when(m.rlike(f"^(?:{PATTERNS[k]})$"), MAKERS[k](m, key)) for k in ("iban", "card", "phone")])
+        apart = lambda t: F.when(t.isNotNull(), F.concat(F.substr(m, F.lit(1), t["start"] - 1), mark, F.substr(m, t["start"], t["size"]), mark, F.substr(m, t["start"] + t["size"], F.char_length(m))))
+        return F.coalesce(F.when(m.rlike(both) & whole.isNull(), once(_inner(m), apart)), m)
+
+    def step(t: Column, _: Column) -> Column:
+        def again(x: Column) -> Column:
+            pieces = F.zip_with(F.split(x, ANY, -1), F.transform(F.regexp_extract_all(x, F.lit(f"({ANY})"), F.lit(1)), cut), lambda part, m: F.concat(part, F.coalesce(m, F.lit(""))))
+            return F.array_join(pieces, "")
+
+        return F.when(t["done"], t).otherwise(once(again(t["text"]), lambda x: F.struct(x.alias("text"), (x == t["text"]).alias("done"))))
+
+    rounds = F.sequence(F.lit(0), F.size(found) + 2)
+    return F.when(F.exists(found, lambda m: cut(m) != m), F.aggregate(rounds, F.struct(text.alias("text"), F.lit(False).alias("done")), step, lambda t: t["text"])).otherwise(text)
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with its text's personal data under pseudonyms, n_pii, and n_email, n_ip, ... for each kind.
 
@@ -182,11 +234,19 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     like those that are added or begin with "_pii_".
     """
     text = F.col(text_col)
-    some = docs.withColumn("_pii_found", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))))
+    all_of = lambda t: F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1))
+    mark = F.get(F.filter(F.array(*[F.lit(c) for c in MARKS]), lambda c: ~text.contains(c)), F.lit(0))
+    some = docs.withColumn("_pii_found", F.when(text.rlike("[0-9@]"), all_of(text)))
+    some = some.withColumn("_pii_mark", F.when(F.size("_pii_found") > 0, mark))
+    apart = F.when(F.col("_pii_mark").isNotNull(), _separated(text, F.col("_pii_found"), F.col("_pii_mark"), key))
+    some = some.withColumn("_pii_text", F.explode(F.array(F.coalesce(apart, text))))
+    some = some.withColumn("_pii_found", F.when(F.col("_pii_text") == text, F.col("_pii_found")).otherwise(all_of(F.col("_pii_text"))))
     some = some.withColumn("_pii_new", F.explode(F.array(F.when(F.size("_pii_found") > 0, F.transform("_pii_found", lambda m: pseudonym(m, key))))))
-    parts = F.split(text, ANY, -1)
+    parts = F.split(F.col("_pii_text"), ANY, -1)
     new = F.zip_with(parts, F.zip_with("_pii_found", "_pii_new", lambda m, p: F.coalesce(p["value"], m)), lambda part, p: F.concat(part, F.coalesce(p, F.lit(""))))
-    result = F.when(F.col("_pii_new").isNull(), text).otherwise(F.array_join(new, ""))
+    joined = F.array_join(new, "")
+    joined = F.when(F.col("_pii_text") == text, joined).otherwise(F.replace(joined, F.col("_pii_mark"), F.lit("")))
+    result = F.when(F.col("_pii_new").isNull(), text).otherwise(joined)
     count = lambda f: F.coalesce(F.size(F.filter("_pii_new", f)), F.lit(0)).cast("long")
     of_kind = lambda k: lambda p: p["kind"] == k
     counts = [F.when(F.col("_pii_new").isNull(), F.lit(0).cast("long")).otherwise(count(of_kind(k))).alias(f"n_{k}") for k in MAKERS]

@@ -290,6 +290,19 @@ def test_pseudonyms_keep_format_and_link_equal_values(spark):
     assert pii.pseudonymise(docs(spark, []), "k").collect() == []
 
 
+def test_cards_and_ibans_next_to_other_numbers(spark):
+    card, iban = "4041894974608795", "ES9121000418450200051332"
+    texts = [f"{card} 123", "4041 8949 7460 8795 12/27", f"{iban} 2021", "ES91 2100 0418 4502 0005 1332 2021 20", f"{card} 12 {card} 12", f"77 {card}", f"{card} 12/05/1984", f"{iban} 2021-02-03", "4041894974608796 123", f"{card} 123 \ufdd0"]
+    out = pii.pseudonymise(docs(spark, texts), "k").orderBy("doc_id").collect()
+    new = pii.pseudonymise(docs(spark, [card, iban]), "k").orderBy("doc_id").collect()
+    new_card, new_iban = (r.text for r in new)
+    assert out[0].text == f"{new_card} 123" and out[2].text == f"{new_iban} 2021" and out[5].text == f"77 {new_card}"
+    assert out[1].text.replace(" ", "") == f"{new_card}12/27" and out[3].text.replace(" ", "") == f"{new_iban}202120"
+    assert out[4].text == f"{new_card} 12 {new_card} 12" and out[9].text == f"{new_card} 123 \ufdd0"
+    assert out[6].text.startswith(f"{new_card} ") and out[7].text.startswith(f"{new_iban} ") and out[8].text == texts[8]
+    assert [r.n_pii for r in out] == [1, 1, 1, 1, 2, 1, 2, 2, 0, 1] and [r.n_date for r in out][6:8] == [1, 1]
+
+
 def test_permutations_are_one_to_one(spark):
     n = spark.range(1000).select(pii.permuted(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "x").alias("p"))
     assert {r.p for r in n.collect()} == {f"{i:03}" for i in range(1000)}
