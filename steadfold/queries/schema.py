@@ -91,6 +91,15 @@ def gram_corr_matrix(spark: SparkSession, d: str) -> DataFrame:
     return schema.correlations(df, names).withColumn("corr", r6("corr"))
 
 
+@query()
+def gram_corr_matrix_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Correlations of all components of the embeddings; gram_corr_matrix has those that its SQL names."""
+    rows = table(spark, d, "embeddings")
+    names = [f"e{i}" for i in range(rows.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    df = rows.select(*[F.get("embedding", i).cast("double").alias(n) for i, n in enumerate(names)])
+    return schema.correlations(df, names).withColumn("corr", r6("corr"))
+
+
 @query("WITH {frame:line}, " + LINE_FLAGS_SQL + " SELECT a, b, count(*) AS n, sum(x)::BIGINT AS n_a, sum(y)::BIGINT AS n_b, sum(x * y)::BIGINT AS n_ab FROM (SELECT unnest(['ls_F', 'ls_F', 'rf_A']) AS a, unnest(['ls_O', 'rf_A', 'rf_R']) AS b, unnest([ls_F, ls_F, rf_A]) AS x, unnest([ls_O, rf_A, rf_R]) AS y FROM fl) GROUP BY 1, 2")
 def schema_pair_counts(spark: SparkSession, d: str) -> DataFrame:
     out = schema.pair_counts(flagged_lines(spark, d), LINE_FLAGS)

@@ -57,8 +57,9 @@ def reweight_calibrated_strengths(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def reweight_axes(spark: SparkSession, d: str) -> DataFrame:
     """Mean, spread and effective size of weights along the principal axes of the embeddings."""
-    names = [f"e{i}" for i in range(16)]
-    df = table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", i).cast("double").alias(n) for i, n in enumerate(names)])
+    rows = table(spark, d, "embeddings")
+    names = [f"e{i}" for i in range(rows.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    df = rows.select("vec_id", *[F.get("embedding", i).cast("double").alias(n) for i, n in enumerate(names)])
     values, vectors, reach, fit = reweight.principal_axes(df, names, F.lit(True))
     axes = reweight.axis_columns(names, values, vectors, reach, fit)
     long = metrics.long_form(df.withColumns(axes), list(axes), ["vec_id"])

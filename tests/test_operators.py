@@ -258,3 +258,25 @@ def test_suite_settings_are_checked():
         SuiteSettings(ess_levels=(0.6, 0.9))
     with pytest.raises(ValueError):
         SuiteSettings(repetitions=0)
+
+
+def test_all_components_of_embeddings_count(spark):
+    from steadfold.queries import QUERIES
+
+    from .conftest import SF
+
+    x = np.array([r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").select("embedding").collect()], float)
+    want = np.corrcoef(x.T)
+    rows = QUERIES["gram_corr_matrix_whole"](spark, SF).collect()
+    assert len(rows) == 2016
+    assert all(r["corr"] == pytest.approx(want[int(r["a"][1:]), int(r["b"][1:])], abs=2e-6) for r in rows)
+    axes = QUERIES["reweight_axes"](spark, SF).collect()
+    assert len(axes) > 0 and all(r["n"] == len(x) for r in axes)
+    sizes = []
+    real = reweight.principal_axes
+    reweight.principal_axes = lambda df, names, train: sizes.append(len(names)) or real(df, names, train)
+    try:
+        QUERIES["reweight_axes"](spark, SF)
+    finally:
+        reweight.principal_axes = real
+    assert sizes == [64]
