@@ -448,6 +448,15 @@ def test_secrets_with_tokens_of_letters_alone_are_found_whole(spark):
     assert sum(bool(secrets.learned_spans(model, t, "s1", [])) for t in clean) <= 2
 
 
+def test_all_windows_of_sampled_documents_train(spark, monkeypatch):
+    rng = random.Random(2)
+    long = " ".join(f"{prose(rng, 30)} in 2020" for _ in range(60)) + " token = abcdef123456"
+    seen = []
+    monkeypatch.setattr(secrets.Field, "fit", lambda self, labelled: seen.append(labelled) or self)
+    secrets.train(docs(spark, [long, f"{long} password: qwerty987654"]), sample=2)
+    assert len(seen[0]) > 100 and sum(any(tags) for _, tags in seen[0]) >= 2
+
+
 def test_viterbi_and_gradient_against_enumeration():
     from itertools import product
 
