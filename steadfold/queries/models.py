@@ -201,8 +201,8 @@ s AS (SELECT model, shift, sum((noise - n0) * (r + r0) / 2) / (max(noise) - min(
 t AS (SELECT *, lag(shift) OVER (PARTITION BY model ORDER BY shift) AS s0, lag(v) OVER (PARTITION BY model ORDER BY shift) AS v0 FROM s)"""
 
 
-def _grid(spark: SparkSession, d: str) -> DataFrame:
-    df = table(spark, d, "lineitem").where("l_linenumber <= 5")
+def _grid(spark: SparkSession, d: str, lines: str = "l_linenumber <= 5") -> DataFrame:
+    df = table(spark, d, "lineitem").where(lines)
     return df.groupBy(F.col("l_returnflag").alias("model"), ((F.col("l_linenumber") - 1) * 0.25).alias("noise"), (F.floor(F.col("l_quantity") / 10) * 0.5).alias("shift")).agg(F.avg(1 - F.col("l_discount")).alias("v"))
 
 
@@ -216,6 +216,18 @@ def grid_slices(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d).where(F.abs(F.col("shift") - 1.0) < 1e-9).select("model", "noise", r6("v").alias("v"))
 
 
+@query()
+def grid_aurs_whole(spark: SparkSession, d: str) -> DataFrame:
+    """grid_aurs over all lines: a noise level for every line number there is."""
+    return stats.grid_area(_grid(spark, d, "true"), ["model"], "noise", "shift", "v").withColumn("aurs", r6("aurs"))
+
+
+@query()
+def grid_slices_whole(spark: SparkSession, d: str) -> DataFrame:
+    """grid_slices over all lines."""
+    return _grid(spark, d, "true").where(F.abs(F.col("shift") - 1.0) < 1e-9).select("model", "noise", r6("v").alias("v"))
+
+
 @query("SELECT model, round(min(v), 4) AS min, round(quantile_cont(v, 0.5), 4) AS median, round(avg(v), 4) AS mean, round(max(v), 4) AS max, round(stddev_samp(v), 4) AS std FROM (SELECT p_brand AS model, p_size::DOUBLE AS v FROM part) GROUP BY 1")
 def feature_count_summary(spark: SparkSession, d: str) -> DataFrame:
     return stats.summary_statistics(table(spark, d, "part").select(F.col("p_brand").alias("model"), F.col("p_size").cast("double").alias("v")), ["model"], "v")

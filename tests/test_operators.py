@@ -280,3 +280,13 @@ def test_all_components_of_embeddings_count(spark):
     finally:
         reweight.principal_axes = real
     assert sizes == [64]
+
+
+def test_grids_have_a_noise_level_for_every_line_number(spark):
+    from steadfold.queries import QUERIES
+
+    from .conftest import SF
+
+    numbers = {r[0] for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_linenumber").distinct().collect()}
+    assert {r["noise"] for r in QUERIES["grid_slices_whole"](spark, SF).collect()} == {(n - 1) * 0.25 for n in numbers}
+    assert len(numbers) > 5 and all(r["aurs"] is not None for r in QUERIES["grid_aurs_whole"](spark, SF).collect())
