@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run on one machine may it be
+    unset (tests): a folder of that machine is then made and set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="steadfold-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -40,6 +46,38 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are written: Spark deletes them once the driver's garbage, which else is
+    collected when its heap happens to fill, no longer holds their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@dataclass(frozen=True)
+class Sealed:
+    """A frame whose columns go by their place (c0, c1, ...), so that no name of theirs can clash with what an operator
+    adds on its way. An added column takes the place of one of the same name, in either case of letters."""
+
+    frame: DataFrame
+    names: list[str]
+
+    @staticmethod
+    def of(docs: DataFrame) -> Sealed:
+        return Sealed(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), docs.columns)
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"c{self.names.index(name)}")
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.names
+
+    def back(self, added: dict[str, Column], changed: dict[str, Column] | None = None) -> list[Column]:
+        """The old columns by their names, those in `changed` anew, and the added ones."""
+        gone = {c.lower() for c in added}
+        old = [(changed or {}).get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(self.names) if c.lower() not in gone]
+        return [*old, *[c.alias(name) for name, c in added.items()]]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

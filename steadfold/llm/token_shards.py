@@ -10,21 +10,22 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import codec
-from .recent import groups
-from .shared import fresh_path
+from .rank_tokens import rank_tokens
+from .shared import fresh_path, release
 
 U = np.uint64
 ROUNDS = 6
+#: Documents are cut into blocks by a hash of their id: about this many to a block, and MOST_BLOCKS blocks at most.
+BLOCK_DOCS, MOST_BLOCKS = 256, 65_536
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,112 +53,132 @@ def slots(indices: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def token_sequences(docs: DataFrame, path: str, pattern: str, window: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(part, place, doc_id, n_docs, n_tokens, ids): the texts of each partition of docs, in its order and each with the
-    end id after it, cut every `window` tokens; ids are little-endian unsigned 16-bit integers, and the last
-    sequence of a part is filled up with end ids. doc_id is of the first token."""
-    names = ["part", "place", "doc_id", "n_docs", "n_tokens", "ids"]
+def token_sequences(docs: DataFrame, path: str, pattern: str, window: int, end_id: int, n_blocks: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(block, place, doc_id, n_docs, n_tokens, ids_crc32, ids): the texts of each block of documents in the order of their
+    ids, each with the end id after it, cut every `window` tokens; ids are little-endian unsigned 16-bit integers, and
+    the last sequence of a block is filled up with end ids. doc_id is of the first token. A block is a hash of the id
+    (of the text, where it is null), so neither its sequences nor their number depend on how docs is partitioned."""
+    names = ["block", "place", "doc_id", "n_docs", "n_tokens", "ids_crc32", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part, place = codec(path, pattern), TaskContext.get().partitionId(), 0
-        if max(len(bpe.tokens) - 1, end_id) >= 2**16:
+        encode = rank_tokens(path, pattern)
+        if max(encode.size - 1, end_id) >= 2**16:
             raise ValueError("ids must fit in 16 bits")
-        held, owners, size, rows = [], [], 0, []  # pieces of the sequence that is being filled, and whose they are
+        held, owners, rows, block, place = bytearray(), [], [], None, 0  # of the sequence that is being filled
 
-        def full() -> None:
-            nonlocal held, owners, size, place
-            rows.append((part, place, owners[0], len(owners), size, b"".join(held) + np.full(window - size, end_id, "<u2").tobytes()))
-            held, owners, size, place = [], [], 0, place + 1
+        def put(raw: bytes, n: int, n_docs: int) -> None:
+            nonlocal place
+            rows.append((block, place, owners[0], n_docs, n, zlib.crc32(raw), raw))
+            place += 1
+
+        def finish() -> None:
+            nonlocal held, owners, place
+            if held:
+                n = len(held) // 2
+                put(bytes(held) + array("H", [end_id]).tobytes() * (window - n), n, len(owners))
+            held, owners, place = bytearray(), [], 0
 
         def out() -> pa.RecordBatch:
-            kinds = [pa.int64()] * 5 + [pa.binary()]
+            kinds = [pa.int64()] * 6 + [pa.binary()]
             made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
             rows.clear()
             return made
 
         for batch in batches:
-            texts = (ids for some in groups(x.as_py() for x in batch.column(1)) for ids in bpe.encode(some))
-            for doc, ids in zip(batch.column(0).to_pylist(), texts):
-                raw = np.append(np.frombuffer(ids, "<u4"), end_id).astype("<u2").tobytes()
-                at = 0
+            for now, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if now != block:
+                    finish()
+                    block = now
+                ids = array("H", encode(text.as_py() or ""))
+                ids.append(end_id)
+                raw, at = ids.tobytes(), 0
                 while at < len(raw):
-                    piece = raw[at : at + 2 * (window - size)]
-                    held.append(piece)
+                    piece = raw[at : at + 2 * window - len(held)]
+                    held += piece
                     owners.append(doc)
-                    at, size = at + len(piece), size + len(piece) // 2
-                    if size == window:
-                        full()
+                    at += len(piece)
+                    if len(held) == 2 * window:
+                        put(bytes(held), window, len(owners))
+                        held, owners = bytearray(), []
                         if len(rows) >= 1000:
                             yield out()
-        if size:
-            full()
+        finish()
         if rows:
             yield out()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "part long, place long, doc_id long, n_docs long, n_tokens long, ids binary")
+    block = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n_blocks))
+    rows = rows.select(block.alias("block"), "doc_id", "text").repartition("block").sortWithinPartitions("block", "doc_id", "text")
+    return rows.mapInArrow(run, "block long, place long, doc_id long, n_docs long, n_tokens long, ids_crc32 long, ids binary")
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    open_frame = zstandard.ZstdDecompressor().decompress
+def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shard, all records in a row, from (shard, slot, ids as a compressed frame) in order."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    shard, held = None, bytearray()
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([bytes(held)], pa.binary())], ["shard", "ids"])
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([open_frame(x.as_buffer()) for x in batch.column(2)], pa.binary())], batch.schema.names)
-
-
-def stride(window: int) -> int:
-    """Bytes of a record: the ids, and a line end that Spark's text writer puts after them."""
-    return 2 * window + 1
+        for now, frame in zip(batch.column(0).to_pylist(), batch.column(2)):
+            if now != shard:
+                if held:
+                    yield row()
+                shard, held = now, bytearray()
+            held += unpack(frame.as_buffer())
+    if held:
+        yield row()
 
 
 def materialise(docs: DataFrame, path: str, pattern: str, out: str | None = None, window: int = 2048, per_shard: int = 8192, key: int = 1, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
     """Write the shards to out (a fresh folder in the shared one unless given); return it with one row for each sequence:
     sequence, slot, shard, record (its place in the shard), doc_id (whose first token it has), n_docs, n_tokens, ids_crc32.
 
-    out/shard=S holds the one file of slots [S * per_shard, (S + 1) * per_shard), out/about.json what a reader needs. A
-    null or empty text is one end id. Without documents there is no shard. The order within and of sequences depends
-    on how docs is partitioned, the slots on that and the key; repeated rows come as often as they are there.
+    out/shard=S holds the one file of slots [S * per_shard, (S + 1) * per_shard): records of 2 * window bytes, in order
+    of their slots (and a line end after the last: Spark's own writer commits the files, on any store); out/about.json
+    has what a reader needs. A null or empty text is one end id. Without documents there is no shard. Sequences and
+    slots follow from the documents and the key alone; repeated rows come as often as they are there.
     """
     spark = docs.sparkSession
     out = out or fresh_path(spark, "shards")
     staged = fresh_path(spark, "sequences")
-    sequences = token_sequences(docs, path, pattern, window, end_id, id_col, text_col).write.option("compression", "zstd")
+    n_blocks = min(-(-docs.count() // BLOCK_DOCS), MOST_BLOCKS) or 1
+    sequences = token_sequences(docs, path, pattern, window, end_id, n_blocks, id_col, text_col).write.option("compression", "zstd")
     sequences.option("parquet.compression.codec.zstd.level", "5").option("parquet.page.size", str(4 << 20)).parquet(staged)
+    release(spark)
     made = spark.read.parquet(staged)
-    parts = made.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").toArrow()
-    ids, sizes = (parts.column(i).to_numpy() for i in (0, 1))
+    blocks = made.groupBy("block").agg(F.count(F.lit(1)).alias("n")).orderBy("block").toArrow()  # MOST_BLOCKS rows at most
+    ids, sizes = (blocks.column(i).to_numpy() for i in (0, 1))
     first, total = np.concatenate([[0], np.cumsum(sizes)]), int(sizes.sum())
     sent = spark.sparkContext.broadcast((ids, first))
 
-    def numbered(df: DataFrame, squeezed: bool = False) -> DataFrame:
-        """df with its sequences' places; squeezed: ids as a compressed frame, which the exchange moves for less."""
+    def numbered(df: DataFrame) -> DataFrame:
+        """df with its sequences' places. ids come as a compressed frame, which the exchange moves for less."""
         names = df.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, first = sent.value
             pack = zstandard.ZstdCompressor(level=3).compress
             for batch in batches:
-                part, place = (batch.column(names.index(c)).to_numpy() for c in ("part", "place"))
-                sequence = first[np.searchsorted(ids, part)] + place
+                block, place = (batch.column(names.index(c)).to_numpy() for c in ("block", "place"))
+                sequence = first[np.searchsorted(ids, block)] + place
                 slot = slots(sequence, total, key)
                 columns = [pa.array(x, pa.int64()) for x in (sequence, slot, slot // per_shard, slot % per_shard)]
-                if "ids" in names:
-                    columns.append(pa.array([zlib.crc32(x.as_buffer()) for x in batch.column(names.index("ids"))], pa.int64()))
-                old = [pa.array([pack(x.as_buffer()) for x in c], pa.binary()) if squeezed and n == "ids" else c for n, c in zip(names, batch.columns)]
+                old = [pa.array([pack(x.as_buffer()) for x in c], pa.binary()) if n == "ids" else c for n, c in zip(names, batch.columns)]
                 yield pa.RecordBatch.from_arrays([*columns, *old], [*made_names, *names])
 
-        made_names = ["sequence", "slot", "shard", "record", *["ids_crc32"] * ("ids" in names)]
+        made_names = ["sequence", "slot", "shard", "record"]
         schema = ", ".join([f"{c} long" for c in made_names] + [f"{c} {kind}" for c, kind in df.dtypes])
         return df.mapInArrow(run, schema)
 
     n_shards = -(-total // per_shard)
     if total:
-        records = numbered(made, squeezed=True).select("shard", "slot", "ids")
-        records = records.repartitionByRange(n_shards, "shard").mapInArrow(_unpacked, "shard long, slot long, ids binary")
-        records = records.sortWithinPartitions("shard", "slot").select("shard", F.col("ids").cast("string").alias("ids"))  # an order that the writer knows, and keeps
-        records.write.partitionBy("shard").option("lineSep", "\n").text(out)
-    about = {"sequences": total, "window": window, "stride": stride(window), "per_shard": per_shard, "shards": n_shards, "key": key, "end_id": end_id}
+        records = numbered(made.select("block", "place", "ids")).select("shard", "slot", "ids")
+        # ranges of slots by arithmetic: the shard is the partition, without a pass that samples
+        records = records.repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
+        records = records.mapInArrow(_whole_shards, "shard long, ids binary").select("shard", F.col("ids").cast("string").alias("ids"))
+        records.write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(out)
+    about = {"sequences": total, "window": window, "stride": 2 * window, "per_shard": per_shard, "shards": n_shards, "key": key, "end_id": end_id}
     _write_text(spark, f"{out}/about.json", json.dumps(about))
-    return out, numbered(made).select("sequence", "slot", "shard", "record", "doc_id", "n_docs", "n_tokens", "ids_crc32")
+    return out, numbered(made.drop("ids")).select("sequence", "slot", "shard", "record", "doc_id", "n_docs", "n_tokens", "ids_crc32")
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -185,5 +206,5 @@ def read_sequences(spark: SparkSession, path: str, first: int, n: int) -> list[n
         stream.seek(low * width)
         raw = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, (high - low) * width))
         stream.close()
-        out += [np.frombuffer(raw[i * width : (i + 1) * width - 1], "<u2") for i in range(high - low)]
+        out += [np.frombuffer(raw[i * width : (i + 1) * width], "<u2") for i in range(high - low)]
     return out

@@ -485,18 +485,69 @@ def test_slots_are_a_permutation():
     assert token_shards.slots(np.arange(999), 999, 1).tolist() != token_shards.slots(np.arange(999), 999, 2).tolist()
 
 
-def test_shards_hold_every_token_and_resume(spark):
-    texts = [None, "", *strange_texts(60), LONG[:5000]]
-    df = docs(spark, texts).coalesce(1)
-    path, out = token_shards.materialise(df, PATH, P.PATTERN, window=64, per_shard=10)
-    rows = {r.slot: r for r in out.collect()}
-    assert sorted(rows) == list(range(len(rows)))
-    seqs = token_shards.read_sequences(spark, path, 0, len(rows))
-    assert all(zlib.crc32(s.tobytes()) == rows[i].ids_crc32 and (rows[i].shard, rows[i].record) == divmod(i, 10) for i, s in enumerate(seqs))
-    assert all((a == b).all() for a, b in zip(token_shards.read_sequences(spark, path, 7, 9), seqs[7:16]))
+def brute_slot(index, n, key):
+    """The keyed permutation by Python's integers, one value at a time."""
+    big = 2**64
+
+    def mix(x):
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> shift)) * odd % big
+        return x ^ (x >> 31)
+
+    half = 1
+    while 4**half < n:
+        half += 1
+    while True:
+        left, right = divmod(index, 2**half)
+        for r in range(6):
+            draw = mix(mix((right + key * 0x9E3779B97F4A7C15 + r) % big) ^ key % big)
+            left, right = right, left ^ draw % 2**half
+        index = left * 2**half + right
+        if index < n:
+            return index
+
+
+def test_slots_against_brute_force():
+    for n, key in ((1, 1), (2, 7), (5, 3), (64, 2**70 + 1), (1000, 9), (4097, 1)):
+        assert token_shards.slots(np.arange(n), n, key).tolist() == [brute_slot(i, n, key) for i in range(n)]
+
+
+def brute_shards(spark, rows, window, key):
+    """All records in order of their slots, and what each row of the result should say, from (doc_id, text)."""
     enc = reference()
-    want = [x for t in texts for x in [*enc.encode_ordinary(t or ""), 50256]]
-    assert [x for r in sorted(rows.values(), key=lambda r: r.sequence) for x in seqs[r.slot][: r.n_tokens].tolist()] == want
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    n_blocks = max(-(-len(rows) // token_shards.BLOCK_DOCS), 1)
+    hashed = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    blocks = {}
+    for r in df.select("doc_id", "text", F.pmod(hashed, F.lit(n_blocks)).alias("b")).collect():
+        blocks.setdefault(r.b, []).append(((r.doc_id is not None, r.doc_id or 0, r.text is not None, (r.text or "").encode()), r.doc_id, r.text))
+    records = []
+    for b in sorted(blocks):
+        stream = [(x, doc, k) for k, (_, doc, text) in enumerate(sorted(blocks[b], key=lambda x: x[0])) for x in [*enc.encode_ordinary(text or ""), 50256]]
+        for at in range(0, len(stream), window):
+            part = stream[at : at + window]
+            ids = np.array([x for x, _, _ in part] + [50256] * (window - len(part)), "<u2").tobytes()
+            records.append((ids, part[0][1], len({k for _, _, k in part}), len(part)))
+    slots = [brute_slot(i, len(records), key) for i in range(len(records))]
+    data = b"".join(r[0] for _, r in sorted(zip(slots, records), key=lambda x: x[0]))
+    return data, sorted((i, s, r[1], r[2], r[3], zlib.crc32(r[0])) for i, (s, r) in enumerate(zip(slots, records)))
+
+
+def test_shards_against_brute_force_however_partitioned(spark):
+    texts = [None, "", *strange_texts(600), LONG[:5000], " " * 5000 + "x", "\n" * 3000]
+    rows = [*enumerate(texts), (3, texts[3]), (None, "no id"), (None, None), (4, "another text of one id")]
+    want, of_rows = brute_shards(spark, rows, 64, 5)
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("mine")).repartition(parts)
+        path, out = token_shards.materialise(df, PATH, P.PATTERN, window=64, per_shard=10, key=5)
+        got = out.collect()
+        assert sorted(tuple(r[c] for c in ("sequence", "slot", "doc_id", "n_docs", "n_tokens", "ids_crc32")) for r in got) == of_rows
+        assert all((r.shard, r.record) == divmod(r.slot, 10) for r in got)
+        seqs = token_shards.read_sequences(spark, path, 0, len(got))
+        assert b"".join(s.tobytes() for s in seqs) == want
+        assert all((a == b).all() for a, b in zip(token_shards.read_sequences(spark, path, 7, 9), seqs[7:16]))
+        files = [r for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).collect() if "shard=" in r.path]
+        assert len(files) == -(-len(got) // 10) and sum(r.length for r in files) == len(want) + len(files)
     assert token_shards.materialise(docs(spark, []), PATH, P.PATTERN)[1].collect() == []
 
 
