@@ -141,9 +141,9 @@ def materialise(docs: DataFrame, path: str, pattern: str, out: str | None = None
     out = out or fresh_path(spark, "shards")
     staged = fresh_path(spark, "sequences")
     n_blocks = min(-(-docs.count() // BLOCK_DOCS), MOST_BLOCKS) or 1
-    sequences = token_sequences(docs, path, pattern, window, end_id, n_blocks, id_col, text_col).write.option("compression", "zstd")
-    sequences.option("parquet.compression.codec.zstd.level", "5").option("parquet.page.size", str(4 << 20)).parquet(staged)
-    release(spark)
+    squeezed = {"compression": "zstd", "parquet.compression.codec.zstd.level": "5", "parquet.page.size": str(4 << 20)}
+    token_sequences(docs, path, pattern, window, end_id, n_blocks, id_col, text_col).write.options(**squeezed).parquet(staged)
+    release(spark)  # no name holds the plan above, so the texts' exchange goes before the next one is written
     made = spark.read.parquet(staged)
     blocks = made.groupBy("block").agg(F.count(F.lit(1)).alias("n")).orderBy("block").toArrow()  # MOST_BLOCKS rows at most
     ids, sizes = (blocks.column(i).to_numpy() for i in (0, 1))
