@@ -1,114 +1,118 @@
 """A quality classifier: the perplexity of an interpolated modified Kneser-Ney model of trusted text.
 
-The grams are pairs of words, over single words, over a spelling model, which gives every word that can be written its
-probability: character grams over an alphabet of at most `symbols` classes, with a table of a proven size (48 ** 4
-floats are 21 MB). Pairs and words are those of the trusted text, as many as there are; they are counted, discounted and
-looked up in sharded joins. A log probability is a sum: what the spelling gives, and for each gram that is known its
-gain over the lower order. So documents join the gains by gram, and what they gain is summed by document.
+Grams are of the tokens of a public byte-level vocabulary, so every text has a probability: single tokens are smoothed
+over the vocabulary, whose size bounds all tables of single tokens. Longer grams are as many as the trusted text has;
+they are counted, discounted and looked up in sharded joins. A log probability is a sum: what the last token gives alone,
+for each context that is known what it leaves to the lower order, and for each gram that is known its gain over that
+order. So documents join the sums by gram, and what they gain is summed by document.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rank_tokens import rank_tokens
 from .recent import groups
-from .shared import fresh_path, remove_path, stash
-
-SPACE, NEWLINE, DIGIT, UPPER, OTHER_LETTER, OTHER_MARK, OTHER = range(7)
-N_FIXED = 7
-#: A word; the number of what stands before the first word and after the last (not 0: a pair's number is
-#: not to be that of one of its words).
-WORDS = re.compile(r"\w+|[^\w\s]|\n")
-EDGE = 0x1E3779B97F4A7C15
-#: Grams with over a HOT-th of all occurrences (at most HOT words and HOT pairs) are looked up by broadcast. Of the
-#: others, those are sent to the join whose bit among 2 ** KNOWN_BITS (16 MB) some known gram has.
+from .shared import Sealed, lookup, release, stash
+
+#: A token is a digit of so many bits, its id and one; what stands before and after a text is the digit after the last.
+#: No gram begins with the digit 0, so grams of different orders never have the same number.
+BITS = 16
+#: The most frequent grams, HOT at most, are looked up by broadcast. Of the others, those are sent to the join whose bit
+#: among 2 ** KNOWN_BITS (16 MB) some known gram has.
 HOT, KNOWN_BITS = 500_000, 27
-#: Gains are summed as whole billionths of a nat, so that no order of summing shows.
+#: Log probabilities are summed as whole billionths of a nat, so that no order of summing shows.
 UNIT = 1e9
 
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-
-
-def _fixed_class(point: int) -> int | None:
-    """White space, digits and upper-case letters count alike; None: by itself, if it is common."""
-    char = chr(point)
-    if char == "\n":
-        return NEWLINE
-    if char.isspace():
-        return SPACE
-    if char.isdigit():
-        return DIGIT
-    return UPPER if char.isupper() else None
-
-
-def alphabet(counts: dict[int, int], symbols: int) -> np.ndarray:
-    """The class of every code point. The most common characters have one each, ties to the smaller code point; the
-    others share three."""
-    own = sorted((p for p in counts if _fixed_class(p) is None), key=lambda p: (-counts[p], p))[: symbols - N_FIXED]
-    table = np.full(0x110000, OTHER, np.uint8)
-    for point in range(0x110000):
-        kind = unicodedata.category(chr(point))
-        if kind not in ("Cn", "Co", "Cs"):
-            fixed = _fixed_class(point)
-            table[point] = fixed if fixed is not None else OTHER_LETTER if kind[0] == "L" else OTHER_MARK if kind[0] in "PSMN" else OTHER
-    for i, point in enumerate(own):
-        table[point] = N_FIXED + i
-    return table
-
-
-def grams(text: str, table: np.ndarray, symbols: int, order: int) -> np.ndarray:
-    """The text's grams as numbers to the base `symbols`, one for each character; line ends stand before the first."""
-    codes = np.concatenate([np.full(order - 1, NEWLINE), table[code_points(text)]]).astype(np.int64)
-    n = len(codes) - order + 1
-    out = codes[:n].copy()
-    for k in range(1, order):
-        out *= symbols
-        out += codes[k : k + n]
-    return out
-
+@dataclass
+class Coder:
+    """Texts as rows of digits, `order` - 1 edges before each and one after it."""
 
-def _summed(docs: DataFrame, numbers, size: int) -> DataFrame:
-    """(g, n): how often each number in [0, size) comes up over all texts. A task sums its own before they are sent."""
+    path: str
+    pattern: str
+    order: int
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for texts in groups((x.as_py() for x in batch.column(0)), 2_000_000):
-                total += np.bincount(np.concatenate([numbers(t) for t in texts]).astype(np.int64), minlength=size)
-        g = np.flatnonzero(total)
-        for at in range(0, len(g), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(g[at : at + 100_000]), pa.array(total[g[at : at + 100_000]])], ["g", "n"])
+    def __post_init__(self):
+        self.tokens = rank_tokens(self.path, self.pattern)
+        self.edge = self.tokens.size + 1
+        if self.edge >= 1 << BITS or not 2 <= self.order <= 4:
+            raise ValueError("digits must fit in 16 bits, and grams in 64")
+
+    def ids(self, text: str) -> bytes:
+        return array("H", self.tokens(text)).tobytes()
+
+    def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(digits, place of each text's first edge and the end, whether a digit is scored), from ids()."""
+        before, after = array("H", [self.edge - 1] * (self.order - 1)).tobytes(), array("H", [self.edge - 1]).tobytes()
+        codes = np.frombuffer(b"".join(x for t in texts for x in (before, t, after)), "<u2").astype(np.int64) + 1
+        starts = np.concatenate([[0], np.cumsum([len(t) // 2 + self.order for t in texts])])
+        scored = np.ones(len(codes), bool)
+        for k in range(self.order - 1):
+            scored[starts[:-1] + k] = False
+        return codes, starts, scored
+
+
+def grams(codes: np.ndarray, k: int) -> np.ndarray:
+    """The number of the k digits that end at each place (of fewer at the first places)."""
+    out = codes.copy()
+    for j in range(1, k):
+        out[j:] += codes[:-j] << (BITS * j)
+    return out
 
-    return docs.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
+def _cuts(n: list[int]) -> list[float]:
+    """Discounts of Chen and Goodman for counts of 1, 2, and 3 or more, from how many grams have counts 1 to 4."""
+    n = [max(x or 0, 1) for x in n]
+    y = n[0] / (n[0] + 2 * n[1])
+    return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), k) for k in (1, 2, 3)]
 
-def _discount(counts: DataFrame, n: str = "n") -> Column:
-    """Discounts of Chen and Goodman, from the counts of counts."""
-    n1, n2, n3, n4 = (max(x or 0, 1) for x in counts.agg(*[F.sum((F.col(n) == k).cast("long")) for k in (1, 2, 3, 4)]).first())
-    y = n1 / (n1 + 2 * n2)
-    cut = [min(max(k - (k + 1) * y * b / a, 0.1), k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    return F.when(F.col(n) == 1, cut[0]).when(F.col(n) == 2, cut[1]).otherwise(cut[2])
 
+def _counts(trusted: DataFrame, coder: tuple) -> DataFrame:
+    """(g, n): how often each gram of the highest order comes up, from ids."""
 
-def _level(counts: DataFrame, symbols: int) -> tuple[DataFrame, DataFrame]:
-    """(g, p) and (context, rest) of one order: the discounted share of each gram in its context, and what the discounts
-    leave to the lower order."""
-    discount = _discount(counts)
-    by_gram = counts.withColumn("context", F.expr(f"g div {symbols}"))
-    contexts = by_gram.groupBy("context").agg(F.sum("n").alias("total"), F.sum(discount).alias("held"))
-    joined = by_gram.join(contexts.hint("merge"), "context")
-    return joined.select("g", ((F.col("n") - discount) / F.col("total")).alias("p")), contexts.select("context", (F.col("held") / F.col("total")).alias("rest"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Coder(*coder)
+        for batch in batches:
+            codes, _, scored = code.codes(batch.column(0).to_pylist())
+            g, n = np.unique(grams(codes, code.order)[scored], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], ["g", "n"])
+
+    return trusted.select("ids").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+
+
+def _single(counts: DataFrame, edge: int) -> np.ndarray:
+    """The probability of every digit alone, from (g, n) of pairs: in how many contexts it was met, discounted; what
+    that leaves is shared by all. Has a row for a token at most."""
+    rows = counts.groupBy(F.col("g").bitwiseAND(F.lit((1 << BITS) - 1)).alias("g")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    n = np.zeros(edge + 1, np.int64)
+    n[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    cut = np.array([0.0, *_cuts([int((n == k).sum()) for k in (1, 2, 3, 4)])])[np.minimum(n, 3)]
+    total = max(int(n.sum()), 1)
+    return (n - cut) / total + (float(cut.sum()) / total if n.any() else 1.0) / edge
+
+
+def _level(counts: DataFrame, lower: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(g, n, p, gain) of grams of k digits, and (g, rest) of their contexts. lower: (suffix, below), the probabilities of
+    one digit less. For pairs, it and the contexts have a row for a token at most, and so can go to all tasks."""
+    cut = _cuts(list(counts.agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)]).first()))
+    some = [F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.count_if(F.col("n") > 2)]
+    held = some[0] * F.lit(cut[0]) + some[1] * F.lit(cut[1]) + some[2] * F.lit(cut[2])
+    rows = counts.select("g", "n", F.shiftright("g", BITS).alias("context"), F.col("g").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1)).alias("suffix"))
+    contexts = stash(rows.groupBy("context").agg(F.sum("n").alias("total"), (held / F.sum("n")).alias("rest")), "contexts")
+    sent = F.broadcast if k == 2 else lambda df: df.hint("merge")
+    both = rows.join(sent(contexts), "context").join(sent(lower), "suffix")
+    discount = F.when(F.col("n") == 1, cut[0]).when(F.col("n") == 2, cut[1]).otherwise(cut[2])
+    p = (F.col("n") - discount) / F.col("total") + F.col("rest") * F.col("below")
+    level = stash(both.select("g", "n", p.alias("p"), (F.log(p) - F.log(F.col("rest") * F.col("below"))).alias("gain")), "level")
+    return level, contexts.select(F.col("context").alias("g"), "rest")
 
 
 def _dense(df: DataFrame, size: int, fill: float) -> np.ndarray:
@@ -118,284 +122,238 @@ def _dense(df: DataFrame, size: int, fill: float) -> np.ndarray:
     return out
 
 
-def probabilities(counts: DataFrame, symbols: int, order: int) -> np.ndarray:
-    """log P(last symbol | the others) for every gram there can be, from (g, n)."""
-    tables = [counts]
-    for k in range(order - 1, 0, -1):  # lower orders count in how many contexts a gram was met
-        tables.append(stash(tables[-1].groupBy(F.pmod("g", F.lit(symbols**k)).alias("g")).agg(F.count(F.lit(1)).alias("n")), "grams"))
-    p = np.full(1, 1 / symbols)
-    for k, table in zip(range(1, order + 1), reversed(tables)):
-        share, rest = _level(table, symbols)
-        below = np.tile(p, symbols) if k > 1 else np.full(symbols, 1 / symbols)  # of a gram without its first symbol
-        p = _dense(share, symbols**k, 0.0) + np.repeat(_dense(rest, symbols ** (k - 1), 1.0), symbols) * below
-    return np.log(p).astype(np.float32)
-
-
-def _spaced(words: list[str], order: int) -> str:
-    pad = " " * (order - 1)
-    return pad + pad.join(words) + pad
-
-
-def _letter_grams(text: str, table: np.ndarray, symbols: int, order: int) -> np.ndarray:
-    """The grams of a text's words, each from the blanks before it to the one after it."""
-    g = grams(_spaced(WORDS.findall(text), order), table, symbols, order)[order - 1 :]
-    return g[(g % symbols != SPACE) | (g // symbols % symbols != SPACE)]
-
-
-@dataclass
-class Spelling:
-    """Hash and log probability of words, letter by letter. Classes of several characters share theirs equally."""
-
-    symbols: int
-    order: int
-    classes: np.ndarray
-    log_p: np.ndarray
-    spread: np.ndarray
-    seen: dict[str, tuple[int, float]] = field(default_factory=dict)
-
-    def __call__(self, words: Iterator[str]) -> dict[str, tuple[int, float]]:
-        """A dictionary that has all the words: at most about a million are kept."""
-        if len(self.seen) > 1_000_000:
-            self.seen = {}
-        new = list(set(words).difference(self.seen))
-        if new:
-            g = grams(_spaced(new, self.order), self.classes, self.symbols, self.order)
-            sums = np.concatenate([[0.0], np.cumsum(self.log_p[g] - self.spread[g % self.symbols], dtype=np.float64)])
-            sizes = np.array([len(w) for w in new])
-            start = self.order - 1 + np.concatenate([[0], np.cumsum(sizes[:-1] + self.order - 1)])
-            logs = sums[start + sizes + 1] - sums[start]
-            self.seen.update(zip(new, zip((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63) for w in new), logs.tolist())))
-        return self.seen
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text the hashes of its words, between two edges, and their log probabilities."""
-        found = [WORDS.findall(t) for t in texts]
-        known, edge = self(set().union(*found)), (EDGE, -float(np.log(self.symbols)))
-        out = []
-        for words in found:
-            both = [edge, *map(known.__getitem__, words), edge]
-            out.append((np.array([x for x, _ in both], np.int64), np.array([y for _, y in both])))
-        return out
-
-
-def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """One number for two words, as _pair has it."""
-    w = w.astype(np.uint64)
-    return v ^ ((w << np.uint64(21)) | (w >> np.uint64(43))).astype(np.int64)
-
-
-def _pair(v: Column, w: Column) -> Column:
-    return v.bitwiseXOR(F.shiftleft(w, 21).bitwiseOR(F.shiftrightunsigned(w, 43)))
-
-
-def _pairs(docs: DataFrame, spelling) -> DataFrame:
-    """(v, w, n): how often word w follows v, over all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = Spelling(*spelling.value)
-        for texts in groups((x.as_py() for b in batches for x in b.column(0)), 8_000_000):
-            ids = [h for h, _ in spell.encode(texts)]
-            v, w = np.concatenate([h[:-1] for h in ids]), np.concatenate([h[1:] for h in ids])
-            _, first, n = np.unique(pair(v, w), return_index=True, return_counts=True)
-            for at in range(0, len(n), 100_000):
-                some = first[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(v[some]), pa.array(w[some]), pa.array(n[at : at + 100_000])], ["v", "w", "n"])
-
-    return docs.mapInArrow(run, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
-
-
-def _spelled(docs: DataFrame, spelling) -> DataFrame:
-    """(w, s): every word of the texts, and what its spelling gives."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = Spelling(*spelling.value)
-        for texts in groups((x.as_py() for b in batches for x in b.column(0)), 8_000_000):
-            of_word = {x: y for ids, logs in spell.encode(texts) for x, y in zip(ids.tolist(), logs.tolist())}
-            w, s = np.array(list(of_word), np.int64), np.array(list(of_word.values()))
-            for at in range(0, len(w), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(w[at : at + 100_000]), pa.array(s[at : at + 100_000])], ["w", "s"])
-
-    return docs.mapInArrow(run, "w long, s double").groupBy("w").agg(F.max("s").alias("s"))
-
-
-def _gains(texts: DataFrame, spelling) -> tuple[DataFrame, float]:
-    """(g, gain, n) of every word and pair of the texts, and the log of what single words leave to their spelling. A
-    word's gain takes in what it leaves, as a context, to single words."""
-    spark = texts.sparkSession
-    paths = [fresh_path(spark, name) for name in ("pairs", "words")]  # not read any more at the end
-
-    def kept(df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    pairs = kept(_pairs(texts, spelling), paths[0])
-    discount = _discount(pairs)
-    contexts = pairs.groupBy(F.col("v").alias("w")).agg(F.sum("n").alias("total"), (F.sum(discount) / F.sum("n")).alias("rest"))
-    counts = pairs.groupBy("w").agg(F.count(F.lit(1)).alias("c"))  # in how many contexts a word was met
-    words = kept(counts.join(contexts.hint("merge"), "w").join(_spelled(texts, spelling).hint("merge"), "w"), paths[1])
-    of_word = _discount(words, "c")
-    types, held = words.agg(F.sum("c"), F.sum(of_word)).first()
-    if not types:
-        return pairs.select(F.col("v").alias("g"), F.col("n").alias("gain"), "n"), 0.0
-    unseen = held / types
-    words = words.withColumn("p", (F.col("c") - of_word) / types + unseen * F.exp("s"))
-    gain = lambda x: F.round(x * UNIT).cast("long").alias("gain")
-    singles = words.select(F.col("w").alias("g"), gain(F.log("p") - F.lit(float(np.log(unseen))) - F.col("s") + F.log("rest")), F.col("total").alias("n"))
-    after = pairs.join(words.select(F.col("w").alias("v"), "total", "rest").hint("merge"), "v").join(words.select("w", "p").hint("merge"), "w")
-    whole = (F.col("n") - discount) / F.col("total") + F.col("rest") * F.col("p")
-    doubles = after.select(_pair(F.col("v"), F.col("w")).alias("g"), gain(F.log(whole) - F.log("rest") - F.log("p")), "n")
-    gains = stash(singles.unionByName(doubles), "gains")
-    for path in paths:
-        remove_path(spark, path)
-    return gains, float(np.log(unseen))
+def _hash(values: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 makes of longs. The primes and shifts of XXH64, and Spark's seed."""
+    u = np.uint64
+    a, b, c, d, e = map(u, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: (x << u(k)) | (x >> u(64 - k))
+    h = (u(42) + e + u(8)) ^ (turn(values.astype(np.int64).view(u) * b, 31) * a)
+    h = turn(h, 27) * a + d
+    h = (h ^ (h >> u(33))) * b
+    h = (h ^ (h >> u(29))) * c
+    return (h ^ (h >> u(32))).view(np.int64)
 
 
 def _bits(numbers: DataFrame) -> np.ndarray:
-    """A bit for each number's place among 2 ** KNOWN_BITS; numbers has one column of longs, g."""
-    mask = (1 << KNOWN_BITS) - 1
-    words = numbers.groupBy(F.expr(f"(g & {mask}) div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(g & 63 AS int)))").alias("bits"))
+    """A bit for the hash of each number, among 2 ** KNOWN_BITS; numbers has one column of longs, g."""
+    hashed, mask = numbers.select(F.xxhash64("g").alias("g")), (1 << KNOWN_BITS) - 1
+    words = hashed.groupBy(F.expr(f"(g & {mask}) div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(g & 63 AS int)))").alias("bits"))
     return _dense(words, 1 << KNOWN_BITS - 6, np.int64(0)).view(np.uint64)
 
 
-def _has_bit(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
-    at = (g & ((1 << KNOWN_BITS) - 1)).astype(np.uint64)
+def _has_bit(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    at = (_hash(numbers) & ((1 << KNOWN_BITS) - 1)).view(np.uint64)
     return ((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows whose doc is among ids: exactly, by a merge join at every size, since ids may be few enough to be sent to
-    all tasks, or may not. Bits of their hashes spare most other texts the way there."""
-    hashed = F.xxhash64("doc").alias("g")
-    bits = rows.sparkSession.sparkContext.broadcast(_bits(ids.select(hashed)))
+def _trusted(rows: DataFrame, ids: DataFrame, coder: tuple) -> DataFrame:
+    """(doc, lang, ids) of the rows whose doc is among ids: exactly, by a merge join at every size, since ids may be few
+    enough to be sent to all tasks, or may not. Their bits spare most other texts the way there."""
+    bits = rows.sparkSession.sparkContext.broadcast(_bits(ids.select(F.col("doc").alias("g"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Coder(*coder)
         for batch in batches:
-            yield batch.filter(pa.array(_has_bit(bits.value, batch.column(0).to_numpy()))).drop_columns(["g"])
+            some = batch.filter(pa.array(_has_bit(bits.value, batch.column(0).to_numpy())))
+            for at in range(0, some.num_rows, 1000):
+                part = some.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([code.ids(x.as_py()) for x in part.column(2)], pa.binary())], ["doc", "lang", "ids"])
 
-    schema = "".join(f", `{c}` {kind}" for c, kind in rows.dtypes)
-    some = rows.where("doc IS NOT NULL").select(hashed, *rows.columns).mapInArrow(run, schema[2:])
+    some = rows.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "lang", "text").mapInArrow(run, "doc long, lang string, ids binary")
     return some.join(ids.hint("merge"), "doc", "left_semi")
 
 
 @dataclass
 class QualityModel:
-    """limits: by language, the largest cross entropy (nats a character) that is kept, of an endless text; None: for other
-    languages. The mean over few characters strays further: a text of n may lie slack / sqrt(n) above, which is three standard errors
-    where a character's surprise deviates by 1.5 nats. hot: grams and their gains; known: bits of all grams."""
-
-    symbols: int
-    order: int
-    classes: np.ndarray
-    log_p: np.ndarray
-    spread: np.ndarray
-    unseen: float
+    """single, rest: what each digit gives alone and what it leaves as a context, both logs in units. gains: (g, gain) of
+    longer grams; hot: the most frequent ones, in order, with their gains; known: bits of all. limits: (lang, limit), the
+    largest cross entropy (nats a token) that is kept, of an endless text; limit: for other languages, None without
+    trusted text. The mean over few tokens strays further: a text of n may lie slack / sqrt(n) above, which is three
+    standard errors where a token's surprise deviates by 3 nats."""
+
+    coder: tuple
+    single: np.ndarray
+    rest: np.ndarray
     gains: DataFrame
     hot: tuple[np.ndarray, np.ndarray]
     known: np.ndarray
-    limits: dict[str | None, float]
-    slack: float = 4.5
-
-
-def _memory(gains: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """The hot grams, in order, with their gains, and the bits that known grams have."""
-    total = gains.agg(F.sum("n")).first()[0] or 0
-    rows = gains.where(F.col("n") > total // 2 // HOT).select("g", "gain").toArrow()
+    limits: DataFrame | None = None
+    limit: float | None = None
+    slack: float = 9.0
+
+
+def _hottest(gains: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The grams with the highest counts, as many as HOT allows: whole steps of a sixteenth of a power of two."""
+    step = F.floor(16 * F.log2(F.col("n") + 1)).alias("step")
+    held, least = 0, 0
+    for r in gains.groupBy(step).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():  # 1,024 steps at most
+        held += r["n"]
+        if held > HOT:
+            least = r["step"] + 1
+            break
+    rows = gains.where(step >= least).select("g", "gain").toArrow()
     g, gain = rows.column(0).to_numpy(), rows.column(1).to_numpy()
     order = np.argsort(g)
-    return (g[order], gain[order]), _bits(gains.select("g"))
-
-
-#: Languages that have limits of their own at most: the most frequent ones.
-LANGUAGES = 1000
-
-
-def train(docs: DataFrame, trusted: DataFrame, symbols: int = 48, order: int = 4, quantile: float = 0.99, least: int = 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> QualityModel:
-    """A model of the texts of docs whose id is in trusted (one column). A fifth of them, by hash, is not counted: how
-    new trusted text scores shows on them alone. A language's limit is the `quantile` of their entropies, each less what
-    its own length allows, or the third quartile of the entropies as they are, if that is more: long texts, which are
-    allowed nothing, come to lie about the middle. Languages with under `least` of them take the limit of all. Without
-    trusted text every document is kept."""
+    return g[order], gain[order]
+
+
+def fit_grams(trusted: DataFrame, coder: tuple) -> QualityModel:
+    """A model without limits, from (ids)."""
+    edge, order = Coder(*coder).edge, coder[2]
+    unit = lambda x: F.round(x * UNIT).cast("long")
+    levels = {order: stash(_counts(trusted, coder), "grams")}
+    for k in range(order - 1, 1, -1):  # lower orders count in how many contexts a gram was met
+        levels[k] = stash(levels[k + 1].groupBy(F.col("g").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("g")).agg(F.count(F.lit(1)).alias("n")), "grams")
+    single = _single(levels[2], edge)
+    spark = trusted.sparkSession
+    lower = spark.createDataFrame([(d, float(p)) for d, p in enumerate(single.tolist()) if d], "suffix long, below double")
+    parts, rest = [], np.zeros(edge + 1, np.int64)
+    for k in range(2, order + 1):
+        level, contexts = _level(levels[k], lower, k)
+        parts.append(level.select("g", unit(F.col("gain")).alias("gain"), "n"))
+        contexts = contexts.select("g", unit(F.log("rest")).alias("gain"), F.lit(0).cast("long").alias("n"))
+        if k == 2:
+            rest = _dense(contexts.select("g", "gain"), edge + 1, np.int64(0))
+        else:
+            parts.append(contexts)
+        lower = level.select(F.col("g").alias("suffix"), F.col("p").alias("below"))
+    gains = parts[0]
+    for part in parts[1:]:
+        gains = gains.unionByName(part)
+    if order > 2:
+        gains = gains.groupBy("g").agg(F.sum("gain").alias("gain"), F.max("n").alias("n"))
+    gains = stash(gains, "gains")
+    release(spark)
+    logs = np.round(np.log(np.maximum(single, 1e-300)) * UNIT).astype(np.int64)
+    return QualityModel(coder, logs, rest, gains, _hottest(gains), _bits(gains.select("g")))
+
+
+def train(docs: DataFrame, trusted: DataFrame, path: str, pattern: str, order: int = 2, quantile: float = 0.99, least: int = 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> QualityModel:
+    """A model of the texts of docs whose id is in trusted (one column). path, pattern: a rank file of at most 65,534
+    tokens. A fifth of the trusted documents, by hash, is not counted: how new trusted text scores shows on them alone. A
+    language's limit is the `quantile` of their entropies, each less what its own length allows, or the third quartile of
+    the entropies as they are, if that is more: long texts, which are allowed nothing, come to lie about the middle.
+    Languages with under `least` of them take the limit of all. Without trusted text every document with a text is kept.
+    Null ids and texts train nothing; the language column may be missing or null."""
+    coder = (path, pattern, order)
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), lang.alias("lang"))
-    ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc")).distinct()
-    points = _summed(rows.select("text"), code_points, 0x110000)
-    common = {r["g"]: r["n"] for r in points.orderBy(F.desc("n"), "g").limit(4 * symbols).collect()}
-    classes = alphabet(common, symbols)
-    spread = np.log(np.maximum(np.bincount(classes[list(common)], minlength=symbols), 1))
-    context = docs.sparkSession.sparkContext
-    table = context.broadcast(classes)
-    theirs = stash(_of_ids(rows.where("text IS NOT NULL"), ids), "trusted")
+    ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc")).where("doc IS NOT NULL").distinct()
+    theirs = stash(_trusted(rows, ids, coder), "trusted")
+    release(docs.sparkSession)
     held = F.pmod(F.xxhash64("doc", F.lit("held out")), F.lit(5)) == 0
-    counted = theirs.where(~held).select("text")
-    counts = stash(_summed(counted, lambda t: _letter_grams(t, table.value, symbols, order), symbols**order), "grams")
-    log_p = probabilities(counts, symbols, order)
-    gains, unseen = _gains(counted, context.broadcast((symbols, order, classes, log_p, spread)))
-    model = QualityModel(symbols, order, classes, log_p, spread, unseen, gains, *_memory(gains), {})
-    over = (F.col("entropy") - model.slack / F.sqrt(F.char_length("text"))).alias("over")
-    scored = stash(score(theirs.where(held), model, "text", "lang").where("entropy IS NOT NULL").select("lang", "entropy", over), "entropy")
-    limit = F.greatest(F.percentile_approx("over", quantile, 10_000), F.percentile_approx("entropy", 0.75, 10_000)).alias("q")
-    of_all = scored.agg(limit).first()["q"]
-    if of_all is not None:
-        frequent = scored.where("lang IS NOT NULL").groupBy("lang").agg(limit, F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-        model.limits = {None: of_all} | {r["lang"]: r["q"] for r in frequent.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    model = fit_grams(theirs.where(~held), coder)
+    scored = _entropies(theirs.where(held).select(F.col("ids").alias("content"), "lang"), model)
+    scored = stash(scored.select("lang", "entropy", (F.col("entropy") - model.slack / F.sqrt("n_tokens")).alias("over"), "copies"), "entropy")
+    scored = scored.withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    limit = F.greatest(F.percentile_approx("over", quantile, 10_000), F.percentile_approx("entropy", 0.75, 10_000))
+    model.limit = scored.agg(limit.alias("limit")).first()["limit"]
+    of_lang = scored.where("lang IS NOT NULL").groupBy("lang").agg(limit.alias("limit"), F.count(F.lit(1)).alias("n"))
+    model.limits = stash(of_lang.where(F.col("n") >= least).select("lang", "limit"), "limits")
     return model
 
 
+#: What equal texts of one language have in common: 128 bits.
+KEY = ["k1", "k2"]
+
+
+def _key(content: Column, lang: Column) -> list[Column]:
+    return [F.xxhash64(content, lang).alias("k1"), F.xxhash64(F.lit(1), content, lang).alias("k2")]
+
+
 def _asked(rows: DataFrame, model: QualityModel) -> DataFrame:
-    """(g, key, n, own, copies) from (key, text): the grams of each text that the join may know, and a row with what is known
-    without it."""
-    sent = rows.sparkSession.sparkContext.broadcast(((model.symbols, model.order, model.classes, model.log_p, model.spread), model.unseen, model.hot, model.known))
+    """(g, k1, k2, n, own, size, copies, lang) from (k1, k2, content, lang): the grams of each text that the join may know,
+    and a row with what is known without it. content: texts, or their ids(). Equal texts of a batch are taken together."""
+    sent = rows.sparkSession.sparkContext.broadcast((model.coder, model.single, model.rest, model.hot, model.known))
+    names = ["g", *KEY, "n", "own", "size", "copies", "lang"]
+
+    def of_texts(code: Coder, texts: list[bytes], copies: np.ndarray, keys: list[np.ndarray], langs: pa.Array, memory: tuple) -> Iterator[pa.RecordBatch]:
+        single, rest, (hot, hot_gain), known = memory
+        codes, starts, scored = code.codes(texts)
+        doc = np.repeat(np.arange(len(texts)), np.diff(starts))
+        value = single[codes]
+        value[1:] += rest[codes[:-1]]
+        value[~scored] = 0
+        own = np.add.reduceat(value, starts[:-1])
+        ask_g, ask_doc = [], []
+        for k in range(2, code.order + 1):
+            # the digit before the first that is scored ends a context, and no gram, but for the highest order
+            some = scored if k == code.order else scored | np.append(scored[1:], False)
+            g, of = grams(codes, k)[some], doc[some]
+            at = np.minimum(np.searchsorted(hot, g), max(len(hot) - 1, 0))
+            is_hot = hot[at] == g if len(hot) else np.zeros(len(g), bool)
+            np.add.at(own, of[is_hot], hot_gain[at[is_hot]])
+            ask = np.flatnonzero(~is_hot)
+            ask = ask[_has_bit(known, g[ask])]
+            ask_g.append(g[ask])
+            ask_doc.append(of[ask])
+        g, of = np.concatenate(ask_g), np.concatenate(ask_doc)
+        sort = np.lexsort((of, g))
+        g, of = g[sort], of[sort]
+        new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (of[1:] != of[:-1])])) if len(g) else np.zeros(0, np.int64)
+        n, size = np.diff(np.append(new, len(g))) * copies[of[new]], (np.diff(starts) - code.order + 1) * copies
+        column = lambda x: pa.array(np.asarray(x, np.int64))
+        # a text's own row is spread by its key: nothing is known of the number that it asks for
+        yield pa.RecordBatch.from_arrays([column(keys[0]), column(keys[0]), column(keys[1]), column(np.zeros(len(texts))), column(own * copies), column(size), column(copies), langs], names)
+        for i in range(0, len(new), 100_000):
+            k = new[i : i + 100_000]
+            zero = column(np.zeros(len(k)))
+            yield pa.RecordBatch.from_arrays([column(g[k]), column(keys[0][of[k]]), column(keys[1][of[k]]), column(n[i : i + 100_000]), zero, zero, zero, pa.nulls(len(k), pa.string())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling, unseen, (hot, hot_gain), known = sent.value
-        spell = Spelling(*spelling)
+        coder, *memory = sent.value
+        code = Coder(*coder)
         for batch in batches:
-            keys, at = batch.column(0).to_numpy(), 0
-            for texts in groups((x.as_py() for x in batch.column(1)), 2_000_000):
-                some, at = keys[at : at + len(texts)], at + len(texts)
-                coded = spell.encode(texts)
-                # the edge counts once, as the first context and the last word
-                g = [np.concatenate([h[1:], pair(h[:-1], h[1:])]) for h, _ in coded]
-                doc, g = np.repeat(np.arange(len(g)), [len(x) for x in g]), np.concatenate(g)
-                own = np.array([int(round((s[1:].sum() + unseen * (len(s) - 1)) * UNIT)) for _, s in coded])
-                place = np.minimum(np.searchsorted(hot, g), max(len(hot) - 1, 0))
-                is_hot = hot[place] == g if len(hot) else np.zeros(len(g), bool)
-                np.add.at(own, doc[is_hot], hot_gain[place[is_hot]])
-                ask = ~is_hot & _has_bit(known, g)
-                g, doc = g[ask], doc[ask]
-                sort = np.lexsort((doc, g))
-                g, doc = g[sort], doc[sort]
-                new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])])) if len(g) else np.zeros(0, np.int64)
-                n = np.diff(np.append(new, len(g)))
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(some), pa.array(np.zeros(len(some), np.int64)), pa.array(own), pa.array(np.ones(len(some), np.int64))], names)
-                for i in range(0, len(new), 100_000):
-                    k = new[i : i + 100_000]
-                    zero = pa.array(np.zeros(len(k), np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(g[k]), pa.array(some[doc[k]]), pa.array(n[i : i + 100_000]), zero, zero], names)
-
-    names = ["g", "key", "n", "own", "copies"]
-    return rows.mapInArrow(run, "g long, key long, n long, own long, copies long")
+            low = 0
+            for texts in groups(((x.as_py() for x in batch.column(2))), 1_000_000):
+                part, low = batch.slice(low, len(texts)), low + len(texts)
+                keys = [part.column(i).to_numpy() for i in (0, 1)]
+                _, first, copies = np.unique(np.stack(keys), axis=1, return_index=True, return_counts=True)
+                some = [texts[i] for i in first]
+                some = [t if isinstance(t, bytes) else code.ids(t) for t in some]
+                yield from of_texts(code, some, copies, [k[first] for k in keys], part.column(3).take(pa.array(first)), memory)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", lang string")
+
+
+def _entropies(rows: DataFrame, model: QualityModel) -> DataFrame:
+    """(k1, k2, lang, entropy, n_tokens, copies) for each distinct (content, lang); entropy is in nats a token. Equal ones
+    are summed together, which changes no mean."""
+    keyed = rows.select(*_key(F.col("content"), F.col("lang")), "content", "lang")
+    joined = _asked(keyed, model).join(model.gains.select("g", "gain").hint("merge"), "g", "left")
+    gain = F.sum(F.col("own") + F.col("n") * F.coalesce("gain", F.lit(0).cast("long")))
+    sums = joined.groupBy(*KEY).agg(gain.alias("gain"), F.sum("size").alias("size"), F.sum("copies").alias("copies"), F.max("lang").alias("lang"))
+    return sums.select(*KEY, "lang", (-F.col("gain") / F.col("size") / UNIT).alias("entropy"), (F.col("size") / F.col("copies")).alias("n_tokens"), "copies")
+
+
+def _with_limits(scored: DataFrame, model: QualityModel) -> DataFrame:
+    """scored with the limit of each row's language. A language may have a third of all rows: lookup() spreads it."""
+    scored = stash(scored, "scored")
+    rows = scored.withColumn("lang_key", F.when(F.col("lang").isNull(), F.col("k1")).otherwise(F.xxhash64("lang")))
+    weights = rows.where("lang IS NOT NULL").groupBy("lang_key", "lang").agg(F.count(F.lit(1)).alias("weight"))
+    weights = stash(weights.join(model.limits.hint("merge"), "lang", "left"), "weights")
+    return lookup(rows, weights, ["lang_key", "lang"], "weight", KEY, scored.count()).withColumn("limit", F.coalesce("limit", F.lit(float(model.limit))))
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with entropy, perplexity (a character) and kept.
+    """docs with entropy (nats a token), perplexity (of a token) and kept.
 
     A null or empty text has neither and is not kept. A null or unknown language takes the limit of all. Every row of
-    docs comes once. Columns of docs must not be named like the three that are added, or begin with "_kn_".
+    docs comes once, repeated ones as often as they are there. A column named like one of the three is replaced.
     """
-    text, lang = F.col(text_col), F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    key = F.xxhash64(text, F.char_length(text))
-    asked = _asked(docs.where(F.char_length(text) > 0).select(key.alias("key"), text.alias("text")), model)
-    joined = asked.join(model.gains.select("g", "gain").hint("merge"), "g", "left")
-    # Equal texts have one key; what they gain together is the same for each.
-    sums = joined.groupBy("key").agg(F.sum(F.col("own") + F.col("n") * F.coalesce("gain", F.lit(0))).alias("gain"), F.sum("copies").alias("copies"))
-    sums = sums.select(F.col("key").alias("_kn_key"), (-F.col("gain") / F.col("copies") / UNIT).alias("_kn_sum"))
-    # No text to look for has a key of its own, so that such rows do not meet in one task.
-    with_key = docs.withColumn("_kn_size", F.char_length(text)).withColumn("_kn_key", F.when(F.col("_kn_size") > 0, key).otherwise(F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith("map")])))
-    entropy = F.when(F.col("_kn_size") > 0, F.col("_kn_sum") / F.col("_kn_size"))
-    limits = F.lit(float(model.limits.get(None, float("inf"))))
-    own = [(k, v) for k, v in model.limits.items() if k is not None]
-    if own:
-        limits = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in own for x in kv]), lang), limits)
-    kept = F.coalesce(entropy <= limits + model.slack / F.sqrt("_kn_size"), F.lit(False))
-    return with_key.join(sums.hint("merge"), "_kn_key", "left").select(*docs.columns, entropy.alias("entropy"), F.exp(entropy).alias("perplexity"), kept.alias("kept"))
+    sealed = Sealed.of(docs)
+    text, lang = sealed[text_col], sealed[lang_col].cast("string") if lang_col in sealed else F.lit(None).cast("string")
+    rows = sealed.frame.where(F.char_length(text) > 0).select(text.alias("content"), lang.alias("lang"))
+    found = _entropies(rows, model)
+    if model.limit is None:
+        found = found.withColumn("limit", F.lit(float("inf")))
+    else:
+        found = _with_limits(found, model)
+    found = found.select(*KEY, "entropy", (F.col("entropy") <= F.col("limit") + model.slack / F.sqrt("n_tokens")).alias("kept"))
+    # Rows without a text are looked up by what else they have, so that they do not meet in one task.
+    other = [F.col(c) for c, kind in sealed.frame.dtypes if not kind.startswith(("map", "variant"))]
+    keys = [F.when(F.char_length(text) > 0, k).otherwise(F.xxhash64(F.lit(i), *other)).alias(f"k{i + 1}") for i, k in enumerate(_key(text, lang))]
+    empty = F.coalesce(F.char_length(text) == 0, F.lit(True))
+    out = sealed.frame.select("*", *keys, empty.alias("empty")).join(found.hint("merge"), KEY, "left")
+    entropy = F.when(~F.col("empty"), F.col("entropy"))
+    return out.select(*sealed.back({"entropy": entropy, "perplexity": F.exp(entropy), "kept": F.coalesce(F.col("kept") & ~F.col("empty"), F.lit(False))}))

@@ -29,7 +29,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     trusted = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
     rows = docs.select("doc_id", "text", "lang")
-    out = kneser_ney.score(rows, kneser_ney.train(rows, trusted))
+    model = kneser_ney.train(rows, trusted, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = kneser_ney.score(rows, model)
     return out.select("doc_id", "lang", F.round("entropy", 6).alias("entropy"), F.round("perplexity", 6).alias("perplexity"), "kept")
 
 

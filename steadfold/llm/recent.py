@@ -35,8 +35,8 @@ class Recent:
         return out
 
 
-def groups(texts: Iterable[str | None], chars: int = 250_000) -> Iterator[list[str]]:
-    """The texts, whole and in order, in lists of about so many characters; a null text is an empty one."""
+def groups(texts: Iterable, chars: int = 250_000) -> Iterator[list]:
+    """The texts (or bytes), whole and in order, in lists of about so many characters; a null text is an empty one."""
     held, size = [], 0
     for text in texts:
         held.append(text or "")
