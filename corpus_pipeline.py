@@ -17,7 +17,8 @@ from steadfold.llm.shared import stash, table
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are as predictable as trusted text (labelled good and not toxic) of their language."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
-    return kneser_ney.score(docs, kneser_ney.train(docs, trusted)).where("kept").select(*docs.columns)
+    model = kneser_ney.train(docs, trusted, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return kneser_ney.score(docs, model).where("kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
