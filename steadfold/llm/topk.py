@@ -10,6 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import fresh_path, stash
+
 LONG = np.iinfo(np.int64)
 
 
@@ -39,7 +41,7 @@ def select(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
         if int(reach.sum(axis=1).max()) == k:
             at = np.nonzero(reach)[1].reshape(len(score), k)
         else:  # ties at the bound: the smaller ids among them
-            at = np.stack([np.nonzero(r)[0][np.lexsort((i[r], -s[r].astype(np.float64), -s[r]))[:k]] for r, s, i in zip(reach, score, ids)])
+            at = np.stack([np.nonzero(r)[0][np.lexsort((i[r], ~s[r]))[:k]] for r, s, i in zip(reach, score, ids)])
         score, ids = np.take_along_axis(score, at, 1), np.take_along_axis(ids, at, 1)
     order = np.lexsort((ids, ~score), axis=1)  # ~score descends with score and cannot overflow
     return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
@@ -82,7 +84,7 @@ def _best_in_part(batches: Iterator[pa.RecordBatch], block, k: int, scale: float
     for (dim, low), (s, i) in kept.items():
         q = np.repeat(by_dim[dim][0][low : low + tile_rows], s.shape[1])
         s, i = s.ravel(), i.ravel()
-        real = i != LONG.max
+        real = (i != LONG.max) | (s != LONG.min)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(real.sum(), shard, np.int64)), pa.array(q[real]), pa.array(i[real]), pa.array(s[real])], ["shard", "query_id", "vec_id", "score"])
 
 
@@ -93,26 +95,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
     one job, tile by tile, and a partition gives back k rows a query. Those lists are merged by groups of shards,
     then together. Vectors that are null or hold null, NaN or infinity take no part, nor do rows with a null id;
     vectors of different length are not compared. Of rows that share a query's id none is its candidate, and such
-    an id is answered for the smallest of its vectors; other repeated ids are candidates once for each row.
+    an id is answered for the smallest of its vectors; other repeated ids are candidates once for each row. A score
+    that no long can hold is its nearest end. Other columns take no part, whatever their names.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("_q"))
     rows = rows.where(F.col("vec_id").isNotNull() & _finite("v"))
-    queries = rows.where("_q").groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = queries.count()
-    n_blocks = max(1, -(-n // block_rows))
-    lists = []
-    for b in range(n_blocks):
+    queries = stash(rows.where("_q").groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    n_blocks = max(1, -(-queries.count() // block_rows))
+    lists = fresh_path(spark, "lists")
+    for b in range(n_blocks):  # one block is on the driver and out with the executors at a time
         by_dim: dict[int, tuple[list, list]] = {}
         for r in queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).toLocalIterator():
             ids, vs = by_dim.setdefault(len(r.v), ([], []))
             ids.append(r.vec_id)
             vs.append(r.v)
         block = spark.sparkContext.broadcast({d: (np.array(ids, np.int64), quantise(np.array(vs, np.float64).reshape(len(ids), d), scale)) for d, (ids, vs) in by_dim.items()})
-        lists.append(rows.select("vec_id", "v").mapInArrow(lambda it, block=block: _best_in_part(it, block, k, scale, tile_rows), "shard long, query_id long, vec_id long, score long"))
-    best = lists[0]
-    for other in lists[1:]:
-        best = best.unionByName(other)
+        found = rows.select("vec_id", "v").mapInArrow(lambda it, block=block: _best_in_part(it, block, k, scale, tile_rows), "shard long, query_id long, vec_id long, score long")
+        found.write.parquet(f"{lists}/block={b}")
+        block.destroy()
+    best = spark.read.schema("shard long, query_id long, vec_id long, score long").parquet(lists)
     order = [F.desc("score"), F.asc("vec_id")]
     group = Window.partitionBy("query_id", F.col("shard") % 64).orderBy(*order)
     best = best.withColumn("rank", F.row_number().over(group)).where(F.col("rank") <= k).drop("rank")
