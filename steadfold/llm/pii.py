@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Sealed
+
 #: What each kind looks like. A text is searched for all of them at once; the first that fits wins.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -32,8 +34,11 @@ IBAN_SIZES = {
 #: Code points that no text should have, of which one that a text has not stands around what is valid in it.
 MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 ROUNDS = 8
-#: Dates are permuted within blocks of 2**16 days from this one on; others keep to blocks before and after it.
-FIRST_DAY, DAYS = "1900-01-01", 65536
+#: The days of the years 1 to 9999, counted from the first day of 1900, and how many make a block. Dates are
+#: permuted within their block, so that years stay likely; what is left at either end belongs to the block beside it.
+FIRST_DAY, LEAST_DAY, MOST_DAY, DAYS = "1900-01-01", -693595, 2958463, 65536
+#: Steps that a walk may take. The rarest of the walked, days after the 12th of a month, are three in five of all days.
+STEPS = 64
 
 
 def once(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -41,9 +46,9 @@ def once(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _draw(key: str, *parts: Column) -> Column:
+def _draw(key: str, *parts: Column | str) -> Column:
     """A number below 2**60, by key and parts."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts], F.lit(key)), 256)
+    digest = F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts], F.lit(key)), 256)
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -51,11 +56,11 @@ def _letters(s: Column) -> Column:
     return F.filter(F.split(s, "", -1), lambda c: c != "")
 
 
-def _shifted(s: Column, key: str, *parts: Column) -> Column:
-    """s with every digit and ASCII letter moved on within its kind, by key, parts and place."""
+def _shifted(s: Column, digest: Column) -> Column:
+    """s with every digit and ASCII letter moved on within its kind, by the digest and its place."""
 
     def move(c: Column, i: Column) -> Column:
-        code, by = F.ascii(c), _draw(key, *parts, i)
+        code, by = F.ascii(c), F.conv(F.substring(F.sha2(F.concat_ws("|", digest, i.cast("string")), 256), 1, 15), 16, 10).cast("long")
         turn = lambda first, n: F.chr((F.lit(first) + (code - first + by) % n).cast("long"))
         return F.when(code.between(48, 57), turn(48, 10)).when(code.between(97, 122), turn(97, 26)).when(code.between(65, 90), turn(65, 26)).otherwise(c)
 
@@ -68,24 +73,35 @@ def permuted(s: Column, key: str, kind: str) -> Column:
     half = (F.char_length(s) / 2).cast("int")
     start = F.struct(F.substr(s, F.lit(1), half).alias("a"), F.substr(s, half + 1, F.char_length(s)).alias("b"))
 
+    def moved(mine: Column, r: Column, other: Column) -> Column:
+        # the other half is hashed once, however long the string is
+        return once(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), other, F.lit(key)), 256), lambda digest: _shifted(mine, digest))
+
     def step(t: Column, r: Column) -> Column:
-        a, b = _shifted(t["a"], key, F.lit(kind), r, t["b"]), _shifted(t["b"], key, F.lit(kind), r, t["a"])
-        return F.struct(F.when(r % 2 == 0, a).otherwise(t["a"]).alias("a"), F.when(r % 2 == 0, t["b"]).otherwise(b).alias("b"))
+        return F.struct(F.when(r % 2 == 0, moved(t["a"], r, t["b"])).otherwise(t["a"]).alias("a"), F.when(r % 2 == 0, t["b"]).otherwise(moved(t["b"], r, t["a"])).alias("b"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda t: F.concat(t["a"], t["b"]))
 
 
-def permuted_number(n: Column, half: int, key: str, kind: str) -> Column:
-    """A Feistel network on [0, half * half)."""
-    start = F.struct((n / half).cast("long").alias("a"), (n % half).cast("long").alias("b"))
+def permuted_number(n: Column, half: Column | int, key: str, *kind: Column | str) -> Column:
+    """A Feistel network on [0, half * half); half: a number, or a column of longs."""
+    half = half if isinstance(half, Column) else F.lit(half).cast("long")
+    start = F.struct(F.floor(n / half).alias("a"), F.pmod(n, half).cast("long").alias("b"))
 
     def step(t: Column, r: Column) -> Column:
-        moved = (t["a"] + _draw(key, F.lit(kind), r, t["b"])) % half
+        moved = F.pmod(t["a"] + _draw(key, *kind, r, t["b"]), half).cast("long")
         return F.struct(t["b"].alias("a"), moved.alias("b"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda t: t["a"] * half + t["b"])
 
 
+def walked(first: Column, step: Callable[[Column], Column], valid: Callable[[Column], Column]) -> Column:
+    """step of first, of that, and so on until it is valid: a permutation of what is valid, if step is one of more."""
+    state = F.struct(first.alias("x"), F.lit(False).alias("done"))
+    on = lambda t, _: F.when(t["done"], t).otherwise(once(step(t["x"]), lambda x: F.struct(x.alias("x"), valid(x).alias("done"))))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), state, on, lambda t: t["x"])
+
+
 def _refilled(shape: Column, kept: str, letters: Column) -> Column:
     """shape with its characters of the class `kept` replaced, one after the other, by those of letters."""
     place = lambda i: F.char_length(F.regexp_replace(F.substr(shape, F.lit(1), i), f"[^{kept}]", ""))
@@ -121,21 +137,35 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    def moved(form: str) -> Column:
-        day = F.datediff(F.try_to_date(m, form), F.lit(FIRST_DAY).cast("date"))
-        block = F.floor(day / DAYS)
-        new = F.date_add(F.lit(FIRST_DAY).cast("date"), (block * DAYS + permuted_number(F.pmod(day, F.lit(DAYS)), 256, key, "date")).cast("int"))
-        return F.when(day.isNotNull() & block.between(-2, 40), F.date_format(new, form))
+    """yyyy-MM-dd and dd/MM/yyyy are permutations of all days, MM/dd/yyyy one of the days that cannot be read as dd/MM:
+    those after the 12th of a month."""
+    first = F.lit(FIRST_DAY).cast("date")
+
+    def moved(form: str, valid: Callable[[Column], Column]) -> Column:
+        def of_day(day: Column) -> Column:
+            block = F.least(F.greatest(F.floor(day / DAYS), F.lit(LEAST_DAY // DAYS + 1).cast("long")), F.lit((MOST_DAY + 1) // DAYS - 1).cast("long"))
+            low = F.when(block == LEAST_DAY // DAYS + 1, F.lit(LEAST_DAY)).otherwise(block * DAYS)
+            high = F.when(block == (MOST_DAY + 1) // DAYS - 1, F.lit(MOST_DAY)).otherwise(block * DAYS + (DAYS - 1))
+
+            def within(b: Column) -> Column:
+                low, high = b["low"], b["high"]
+                half = F.ceil(F.sqrt(high - low + 1))
+                there = walked(b["day"] - low, lambda x: permuted_number(x, half, key, "date", low), lambda x: (x <= high - low) & valid(F.date_add(first, (x + low).cast("int"))))
+                return F.date_format(F.date_add(first, (there + low).cast("int")), form)
+
+            return once(F.struct(day.cast("long").alias("day"), low.cast("long").alias("low"), high.cast("long").alias("high")), within)
+
+        day = F.datediff(F.try_to_date(m, form), first)
+        return F.when(day.between(LEAST_DAY, MOST_DAY), once(day, of_day))
 
-    return F.when(m.contains("-"), moved("yyyy-MM-dd")).otherwise(F.coalesce(moved("dd/MM/yyyy"), moved("MM/dd/yyyy")))
+    every = lambda _: F.lit(True)
+    return F.when(m.contains("-"), moved("yyyy-MM-dd", every)).otherwise(F.coalesce(moved("dd/MM/yyyy", every), moved("MM/dd/yyyy", lambda d: F.dayofmonth(d) > 12)))
 
 
 def _ssn(m: Column, key: str) -> Column:
-    """Area, group and serial, permuted among the numbers that are issued, by walking on until one is."""
-    area = F.substr(m, F.lit(1), F.lit(3))
+    """Area, group and serial, permuted among the numbers that are issued."""
     valid = lambda x: ~F.substr(x, F.lit(1), F.lit(3)).isin("000", "666") & ~x.startswith("9") & (F.substr(x, F.lit(5), F.lit(2)) != "00") & (F.substr(x, F.lit(8), F.lit(4)) != "0000")
-    walk = F.aggregate(F.sequence(F.lit(0), F.lit(40)), F.struct(m.alias("x"), F.lit(False).alias("done")), lambda t, _: F.when(t["done"], t).otherwise(once(permuted(t["x"], key, "ssn"), lambda x: F.struct(x.alias("x"), valid(x).alias("done")))), lambda t: t["x"])
-    return F.when(valid(m) & area.isNotNull(), walk)
+    return F.when(valid(m), walked(m, lambda x: permuted(x, key, "ssn"), valid))
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -230,25 +260,25 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 
     A null text stays null, without any. What has a form but is not valid (a wrong check digit, a day that does not
     exist) stays as it is. A pseudonym can, with the chance of one in its format's size, be the value itself. The key
-    stands in the query's plan: guard the event log as you guard the key. Other columns stay; they must not be named
-    like those that are added or begin with "_pii_".
+    stands in the query's plan: guard the event log as you guard the key. Other columns stay, but for those that are
+    named like one that is added.
     """
-    text = F.col(text_col)
+    sealed = Sealed.of(docs)
+    text = sealed[text_col]
     all_of = lambda t: F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1))
     mark = F.get(F.filter(F.array(*[F.lit(c) for c in MARKS]), lambda c: ~text.contains(c)), F.lit(0))
-    some = docs.withColumn("_pii_found", F.when(text.rlike("[0-9@]"), all_of(text)))
-    some = some.withColumn("_pii_mark", F.when(F.size("_pii_found") > 0, mark))
-    apart = F.when(F.col("_pii_mark").isNotNull(), _separated(text, F.col("_pii_found"), F.col("_pii_mark"), key))
-    some = some.withColumn("_pii_text", F.explode(F.array(F.coalesce(apart, text))))
-    some = some.withColumn("_pii_found", F.when(F.col("_pii_text") == text, F.col("_pii_found")).otherwise(all_of(F.col("_pii_text"))))
-    some = some.withColumn("_pii_new", F.explode(F.array(F.when(F.size("_pii_found") > 0, F.transform("_pii_found", lambda m: pseudonym(m, key))))))
-    parts = F.split(F.col("_pii_text"), ANY, -1)
-    new = F.zip_with(parts, F.zip_with("_pii_found", "_pii_new", lambda m, p: F.coalesce(p["value"], m)), lambda part, p: F.concat(part, F.coalesce(p, F.lit(""))))
+    some = sealed.frame.withColumn("found", F.when(text.rlike("[0-9@]"), all_of(text)))
+    some = some.withColumn("mark", F.when(F.size("found") > 0, mark))
+    apart = F.when(F.col("mark").isNotNull(), _separated(text, F.col("found"), F.col("mark"), key))
+    some = some.withColumn("cut", F.explode(F.array(F.coalesce(apart, text))))
+    some = some.withColumn("found", F.when(F.col("cut") == text, F.col("found")).otherwise(all_of(F.col("cut"))))
+    some = some.withColumn("new", F.explode(F.array(F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(m, key))))))
+    parts = F.split(F.col("cut"), ANY, -1)
+    new = F.zip_with(parts, F.zip_with("found", "new", lambda m, p: F.coalesce(p["value"], m)), lambda part, p: F.concat(part, F.coalesce(p, F.lit(""))))
     joined = F.array_join(new, "")
-    joined = F.when(F.col("_pii_text") == text, joined).otherwise(F.replace(joined, F.col("_pii_mark"), F.lit("")))
-    result = F.when(F.col("_pii_new").isNull(), text).otherwise(joined)
-    count = lambda f: F.coalesce(F.size(F.filter("_pii_new", f)), F.lit(0)).cast("long")
+    joined = F.when(F.col("cut") == text, joined).otherwise(F.replace(joined, F.col("mark"), F.lit("")))
+    none, zero = F.col("new").isNull(), F.lit(0).cast("long")
+    count = lambda f: F.when(none, zero).otherwise(F.coalesce(F.size(F.filter("new", f)), F.lit(0)).cast("long"))
     of_kind = lambda k: lambda p: p["kind"] == k
-    counts = [F.when(F.col("_pii_new").isNull(), F.lit(0).cast("long")).otherwise(count(of_kind(k))).alias(f"n_{k}") for k in MAKERS]
-    total = F.when(F.col("_pii_new").isNull(), F.lit(0).cast("long")).otherwise(count(lambda p: p.isNotNull())).alias("n_pii")
-    return some.select(*[result.alias(text_col) if c == text_col else F.col(c) for c in docs.columns], total, *counts)
+    added = {"n_pii": count(lambda p: p.isNotNull())} | {f"n_{k}": count(of_kind(k)) for k in MAKERS}
+    return some.select(*sealed.back(added, {text_col: F.when(none, text).otherwise(joined)}))
