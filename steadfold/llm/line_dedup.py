@@ -15,19 +15,20 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, ascii_lower, fresh_path, lookup, remove_path
+from .shared import BLANKS, Sealed, ascii_lower, barrier, fresh_path, lookup, release, remove_path, stash
 
 KEY = ["h1", "h2"]
 
 
 def line_postings(docs: DataFrame, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, h1, h2) for each line whose key has min_chars code points or more. Rows without an id hold no key."""
+    """(doc, h1, h2, body, pos) for each line whose key has min_chars code points or more: body is a hash of the text and pos
+    the line's place in it. Rows without an id hold no key."""
     lines = docs.where(F.col(id_col).isNotNull() & (F.char_length(text_col) >= min_chars)).select(
-        F.col(id_col).cast("long").alias("doc"), F.explode(F.split(F.col(text_col), "\n", -1)).alias("line")
+        F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("body"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line")
     )
-    lines = lines.where(F.char_length("line") >= min_chars).select("doc", F.explode(F.array(ascii_lower(F.btrim("line", F.lit(BLANKS))))).alias("key"))
+    lines = lines.where(F.char_length("line") >= min_chars).select("doc", "body", "pos", F.explode(F.array(ascii_lower(F.btrim("line", F.lit(BLANKS))))).alias("key"))
     # Two independently seeded 64-bit hashes: no chance collision even among 10^13 lines.
-    return lines.where(F.char_length("key") >= min_chars).select("doc", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    return lines.where(F.char_length("key") >= min_chars).select("doc", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "body", "pos")
 
 
 @dataclass
@@ -91,6 +92,13 @@ class LineRuns:
     def merged(self) -> DataFrame:
         return self._merged(self.runs())
 
+    def drop(self) -> None:
+        """Drop all runs."""
+        for level in self.levels:
+            for name in level:
+                self._drop(name)
+        self.levels = []
+
 
 def _batches(docs: DataFrame, n_batches: int, id_col: str) -> list[DataFrame]:
     """All rows that have an id, in descending ranges of it; the filters prune row groups where files are in order."""
@@ -116,32 +124,30 @@ def line_index(docs: DataFrame, min_chars: int = 40, n_batches: int = 4, buckets
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, n_batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its text rid of lines that min_docs documents or more hold, but for the largest document id.
 
-    Adds n_lines and n_dropped; all other columns stay. A null or empty text is one empty line and stays as it is
-    (a null text becomes empty). Rows with a null id hold no key and lose no line. Rows with one id count as one
-    document. An extra column may have any name but n_lines, n_dropped and those beginning with "_ld_".
+    Adds n_lines and n_dropped; all other columns stay, but for one that is named like those. A null or empty text is one
+    empty line and stays as it is (a null text becomes empty). Rows with a null id hold no key and lose no line. Rows
+    with one id count as one document.
     """
-    index = line_index(docs, min_chars, n_batches, None, id_col, text_col)
+    spark, sealed = docs.sparkSession, Sealed.of(docs)
+    rows = sealed.frame.select(sealed[id_col].alias("id"), sealed[text_col].alias("text"))
+    index = line_index(rows, min_chars, n_batches, None, "id", "text")
     keys = index.merged()
     total = keys.agg(F.sum("n_docs")).first()[0] or 0
-    common = keys.where(F.col("n_docs") >= min_docs)
+    common = stash(keys.where(F.col("n_docs") >= min_docs), "common")
+    index.drop()
+    release(spark)
     # Any other document that holds a common key loses the line. A hot key may be in a third of all documents:
     # lookup() spreads those rows, and the postings are made once for both kinds of key.
-    postings = line_postings(docs.select(id_col, text_col), min_chars, id_col, text_col)
-    hits = lookup(postings, common, KEY, "n_docs", ["doc"], total).where("doc != keeper")
-    losses = hits.groupBy("doc").agg(F.collect_set(F.struct(*KEY)).alias("_ld_gone"))
-    old = docs.columns
-    kept = docs.withColumn("_ld_id", F.col(id_col).cast("long")).join(losses.withColumnRenamed("doc", "_ld_id"), "_ld_id", "left")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-
-    def stays(line):
-        key = ascii_lower(F.btrim(line, F.lit(BLANKS)))
-        gone = F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
-        return (F.char_length(key) < min_chars) | ~F.array_contains("_ld_gone", gone)
-
-    kept = kept.withColumn("_ld_lines", F.when(F.col("_ld_gone").isNull(), lines).otherwise(F.filter(lines, stays)))
-    kept = kept.withColumn("_ld_text", F.array_join("_ld_lines", "\n"))
-    return kept.select(
-        *[F.col("_ld_text").alias(text_col) if c == text_col else F.col(c) for c in old],
-        F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size("_ld_lines")).cast("long").alias("n_dropped"),
-    )
+    postings = line_postings(rows, min_chars, "id", "text")
+    hits = lookup(postings, common, KEY, "n_docs", ["doc", "pos"], total).where("doc != keeper")
+    losses = hits.groupBy(F.col("doc").alias("id"), "body").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    text = F.coalesce(sealed[text_col], F.lit(""))
+    kept = sealed.frame.withColumns({"id": sealed[id_col].cast("long"), "body": F.xxhash64(text)}).join(losses, ["id", "body"], "left")
+    kept = kept.withColumn("lines", F.split(text, "\n", -1))
+    # What stays are the stretches between lost lines: one pass, however many there are.
+    ends = F.concat(F.array(F.lit(-1)), "gone", F.array(F.size("lines")))
+    stretch = lambda i: F.slice("lines", F.get(F.col("ends"), i) + 2, F.get(F.col("ends"), i + 1) - F.get(F.col("ends"), i) - 1)
+    kept = barrier(kept.withColumn("ends", F.when(F.col("gone").isNotNull(), ends)), stays=F.when(F.col("ends").isNotNull(), F.flatten(F.transform(F.sequence(F.lit(0), F.size("ends") - 2), stretch))))
+    new = F.when(F.col("ends").isNull(), text).otherwise(F.array_join("stays", "\n"))
+    n_lost = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone"))
+    return kept.select(*sealed.back({"n_lines": F.size("lines").cast("long"), "n_dropped": n_lost.cast("long")}, {text_col: new}))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -48,9 +49,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps that are written: Spark deletes them once the driver's garbage, which else is
-    collected when its heap happens to fill, no longer holds their plans."""
-    gc.collect()
-    spark._jvm.System.gc()
+    collected when its heap happens to fill, no longer holds their plans. The first round frees what holds them."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 @dataclass(frozen=True)
