@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BLANKS, barrier, stash
+from .shared import BLANKS, Sealed, barrier, stash
 
 #: Low bits of a packed window that hold its place; longer texts are sorted as pairs instead.
 PLACE = 21
@@ -157,12 +157,17 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, least: float = 0.5,
     """docs without its text, with the counts of features(), each rule's vote, probability (of good), base_failed and
     kept. base_failed: under 50 words, or over half of the words in repeated 3-word windows; such rows are not kept, and
     others are if the probability is `least` or more. A null text has no words. No document, no vote: the
-    prior decides. Columns of docs must not be named like those that are added."""
+    prior decides. A column of docs named like one that is added is replaced."""
     rules = rules or default_rules()
     names = [f"vote_{r.name}" for r in rules]
-    voted = stash(features(docs, text_col).withColumns({n: r.vote for n, r in zip(names, rules)}), "votes")
+    sealed = Sealed.of(docs)
+    counts = features(sealed.frame, f"c{sealed.names.index(text_col)}")
+    added = [c for c in counts.columns if c not in sealed.frame.columns]
+    voted = stash(counts.withColumns({n: r.vote for n, r in zip(names, rules)}), "votes")
     patterns = [(tuple(r[n] for n in names), r["n"]) for r in voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()]
     model = fit(sorted(patterns))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = voted.withColumn("probability", model.probability(names)).withColumn("base_failed", failed)
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= least))
+    new = [*added, *names, "probability", "base_failed"]
+    old = [F.col(f"c{i}").alias(c) for i, c in enumerate(sealed.names) if c != text_col and c.lower() not in {*map(str.lower, new), "kept"}]
+    return judged.select(*old, *new, (~F.col("base_failed") & (F.col("probability") >= least)).alias("kept"))
