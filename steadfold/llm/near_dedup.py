@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import lookup, stash
+from .shared import Sealed, lookup, stash
 
 U = np.uint64
 
@@ -204,10 +204,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     the whole bucket, block by block, so no link is lost to the hub and no large group is compared with itself.
 
     A text that is null or has no words has no shingles and no link. Rows of one id are one document; if their texts
-    differ, one of them stands for it. A row with a null id is its own component, null, and is kept. No column of docs
-    may begin with "_nd_" or be named like one of the three that are added.
+    differ, one of them stands for it. A row with a null id is its own component, null, and is kept. A column of docs
+    named like one of the three that are added is replaced.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    sealed = Sealed.of(docs)
+    own_id = sealed[id_col].cast("long")
+    texts = sealed.frame.select(own_id.alias("doc"), sealed[text_col].alias("text"))
     signed = stash(signatures(texts, size, bands, rows), "signatures")
     known = signed.where("doc IS NOT NULL AND n > 0")
     total, ids = known.agg(F.count("doc"), F.count_distinct("doc")).first()
@@ -247,6 +249,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         found = lookup(signed.select("doc", "n", "d1", "d2"), classes, ["d1", "d2"], "weight", ["doc"], total)
     found = found.select("doc", "n", F.when(F.col("n") > 0, F.col("component")).alias("component"))
     found = found.groupBy("doc").agg(F.max("n").alias("n_shingles"), F.min("component").alias("component")) if ids < total else found.withColumnRenamed("n", "n_shingles")
-    out = docs.withColumn("_nd_id", F.col(id_col).cast("long")).join(found.where("doc IS NOT NULL").withColumnRenamed("doc", "_nd_id").hint("merge"), "_nd_id", "left")
-    component = F.coalesce("component", "_nd_id")
-    return out.select(*docs.columns, F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("_nd_id"), F.lit(True)).alias("kept"))
+    # Rows without an id are spread by their text: they would meet in one task, though nothing matches them.
+    keyed = sealed.frame.select("*", F.coalesce(own_id, F.xxhash64(sealed[text_col])).alias("doc"), own_id.isNotNull().alias("real"))
+    out = keyed.join(found.where("doc IS NOT NULL").withColumn("real", F.lit(True)).hint("merge"), ["doc", "real"], "left")
+    component = F.coalesce("component", F.when(F.col("real"), F.col("doc")))
+    return out.select(*sealed.back({"n_shingles": F.coalesce("n_shingles", F.lit(0).cast("long")), "component_id": component, "kept": F.coalesce(component == F.col("doc"), F.lit(True))}))
