@@ -428,9 +428,9 @@ def test_base_spans_and_held_out_secrets(spark):
         assert all(t[s.start : s.end] not in r.redacted for s in r.base if s.kind != "assign") and r.in_n_lines == "mine"
     model = secrets.train(df)
     held = [f"{prose(rng, 9)} password={key(18)} {prose(rng, 9)}" for _ in range(50)]
-    hits = sum(any(tags) for t in held for w in secrets.windows(t, "s1", model.bits) for tags in [model.viterbi(w)])
+    hits = sum(any(tags) for t in held for w in secrets.windows(t, "s1", model.codes) for tags in [model.viterbi(w)])
     clean = [f"{prose(rng, 9)} room 12 in 2021 {prose(rng, 9)}" for _ in range(50)]
-    false = sum(any(model.viterbi(w)) for t in clean for w in secrets.windows(t, "s1", model.bits))
+    false = sum(any(model.viterbi(w)) for t in clean for w in secrets.windows(t, "s1", model.codes))
     assert hits >= 45 and false <= 2
     assert secrets.scan_secrets(docs(spark, [])).collect() == []
 
@@ -459,6 +459,27 @@ def test_all_windows_of_sampled_documents_train(spark, monkeypatch):
     assert len(seen[0]) > 100 and sum(any(tags) for _, tags in seen[0]) >= 2
 
 
+def test_secrets_that_no_base_pattern_finds(spark):
+    """Trained on the documents of sf0.01: written secrets in clean text, and the clean text itself."""
+    rng = random.Random(5)
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secrets.train(df)
+    clean = [r.text for r in df.where("length(text) BETWEEN 200 AND 3000 AND NOT text RLIKE '[0-9]'").orderBy("doc_id").limit(200).collect()]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ["the password is {}", "client_secret {}", "AWS_SECRET_ACCESS_KEY {}", "pwd: {}", "sk_live_{}", "my passphrase -> {}", "credentials={}", "auth {} here", "Bearer {}", "private key '{}'"]
+    hits = 0
+    for i in range(200):
+        key, text = "".join(rng.choice(letters) for _ in range(rng.randint(16, 40))), clean[i % len(clean)]
+        at = text.find(" ", len(text) // 2)
+        text = f"{text[:at]} {forms[i % len(forms)].format(key)}{text[at:]}"
+        assert secrets.base_spans(text) == []
+        a = text.index(key)
+        hits += any(p <= a and q >= a + len(key) for p, q in secrets.learned_spans(model, text, "src1", []))
+    false = sum(bool(secrets.learned_spans(model, t, "src1", [(x, y) for _, x, y, _ in secrets.base_spans(t)])) for t in clean)
+    print(hits, false)
+    assert hits >= 180 and false <= 2
+
+
 def test_viterbi_and_gradient_against_enumeration():
     from itertools import product
 
