@@ -460,9 +460,9 @@ def test_all_windows_of_sampled_documents_train(spark, monkeypatch):
 
 
 def test_secrets_that_no_base_pattern_finds(spark):
-    """Trained on the documents of sf0.01: written secrets in clean text, and the clean text itself."""
+    """Trained on the documents of sf0.1: written secrets in clean text, and the clean text itself."""
     rng = random.Random(5)
-    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = secrets.train(df)
     clean = [r.text for r in df.where("length(text) BETWEEN 200 AND 3000 AND NOT text RLIKE '[0-9]'").orderBy("doc_id").limit(200).collect()]
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
