@@ -112,3 +112,37 @@ def bank(df: DataFrame, levels: list[float], repetitions: int) -> DataFrame:
     """df once for each (level_index, level, repetition). Copies are made in flight, after the scan, and never stored."""
     rows = [F.struct(F.lit(i).alias("level_index"), F.lit(float(x)).alias("level"), F.lit(r).alias("repetition")) for i, x in enumerate(levels) for r in range(repetitions)]
     return df.withColumn("_cell", F.explode(F.array(*rows))).select(*df.columns, "_cell.*")
+
+
+def exhaustive_breaks(clean: DataFrame, dirty: DataFrame, row_id: str, groups: dict[str, list[str]]) -> DataFrame:
+    """(prefix, n): rows in which a group that has a member set in every clean row has none."""
+    total = lambda members, pre: sum((F.col(f"`{pre}{c}`") for c in members), F.lit(0))
+    names = {c for m in groups.values() for c in m}
+    both = dirty.select(row_id, *[F.col(f"`{c}`") for c in names]).join(clean.select(row_id, *[F.col(f"`{c}`").alias(f"_old_{c}") for c in names]), row_id)
+    sums = both.agg(*[F.struct(F.min(total(m, "_old_")).alias("least"), F.count_if(total(m, "") == 0).alias("n")).alias(p) for p, m in groups.items()])
+    cells = F.array(*[F.struct(F.lit(p).alias("prefix"), F.when(F.col(f"`{p}`")["least"] >= 1, F.col(f"`{p}`")["n"]).otherwise(0).cast("long").alias("n")) for p in groups])
+    return sums.select(F.explode(cells).alias("x")).select("x.*")
+
+
+def check_structure(clean: DataFrame, dirty: DataFrame, row_id: str, binaries: list[str], groups: dict[str, list[str]], units: dict[str, tuple[int, dict[str, float]]]) -> None:
+    """Fails if a corruption has broken what the schema promises."""
+    found = {r["check"]: r["n"] for r in violations(clean, dirty, row_id, binaries, groups, units).collect() if r["n"]}
+    found |= {f"none of {r['prefix']}": r["n"] for r in exhaustive_breaks(clean, dirty, row_id, groups).collect() if r["n"]} if groups else {}
+    if found:
+        raise ValueError(f"the corrupted rows are not sound: {found}")
+
+
+def legacy_noise(df: DataFrame, row_id: str, sd: dict[str, float], level: float | Column, rep: int | Column = 0, seed: int = 20260926) -> DataFrame:
+    """Noise on every continuous column, whether its value is available or not; at level 0 the rows as they are."""
+    return df if isinstance(level, float | int) and abs(level) <= 1e-9 else gaussian(df, row_id, sd, level, rep, seed)
+
+
+def legacy_redraw(df: DataFrame, row_id: str, columns: list[str], level: float, shares: dict[str, float] | None = None, rep: int = 0, seed: int = 20260926) -> DataFrame:
+    """Every cell of the columns by itself is drawn anew with a chance of level, one-hot groups or not; by the given
+    (training) share, or the share of these rows."""
+    if not 0 <= level <= 1:
+        raise ValueError(f"level must lie between 0 and 1: {level}")
+    if level <= 1e-9 or not columns:
+        return df
+    shares = shares or df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(c) for c in columns]).first().asDict()
+    return redraw(df, row_id, {c: shares[c] for c in columns if c in shares}, {}, level, rep, seed)

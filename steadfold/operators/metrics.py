@@ -1,8 +1,8 @@
 """Weighted rank metrics as DataFrame plans.
 
 Rows (keys, y, p, w) are first summed by (keys, p), which combines on the map side and removes ties. Running sums over
-scores are then taken within ranges of scores, and the ranges' own sums put in front: no task sorts all scores, even
-where there is a single key.
+scores are then taken within ranges of scores, as many as there are partitions, and the ranges' own sums put in front: no
+task sorts all scores, even where there is a single key.
 """
 
 from __future__ import annotations
@@ -11,23 +11,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..sources.staging import staged
 
 
-def prefix_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], ranges: int = 32) -> DataFrame:
-    """df with, for each name in sums, the sum of that column over the rows of the same keys with a smaller order.
-    Rows must be distinct in (keys, order)."""
-    cuts = sorted({c for c in df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []})
-    some = df.withColumn("_b", sum(((F.lit(c) < F.col(order)).cast("int") for c in cuts), F.lit(0)))
+def prefix_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:
+    """df with, for each name in sums, the sum of that column over the rows of the same keys with a smaller order, and for
+    each in totals over all rows of the keys. Rows must be distinct in (keys, order).
+
+    The rows are staged once, cut into ranges of (keys, order) as the engine cuts any sort: there are as many as there
+    are partitions, a key with most of the rows has most of the ranges, and no task gets more than one at a time."""
+    totals = totals or {}
+    some = staged(df.repartitionByRange(*keys, order).withColumn("_b", F.spark_partition_id()), "ranges")
     inner = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = some.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    starts = starts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_kb"), *[F.coalesce(F.sum(f"_t_{n}").over(outer), F.lit(0)).alias(f"_s_{n}") for n in sums])
+    wanted = {**{f"_t_{n}": c for n, c in sums.items()}, **{f"_a_{n}": c for n, c in totals.items()}}
+    starts = some.groupBy(*keys, "_b").agg(*[F.sum(c).alias(n) for n, c in wanted.items()])  # a row for a range and key
+    whole = [F.sum(f"_a_{n}").over(Window.partitionBy(*keys)).alias(n) for n in totals]
+    starts = starts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_kb"), *[F.coalesce(F.sum(f"_t_{n}").over(outer), F.lit(0)).alias(f"_s_{n}") for n in sums], *whole)
     within = some.withColumns({n: F.coalesce(F.sum(c).over(inner), F.lit(0)) for n, c in sums.items()})
     same = F.col("_b") == F.col("_kb")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     joined = within.join(starts, same)
-    return joined.select(*df.columns, *[(F.col(n) + F.col(f"_s_{n}")).alias(n) for n in sums])
+    return joined.select(*df.columns, *[(F.col(n) + F.col(f"_s_{n}")).alias(n) for n in sums], *totals)
 
 
 def score_groups(preds: DataFrame, keys: list[str], y: str = "y", p: str = "p", w: str | None = None) -> DataFrame:
@@ -39,19 +45,13 @@ def score_groups(preds: DataFrame, keys: list[str], y: str = "y", p: str = "p",
 def rank_metrics(preds: DataFrame, keys: list[str], y: str = "y", p: str = "p", w: str | None = None) -> DataFrame:
     """(keys, roc_auc, pr_auc): the chance that a positive is above a negative, ties half; and average precision, with
     tied scores as one step. Null where a class has no weight."""
-    groups = prefix_sums(score_groups(preds, keys, y, p, w), keys, "p", {"pos_below": "pos", "neg_below": "neg"})
-    area = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
-    totals = groups.groupBy(*keys).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"), area.alias("_area"))
-    named = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_pos", "_neg", "_area")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    both = groups.join(F.broadcast(named) if not keys else named, same) if keys else groups.crossJoin(F.broadcast(named))
-    above_pos, above_neg = F.col("_pos") - F.col("pos_below"), F.col("_neg") - F.col("neg_below")
+    sums = {"_pos_below": "pos", "_neg_below": "neg"}
+    groups = prefix_sums(score_groups(preds, keys, y, p, w), keys, "p", sums, {"_pos": "pos", "_neg": "neg"})
+    above_pos, above_neg = F.col("_pos") - F.col("_pos_below"), F.col("_neg") - F.col("_neg_below")
     step = F.col("pos") * ratio(above_pos, above_pos + above_neg)
-    first = lambda c: F.max(c)
-    out = both.groupBy(*keys).agg(ratio(first("_area"), first("_pos") * first("_neg")).alias("roc_auc"), F.when(first("_neg") > 0, ratio(F.sum(step), first("_pos"))).alias("pr_auc"))
-    return out
+    area = F.sum(F.col("pos") * (F.col("_neg_below") + F.col("neg") / 2))
+    of = F.max  # the same in all rows of the keys
+    return groups.groupBy(*keys).agg(ratio(area, of("_pos") * of("_neg")).alias("roc_auc"), F.when(of("_neg") > 0, ratio(F.sum(step), of("_pos"))).alias("pr_auc"))
 
 
 def ess(df: DataFrame, keys: list[str], w: str) -> DataFrame:
@@ -138,11 +138,8 @@ def feature_screen(df: DataFrame, features: list[str], label: str, least: float
 def balanced_threshold(preds: DataFrame, keys: list[str], row_id: str, y: str = "y", p: str = "p") -> DataFrame:
     """(keys, threshold, sensitivity, specificity): from each place of the ascending scores on everything is called
     positive; the first place with the least difference between sensitivity and specificity. Ties by row id."""
-    rows = preds.select(*keys, F.struct(F.col(p).cast("double").alias("p"), F.col(row_id).alias("id")).alias("at"), F.col(y).cast("long").alias("_y"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    rows = rows.withColumns({"_pos": F.sum("_y").over(whole), "_n": F.count(F.lit(1)).over(whole), "_below": F.coalesce(F.sum("_y").over(before), F.lit(0)), "_i": F.row_number().over(order) - 1})
+    rows = preds.select(*keys, F.struct(F.col(p).cast("double").alias("p"), F.col(row_id).alias("id")).alias("at"), F.col(y).cast("long").alias("_y"), F.lit(1).cast("long").alias("_one"))
+    rows = prefix_sums(rows, keys, "at", {"_below": "_y", "_i": "_one"}, {"_pos": "_y", "_n": "_one"})
     sensitivity = F.coalesce(ratio((F.col("_pos") - F.col("_below")).cast("double"), F.col("_pos")), F.lit(0.0))
     specificity = F.coalesce(ratio((F.col("_i") - F.col("_below")).cast("double"), F.col("_n") - F.col("_pos")), F.lit(0.0))
     rows = rows.withColumns({"sensitivity": sensitivity, "specificity": specificity})
@@ -159,3 +156,35 @@ def confusion(preds: DataFrame, keys: list[str], threshold: Column, y: str = "y"
     sens, spec = F.coalesce(ratio(c("tp"), c("tp") + c("fn")), F.lit(0.0)), F.coalesce(ratio(c("tn"), c("tn") + c("fp")), F.lit(0.0))
     f1 = F.coalesce(ratio(2 * c("tp"), 2 * c("tp") + c("fp") + c("fn")), F.lit(0.0))
     return cells.select(*keys, ratio(c("tp") + c("tn"), c("tp") + c("tn") + c("fp") + c("fn")).alias("accuracy"), f1.alias("f1_score"), sens.alias("sensitivity"), spec.alias("specificity"), ((sens + spec) / 2).alias("balanced_accuracy"))
+
+
+def score_triple(preds: DataFrame, keys: list[str], reference: float, y: str = "y", p: str = "p") -> DataFrame:
+    """(keys, roc_auc, pr_auc, calibrated_pr_auc) in one pass: the last is under weights that bring the prevalence to the
+    reference, and those only scale the two classes' running sums."""
+    sums = {"_pos_below": "pos", "_neg_below": "neg"}
+    groups = prefix_sums(score_groups(preds, keys, y, p), keys, "p", sums, {"_pos": "pos", "_neg": "neg"})
+    tp, fp, of = F.col("_pos") - F.col("_pos_below"), F.col("_neg") - F.col("_neg_below"), F.max
+    one, zero = ratio(F.lit(reference), F.col("_pos")), ratio(F.lit(1 - reference), F.col("_neg"))
+    area = F.sum(F.col("pos") * (F.col("_neg_below") + F.col("neg") / 2))
+    average = lambda a, b: F.when(of("_neg") > 0, ratio(F.sum(F.col("pos") * ratio(tp * a, tp * a + fp * b)), of("_pos")))
+    return groups.groupBy(*keys).agg(ratio(area, of("_pos") * of("_neg")).alias("roc_auc"), average(F.lit(1.0), F.lit(1.0)).alias("pr_auc"), average(one, zero).alias("calibrated_pr_auc"))
+
+
+#: What a score may be called by.
+METRICS = {"roc": "roc_auc", "pr": "pr_auc"}
+
+
+def score(preds: DataFrame, keys: list[str], metric: str, y: str = "y", p: str = "p", w: str | None = None) -> DataFrame:
+    """(keys, score) by the metric's name, weighted if w is given."""
+    if metric not in METRICS:
+        raise ValueError(f"no such metric: {metric}; there are {sorted(METRICS)}")
+    return rank_metrics(preds, keys, y, p, w).select(*keys, F.col(METRICS[metric]).alias("score"))
+
+
+def weighted_shift_of(df: DataFrame, keys: list[str], x: str, y: str, w: str, mean: float, sd: float) -> DataFrame:
+    """weighted_shift in deviations of other rows (the training rows), whose mean and deviation are given."""
+    c, wx = F.col(x).cast("double"), F.col(w)
+    sums = df.groupBy(*keys).agg(F.sum(wx).alias("_w"), F.sum(wx * c).alias("_x"), F.sum(wx * c * c).alias("_xx"), F.sum(wx * F.col(y)).alias("_y"), F.stddev_pop(c).alias("_s"))
+    at = ratio(F.col("_x"), F.col("_w"))
+    spread = F.sqrt(F.greatest(ratio(F.col("_xx"), F.col("_w")) - at * at, F.lit(0.0)))
+    return sums.select(*keys, ratio(at - F.lit(mean), F.lit(sd)).alias("mean_shift"), ratio(spread, F.col("_s")).alias("sd_ratio"), ratio(F.col("_y"), F.col("_w")).alias("weighted_prevalence"))

@@ -1,20 +1,25 @@
 """L2 logistic regression for many feature subsets at once, and scores as Columns.
 
-One small fit is a damped Newton iteration on arrays; many fits are a distributed map over (mask) rows with the fold
-arrays broadcast, after a check of their size. A single fit on a table that is too large for that goes to the library's
-distributed solver with the same objective.
+A final fit takes distributed Newton steps, whatever its table's size. A search fits many masks on the same folds: where
+their arrays are within a checked size they are broadcast, and each mask is one task's local iteration; beyond it the same
+fits take the distributed steps, all masks together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+from .metrics import marginal_correlations, rank_metrics
+from .prep import moments
+
 #: Bytes of training arrays that may be broadcast.
 MOST_BROADCAST = 256 * 2**20
 
@@ -85,10 +90,7 @@ class Folds:
 
     @staticmethod
     def collect(df: DataFrame, features: list[str], label: str, row_id: str, fold: str = "fold") -> Folds:
-        """From a frame with folds. Refuses tables whose arrays would be over MOST_BROADCAST."""
-        n = df.count()
-        if 8 * n * (len(features) + 1) > MOST_BROADCAST:
-            raise ValueError(f"{n} rows of {len(features)} features are too many to search over on every task; sample the rows or use fit_distributed")
+        """From a frame with folds, whose arrays the caller knows to be small."""
         rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(label).cast("double").alias("y"), F.col(fold).alias("fold"), F.col(row_id).alias("id")).orderBy("id").toPandas()
         x, y, k = rows[[f"x{i}" for i in range(len(features))]].to_numpy(), rows["y"].to_numpy(), rows["fold"].to_numpy()
         parts = []
@@ -110,6 +112,31 @@ class Folds:
         return float(np.nanmean(scores)), float(np.mean(signs))
 
 
+def fitness(df: DataFrame, features: list[str], label: str, row_id: str, fold: str = "fold") -> Callable[[list[str]], dict[str, tuple[float, float]]]:
+    """What gives masks their (auc, sign share), over the folds of df: by either way the same."""
+    spark, n = df.sparkSession, df.count()
+    if 8 * n * (len(features) + 1) <= MOST_BROADCAST:
+        sent = spark.sparkContext.broadcast(Folds.collect(df, features, label, row_id, fold))
+        return lambda masks: evaluate_masks(spark, sent, masks)
+    return lambda masks: evaluate_distributed(df, features, label, masks, fold)
+
+
+def evaluate_distributed(df: DataFrame, features: list[str], label: str, masks: list[str], fold: str = "fold") -> dict[str, tuple[float, float]]:
+    """(auc, sign share) of each mask, on tables of any size: all masks' fits of a fold take their steps together."""
+    subsets = {m: [f for f, bit in zip(features, m) if bit == "1"] for m in sorted(set(masks))}
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    scores: dict[str, list[tuple[float, float]]] = {m: [] for m in subsets if "1" in m}
+    for f in folds:
+        train, rest = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
+        made = fit_many(train, features, label, {m: subsets[m] for m in scores})
+        corr = {r["feature"]: r["corr"] for r in marginal_correlations(train, features, label).collect()}
+        found = {r["model"]: r["roc_auc"] for r in rank_metrics(score_models(rest, made, [label]), ["model"], label).collect()}
+        for m, package in made.items():
+            coef = np.array([c for name, _, _, c in package if name != "(intercept)"])
+            scores[m].append((found[m] if found[m] is not None else float("nan"), sign_share(coef, np.array([corr[c] for c in subsets[m]]))))
+    return {m: (float(np.nanmean([a for a, _ in scores[m]])), float(np.mean([s for _, s in scores[m]]))) if m in scores else (0.0, 0.0) for m in subsets}
+
+
 def evaluate_masks(spark, folds, masks: list[str]) -> dict[str, tuple[float, float]]:
     """(auc, sign share) of each mask: one job over the distinct masks. folds: a broadcast of Folds."""
     distinct = sorted(set(masks))
@@ -126,30 +153,64 @@ def evaluate_masks(spark, folds, masks: list[str]) -> dict[str, tuple[float, flo
     return {r["mask"]: (r["auc"], r["sign"]) for r in df.mapInPandas(run, "mask string, auc double, sign double").collect()}
 
 
-def fit_frame(df: DataFrame, features: list[str], label: str, row_id: str) -> list[tuple[str, float, float, float]]:
-    """(feature, mean, scale, coef) and a last row for the intercept; a local fit of all rows, standardised."""
-    folds = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(label).cast("double").alias("y"), F.col(row_id).alias("id")).orderBy("id")
-    if 8 * folds.count() * (len(features) + 1) > MOST_BROADCAST:
-        return fit_distributed(df, features, label)
-    rows = folds.toPandas()
-    x, y = rows[[f"x{i}" for i in range(len(features))]].to_numpy(), rows["y"].to_numpy()
-    mean, sd = x.mean(axis=0), x.std(axis=0)
-    sd = np.where(sd > 0, sd, 1.0)
-    coef, free = fit_logistic((x - mean) / sd, y)
-    return [*zip(features, mean.tolist(), sd.tolist(), coef.tolist()), ("(intercept)", 0.0, 1.0, free)]
-
-
-def fit_distributed(df: DataFrame, features: list[str], label: str) -> list[tuple[str, float, float, float]]:
-    """The same objective by the library's solver, for tables of any size."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+Package = list[tuple[str, float, float, float]]
+
+
+def fit_many(df: DataFrame, features: list[str], label: str, subsets: dict[str, list[str]], steps: int = 100) -> dict[str, Package]:
+    """A fit for each subset of the features, standardised by all rows: (feature, mean, scale, coef), and a last row for the
+    intercept. The objective is fit_logistic's, |b|^2 / 2 + the sum of log losses.
+
+    All fits take their Newton steps together: a step is one job, whose tasks sum up values, gradients and curvatures of
+    their rows, so tables of any size take the same way, and what comes back has a cell for a pair of coefficients."""
+    fit = moments(df, features) if features else {}
+    at = {c: i for i, c in enumerate(features)}
+    rows = staged(df.select(*[((F.col(f"`{c}`").cast("double") - F.lit(float(m))) / F.lit(float(s))).alias(f"x{at[c]}") for c, (m, s) in fit.items()], F.col(label).cast("double").alias("y")), "design")
+    places = {name: [at[c] for c in chosen] for name, chosen in subsets.items()}
+
+    def sums(points: dict[str, np.ndarray]) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
+        """(value, gradient, curvature) of each open fit, without the ridge."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {n: np.zeros(1 + len(b) + len(b) ** 2) for n, b in points.items()}
+            for batch in batches:
+                columns = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                y = columns[:, -1]
+                for n, b in points.items():
+                    x = np.column_stack([columns[:, places[n]], np.ones(len(y))])
+                    z = x @ b
+                    p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                    total[n] += np.concatenate([[(np.logaddexp(0, z) - y * z).sum()], x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+            names = [n for n, t in total.items() for _ in t]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([i for t in total.values() for i in range(len(t))], pa.int64()), pa.array(np.concatenate(list(total.values())))], ["name", "i", "v"])
+
+        got = {n: np.zeros(1 + len(b) + len(b) ** 2) for n, b in points.items()}
+        for r in rows.mapInArrow(run, "name string, i long, v double").groupBy("name", "i").agg(F.sum("v").alias("v")).collect():
+            got[r["name"]][r["i"]] = r["v"]
+        return {n: (t[0], t[1 : 1 + len(points[n])], t[1 + len(points[n]) :].reshape(len(points[n]), -1)) for n, t in got.items()}
+
+    now = {n: np.zeros(len(p) + 1) for n, p in places.items()}
+    state: dict[str, tuple] = {}
+    trial, size, done = dict(now), dict.fromkeys(now, 1.0), set()
+    for _ in range(steps):
+        if not trial:
+            break
+        for n, (value, gradient, curve) in sums(trial).items():
+            b = trial[n]
+            ridge = np.r_[np.ones(len(b) - 1), 0.0]
+            value, gradient = value + float((ridge * b) @ b) / 2, gradient + ridge * b
+            if n in state and not value <= state[n][0] + 1e-12 * abs(state[n][0]) and size[n] > 1e-8:
+                size[n] /= 2  # no descent: half the step, from the same place
+            else:
+                size[n], now[n], state[n] = 1.0, b, (value, np.linalg.solve(curve + np.diag(ridge) + 1e-10 * np.eye(len(b)), gradient))
+                if np.abs(gradient).max() < 1e-9 * max(1.0, abs(value)):
+                    done.add(n)
+        trial = {n: now[n] - size[n] * state[n][1] for n in now if n not in done}
+    return {n: [*[(features[i], fit[features[i]][0], fit[features[i]][1], float(c)) for i, c in zip(places[n], b)], ("(intercept)", 0.0, 1.0, float(b[-1]))] for n, b in now.items()}
 
-    from .prep import moments, standardise
 
-    fit, n = moments(df, features), df.count()
-    scaled = VectorAssembler(inputCols=features, outputCol="_x").transform(standardise(df, features, F.lit(True)))
-    model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, tol=1e-12, maxIter=1000).fit(scaled)
-    return [*[(c, fit[c][0], fit[c][1], float(v)) for c, v in zip(features, model.coefficients)], ("(intercept)", 0.0, 1.0, float(model.intercept))]
+def fit_frame(df: DataFrame, features: list[str], label: str) -> Package:
+    """One fit of all rows on all the features."""
+    return fit_many(df, features, label, {"all": features})["all"]
 
 
 def score_column(package: list[tuple[str, float, float, float]]) -> Column:
@@ -166,10 +227,10 @@ def score_models(df: DataFrame, packages: dict[str, list], keep: list[str]) -> D
     return df.select(*keep, F.explode(made).alias("_m")).select(*keep, "_m.model", "_m.p")
 
 
-def out_of_fold(df: DataFrame, features: list[str], label: str, row_id: str, fold: str = "fold") -> DataFrame:
+def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str = "fold") -> DataFrame:
     """df with p, from a model of the rows of the other folds."""
     folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
     p = F.lit(None).cast("double")
     for f in folds:
-        p = F.when(F.col(fold) == f, score_column(fit_frame(df.where(F.col(fold) != f), features, label, row_id))).otherwise(p)
+        p = F.when(F.col(fold) == f, score_column(fit_frame(df.where(F.col(fold) != f), features, label))).otherwise(p)
     return df.withColumn("p", p)

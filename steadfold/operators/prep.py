@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_uniform, ratio
+from .metrics import prefix_sums
 
 
 def null_sentinels(df: DataFrame, sentinels: dict[str, list]) -> DataFrame:
@@ -60,9 +61,17 @@ def null_category(df: DataFrame, columns: list[str], label: str = "Missing") ->
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(label)) for c in columns})
 
 
+#: Levels of a categorical column at most: more columns than these a plan cannot have.
+MOST_LEVELS = 10_000
+
+
 def levels(df: DataFrame, column: str) -> list:
-    """The distinct values of a categorical column, in order."""
-    return [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+    """The distinct values of a categorical column, in order. Refuses a column with over MOST_LEVELS of them, whose flags
+    no table could hold."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_LEVELS + 1).collect()]
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"{column} has over {MOST_LEVELS} values: it is no category")
+    return sorted(found)
 
 
 def one_hot(df: DataFrame, columns: list[str], drop_first: bool = True) -> DataFrame:
@@ -79,9 +88,36 @@ def missing_flags(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({f"{c}:missing": F.col(c).isNull().cast("int") for c in columns if some[c]})
 
 
+def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5, accuracy: int = 10_000) -> dict[str, float | None]:
+    """Each column's quantile, between its two neighbours in proportion; null without values. An approximate pass brackets
+    it, a second one counts what is below the bracket and each distinct value within, about 4 / accuracy of the rows: no
+    task holds all values of a column."""
+    edges = F.array(F.lit(max(q - 2 / accuracy, 0.0)), F.lit(min(q + 2 / accuracy, 1.0)))
+    value = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    first = df.agg(*[F.percentile_approx(value[c], edges, accuracy).alias(f"e{i}") for i, c in enumerate(columns)], *[F.count(value[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    known = {c: (first[f"e{i}"], first[f"n{i}"]) for i, c in enumerate(columns) if first[f"n{i}"]}
+    if not known:
+        return dict.fromkeys(columns)
+    # -inf stands for all that is below the bracket: counted, never kept apart
+    low = lambda c: F.when(value[c] < known[c][0][0], F.lit(float("-inf"))).otherwise(value[c])
+    cells = F.array(*[F.when(value[c] <= known[c][0][1], F.struct(F.lit(c).alias("feature"), low(c).alias("value"))) for c in known])
+    counts = df.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x")).groupBy("x.feature", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.create_map(*[F.lit(x) for c, (_, n) in known.items() for x in (c, q * (n - 1))])
+    rank = F.element_at(place, F.col("feature"))
+    counts = counts.withColumn("before", before)
+    hit = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("n"))
+    rows = counts.where(hit(F.floor(rank)) | hit(F.ceil(rank))).select("feature", "value", hit(F.floor(rank)).alias("lower"), hit(F.ceil(rank)).alias("upper")).collect()
+    found = {}
+    for c, (_, n) in known.items():
+        a, b = (next(r["value"] for r in rows if r["feature"] == c and r[side]) for side in ("lower", "upper"))
+        share = q * (n - 1) % 1
+        found[c] = a if a == b else a * (1 - share) + b * share
+    return {c: found.get(c) for c in columns}
+
+
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    row = df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first()
-    return row.asDict()
+    return exact_quantiles(df, columns)
 
 
 def impute_median(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
@@ -93,7 +129,7 @@ def impute_median(df: DataFrame, columns: list[str], train: Column) -> DataFrame
 def impute_implausible(df: DataFrame, column: str, low: float, high: float, measured: Column, train: Column) -> DataFrame:
     """What is not measured, null or outside [low, high] becomes the median of the training rows' usable values."""
     usable = measured & F.coalesce(F.col(column).between(low, high), F.lit(False))
-    fill = df.where(train & usable).agg(F.percentile(column, F.lit(0.5))).first()[0]
+    fill = medians(df.where(train & usable), [column])[column]
     return df.withColumn(column, F.when(usable, F.col(column)).otherwise(F.lit(fill)))
 
 
@@ -174,9 +210,11 @@ def standardise(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, label: str, row_id: str, k: int = 3, seed: int = 42) -> DataFrame:
-    """fold 0..k-1: rows of a class in hashed order, dealt in turn."""
-    order = Window.partitionBy(label).orderBy(hash_uniform(seed, "fold", F.col(row_id)), row_id)
-    return df.withColumn("fold", (F.row_number().over(order) - 1) % k)
+    """fold 0..k-1: rows of a class in hashed order, dealt in turn. A class may have most of the rows: their places are
+    found by ranges. Row ids are distinct within a class."""
+    at = F.struct(hash_uniform(seed, "fold", F.col(row_id)).alias("u"), F.col(row_id).alias("id"))
+    placed = prefix_sums(df.withColumns({"_at": at, "_one": F.lit(1).cast("long")}), [label], "_at", {"_i": "_one"})
+    return placed.withColumn("fold", (F.col("_i") % k).cast("int")).drop("_at", "_one", "_i")
 
 
 def hashed_split(df: DataFrame, row_id: str, share: float = 0.7, seed: int = 42) -> DataFrame:
@@ -224,3 +262,35 @@ def redundant_flag(df: DataFrame, flag: str, value: str) -> bool:
 def concat_ordered(parts: list[DataFrame]) -> DataFrame:
     """All rows, with the ordinal of the part they come from; columns by name, missing ones null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
+
+
+def nonzero_flags(df: DataFrame, columns: list[str]) -> DataFrame:
+    """1 where a value is not zero; null stays null."""
+    return df.withColumns({c: (F.col(c) != 0).cast("int") for c in columns})
+
+
+def row_sum(df: DataFrame, out: str, columns: list[str]) -> DataFrame:
+    """A column with the sum of others, row by row; null if one of them is."""
+    return df.withColumn(out, reduce(lambda a, b: a + b, [F.col(c) for c in columns]))
+
+
+def exclude_codes(df: DataFrame, column: str, codes: list) -> DataFrame:
+    """Rows whose code is not in the list; a null code is in no list."""
+    return df.where(~F.coalesce(F.col(column).isin(codes), F.lit(False)))
+
+
+def member_flag(df: DataFrame, out: str, column: str, members: list) -> DataFrame:
+    """1 where the value is one of the members; a null is none."""
+    return df.withColumn(out, F.coalesce(F.col(column).isin(members), F.lit(False)).cast("int"))
+
+
+def complete_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows without a null."""
+    return df.na.drop(subset=columns)
+
+
+def official_split(df: DataFrame, column: str, names: list[str]) -> dict[str, DataFrame]:
+    """A frame for each name of an official split; fails if the column holds another one."""
+    if not df.where(F.col(column).isNull() | ~F.col(column).isin(names)).isEmpty():
+        raise ValueError(f"{column} has values other than {names}")
+    return {n: df.where(F.col(column) == n).drop(column) for n in names}

@@ -1,12 +1,13 @@
 """Re-weighted populations: tilts towards a direction, and of the dependence within a pair of features.
 
 Weights are functions of features alone. Solvers see compressed statistics - distinct scores with their counts, moments,
-a Gram matrix - and not rows; large score columns are first rounded into a bounded number of equal-mass knots.
+a Gram matrix - and not rows; score columns come as knots of a fine grid, or rounded where two are paired.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -18,20 +19,16 @@ from .metrics import prefix_sums
 
 def ecdf(df: DataFrame, value: str, train: Column, out: str = "cdf", keys: list[str] = ()) -> DataFrame:
     """df with the mid-rank share of the training rows (of the same keys) below each value, kept 1 / (2 n) away from 0
-    and 1. Rows outside training are placed among training rows and do not move them. All keys go through one plan."""
-    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.sum(train.cast("long")).alias("_k"))
-    totals = F.broadcast(counts.groupBy(*[F.col(k).alias(f"_t_{k}") for k in keys]).agg(F.greatest(F.sum("_k"), F.lit(1)).alias("_n")))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
-    at = prefix_sums(counts, list(keys), "_v", {"_below": "_k"})
-    at = at.join(totals, same) if keys else at.crossJoin(totals)
+    and 1; null for a null value. Rows outside training are placed among training rows and do not move them. All keys go
+    through one plan."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.coalesce(F.sum(train.cast("long")), F.lit(0)).alias("_k"))
+    at = prefix_sums(counts, list(keys), "_v", {"_below": "_k"}, {"_all": "_k"}).withColumn("_n", F.greatest("_all", F.lit(1)))
     share, edge = (F.col("_below") + F.col("_k") / 2) / F.col("_n"), 1 / (2 * F.col("_n"))
     placed = at.select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col("_v").alias("_place"), F.least(F.greatest(share, edge), 1 - edge).alias(out))
     match = F.col(value) == F.col("_place")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
-    return df.join(placed, match).drop("_place", *[f"_p_{k}" for k in keys])
+    return df.join(placed, match, "left").drop("_place", *[f"_p_{k}" for k in keys])
 
 
 def normal_scores(df: DataFrame, value: str, train: Column, out: str = "score", keys: list[str] = ()) -> DataFrame:
@@ -41,22 +38,23 @@ def normal_scores(df: DataFrame, value: str, train: Column, out: str = "score",
 def tilt(df: DataFrame, t: str, strength: float, keys: list[str] = (), out: str = "w") -> DataFrame:
     """df with weights exp(strength * t), scaled to a mean of 1 (within keys); the exponent is taken from its maximum."""
     peak = df.groupBy(*keys).agg(F.max(F.lit(strength) * F.col(t)).alias("_peak"))
-    joined = df.join(F.broadcast(peak), list(keys)) if keys else df.crossJoin(F.broadcast(peak))
+    joined = df.join(peak, list(keys)) if keys else df.crossJoin(F.broadcast(peak))
     raw = F.exp(F.lit(strength) * F.col(t) - F.col("_peak"))
     mean = joined.groupBy(*keys).agg(F.avg(raw).alias("_mean"))
-    joined = joined.join(F.broadcast(mean), list(keys)) if keys else joined.crossJoin(F.broadcast(mean))
+    joined = joined.join(mean, list(keys)) if keys else joined.crossJoin(F.broadcast(mean))
     return joined.withColumn(out, raw / F.col("_mean")).drop("_peak", "_mean")
 
 
-def knots(df: DataFrame, t: str, most: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and their counts; if there are over `most`, the values are the means of ranges of equal mass."""
-    counts = df.groupBy(F.col(t).alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    if counts.limit(most + 1).count() > most:
-        cuts = df.agg(F.percentile_approx(t, [i / most for i in range(1, most)], 10 * most)).first()[0]
-        edges = df.sparkSession.createDataFrame([(float(c),) for c in sorted(set(cuts))], "edge double").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-        place = F.expr(f"aggregate(sequence(1, 20), named_struct('lo', 0, 'hi', size(edges)), (s, i) -> if(s.lo >= s.hi, s, if(edges[div0(s.lo + s.hi, 2)] < {t}, named_struct('lo', div0(s.lo + s.hi, 2) + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', div0(s.lo + s.hi, 2)))), s -> s.lo)".replace("div0(s.lo + s.hi, 2)", "cast(floor((s.lo + s.hi) / 2) as int)"))
-        counts = df.crossJoin(F.broadcast(edges)).groupBy(place.alias("k")).agg(F.avg(t).alias("t"), F.count(F.lit(1)).alias("n"))
-    rows = counts.select(F.col("t").cast("double").alias("t"), "n").orderBy("t").toArrow()
+#: Knots to a unit of the inverse hyperbolic sine of a score: near zero two thousandths of a deviation, beyond in
+#: proportion. So a score column has a few ten thousand knots at most, whatever its rows.
+KNOTS = 500
+
+
+def knots(df: DataFrame, t: str) -> tuple[np.ndarray, np.ndarray]:
+    """Means and counts of the values in ranges of one fine grid, which is the same for every table."""
+    place = F.floor(F.asinh(F.col(t)) * KNOTS)
+    counts = df.where(F.col(t).isNotNull()).groupBy(place.alias("k")).agg(F.avg(t).alias("t"), F.count(F.lit(1)).alias("n"))
+    rows = counts.orderBy("k").select(F.col("t").cast("double").alias("t"), "n").toArrow()
     return rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(float)
 
 
@@ -160,86 +158,159 @@ def pair_selection(train: DataFrame, test: DataFrame, continuous: list[str], bin
     return found.orderBy(F.desc(F.round(F.abs("corr"), 12)), "a", "b").limit(most), found.count()
 
 
-class DependenceTilt:
-    """Maximum-entropy weights that move the product of two scores and keep their means (and squares, for continuous
-    ones) where they were: w ~ exp(theta * a * b + lam . t), found by damped Newton steps from the last solution, or
-    from zero. Scores come with counts, so a pair's problem is as large as its distinct score pairs."""
+@dataclass
+class Moved:
+    """Weights exp(theta * a * b + bend . kept(a, b)) under which a pair of scores has another correlation. reached: the
+    correlation that they give; error: the largest change of what was to be kept, in its own deviations."""
+
+    theta: float
+    bend: np.ndarray
+    reached: float
+    error: float
+    mass: np.ndarray
+    base: np.ndarray
+
+    @property
+    def ess_share(self) -> float:
+        return float(1 / (self.mass**2 / self.base).sum())
+
+
+class PairShift:
+    """Maximum-entropy weights that give a pair of scores another correlation and keep their means, and the squares of
+    continuous ones.
+
+    With means and squares kept, the spreads stay, so a correlation is the same as a mean product, and all constraints are
+    linear: one convex problem for each target, over the multiplier of the product and those of what is kept together.
+    It is solved in whitened constraints by steps within a trusted radius. Scores come with counts, so a problem is as
+    large as the pair's distinct scores. Two-valued scores need no square: it follows from their mean."""
+
+    #: A multiplier of the product beyond this is taken for a target that cannot be reached, as is an error beyond NEAR.
+    MOST, NEAR = 20.0, 1e-6
 
     def __init__(self, a: np.ndarray, b: np.ndarray, counts: np.ndarray, squares: tuple[bool, bool]):
-        self.a, self.b, self.n = a, b, counts / counts.sum()
-        self.t = np.stack([a, b, *([a * a] if squares[0] else []), *([b * b] if squares[1] else [])], axis=1)
-        self.target = self.n @ self.t
-        self.lam = np.zeros(self.t.shape[1])
-
-    def _value(self, theta: float, lam: np.ndarray) -> tuple[float, np.ndarray]:
-        e = theta * self.a * self.b + self.t @ lam
-        top = e.max()
-        w = np.exp(e - top) * self.n
-        return float(np.log(w.sum()) + top - self.target @ lam), w / w.sum()
-
-    def _solve(self, theta: float, lam: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        value, w = self._value(theta, lam)
-        for _ in range(200):
-            mean = w @ self.t
-            gradient = mean - self.target
-            if np.abs(gradient).max() < 1e-10:
+        self.a, self.b, self.squares = a, b, squares
+        self.base = counts / counts.sum()
+        columns = np.column_stack([a * b, self.kept(a, b)])
+        self.middle = self.base @ columns
+        self.means = np.array([self.base @ a, self.base @ b])
+        self.spreads = np.sqrt([self.base @ (a - self.means[0]) ** 2, self.base @ (b - self.means[1]) ** 2])
+        centred = columns - self.middle
+        # Whitened by the unweighted covariance; directions without spread (a square that the mean gives) fall away.
+        values, vectors = np.linalg.eigh((centred * self.base[:, None]).T @ centred)
+        use = values > 1e-10 * max(values.max(initial=0.0), 1e-300)
+        self.whiten = vectors[:, use] / np.sqrt(values[use])
+        self.z = centred @ self.whiten
+
+    def kept(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.column_stack([a, b, *([a * a] if self.squares[0] else []), *([b * b] if self.squares[1] else [])])
+
+    @property
+    def start(self) -> float:
+        """The correlation as it is; nan without spread."""
+        wide = float(self.spreads.prod())
+        return float((self.middle[0] - self.means.prod()) / wide) if wide > 0 else float("nan")
+
+    def _state(self, u: np.ndarray) -> tuple[float, np.ndarray]:
+        """log of the mean weight at multipliers u, and the shares of mass."""
+        power = self.z @ u
+        top = power.max()
+        share = self.base * np.exp(power - top)
+        total = share.sum()
+        return float(np.log(total) + top), share / total
+
+    def _solved(self, goal: np.ndarray, most_steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
+        """Multipliers whose weighted means of z are the goal: a minimum of log mean weight less u . goal."""
+        u, radius = np.zeros(self.z.shape[1]), 1.0
+        log_mean, share = self._state(u)
+        value = log_mean - u @ goal
+        for _ in range(most_steps):
+            mean = share @ self.z
+            slope = mean - goal
+            if np.abs(slope).max() < 1e-12:
                 break
-            spread = self.t - mean
-            hessian = (spread * w[:, None]).T @ spread + 1e-12 * np.eye(len(lam))
-            step = np.linalg.solve(hessian, gradient)
-            fall, size = gradient @ step, 1.0
-            if fall < 1e-18:
+            curve = (self.z * share[:, None]).T @ self.z - np.outer(mean, mean)
+            values, vectors = np.linalg.eigh(curve)
+            along = vectors.T @ slope
+            # the step of length `radius` at most that the quadratic model likes best: its shift by bisection
+            size = lambda shift: float(np.linalg.norm(along / (values + shift)))
+            low = max(0.0, 1e-14 - float(values.min()))
+            if size(low + 1e-300) > radius:
+                high = low + float(np.linalg.norm(slope)) / radius
+                for _ in range(60):
+                    middle = (low + high) / 2
+                    low, high = (middle, high) if size(middle) > radius else (low, middle)
+                low = high
+            step = -vectors @ (along / (values + low + 1e-300))
+            hoped = -(slope @ step + step @ curve @ step / 2)
+            new_log, new_share = self._state(u + step)
+            fallen = value - (new_log - (u + step) @ goal)
+            good = fallen / hoped if hoped > 0 else 1.0 if fallen >= 0 else 0.0
+            radius = radius / 4 if not good > 0.25 else 2 * radius if good > 0.75 else radius
+            if good > 1e-4 or (abs(fallen) <= 1e-15 and np.abs(new_share @ self.z - goal).max() < np.abs(slope).max()):
+                u, value, share = u + step, value - fallen, new_share
+            elif radius < 1e-14:
                 break
-            while size > 1e-12:
-                new, new_w = self._value(theta, lam - size * step)
-                if new <= value - 1e-4 * size * fall:
-                    lam, value, w = lam - size * step, new, new_w
-                    break
-                size /= 2
-            else:
-                break
-        return lam, w, float(np.abs(w @ self.t - self.target).max())
-
-    def weights(self, theta: float) -> tuple[np.ndarray, float]:
-        """Shares of mass on the score pairs, and the largest error of what should be kept; over 1e-6 is no solution."""
-        with np.errstate(over="ignore", under="ignore", invalid="ignore"):
-            lam, w, error = self._solve(theta, self.lam)
-            if not error <= 1e-6:
-                lam, w, error = self._solve(theta, np.zeros_like(self.lam))
-        if error <= 1e-6:
-            self.lam = lam
-        return w, error
-
-    def correlation(self, theta: float) -> float:
-        w, error = self.weights(theta)
-        if not error <= 1e-6:
-            return float("nan")
-        ma, mb = w @ self.a, w @ self.b
-        va, vb = w @ (self.a - ma) ** 2, w @ (self.b - mb) ** 2
-        return float(w @ ((self.a - ma) * (self.b - mb)) / np.sqrt(va * vb)) if va > 0 and vb > 0 else float("nan")
-
-
-def calibrate_correlation(problem: DependenceTilt, targets: list[float], first: float = 0.05, most: float = 20.0, accept: float = 1e-3) -> list[float]:
+        return u, share
+
+    def moved(self, target: float) -> Moved | None:
+        """The weights for a correlation; None if it cannot be reached."""
+        if not (abs(target) < 1 and np.isfinite(self.start)):
+            return None
+        goal = self.middle.copy()
+        goal[0] = target * self.spreads.prod() + self.means.prod()
+        with np.errstate(all="ignore"):
+            u, share = self._solved((goal - self.middle) @ self.whiten)
+        bend = self.whiten @ u
+        ma, mb = share @ self.a, share @ self.b
+        wide = np.sqrt((share @ (self.a - ma) ** 2) * (share @ (self.b - mb) ** 2))
+        reached = float((share @ ((self.a - ma) * (self.b - mb))) / wide) if wide > 0 else float("nan")
+        error = float(np.abs(share @ self.kept(self.a, self.b) - self.middle[1:]).max())
+        if not (error <= self.NEAR and abs(reached - target) <= 1e-3 and abs(bend[0]) <= self.MOST):
+            return None
+        return Moved(float(bend[0]), bend[1:], reached, error, share, self.base)
+
+
+#: Where scores of pairs are clipped, and the steps to a unit that they are rounded to: 251 * 251 distinct pairs at most.
+CLIP, PAIR_STEPS = 2.5, 50
+
+
+def pair_score(score: Column) -> Column:
+    """A score clipped and rounded, as pairs take it."""
+    return F.round(F.greatest(F.least(score, F.lit(CLIP)), F.lit(-CLIP)) * PAIR_STEPS) / PAIR_STEPS
+
+
+def pair_problem(df: DataFrame, a: str, b: str, squares: tuple[bool, bool]) -> PairShift:
+    """The problem of two columns of pair scores: their distinct pairs and counts go to the driver."""
+    rows = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy("a", "b").toArrow()
+    x, y, n = (rows.column(i).to_numpy().astype(float) for i in range(3))
+    return PairShift(x, y, n, squares)
+
+
+def pair_targets(df: DataFrame, a: str, b: str, squares: tuple[bool, bool], shares: tuple[float, ...], strengthen: bool = False) -> tuple[list[Moved | None], list[float]]:
+    """What reaches each target, and the targets: the correlation less (or, to strengthen, nearer to one by) each of the
+    shares of what there is to go. After the first that cannot be reached there is None."""
+    problem = pair_problem(df.select(*[(pair_score(F.col(c)) if square else F.col(c)).alias(n) for c, n, square in zip((a, b), "ab", squares)]), "a", "b", squares)
+    start = problem.start
+    targets = [start + s * (np.copysign(1.0, start) - start) if strengthen else start * (1 - s) for s in shares]
+    out: list[Moved | None] = []
+    for target in targets:
+        out.append(None if out and out[-1] is None else problem.moved(target))
+    return out, targets
+
+
+def shift_column(a: Column, b: Column, squares: tuple[bool, bool], moved: Moved) -> Column:
+    """The log of a row's weight, up to a constant: the same function for rows that the weights were not found on."""
+    terms = [a, b, *([a * a] if squares[0] else []), *([b * b] if squares[1] else [])]
+    return sum((F.lit(float(k)) * t for k, t in zip(moved.bend, terms)), F.lit(moved.theta) * a * b)
+
+
+def calibrate_correlation(problem: PairShift, targets: list[float]) -> list[float]:
     """theta for each target, which move one way from the unweighted correlation; nan for the first that cannot be
     reached and all after it."""
-    start = problem.correlation(0.0)
-    out, near = [], 0.0
+    out: list[float] = []
     for target in targets:
-        if (out and np.isnan(out[-1])) or abs(target) >= 0.999:
-            out.append(float("nan"))
-            continue
-        way = 1.0 if target > start else -1.0
-        f = lambda s, t=target, way=way: way * (problem.correlation(way * s) - t)
-        high = max(first, near)
-        while high < most and f(high) < 0:
-            high = min(2 * high, most)
-        if not f(high) >= 0:
-            out.append(float("nan"))
-            continue
-        root = bisect(f, near, high, 1e-9)
-        good = abs(f(root)) <= accept
-        out.append(way * root if good else float("nan"))
-        near = root if good else near
+        found = None if out and np.isnan(out[-1]) else problem.moved(target)
+        out.append(found.theta if found else float("nan"))
     return out
 
 
@@ -262,5 +333,5 @@ def scenario_scores(preds: DataFrame, weights: DataFrame, row_id: str, y: str =
 
     under = rank_metrics(preds.join(weights, row_id), ["scenario_id", "model"], y, p, "w")
     clean = rank_metrics(preds, ["model"], y, p).select("model", F.col("roc_auc").alias("_r"), F.col("pr_auc").alias("_p"))
-    out = under.join(F.broadcast(clean), "model")
+    out = under.join(clean, "model")
     return out.select("scenario_id", "model", "roc_auc", "pr_auc", (F.col("roc_auc") - F.col("_r")).alias("delta_roc_auc"), (F.col("pr_auc") - F.col("_p")).alias("delta_pr_auc"))

@@ -9,12 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_uniform, ratio
+from .metrics import prefix_sums, rank_metrics
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """df with the rank of value, ties sharing their mean."""
-    order, same = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys, value)
-    return df.withColumn(out, F.rank().over(order) + (F.count(F.lit(1)).over(same) - 1) / 2)
+    """df with the rank of value, ties sharing their mean. Values are counted first, so what is put in order is distinct."""
+    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    at = prefix_sums(counts, keys, "_v", {"_below": "_n"}).select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col("_v").alias("_place"), (F.col("_below") + (F.col("_n") + 1) / 2).alias(out))
+    match = F.col(value).eqNullSafe(F.col("_place"))
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
+    return df.join(at, match).drop("_place", *[f"_p_{k}" for k in keys])
 
 
 def pearson(x: str, y: str) -> Column:
@@ -41,15 +46,21 @@ def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, z: str) ->
 
 
 def signed_ranks(df: DataFrame, keys: list[str], difference: str) -> DataFrame:
-    """(keys, n, w_plus, w_minus, ties): signed rank sums of differences rounded to 12 digits, zeros and nulls left out.
-    ties: sum of t^3 - t over groups of equal size, for the variance."""
-    some = df.withColumn("_d", F.round(F.col(difference).cast("double"), 12)).where(F.col("_d").isNotNull() & (F.col("_d") != 0)).withColumn("_a", F.abs("_d"))
+    """(keys, n, w_plus, w_minus, ties, zeros): signed rank sums of differences rounded to 12 digits, nulls left out, and
+    zeros, of which only the number is kept. ties: sum of t^3 - t over groups of equal size, for the variance."""
+    some = df.withColumn("_d", F.round(F.col(difference).cast("double"), 12)).where(F.col("_d").isNotNull()).withColumn("_a", F.abs("_d"))
+    zero = some.groupBy(*[F.col(k).alias(f"_z_{k}") for k in keys]).agg(F.count_if(F.col("_d") == 0).alias("zeros"))
+    some = some.where("_d != 0")
     counts = some.groupBy(*keys, "_a").agg(F.count(F.lit(1)).alias("_k"), F.count_if(F.col("_d") > 0).alias("_p"))
     below = F.coalesce(F.sum("_k").over(Window.partitionBy(*keys).orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rank = F.col("_below") + (F.col("_k") + 1) / 2
     counts = counts.withColumn("_below", below)
     k = F.col("_k")
-    return counts.groupBy(*keys).agg(F.sum("_k").alias("n"), F.sum(F.col("_p") * rank).alias("w_plus"), F.sum((k - F.col("_p")) * rank).alias("w_minus"), F.sum(k * k * k - k).alias("ties"))
+    sums = counts.groupBy(*keys).agg(F.sum("_k").alias("n"), F.sum(F.col("_p") * rank).alias("w_plus"), F.sum((k - F.col("_p")) * rank).alias("w_minus"), F.sum(k * k * k - k).alias("ties"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_z_{c}"))
+    return sums.join(zero, same).drop(*[f"_z_{c}" for c in keys])
 
 
 def signed_rank_p(n: int, w_plus: float, w_minus: float, ties: int = 0, zeros: int = 0) -> float:
@@ -152,3 +163,95 @@ def largest_deviation(a: DataFrame, b: DataFrame, keys: list[str], value: str) -
 
 def format_p(p: float | None) -> str:
     return "nan" if p is None or np.isnan(p) else f"{p:.1e}" if p < 1e-3 else f"{p:.3f}"
+
+
+def pivoted(df: DataFrame, keys: list[str], column: str, names: list[str], value: str) -> DataFrame:
+    """(keys, a column for each name): the mean value where column has that name; null where it has none."""
+    return df.groupBy(*keys).pivot(column, names).agg(F.avg(value))
+
+
+def with_intervals(tests: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """tests with the intervals of their keys, null where there is none."""
+    return tests.join(intervals, keys, "left")
+
+
+#: The families in the order of reports; the one whose severity falls with its level; the others' rises.
+FAMILY_ORDER = ("population", "dependence_weaken", "dependence_strengthen", "noise", "redraw", "under_recording", "masking", "median_masking")
+FALLING = "population"
+
+
+def severity_rank(df: DataFrame, order: tuple[str, ...] = FAMILY_ORDER, falling: str = FALLING) -> DataFrame:
+    """df with family_rank and severity_rank: ascending in both, families come in their order and the mildest level first.
+    A family that is not in the order comes last."""
+    place = F.array_position(F.array(*[F.lit(f) for f in order]), F.col("family"))
+    rank = F.when(place > 0, place).otherwise(len(order) + 1).cast("int")
+    mild = F.when(F.col("family") == falling, -F.col("severity")).otherwise(F.col("severity"))
+    return df.withColumns({"family_rank": rank, "severity_rank": mild})
+
+
+def headline_statistic(family: str) -> tuple[str, str]:
+    """(score, change) that summarise a family: the worst scenario of the population's, whose directions would cancel in a
+    mean; the mean of others."""
+    return ("worst_roc_auc", "worst_delta_roc_auc") if family == "population" else ("roc_auc", "delta_roc_auc")
+
+
+#: What a paired comparison may be of.
+STATISTICS = ("roc_auc", "delta_roc_auc", "worst_roc_auc", "worst_delta_roc_auc")
+
+
+def paired_tests(family_scores: DataFrame, target: str, statistics: tuple[str, ...] = STATISTICS) -> DataFrame:
+    """(family, severity, statistic, baseline, n_runs, mean_difference, median_difference, n_better, p_value): target's runs
+    against each other method's, seed by seed, or against its single value. The p-value's exact distribution takes
+    place in a task for each comparison, over numbers that the aggregate has summed up."""
+    long = family_scores.select("family", "severity", "method", "seed", F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in statistics])).alias("x"))
+    long = long.select("family", "severity", "method", "seed", "x.*").where("value IS NOT NULL")
+    keys = ["family", "severity", "statistic"]
+    diff = paired_differences(long, keys, "seed", "method", "value", target)
+    sums = paired_table(diff, [*keys, "baseline"]).join(signed_ranks(diff, [*keys, "baseline"], "difference"), [*keys, "baseline"], "left")
+    return with_p(sums, [*keys, "baseline", "n_runs", "mean_difference", "median_difference", "n_better"])
+
+
+def with_p(sums: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, p_value) from n, w_plus, w_minus, ties and zeros: as many rows as there are comparisons."""
+    kinds = dict(sums.dtypes)
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            ps = [float("nan") if pd.isna(r.n) else signed_rank_p(int(r.n), r.w_plus, r.w_minus, int(r.ties), int(r.zeros)) for r in b.itertuples()]
+            yield b[keep].assign(p_value=ps)
+
+    return sums.select(*keep, "n", F.col("w_plus").cast("double").alias("w_plus"), F.col("w_minus").cast("double").alias("w_minus"), F.col("ties").cast("long").alias("ties"), "zeros").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", p_value double")
+
+
+def small_cohorts(scenarios: DataFrame, least: int = 10, prefix: str = "dependence") -> DataFrame:
+    """(family, units, excluded): families of pairs whose cohort has fewer than `least` units are left out of summaries."""
+    counts = scenarios.groupBy("family").agg(F.count_distinct(F.when(F.col("in_cohort"), F.col("unit"))).alias("units"))
+    return counts.select("family", "units", (F.col("family").startswith(prefix) & (F.col("units") < least)).alias("excluded"))
+
+
+def seed_averaged_bootstrap(id_preds: DataFrame, ood_preds: DataFrame, row_id: str, target: str, samples: int, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """(baseline, metric, low, high, n_samples): percentile intervals of target's out-of-domain AUC, and of its drop from
+    in-domain, less a baseline's; AUCs are averaged over seeds first. preds: row, model, seed, y, p. Rows of either side
+    are drawn alike for all models and seeds; samples with one class have no AUC and drop out."""
+    def side(preds: DataFrame, name: str) -> DataFrame:
+        rows = preds.withColumn("_row", F.concat_ws("|", F.lit(name), F.col(row_id).cast("string")))
+        auc = rank_metrics(bootstrap_weights(rows, "_row", samples, seed), ["sample", "model", "seed"], w="w").where("roc_auc IS NOT NULL")
+        return auc.groupBy("sample", "model").agg(F.avg("roc_auc").alias(name))
+
+    both = side(id_preds, "id").join(side(ood_preds, "ood"), ["sample", "model"]).withColumn("drop", F.col("id") - F.col("ood"))
+    t = both.where(F.col("model") == target).select("sample", F.col("ood").alias("_ood"), F.col("drop").alias("_drop"))
+    out = both.where(F.col("model") != target).join(t, "sample").select("sample", F.col("model").alias("baseline"), F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), (F.col(f"_{c}") - F.col(c)).alias("value")) for n, c in (("ood_roc_auc", "ood"), ("roc_auc_drop", "drop"))])).alias("x")).select("baseline", "x.*")
+    return percentile_interval(out, ["baseline", "metric"], "value", level)
+
+
+def front_correlations(front: DataFrame, keys: list[str] = ("seed",)) -> DataFrame:
+    """(keys, cv_s_vs_ood, cv_s_vs_ood_given_k, cv_s_vs_drop, final_s_vs_ood): rank correlations within each front of sign
+    consistency with out-of-domain performance; null where either is constant."""
+    keys = list(keys)
+    named = lambda df, was, name: df.select(*keys, F.col(was).alias(name))
+    given = partial_spearman(front, keys, "cv_sign_consistency", "ood_roc_auc", "n_features")
+    out = named(given, "spearman", "cv_s_vs_ood").join(named(given, "partial_spearman", "cv_s_vs_ood_given_k"), keys)
+    out = out.join(named(spearman(front, keys, "cv_sign_consistency", "roc_auc_drop"), "spearman", "cv_s_vs_drop"), keys)
+    return out.join(named(spearman(front, keys, "sign_consistency", "ood_roc_auc"), "spearman", "final_s_vs_ood"), keys)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash_uniform
 from ..operators.metrics import long_form
+from ..operators.prep import medians
 from ..sources.tables import table
 
 
@@ -41,6 +42,20 @@ def documents_frame(spark: SparkSession, sf_dir: str) -> FeatureFrame:
     return FeatureFrame(df, "doc_id", "label", DOC_NUMBERS, "train")
 
 
+MIXED = ["n_chars", "n_sp", "n_nl", "avg_w", "lang_de", "lang_en", "lang_es", "lang_fr", "long_lines", "dig:missing", "dig"]
+
+
+def mixed_frame(spark: SparkSession, sf_dir: str) -> FeatureFrame:
+    """Labelled documents with numbers, a one-hot group, a flag, and a value that an availability flag goes with: digits,
+    which a text without any has the middle number of."""
+    f = documents_frame(spark, sf_dir)
+    fill = medians(f.df.where("train AND n_dig > 0"), ["n_dig"])["n_dig"] or 0.0
+    none = F.col("n_dig") == 0
+    df = f.df.withColumns({f"lang_{x}": (F.col("lang") == x).cast("int") for x in ("de", "en", "es", "fr")})
+    df = df.withColumns({"long_lines": (F.col("n_chars") > 300 * (F.col("n_nl") + 1)).cast("int"), "dig:missing": none.cast("int"), "dig": F.when(none, F.lit(fill)).otherwise(F.col("n_dig"))})
+    return FeatureFrame(df, "doc_id", "label", MIXED, "train")
+
+
 LINE_NUMBERS = ["qty", "price", "disc", "tax"]
 
 
@@ -53,7 +68,7 @@ def line_frame(spark: SparkSession, sf_dir: str) -> FeatureFrame:
         c("l_quantity").alias("qty"), c("l_extendedprice").alias("price"), c("l_discount").alias("disc"), c("l_tax").alias("tax"), "l_returnflag", "l_linestatus",
     )
     net = c("price") * (1 - c("disc"))
-    middle = df.agg(F.percentile(net, F.lit(0.5))).first()[0]
+    middle = medians(df.select(net.alias("net")), ["net"])["net"]
     df = df.withColumn("label", (net > F.lit(middle)).cast("int"))
     df = df.withColumn("score", F.floor((c("price") / 100000 * 0.6 + hash_uniform(42, "score", c("rid")) * 0.4) * 100).cast("double") / 100)
     df = df.withColumn("w", 0.5 + hash_uniform(42, "weight", c("rid"))).withColumn("train", hash_uniform(42, "split", c("rid")) < 0.7)

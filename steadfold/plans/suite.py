@@ -1,72 +1,105 @@
-"""The robustness suite: models scored once, then under re-weighted populations and corrupted rows, and summarised."""
+"""The robustness suite: models scored once, then under re-weighted populations, under other dependence within pairs of
+features, and on corrupted rows; summarised, compared and tested.
+
+Frames that several questions read are staged in the shared folder. What comes to the driver has a row for a column, a
+scenario or a model."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import corrupt, metrics, reweight, stats
-from ..operators.model import fit_frame, score_models
-from ..operators.prep import medians
+from ..operators import corrupt, metrics, prep, reweight, schema, stats
+from ..operators.model import Package, fit_many, score_models
+from ..sources.staging import staged
 from .frames import FeatureFrame
+from .run import TrainedRun
 
 
 @dataclass(frozen=True)
 class SuiteSettings:
-    """Levels and limits; rising levels and shares between 0 and 1 are checked."""
+    """Levels and limits; orders and ranges are checked."""
 
     ess_levels: tuple[float, ...] = (0.9, 0.8, 0.7, 0.6)
-    corruption_levels: tuple[float, ...] = (0.1, 0.5, 1.0)
-    repetitions: int = 2
+    weaken: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0)
+    strengthen: tuple[float, ...] = (0.125, 0.25, 0.375, 0.5)
+    corruption_levels: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+    repetitions: int = 10
     seed: int = 20260926
     n_axes: int = 3
-    headline_ess: float = 0.6
-    headline_corruption: float = 0.5
+    least_pairs: int = 10
+    headline: tuple[tuple[str, float], ...] = (("population", 0.6), ("dependence_weaken", 1.0), ("dependence_strengthen", 0.5), ("corruption", 0.5))
 
     def __post_init__(self):
-        if any(a <= b for a, b in zip(self.ess_levels, self.ess_levels[1:])) or not all(0 < e < 1 for e in self.ess_levels):
+        rising = lambda xs: all(a < b for a, b in zip(xs, xs[1:])) and all(0 < x <= 1 for x in xs)
+        if not rising([1 - e for e in self.ess_levels]) or not all(0 < e < 1 for e in self.ess_levels):
             raise ValueError("ess_levels must fall and lie between 0 and 1")
-        if any(a >= b for a, b in zip(self.corruption_levels, self.corruption_levels[1:])) or not all(0 < e <= 1 for e in self.corruption_levels):
-            raise ValueError("corruption_levels must rise and lie between 0 and 1")
-        if self.repetitions < 1 or self.headline_ess not in self.ess_levels or self.headline_corruption not in self.corruption_levels:
+        for name in ("weaken", "strengthen", "corruption_levels"):
+            if not rising(getattr(self, name)):
+                raise ValueError(f"{name} must rise and lie between 0 and 1")
+        levels = {"population": self.ess_levels, "dependence_weaken": self.weaken, "dependence_strengthen": self.strengthen, "corruption": self.corruption_levels}
+        if self.repetitions < 1 or any(x not in levels[k] for k, x in self.headline):
             raise ValueError("headline levels must be among the levels, and there must be a repetition")
 
+    def headline_level(self, family: str) -> float:
+        return dict(self.headline).get(family, dict(self.headline)["corruption"])
+
 
 @dataclass
 class Suite:
+    """packages: of each model. instances: model -> (method, seed)."""
+
     frame: FeatureFrame
-    packages: dict[str, list] = field(default_factory=dict)
+    packages: dict[str, Package] = field(default_factory=dict)
     settings: SuiteSettings = SuiteSettings()
+    instances: dict[str, tuple[str, int | None]] = field(default_factory=dict)
 
     @staticmethod
     def of_masks(frame: FeatureFrame, masks: dict[str, str], settings: SuiteSettings = SuiteSettings()) -> Suite:
-        """Refit each distinct mask once, on training rows."""
-        train, made = frame.part(True).df, {}
-        for mask in set(masks.values()):
-            chosen = [f for f, m in zip(frame.features, mask) if m == "1"]
-            made[mask] = fit_frame(train, chosen, frame.label, frame.row_id)
-        return Suite(frame, {name: made[m] for name, m in masks.items()}, settings)
+        """Fit each distinct mask once, on training rows."""
+        subsets = {m: [f for f, bit in zip(frame.features, m) if bit == "1"] for m in set(masks.values())}
+        made = fit_many(frame.part(True).df, frame.features, frame.label, subsets)
+        return Suite(frame, {name: made[m] for name, m in masks.items()}, settings, {name: (name, None) for name in masks})
+
+    @staticmethod
+    def of_run(run: TrainedRun, settings: SuiteSettings = SuiteSettings()) -> Suite:
+        return Suite(run.frame, run.packages(), settings, run.instances)
+
+    @cached_property
+    def schema(self) -> schema.FeatureSchema:
+        return schema.infer(self.frame.part(True).df, self.frame.features)
+
+    @cached_property
+    def test(self) -> DataFrame:
+        f = self.frame
+        return staged(f.part(False).df.select(f.row_id, F.col(f.label).alias("y"), *[F.col(f"`{c}`") for c in f.features]), "test")
 
     @cached_property
     def predictions(self) -> DataFrame:
-        """(row, model, y, p) of the test rows; kept, since every stress reads them."""
-        test = self.frame.part(False).df.select(self.frame.row_id, F.col(self.frame.label).alias("y"), *self.frame.features)
-        return score_models(test, self.packages, [self.frame.row_id, "y"]).persist()
+        """(row, model, y, p) of the test rows: each model is scored once."""
+        return staged(score_models(self.test, self.packages, [self.frame.row_id, "y"]), "predictions")
 
     @cached_property
     def clean(self) -> DataFrame:
-        return metrics.rank_metrics(self.predictions, ["model"]).persist()
+        return staged(metrics.rank_metrics(self.predictions, ["model"]), "clean")
+
+    def _methods(self) -> DataFrame:
+        rows = [(name, m, s) for name, (m, s) in self.instances.items()]
+        return F.broadcast(self.frame.df.sparkSession.createDataFrame(rows, "model string, method string, seed int"))  # a row for a model
 
     def models(self) -> DataFrame:
-        """(model, n_features, n_consistent, n_inconsistent, sign_consistency, clean_roc_auc, clean_pr_auc)."""
+        """(model, method, seed, n_features, n_consistent, n_inconsistent, sign_consistency, clean_roc_auc, clean_pr_auc)."""
         spark = self.frame.df.sparkSession
         corr = metrics.marginal_correlations(self.frame.part(True).df, self.frame.features, self.frame.label)
-        coef = spark.createDataFrame([(m, f, c) for m, p in self.packages.items() for f, _, _, c in p if f != "(intercept)"], "model string, feature string, coef double")
+        coef = spark.createDataFrame([(m, f, float(c)) for m, p in self.packages.items() for f, _, _, c in p if f != "(intercept)"], "model string, feature string, coef double")
         clean = self.clean.select("model", F.col("roc_auc").alias("clean_roc_auc"), F.col("pr_auc").alias("clean_pr_auc"))
-        return metrics.sign_consistency(coef, corr, ["model"]).join(clean, "model")
+        return metrics.sign_consistency(coef, corr, ["model"]).join(clean, "model").join(self._methods(), "model")
+
+    # --- re-weighted populations
 
     @cached_property
     def axes(self) -> DataFrame:
@@ -76,57 +109,198 @@ class Suite:
         columns = reweight.axis_columns(f.features, values, vectors, reach, fit, self.settings.n_axes)
         long = metrics.long_form(f.df.withColumns({k: F.round(c, 9) for k, c in columns.items()}), list(columns), [f.row_id, f.train])
         long = long.select(f.row_id, F.col(f.train).alias("train"), F.col("feature").alias("axis"), F.col("value").alias("_v"))
-        return reweight.normal_scores(long, "_v", F.col("train"), "t", ["axis"]).drop("_v").persist()
+        return staged(reweight.normal_scores(long, "_v", F.col("train"), "t", ["axis"]).drop("_v"), "axes")
 
-    @cached_property
-    def scenarios(self) -> tuple[DataFrame, DataFrame]:
-        """(scenarios, weights of test rows). Strengths come from training rows' distinct scores, compressed; those of
-        the way down are found on the same scores with their sign changed."""
-        f, s, spark = self.frame, self.settings, self.frame.df.sparkSession
-        rows = []
+    def _population(self) -> tuple[list[tuple], DataFrame]:
+        """Rows of the scenario table, and (row, train, scenario_id, t): logs of weights up to a constant. Strengths come
+        from training rows' knots; those of the way down are found on the same knots with their sign changed."""
+        s, spark, rows = self.settings, self.frame.df.sparkSession, []
         for axis in sorted(r["axis"] for r in self.axes.select("axis").distinct().collect()):
             values, counts = reweight.knots(self.axes.where((F.col("axis") == axis) & F.col("train")), "t")
             for direction, sign in (("up", 1.0), ("down", -1.0)):
                 for level, (strength, ok) in zip(s.ess_levels, reweight.calibrate_ess(reweight.ess_share(sign * values, counts), list(s.ess_levels))):
-                    rows.append((f"{axis}-{direction}-{level:g}", "population", axis, direction, level, strength, ok, sign * strength))
-        table = spark.createDataFrame(rows, "scenario_id string, family string, axis string, direction string, level double, strength double, attainable boolean, _signed double")
-        tilted = self.axes.join(F.broadcast(table.where("attainable").select("scenario_id", "axis", "_signed")), "axis")
-        tilted = reweight.tilt(tilted.withColumn("t", F.col("t") * F.col("_signed")), "t", 1.0, ["scenario_id", "train"])
-        labelled = tilted.join(f.df.select(f.row_id, F.col(f.label).alias("y")), f.row_id).select(f.row_id, "scenario_id", "train", "y", "w").persist()
+                    rows.append((f"{axis}-{direction}-{level:g}", "population", f"{axis}-{direction}", axis, direction, level, sign * strength, ok))
+        table = spark.createDataFrame([(r[0], r[3], r[6]) for r in rows if r[7]], "scenario_id string, axis string, signed double")
+        tilted = self.axes.join(F.broadcast(table), "axis")  # a row for an axis, direction and level
+        return [(*r[:3], r[5], abs(r[6]), r[7]) for r in rows], tilted.select(self.frame.row_id, "train", "scenario_id", (F.col("t") * F.col("signed")).alias("t"))
+
+    @cached_property
+    def pairs(self) -> list[tuple[str, str, float]]:
+        """(a, b, corr) of the pairs whose dependence is moved."""
+        f, s = self.frame, self.schema
+        found, _ = reweight.pair_selection(f.part(True).df, f.part(False).df, s.continuous, s.binary)
+        return [(r["a"], r["b"], r["corr"]) for r in found.orderBy("a", "b").collect()]
+
+    def _dependence(self) -> tuple[list[tuple], DataFrame | None]:
+        """The same for pairs: each pair's problem is solved in a task of its own, on counts of distinct score pairs."""
+        f, s, spark = self.frame, self.settings, self.frame.df.sparkSession
+        if not self.pairs:
+            return [], None
+        used = sorted({c for a, b, _ in self.pairs for c in (a, b)})
+        flags, train = set(self.schema.binary), F.col(f.train)
+        df = f.df.select(f.row_id, train.alias("train"), *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(used)])
+        long = metrics.long_form(df, [f"v{i}" for i, c in enumerate(used) if c not in flags], [f.row_id, "train"])
+        if any(c not in flags for c in used):
+            scores = reweight.normal_scores(long, "value", F.col("train"), "score", ["feature"])
+            scores = scores.withColumn("score", reweight.pair_score(F.col("score"))).groupBy(f.row_id, "train").pivot("feature", [f"v{i}" for i, c in enumerate(used) if c not in flags]).agg(F.first("score"))
+        else:
+            scores = df.select(f.row_id, "train")
+        if any(c in flags for c in used):
+            names = [f"v{i}" for i, c in enumerate(used) if c in flags]
+            fit = prep.moments(df.where("train"), names)
+            scores = scores.join(df.select(f.row_id, *[((F.col(n) - F.lit(fit[n][0])) / F.lit(fit[n][1])).alias(n) for n in names]), f.row_id)
+        at = {c: F.col(f"v{i}") for i, c in enumerate(used)}
+        pair = lambda k, a, b: F.struct(F.lit(k).alias("pair"), at[a].alias("a"), at[b].alias("b"))
+        every = staged(scores.select(f.row_id, "train", F.explode(F.array(*[pair(k, a, b) for k, (a, b, _) in enumerate(self.pairs)])).alias("x")).select(f.row_id, "train", "x.*"), "pairs")
+        squares = [(a not in flags, b not in flags) for a, b, _ in self.pairs]
+        ways = [("dependence_weaken", s.weaken), ("dependence_strengthen", s.strengthen)]
+
+        def solve(key, rows):
+            import pandas as pd
+
+            k = int(key[0])
+            rows, out = rows.sort_values(["a", "b"]), []
+            problem = reweight.PairShift(rows["a"].to_numpy(), rows["b"].to_numpy(), rows["n"].to_numpy(float), squares[k])
+            for family, levels in ways:
+                found = None
+                for i, level in enumerate(levels):
+                    start = problem.start
+                    target = start * (1 - level) if family == "dependence_weaken" else start + level * (np.copysign(1.0, start) - start)
+                    found = problem.moved(target) if i == 0 or found else None
+                    bend = list(found.bend) if found else [0.0, 0.0]
+                    aa = bend.pop(2) if found and squares[k][0] else 0.0
+                    bb = bend.pop(2) if found and squares[k][1] else 0.0
+                    out.append((k, family, level, found.theta if found else None, bend[0], bend[1], aa, bb, found is not None))
+            return pd.DataFrame(out, columns=["pair", "family", "level", "theta", "ba", "bb", "baa", "bbb", "attainable"])
+
+        counts = every.where("train").groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+        made = staged(counts.groupBy("pair").applyInPandas(solve, "pair int, family string, level double, theta double, ba double, bb double, baa double, bbb double, attainable boolean"), "shifts")
+        rows, name = [], lambda k: f"{self.pairs[k][0]} x {self.pairs[k][1]}"
+        for r in made.orderBy("pair", "family", "level").collect():  # a row for a pair, family and level
+            rows.append((f"{r['family']}-{name(r['pair'])}-{r['level']:g}", r["family"], name(r["pair"]), r["level"], r["theta"], r["attainable"]))
+        names = F.broadcast(spark.createDataFrame([(k, name(k)) for k in range(len(self.pairs))], "pair int, unit string"))
+        known = made.where("attainable").join(names, "pair").withColumn("scenario_id", F.concat_ws("-", "family", "unit", F.format_string("%s", F.regexp_replace(F.col("level").cast("string"), r"\.0$", ""))))
+        a, b = F.col("a"), F.col("b")
+        log = F.col("theta") * a * b + F.col("ba") * a + F.col("bb") * b + F.col("baa") * a * a + F.col("bbb") * b * b
+        return rows, every.join(F.broadcast(known), "pair").select(f.row_id, "train", "scenario_id", log.alias("t"))
+
+    @cached_property
+    def scenarios(self) -> tuple[DataFrame, DataFrame]:
+        """(scenarios, weights of test rows). Test rows get the function that training rows give, and each side's weights a
+        mean of one."""
+        f, spark = self.frame, self.frame.df.sparkSession
+        rows, logs = self._population()
+        more, other = self._dependence()
+        logs = logs if other is None else logs.unionByName(other)
+        table = spark.createDataFrame(rows + more, "scenario_id string, family string, unit string, level double, strength double, attainable boolean")
+        tilted = reweight.tilt(logs, "t", 1.0, ["scenario_id", "train"])
+        labelled = staged(tilted.join(f.df.select(f.row_id, F.col(f.label).alias("y")), f.row_id).select(f.row_id, "scenario_id", "train", "y", "w"), "weights")
         train_ess = metrics.ess(labelled.where("train"), ["scenario_id"], "w").select("scenario_id", F.col("ess_fraction").alias("train_ess"))
         test = labelled.where("NOT train")
         test_ess = metrics.ess(test, ["scenario_id"], "w").select("scenario_id", F.col("ess_fraction").alias("test_ess"))
-        out = table.drop("_signed").join(train_ess, "scenario_id", "left").join(test_ess, "scenario_id", "left").join(metrics.ess_by_class(test, ["scenario_id"], "y", "w"), "scenario_id", "left")
+        out = table.join(train_ess, "scenario_id", "left").join(test_ess, "scenario_id", "left").join(metrics.ess_by_class(test, ["scenario_id"], "y", "w"), "scenario_id", "left")
+        share = test.groupBy("scenario_id").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("weighted_prevalence"))
         ok = F.coalesce(reweight.supported(F.col("train_ess"), F.col("test_ess"), F.least("ess_negatives", "ess_positives")), F.lit(False))
-        out = out.withColumn("supported", ok).withColumn("usable", F.col("attainable") & F.col("supported"))
-        return reweight.cohort(out, ["axis", "direction"]), test.select("scenario_id", f.row_id, "w")
+        out = out.join(share, "scenario_id", "left").withColumn("supported", ok).withColumn("usable", F.col("attainable") & F.col("supported"))
+        return staged(reweight.cohort(out, ["unit"]), "scenarios"), test.select("scenario_id", f.row_id, "w")
 
+    @cached_property
     def reweighting_scores(self) -> DataFrame:
-        return reweight.scenario_scores(self.predictions, self.scenarios[1], self.frame.row_id)
+        return staged(reweight.scenario_scores(self.predictions, self.scenarios[1], self.frame.row_id), "reweighted")
+
+    # --- corrupted rows
 
+    def corrupted(self) -> DataFrame:
+        """The test rows once for each family that applies, level and repetition."""
+        f, s, known = self.frame, self.settings, self.schema
+        train = f.part(True).df
+        copies = corrupt.bank(self.test, list(s.corruption_levels), s.repetitions)
+        level, rep, seed = F.col("level"), F.col("repetition"), s.seed
+        flags = {c: flag for c, (flag, _) in known.value_flags.items()}
+        out = []
+        if known.continuous:
+            sd = train.agg(*[F.stddev_samp(F.col(f"`{c}`")).alias(c) for c in known.continuous]).first().asDict()
+            off = {c: o for c, (_, o) in known.value_flags.items()}
+            # an available cell is one whose flag is not at its off level; flags that are off at one are turned around
+            turned = {c: F.when(F.col(f"`{fl}`") != off[c], 1).otherwise(0) for c, fl in flags.items()}
+            here = copies.withColumns({f"_on_{c}": x for c, x in turned.items()})
+            on = {c: f"_on_{c}" for c in flags}
+            out.append((corrupt.gaussian(here, f.row_id, sd, level, rep, seed, on).drop(*on.values()), "noise"))
+            out.append((corrupt.mask_medians(here, f.row_id, prep.medians(train, known.continuous), level, rep, seed, on).drop(*on.values()), "median_masking"))
+        if known.standalone or known.groups:
+            groups = {p: list(m.items()) for p, (m, _) in known.groups.items()}
+            out.append((corrupt.redraw(copies, f.row_id, {c: known.shares[c] for c in known.standalone}, groups, level, rep, seed), "redraw"))
+        if known.under_recording:
+            out.append((corrupt.under_record(copies, f.row_id, known.under_recording, level, rep, seed), "under_recording"))
+        if known.indicators:
+            out.append((corrupt.mask_values(copies, f.row_id, {i.flag: (i.off, i.fills) for i in known.indicators}, level, rep, seed), "masking"))
+        rows = [df.withColumn("family", F.lit(name)) for df, name in out]
+        whole = rows[0]
+        for r in rows[1:]:
+            whole = whole.unionByName(r)
+        return whole
+
+    @cached_property
     def corruption_scores(self) -> DataFrame:
-        """(family, level, repetition, model, roc_auc, pr_auc, delta_roc_auc): noise and median masking of all features."""
-        f, s = self.frame, self.settings
-        train, test = f.part(True).df, f.part(False).df
-        sd = train.agg(*[F.stddev_samp(c).alias(c) for c in f.features]).first().asDict()
-        middle = medians(train, f.features)
-        copies = corrupt.bank(test.select(f.row_id, f.label, *f.features), list(s.corruption_levels), s.repetitions)
-        noisy = corrupt.gaussian(copies, f.row_id, sd, F.col("level"), F.col("repetition"), s.seed).withColumn("family", F.lit("noise"))
-        masked = corrupt.mask_medians(copies, f.row_id, middle, F.col("level"), F.col("repetition"), s.seed).withColumn("family", F.lit("median_masking"))
-        rows = noisy.unionByName(masked).withColumn("y", F.col(f.label))
-        scored = score_models(rows, self.packages, ["family", "level", "repetition", "y"])
+        """(model, family, level, repetition, roc_auc, pr_auc, delta_roc_auc, delta_pr_auc)."""
+        scored = score_models(self.corrupted(), self.packages, ["family", "level", "repetition", "y"])
         out = metrics.rank_metrics(scored, ["family", "level", "repetition", "model"])
-        clean = self.clean.select("model", F.col("roc_auc").alias("_c"))
-        return out.join(F.broadcast(clean), "model").withColumn("delta_roc_auc", F.col("roc_auc") - F.col("_c")).drop("_c")
+        clean = self.clean.select("model", F.col("roc_auc").alias("_r"), F.col("pr_auc").alias("_p"))
+        return staged(out.join(clean, "model").select("model", "family", "level", "repetition", "roc_auc", "pr_auc", (F.col("roc_auc") - F.col("_r")).alias("delta_roc_auc"), (F.col("pr_auc") - F.col("_p")).alias("delta_pr_auc")), "corruption")
+
+    # --- summaries
+
+    @cached_property
+    def family_scores(self) -> DataFrame:
+        """(family, severity, model, method, seed, roc_auc, delta_roc_auc, pr_auc, delta_pr_auc, worst_*, corruption_sd,
+        n_scenarios): cohort scenarios alone; families of too few pairs are left out."""
+        scenarios = self.scenarios[0]
+        small = stats.small_cohorts(scenarios, self.settings.least_pairs).where("excluded").select("family")
+        chosen = scenarios.where("usable AND in_cohort").join(small, "family", "left_anti").select("scenario_id", "family", F.col("level").alias("severity"))
+        numbers = ["roc_auc", "delta_roc_auc", "pr_auc", "delta_pr_auc"]
+        shifted = self.reweighting_scores.join(chosen, "scenario_id").select("family", "severity", "model", *numbers, F.lit(False).alias("dirty"))
+        dirty = self.corruption_scores.select("family", F.col("level").alias("severity"), "model", *numbers, F.lit(True).alias("dirty"))
+        worst = [F.min(F.when(~F.col("dirty"), F.col(c))).alias(f"worst_{c}") for c in ("roc_auc", "delta_roc_auc")]
+        spread = F.stddev_samp(F.when(F.col("dirty"), F.col("roc_auc"))).alias("corruption_sd")
+        out = shifted.unionByName(dirty).groupBy("family", "severity", "model").agg(*[F.avg(c).alias(c) for c in numbers], *worst, spread, F.count(F.lit(1)).alias("n_scenarios"))
+        return staged(out.join(self._methods(), "model"), "families")
 
     def summary(self) -> DataFrame:
-        """(family, severity, model, mean, worst, sd, n_scenarios) of the change in AUC, cohort scenarios alone."""
-        scenarios, scores = self.scenarios[0], self.reweighting_scores()
-        shifted = scores.join(scenarios.where("in_cohort").select("scenario_id", "family", F.col("level").alias("severity")), "scenario_id").select("family", "severity", "model", "delta_roc_auc")
-        dirty = self.corruption_scores().select("family", F.col("level").alias("severity"), "model", "delta_roc_auc")
-        return stats.family_scores(shifted.unionByName(dirty), ["family", "severity", "model"], "delta_roc_auc")
+        """(family, severity, method, n_runs, a mean and a deviation over runs of each number, n_scenarios), in order."""
+        numbers = ["roc_auc", "delta_roc_auc", "pr_auc", "delta_pr_auc", "worst_roc_auc", "worst_delta_roc_auc", "corruption_sd"]
+        out = self.family_scores.groupBy("family", "severity", "method").agg(F.count(F.lit(1)).alias("n_runs"), *[f(c).alias(f"{c}{end}") for c in numbers for f, end in ((F.avg, ""), (F.stddev_samp, "_sd"))], F.max("n_scenarios").alias("n_scenarios"))
+        return stats.severity_rank(out).orderBy("family_rank", "severity_rank", "method").drop("family_rank", "severity_rank")
+
+    def tests(self, target: str = "multi", rival: str = "single") -> DataFrame:
+        """paired_tests() of the target, with the share of cohort scenarios in which its mean change is above the rival's."""
+        scenarios = self.scenarios[0].where("usable AND in_cohort").select("scenario_id", "family", F.col("level").alias("severity"))
+        each = self.reweighting_scores.join(scenarios, "scenario_id").join(self._methods(), "model")
+        share = stats.share_better(each, ["family", "severity", "scenario_id"], "method", "delta_roc_auc", target, rival)
+        share = share.select("family", "severity", F.lit("delta_roc_auc").alias("statistic"), F.lit(rival).alias("baseline"), F.col("share").alias("scenario_share_better"))
+        return stats.paired_tests(self.family_scores, target).join(share, ["family", "severity", "statistic", "baseline"], "left")
+
+    def sign_vs_degradation(self, methods: tuple[str, ...] = ("multi", "single"), least: int = 4) -> DataFrame:
+        """(family, severity, n_models, spearman, partial_spearman): sign consistency against the change of each family's
+        headline statistic at its headline level, and given the number of features."""
+        families = [r["family"] for r in self.family_scores.select("family").distinct().collect()]
+        change = F.lit(None).cast("double")
+        wanted = F.lit(False)
+        for name in families:
+            at = (F.col("family") == name) & (F.abs(F.col("severity") - self.settings.headline_level(name)) < 1e-9)
+            change, wanted = F.when(at, F.col(stats.headline_statistic(name)[1])).otherwise(change), wanted | at
+        points = self.family_scores.where(wanted & F.col("method").isin(*methods)).withColumn("change", change).where("change IS NOT NULL")
+        points = points.join(self.models().select("model", "sign_consistency", "n_features"), "model")
+        enough = points.groupBy("family", "severity").agg(F.count(F.lit(1)).alias("n_models")).where(F.col("n_models") >= least)
+        return enough.join(stats.partial_spearman(points, ["family", "severity"], "sign_consistency", "change", "n_features"), ["family", "severity"])
 
     def report(self) -> list[str]:
-        """One line for each family, severity and model."""
-        rows = self.summary().orderBy("family", "severity", "model").collect()
-        return [f"{r['family']} at {r['severity']:g}, {r['model']}: mean change {r['mean']:+.4f}, worst {r['worst']:+.4f} of {r['n_scenarios']}" for r in rows]
+        """One line for each family, severity and method, by the family's headline statistic."""
+        out = []
+        for r in self.summary().collect():
+            score = stats.headline_statistic(r["family"])[1]
+            out.append(f"{r['family']} at {r['severity']:g}, {r['method']}: {score} {r[score]:+.4f} over {r['n_runs']} runs of {r['n_scenarios']} scenarios")
+        return out
+
+    def test_lines(self) -> list[str]:
+        rows = stats.severity_rank(self.tests()).orderBy("family_rank", "severity_rank", "statistic", "baseline").collect()
+        return [f"{r['family']} at {r['severity']:g}, {r['statistic']} against {r['baseline']}: {r['mean_difference']:+.4f}, better in {r['n_better']} of {r['n_runs']}, p = {stats.format_p(r['p_value'])}" for r in rows]

@@ -112,3 +112,38 @@ def metric_confusion(spark: SparkSession, d: str) -> DataFrame:
 def prep_hashed_split(spark: SparkSession, d: str) -> DataFrame:
     df = hashed_split(line_frame(spark, d).df.drop("train"), "rid")
     return df.groupBy("train").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"))
+
+
+@query("WITH {frame:line}, preds AS (SELECT l_returnflag AS k, label AS y, score AS p, 1.0 AS w FROM line UNION ALL SELECT l_returnflag || '*', label, score, CASE WHEN label = 1 THEN 0.2 / avg(label) OVER (PARTITION BY l_returnflag) ELSE 0.8 / (1 - avg(label) OVER (PARTITION BY l_returnflag)) END FROM line), " + AUC_SQL.replace("{k}", "k") + " SELECT a.k AS l_returnflag, round(a.roc_auc, 6) AS roc_auc, round(a.pr_auc, 6) AS pr_auc, round(b.pr_auc, 6) AS calibrated_pr_auc FROM a JOIN a b ON b.k = a.k || '*'")
+def metric_score_triple(spark: SparkSession, d: str) -> DataFrame:
+    out = metrics.score_triple(line_frame(spark, d).df, ["l_returnflag"], 0.2, "label", "score")
+    return out.select("l_returnflag", *[r6(c).alias(c) for c in ("roc_auc", "pr_auc", "calibrated_pr_auc")])
+
+
+@query("WITH {frame:line}, preds AS (SELECT 'roc' AS k, label AS y, score AS p, w FROM line UNION ALL SELECT 'pr', label, score, 1.0 FROM line), " + AUC_SQL.replace("{k}", "k") + " SELECT k AS metric, round(CASE k WHEN 'roc' THEN roc_auc ELSE pr_auc END, 6) AS score FROM a")
+def metric_by_name(spark: SparkSession, d: str) -> DataFrame:
+    df = line_frame(spark, d).df.withColumn("metric", F.lit("roc"))
+    weighted = metrics.score(df, ["metric"], "roc", "label", "score", "w")
+    plain = metrics.score(df.withColumn("metric", F.lit("pr")), ["metric"], "pr", "label", "score")
+    return weighted.unionByName(plain).select("metric", r6("score").alias("score"))
+
+
+@query("WITH {frame:line}, t AS (SELECT avg(price) AS m, stddev_pop(price) AS s FROM line WHERE train), m AS (SELECT l_returnflag, sum(w * price) / sum(w) AS mw, stddev_pop(price) AS sd, sum(w * label) / sum(w) AS pw FROM line WHERE NOT train GROUP BY 1) SELECT l_returnflag, round((mw - m) / s, 6) + 0.0 AS mean_shift, round(sqrt(sum(w * (price - mw) ** 2) / sum(w)) / any_value(sd), 6) AS sd_ratio, round(any_value(pw), 6) AS weighted_prevalence FROM line JOIN m USING (l_returnflag), t WHERE NOT train GROUP BY l_returnflag, mw, m, s")
+def metric_shift_in_train_deviations(spark: SparkSession, d: str) -> DataFrame:
+    df = line_frame(spark, d).df
+    mean, sd = df.where("train").agg(F.avg("price"), F.stddev_pop("price")).first()
+    out = metrics.weighted_shift_of(df.where("NOT train"), ["l_returnflag"], "price", "label", "w", mean, sd)
+    return out.select("l_returnflag", *[r6(c).alias(c) for c in ("mean_shift", "sd_ratio", "weighted_prevalence")])
+
+
+@query("SELECT l_returnflag, true AS same FROM lineitem GROUP BY 1")
+def metric_self_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the area by running sums is the area by average ranks, to 1e-10, for every key."""
+    from ..operators.stats import average_rank
+
+    df = line_frame(spark, d).df.select("l_returnflag", F.col("label").alias("y"), F.col("score").alias("p"))
+    ranks = average_rank(df, ["l_returnflag"], "p", "r")
+    pos, n = F.sum("y"), F.count(F.lit(1))
+    by_rank = ranks.groupBy("l_returnflag").agg(((F.sum(F.col("r") * F.col("y")) - pos * (pos + 1) / 2) / (pos * (n - pos))).alias("other"))
+    both = metrics.rank_metrics(df, ["l_returnflag"]).join(by_rank, "l_returnflag")
+    return both.select("l_returnflag", (F.abs(F.col("roc_auc") - F.col("other")) <= 1e-10).alias("same"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import r6
 from ..operators import metrics, model, pareto, prep, search, stats
-from ..plans.frames import documents_frame, line_frame
+from ..plans.frames import documents_frame, line_frame, mixed_frame
+from ..plans.ood import DomainEvaluation
+from ..plans.run import distinct_masks, train
 from ..plans.suite import Suite, SuiteSettings
 from ..sources.store import fingerprint
 from ..sources.tables import table
@@ -27,7 +29,7 @@ def model_fit(spark: SparkSession, d: str) -> DataFrame:
     """A fit of the document features on training rows, with each coefficient's agreement in sign."""
     frame = documents_frame(spark, d)
     train = frame.part(True).df
-    rows = model.fit_frame(train, frame.features, frame.label, frame.row_id)
+    rows = model.fit_frame(train, frame.features, frame.label)
     made = spark.createDataFrame(rows, "feature string, mean double, scale double, coef double")
     corr = metrics.marginal_correlations(train, frame.features, frame.label)
     return made.join(corr, "feature", "left").select("feature", r6("coef").alias("coef"), r6("corr").alias("corr"), (F.col("coef") * F.col("corr") > 1e-12).alias("consistent"))
@@ -38,7 +40,7 @@ def model_oof(spark: SparkSession, d: str) -> DataFrame:
     """AUC, threshold and confusion of out-of-fold scores: the numbers that a deployed model is chosen by."""
     frame = documents_frame(spark, d)
     folds = prep.stratified_folds(frame.df, frame.label, frame.row_id)
-    scored = model.out_of_fold(folds, frame.features, frame.label, frame.row_id).withColumn("all", F.lit("all"))
+    scored = model.out_of_fold(folds, frame.features, frame.label).withColumn("all", F.lit("all"))
     threshold = metrics.balanced_threshold(scored, ["all"], frame.row_id, frame.label).select("all", "threshold")
     both = scored.join(F.broadcast(threshold), "all")
     out = metrics.confusion(both, ["all"], F.col("threshold"), frame.label)
@@ -48,8 +50,7 @@ def model_oof(spark: SparkSession, d: str) -> DataFrame:
 def _searched(spark: SparkSession, d: str):
     frame = documents_frame(spark, d)
     folds = prep.stratified_folds(frame.df.where("train"), frame.label, frame.row_id)
-    sent = spark.sparkContext.broadcast(model.Folds.collect(folds, frame.features, frame.label, frame.row_id))
-    return frame, lambda masks: model.evaluate_masks(spark, sent, masks)
+    return frame, model.fitness(folds, frame.features, frame.label, frame.row_id)
 
 
 @query()
@@ -58,7 +59,7 @@ def search_nsga2(spark: SparkSession, d: str) -> DataFrame:
     found = search.nsga2(fitness, len(frame.features), [42, 43], size=8, generations=3)
     rows = [(e.seed, i, m, a, s, m.count("1")) for e in found for i, (m, (a, s)) in enumerate(zip(e.population, e.points))]
     df = spark.createDataFrame(rows, "seed int, ordinal int, mask string, auc double, sign double, n_features int")
-    return pareto.pareto_front(df, ["seed"]).dropDuplicates(["seed", "mask"]).select("seed", "mask", r6("auc").alias("auc"), r6("sign").alias("sign"), "n_features")
+    return pareto.pareto_front(distinct_masks(df), ["seed"]).select("seed", "mask", r6("auc").alias("auc"), r6("sign").alias("sign"), "n_features")
 
 
 @query()
@@ -145,8 +146,7 @@ def stats_wilcoxon_ranks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stats_wilcoxon_p(spark: SparkSession, d: str) -> DataFrame:
     diff = stats.paired_differences(_runs(spark, d), ["family"], "seed", "method", "score", "two")
-    rows = stats.signed_ranks(diff, ["family", "baseline"], "difference").collect()
-    return spark.createDataFrame([(r["family"], r["baseline"], float(stats.signed_rank_p(r["n"], r["w_plus"], r["w_minus"], r["ties"]))) for r in rows], "family string, baseline string, p_value double")
+    return stats.with_p(stats.signed_ranks(diff, ["family", "baseline"], "difference"), ["family", "baseline"])
 
 
 @query("WITH " + DIFF_SQL + " SELECT family, baseline, count(*) AS n_runs, round(avg(difference), 6) + 0.0 AS mean_difference, round(quantile_cont(difference, 0.5), 6) + 0.0 AS median_difference, count(*) FILTER (WHERE round(difference, 12) > 0) AS n_better FROM df GROUP BY 1, 2")
@@ -260,22 +260,76 @@ def lineage_missing_seeds(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(20).select(F.col("id").alias("seed")).join(have, "seed", "left_anti")
 
 
+def _run(spark: SparkSession, d: str):
+    return train(mixed_frame(spark, d), [42, 43], size=8, generations=2)
+
+
 def _suite(spark: SparkSession, d: str) -> Suite:
-    frame = documents_frame(spark, d)
-    masks = {"all": "1" * len(frame.features), "one": "1" + "0" * (len(frame.features) - 1), "words": "0" * (len(frame.features) - 1) + "1"}
-    return Suite.of_masks(frame, masks, SuiteSettings(ess_levels=(0.9, 0.6), corruption_levels=(0.5, 1.0), repetitions=2))
+    settings = SuiteSettings(ess_levels=(0.9, 0.6), weaken=(0.5, 1.0), strengthen=(0.25, 0.5), corruption_levels=(0.5, 1.0), repetitions=2, least_pairs=1)
+    return Suite.of_run(_run(spark, d), settings)
 
 
 @query()
 def suite_models(spark: SparkSession, d: str) -> DataFrame:
     out = _suite(spark, d).models()
-    return out.select("model", "n_features", "n_consistent", "n_inconsistent", *[r6(c).alias(c) for c in ("sign_consistency", "clean_roc_auc", "clean_pr_auc")])
+    return out.select("model", "method", "seed", "n_features", "n_consistent", "n_inconsistent", *[r6(c).alias(c) for c in ("sign_consistency", "clean_roc_auc", "clean_pr_auc")])
 
 
 @query()
 def suite_summary(spark: SparkSession, d: str) -> DataFrame:
     out = _suite(spark, d).summary()
-    return out.select("family", "severity", "model", *[r6(c).alias(c) for c in ("mean", "worst", "sd")], "n_scenarios")
+    return out.select("family", "severity", "method", "n_runs", *[r6(c).alias(c) for c in ("roc_auc", "delta_roc_auc", "worst_delta_roc_auc", "corruption_sd")], "n_scenarios")
+
+
+@query()
+def suite_tests(spark: SparkSession, d: str) -> DataFrame:
+    """The paired tests of all families and statistics, and the analysis of signs beside them."""
+    out = _suite(spark, d).tests()
+    return out.select("family", "severity", "statistic", "baseline", "n_runs", *[r6(c).alias(c) for c in ("mean_difference", "median_difference", "p_value", "scenario_share_better")], "n_better")
+
+
+def _domains(spark: SparkSession, d: str) -> DomainEvaluation:
+    """English documents are the domain, others are out of it."""
+    run = train(documents_frame(spark, d), [42, 43], size=8, generations=2)
+    rest = run.frame.df.where("NOT train")
+    return DomainEvaluation(run, rest.where("lang = 'en'"), rest.where("lang <> 'en'"))
+
+
+@query()
+def ood_per_seed(spark: SparkSession, d: str) -> DataFrame:
+    out = _domains(spark, d).per_seed()
+    numbers = [c for c in out.columns if c.endswith(("_auc", "_drop")) or c == "sign_consistency"]
+    return out.select("model", "method", "seed", "n_features", "n_inconsistent", *[r6(c).alias(c) for c in numbers])
+
+
+@query()
+def ood_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Paired tests with the bootstrap's intervals of 50 resamples beside them."""
+    out = _domains(spark, d).tests_with_intervals(50)
+    return out.select("statistic", "baseline", "n_runs", *[r6(c).alias(c) for c in ("mean_difference", "median_difference", "p_value", "low", "high")], "n_better", "n_samples")
+
+
+@query()
+def ood_front(spark: SparkSession, d: str) -> DataFrame:
+    """Every mask of every front on either side, after its stored objective was computed again."""
+    domains = _domains(spark, d)
+    domains.verified_front()
+    out = domains.front()
+    return out.select("seed", "mask", "n_features", *[r6(c).alias(c) for c in ("cv_objective", "cv_sign_consistency", "sign_consistency", "id_roc_auc", "ood_roc_auc", "roc_auc_drop")])
+
+
+@query()
+def ood_front_correlations(spark: SparkSession, d: str) -> DataFrame:
+    out = _domains(spark, d).front_correlations()
+    return out.select("seed", *[r6(c).alias(c) for c in out.columns if c != "seed"])
+
+
+@query()
+def model_deployment(spark: SparkSession, d: str) -> DataFrame:
+    """Which instance of each method would be deployed, and its threshold."""
+    run = _run(spark, d)
+    rows = [(m, *run.deployed(m)) for m in ("multi", "single", "forward", "all")]
+    return spark.createDataFrame(rows, "method string, model string, threshold double").withColumn("threshold", r6("threshold"))
 
 
 MONITOR_SQL = """e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, least(greatest(floor(value / 100 * 10), 0), 9)::INTEGER AS bin, (event_type = 'purchase')::INTEGER AS y, 1 + coalesce(value, 0) / 100 AS w FROM events),

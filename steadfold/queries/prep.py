@@ -202,3 +202,41 @@ def prep_null_category(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "orders").select("o_orderstatus", F.when(F.col("o_orderkey") % 3 != 0, c).alias("clerk"), F.substring(c, 1, 1).alias("priority"))
     df = prep.to_numeric(prep.null_category(df, ["clerk"]), ["priority"])
     return df.groupBy("o_orderstatus", "clerk").agg(F.sum("priority").alias("priority"))
+
+
+@query("SELECT (l_tax <> 0)::INTEGER AS l_tax, (l_linenumber <> 0)::INTEGER AS l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def prep_nonzero_flags(spark: SparkSession, d: str) -> DataFrame:
+    df = prep.nonzero_flags(table(spark, d, "lineitem").select("l_tax", "l_linenumber"), ["l_tax", "l_linenumber"])
+    return df.groupBy("l_tax", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH {frame:doc} SELECT doc_id, n_sp + n_nl + n_dig AS n_marks FROM doc")
+def prep_row_sum(spark: SparkSession, d: str) -> DataFrame:
+    return prep.row_sum(documents_frame(spark, d).df, "n_marks", ["n_sp", "n_nl", "n_dig"]).select("doc_id", "n_marks")
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW') GROUP BY 1")
+def prep_exclude_codes(spark: SparkSession, d: str) -> DataFrame:
+    df = prep.exclude_codes(table(spark, d, "orders"), "o_orderpriority", ["1-URGENT", "5-LOW"])
+    return df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT (n_name IN ('FRANCE', 'GERMANY', 'NATION_1', 'NATION_2'))::INTEGER AS inside, (n_regionkey IN (1, 3))::INTEGER AS region, count(*) AS n FROM nation GROUP BY 1, 2")
+def prep_member_flag(spark: SparkSession, d: str) -> DataFrame:
+    df = prep.member_flag(table(spark, d, "nation"), "inside", "n_name", ["FRANCE", "GERMANY", "NATION_1", "NATION_2"])
+    return prep.member_flag(df, "region", "n_regionkey", [1, 3]).groupBy("inside", "region").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH {frame:cust} SELECT count(*) AS n, round(sum(spend), 4) AS spend FROM cust WHERE ev_value IS NOT NULL AND spend IS NOT NULL")
+def prep_complete_rows(spark: SparkSession, d: str) -> DataFrame:
+    df = prep.complete_rows(customer_frame(spark, d).df, ["ev_value", "spend"])
+    return df.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("spend"), 4).alias("spend"))
+
+
+@query("SELECT CASE o_orderkey % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS part, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1")
+def prep_official_split(spark: SparkSession, d: str) -> DataFrame:
+    at = F.col("o_orderkey") % 5
+    df = table(spark, d, "orders").select("o_orderkey", F.when(at == 0, "test").when(at == 1, "validation").otherwise("train").alias("split"))
+    parts = prep.official_split(df, "split", ["train", "validation", "test"])
+    sums = [p.agg(F.lit(n).alias("part"), F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys")) for n, p in parts.items()]
+    return sums[0].unionByName(sums[1]).unionByName(sums[2])

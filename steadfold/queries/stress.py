@@ -42,7 +42,7 @@ def tilt_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def reweight_calibrated_strengths(spark: SparkSession, d: str) -> DataFrame:
-    """Strengths that bring the effective sample to nine, eight, seven and six tenths, on price and on order balance."""
+    """Strengths that bring the effective sample to nine, eight, seven and six tenths, towards high and low prices."""
     df = line_frame(spark, d).df
     fit = df.agg(F.avg("price"), F.stddev_pop("price")).first()
     targets = [0.9, 0.8, 0.7, 0.6]
@@ -74,25 +74,11 @@ def reweight_dependence(spark: SparkSession, d: str) -> DataFrame:
     df = documents_frame(spark, d).df.where("train")
     scored = reweight.normal_scores(df, "n_chars", F.col("train"), "a")
     scored = reweight.normal_scores(scored, "n_nl", F.col("train"), "b")
-    clip = lambda c: F.round(F.greatest(F.least(c, F.lit(2.5)), F.lit(-2.5)), 3).alias(c)
-    pairs = scored.select(clip("a"), clip("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-
-    def solve(batches):
-        import pandas as pd
-
-        p = pd.concat(list(batches), ignore_index=True)
-        if len(p):
-            problem = reweight.DependenceTilt(p["a"].to_numpy(), p["b"].to_numpy(), p["n"].to_numpy(float), (True, True))
-            start = problem.correlation(0.0)
-            targets = [start * (1 - s) for s in (0.25, 0.5, 0.75, 1.0)]
-            rows = []
-            for target, theta in zip(targets, reweight.calibrate_correlation(problem, targets)):
-                w, error = problem.weights(theta)
-                share = w.sum() ** 2 / (w * w / problem.n).sum()
-                rows.append((round(target, 6) + 0.0, round(theta, 6), round(float(share), 6), bool(error <= 1e-6)))
-            yield pd.DataFrame(rows, columns=["target", "theta", "ess_fraction", "balanced"])
-
-    return pairs.repartition(1).mapInPandas(solve, "target double, theta double, ess_fraction double, balanced boolean")
+    rows = []
+    for found, target in zip(*reweight.pair_targets(scored, "a", "b", (True, True), (0.25, 0.5, 0.75, 1.0))):
+        ok = found is not None
+        rows.append((round(target, 6) + 0.0, round(found.theta, 6) if ok else None, round(found.ess_share, 6) if ok else None, ok))
+    return spark.createDataFrame(rows, "target double, theta double, ess_fraction double, reached boolean")
 
 
 SCENARIOS = [(0, "up", 0.3), (1, "up", 0.6), (2, "down", -0.3), (3, "down", -0.6)]

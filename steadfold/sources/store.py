@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,18 +47,16 @@ class RunStore:
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
 
     def write_json(self, name: str, value: dict) -> None:
-        """Written beside its place and renamed: a reader sees the old text or the new one."""
-        make = self.spark._jvm.org.apache.hadoop.fs.Path
-        place, part = make(f"{self.path}/{name}"), make(f"{self.path}/.{name}.part")
-        system = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        stream = system.create(part, True)
+        """Written beside its place and renamed over it: a reader sees the old text or the new one."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        place, part = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}") for x in (name, f".{name}.part"))
+        stream = place.getFileSystem(conf).create(part, True)
         stream.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         stream.hsync()
         stream.close()
-        if system.exists(place):
-            system.delete(place, False)
-        if not system.rename(part, place):
-            raise OSError(f"{name} could not be renamed into place")
+        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), conf).rename(part, place, over)
 
     def read_json(self, name: str) -> dict:
         return json.loads(self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0])
@@ -92,6 +92,48 @@ class RunStore:
         return self.fronts()
 
 
+    def import_results(self, results: dict[int, list[tuple[int, str, float, float, int]]]) -> list[int]:
+        """Save fronts that are in memory, but for seeds that are complete already; the seeds that were saved."""
+        new = self.missing(sorted(results))
+        for seed in new:
+            self.save(seed, results[seed])
+        return new
+
+    def claim(self, marks: dict, settings: list[str], name: str = "evaluation.json") -> None:
+        """Note what an evaluation is of, before its results are written here; another one's place is refused."""
+        if self._exists(f"{self.path}/{name}"):
+            compare_fingerprints(self.read_json(name), marks, settings)
+        self.write_json(name, marks)
+
+    def write_manifest(self, parts: dict[str, list[str]], marks: dict) -> None:
+        """The files that each part of the data is read from, and the fingerprint of the whole."""
+        self.write_json("manifest.json", {"parts": parts, "marks": marks})
+
+    def resume_manifest(self, marks: dict, settings: list[str]) -> dict[str, list[str]]:
+        """The manifest's parts, if it is of these data; else it is refused."""
+        held = self.read_json("manifest.json")
+        compare_fingerprints(held["marks"], marks, settings)
+        return held["parts"]
+
+
+def find_files(whole: DataFrame, candidates: dict[str, DataFrame], most: int = 4) -> list[str] | None:
+    """The names of the fewest candidates whose rows together are the whole table's, duplicates counted; None if there are
+    none. Row counts and sums of row hashes, one pass a candidate, leave few lists to compare row by row."""
+    def marks(df: DataFrame) -> tuple[int, int]:
+        n, code = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in whole.columns]).cast("decimal(38,0)"))).first()
+        return n, int(code or 0)
+
+    rows, code = marks(whole)
+    known = {name: marks(df.select(*whole.columns)) for name, df in candidates.items() if set(whole.columns) <= set(df.columns)}
+    for size in range(1, most + 1):
+        for names in combinations(sorted(known), size):
+            if sum(known[n][0] for n in names) == rows and sum(known[n][1] for n in names) == code:
+                parts = [candidates[n].select(*whole.columns) for n in names]
+                if same_rows(whole, reduce(DataFrame.unionByName, parts)):
+                    return list(names)
+    return None
+
+
 def newest_run(spark: SparkSession, paths: list[str], marks: dict, settings: list[str]) -> str | None:
     """The last of paths whose fingerprint has these settings."""
     for path in sorted(paths, reverse=True):

@@ -52,3 +52,14 @@ def write_csv(df: DataFrame, path: str, digits: int | None = None) -> None:
     if digits is not None:
         df = df.withColumns({c: F.format_string(f"%.{digits}f", c) for c, kind in df.dtypes if kind in ("double", "float")})
     df.write.option("header", True).csv(path)
+
+
+def write_statistics(spark: SparkSession, rows: list[dict], path: str) -> bool:
+    """A CSV folder of statistics: the header is the first row's keys, in order, and what other rows lack is empty. Nothing
+    is written for an empty list."""
+    if not rows:
+        return False
+    names = list(rows[0])
+    text = [tuple(None if r.get(c) is None else str(r[c]) for c in names) for r in rows]
+    spark.createDataFrame(text, ", ".join(f"`{c}` string" for c in names)).coalesce(1).write.option("header", True).csv(path)
+    return True

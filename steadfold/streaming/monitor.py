@@ -40,9 +40,15 @@ def window_report(sums: DataFrame) -> DataFrame:
 
 
 def run_to_table(events: DataFrame, path: str, checkpoint: str, **options) -> DataFrame:
-    """Run the monitor over what is there and return its sums. The last windows wait for the watermark, so the result
-    is written in complete mode to a table in memory of the session's engine, or by a caller's own sink."""
-    name = "drift_" + checkpoint.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
-    query = window_sums(events, **options).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run the monitor over what is there and return its sums. Windows that the watermark has closed are appended to Parquet
+    at path, and their state goes; those that late rows may still reach wait in the checkpoint for the next run, and
+    are read from there as they stand."""
+    sums = window_sums(events, **options)
+    query = sums.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return events.sparkSession.table(name)
+    spark = events.sparkSession
+    closed = spark.read.schema(sums.schema).parquet(path)
+    held = spark.read.format("statestore").load(checkpoint)
+    key = F.col("key").cast("struct<window:struct<start:timestamp,end:timestamp>,bin:int>")
+    value = F.col("value").cast("struct<n:long,positives:long,w:double,ww:double>")
+    return closed.unionByName(held.select(key.alias("k"), value.alias("v")).select("k.window.start", "k.bin", "v.*"))

@@ -84,17 +84,33 @@ def test_tilt_strength_is_root_of_minus_log_ess():
         reweight.calibrate_ess(lambda s: 1.0, [0.5, 0.6])
 
 
-def test_dependence_tilt_keeps_means_and_reaches_targets():
+def test_pair_shift_keeps_means_and_reaches_targets():
     rng = np.random.default_rng(3)
     a = rng.standard_normal(400)
     b = 0.6 * a + 0.8 * rng.standard_normal(400)
-    p = reweight.DependenceTilt(np.clip(a, -2.5, 2.5), np.clip(b, -2.5, 2.5), np.ones(400), (True, True))
-    start = p.correlation(0.0)
-    targets = [start * x for x in (0.75, 0.5, 0.25, 0.0)]
-    for target, theta in zip(targets, reweight.calibrate_correlation(p, targets)):
-        w, error = p.weights(theta)
-        assert error <= 1e-6 and p.correlation(theta) == pytest.approx(target, abs=1e-3)
-        assert w @ p.a == pytest.approx(p.n @ p.a, abs=1e-6)
+    p = reweight.PairShift(np.clip(a, -2.5, 2.5), np.clip(b, -2.5, 2.5), np.ones(400), (True, True))
+    thetas = [0.0]
+    for target in [p.start * x for x in (0.75, 0.5, 0.25, 0.0)]:
+        found = p.moved(target)
+        assert found.error <= 1e-6 and found.reached == pytest.approx(target, abs=1e-6)
+        for column in (p.a, p.b, p.a**2, p.b**2):
+            assert found.mass @ column == pytest.approx(p.base @ column, abs=1e-6)
+        log = np.log(found.mass) - found.theta * p.a * p.b - p.kept(p.a, p.b) @ found.bend
+        assert np.ptp(log) < 1e-6  # weights of the exponential form, so of greatest entropy
+        thetas.append(found.theta)
+    assert thetas == sorted(thetas, reverse=True) and 0 < found.ess_share < 1
+    assert p.moved(0.999) is None and reweight.calibrate_correlation(p, [0.9999, 0.5])[1] != 0.5
+
+
+def test_pair_shift_of_flags_and_constants():
+    x = np.array([0.0, 0.0, 1.0, 1.0])
+    y = np.array([0.0, 1.0, 0.0, 1.0])
+    p = reweight.PairShift(x, y, np.array([40.0, 10.0, 15.0, 35.0]), (False, False))
+    found = p.moved(p.start / 2)
+    q = found.mass
+    assert q[2] + q[3] == pytest.approx(0.5) and q[1] + q[3] == pytest.approx(0.45)
+    assert found.theta == pytest.approx(np.log(q[3] * q[0] / q[1] / q[2]) - np.log(35 * 40 / 10 / 15), abs=1e-6)
+    assert reweight.PairShift(np.ones(3), y[:3], np.ones(3), (True, True)).moved(0.5) is None
 
 
 def test_noise_is_linear_in_level_and_masking_nested(spark):
@@ -157,9 +173,18 @@ def test_logistic_fit_and_distributed_fit_agree(spark):
     x = rng.standard_normal((300, 3))
     y = (rng.random(300) < 1 / (1 + np.exp(-x @ [1, -2, 0.5]))).astype(int)
     df = frame(spark, id=range(300), a=x[:, 0], b=x[:, 1], c=x[:, 2], y=y)
-    near = model.fit_frame(df, ["a", "b", "c"], "y", "id")
-    far = model.fit_distributed(df, ["a", "b", "c"], "y")
-    assert [r[3] for r in near] == pytest.approx([r[3] for r in far], abs=1e-4)
+    near = model.fit_frame(df, ["a", "b", "c"], "y")
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    coef, free = model.fit_logistic(z, y)
+    assert [r[3] for r in near] == pytest.approx([*coef, free], abs=1e-8)
+    two = model.fit_many(df, ["a", "b", "c"], "y", {"ac": ["a", "c"], "none": []})
+    assert [r[3] for r in two["ac"]] == pytest.approx([*model.fit_logistic(z[:, [0, 2]], y)[0], model.fit_logistic(z[:, [0, 2]], y)[1]], abs=1e-8)
+    assert two["none"] == [("(intercept)", 0.0, 1.0, pytest.approx(math.log(y.mean() / (1 - y.mean()))))]
+    folds = prep.stratified_folds(df, "y", "id")
+    masks = ["111", "101", "000"]
+    local = model.fitness(folds, ["a", "b", "c"], "y", "id")(masks)
+    spread = model.evaluate_distributed(folds, ["a", "b", "c"], "y", masks)
+    assert all(local[m] == pytest.approx(spread[m], abs=1e-9) for m in masks)
     p = df.withColumn("p", model.score_column(near)).orderBy("id").toPandas()["p"]
     assert model.auc(y, p.to_numpy()) == pytest.approx(metrics.rank_metrics(df.withColumn("p", model.score_column(near)), [], "y", "p").first().roc_auc)
 
