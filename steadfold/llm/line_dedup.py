@@ -23,9 +23,9 @@ KEY = ["h1", "h2"]
 def line_postings(docs: DataFrame, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, h1, h2, body, pos) for each line whose key has min_chars code points or more: body is a hash of the text and pos
     the line's place in it. Rows without an id hold no key."""
-    lines = docs.where(F.col(id_col).isNotNull() & (F.char_length(text_col) >= min_chars)).select(
-        F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("body"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line")
-    )
+    whole = docs.where(F.col(id_col).isNotNull() & (F.char_length(text_col) >= min_chars))
+    whole = whole.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text"))  # the hash once a text, not once a line
+    lines = whole.select("doc", "body", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.where(F.char_length("line") >= min_chars).select("doc", "body", "pos", F.explode(F.array(ascii_lower(F.btrim("line", F.lit(BLANKS))))).alias("key"))
     # Two independently seeded 64-bit hashes: no chance collision even among 10^13 lines.
     return lines.where(F.char_length("key") >= min_chars).select("doc", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "body", "pos")
