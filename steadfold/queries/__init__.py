@@ -1,4 +1,4 @@
 """All registered queries of the analytics operators."""
 
-from . import metrics, models, prep, reports, schema, stress  # noqa: F401
+from . import figures, metrics, models, prep, reports, schema, sources, stress  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -119,3 +119,41 @@ def pair_selection(spark: SparkSession, d: str) -> DataFrame:
     df = frame.df.withColumns({"english": (F.col("lang") == "en").cast("int"), "digits": (F.col("n_dig") > 0).cast("int")})
     pairs, _ = select_pairs(df.where("train"), df.where("NOT train"), frame.features, ["english", "digits"])
     return pairs.select("a", "b", r6("corr").alias("corr"), "kind")
+
+
+@query("SELECT unnest(['ev_n', 'ev_value']) AS feature WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events))")
+def schema_null_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns that inference would refuse: customers without events have no numbers of them."""
+    found = schema.null_columns(customer_frame(spark, d).df, ["bal", "ev_value", "ev_n"])
+    return spark.createDataFrame([(c,) for c in found], "feature string")
+
+
+@query("WITH {frame:line}, " + LINE_FLAGS_SQL + """, l AS (SELECT name AS feature, v FROM (SELECT qty, disc, rf_A::DOUBLE AS rf_A, (rf_N + 2)::DOUBLE AS two, 1.0::DOUBLE AS one, 0.0::DOUBLE AS zero FROM fl WHERE train) UNPIVOT (v FOR name IN (qty, disc, rf_A, two, one, zero)))
+SELECT feature, CASE WHEN count(DISTINCT v) > 2 THEN 'continuous' WHEN bool_and(v IN (0, 1)) THEN 'dummy' ELSE 'neither' END AS kind FROM l GROUP BY 1""")
+def schema_legacy_types(spark: SparkSession, d: str) -> DataFrame:
+    df = flagged_lines(spark, d).where("train").withColumns({"two": F.col("rf_N") + 2, "one": F.lit(1.0), "zero": F.lit(0.0)})
+    return schema.legacy_types(df, ["qty", "disc", "rf_A", "two", "one", "zero"])
+
+
+REPORT_SQL = """r AS (SELECT unnest(['inputs', 'binary', 'continuous', 'constant', 'other', 'one_hot_groups', 'one_hot_levels', 'availability_flags', 'values_with_flag', 'values_paired_by_name', 'values_paired_statistically', 'unresolved_availability', 'stand_alone_binary']) AS name,
+unnest([11, 6, 5, 0, 0, 1, 4, 1, 1, 1, 0, 0, 1])::BIGINT AS n)"""
+
+
+@query("WITH " + REPORT_SQL + " SELECT name, n FROM r")
+def schema_report(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the inferred schema of documents, but for those that depend on rare rows."""
+    from ..plans.frames import mixed_frame
+
+    frame = mixed_frame(spark, d)
+    found = schema.infer(frame.part(True).df, frame.features).summary()
+    return spark.createDataFrame([(k, n) for k, n in found.items() if k not in ("unseen_combinations", "under_recording_inputs")], "name string, n long")
+
+
+@query("SELECT unnest(['noise', 'redraw', 'masking', 'median_masking']) AS family, unnest([5, 2, 1, 5])::BIGINT AS units")
+def corrupt_units(spark: SparkSession, d: str) -> DataFrame:
+    """What each family of corruptions could strike in the documents' schema."""
+    from ..plans.frames import mixed_frame
+
+    frame = mixed_frame(spark, d)
+    units = schema.infer(frame.part(True).df, frame.features).units()
+    return spark.createDataFrame([(k, n) for k, n in units.items() if k != "under_recording"], "family string, units long")

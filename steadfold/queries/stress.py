@@ -208,3 +208,55 @@ def corrupt_score_bank(spark: SparkSession, d: str) -> DataFrame:
     dirty = corrupt.gaussian(copies, "rid", {"score": sd}, F.col("level"), F.col("repetition"), SEED).withColumn("score", F.floor(F.col("score") * 50))
     out = metrics.rank_metrics(dirty, ["level_index", "repetition"], "label", "score")
     return out.select("level_index", "repetition", F.round("roc_auc", 4).alias("roc_auc"), F.round("pr_auc", 4).alias("pr_auc"))
+
+
+@query("SELECT 'rf' AS prefix, 0::BIGINT AS n UNION ALL SELECT 'seg', 0 UNION ALL SELECT 'broken', (SELECT count(*) FROM customer)")
+def corrupt_exhaustive_check(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of which each clean row has a member keep one under re-draws; taking all of them away is counted."""
+    lines = flagged_lines(spark, d)
+    groups = {"rf": ["rf_A", "rf_N", "rf_R"]}
+    shares = lines.agg(*[F.avg(c).alias(c) for c in groups["rf"]]).first()
+    dirty = corrupt.redraw(lines, "rid", {}, {"rf": [(c, shares[c]) for c in groups["rf"]]}, 0.5, 0, SEED)
+    corrupt.check_structure(lines, dirty, "rid", groups["rf"], groups, {})
+    seg = F.col("c_mktsegment")
+    customers = customer_frame(spark, d).df.select("c_custkey", (seg == "BUILDING").cast("int").alias("seg_A"), F.lit(1).alias("all_A"), F.lit(0).alias("all_B"))
+    gone = customers.withColumn("all_A", F.lit(0))
+    more = corrupt.exhaustive_breaks(customers, gone, "c_custkey", {"seg": ["seg_A"], "broken": ["all_A", "all_B"]})
+    return corrupt.exhaustive_breaks(lines, dirty, "rid", groups).unionByName(more)
+
+
+@query("WITH " + CUST_SQL + ", s AS (SELECT stddev_samp(ev_value) AS sd FROM imp WHERE train) SELECT c_custkey, level, round(CASE level WHEN 0 THEN ev_value ELSE ev_value + level * sd * {probit:greatest(" + _u("noise", "ev_value", "c_custkey") + ", 1e-12)} END, 6) AS ev_value FROM imp, s, (VALUES (0.0::DOUBLE), (0.4::DOUBLE)) l(level)")
+def corrupt_legacy_noise(spark: SparkSession, d: str) -> DataFrame:
+    """Noise on a value whether it is available or not; at level 0 the rows as they are."""
+    df = imputed_customers(spark, d)
+    sd = {"ev_value": df.where("train").agg(F.stddev_samp("ev_value")).first()[0]}
+    made = [corrupt.legacy_noise(df, "c_custkey", sd, x, 0, SEED).select("c_custkey", F.lit(x).alias("level"), r6("ev_value").alias("ev_value")) for x in (0.0, 0.4)]
+    return made[0].unionByName(made[1])
+
+
+@query("WITH {frame:line}, " + LINE_FLAGS_SQL + ", s AS (SELECT avg(rf_A) AS a, avg(rf_N) AS n FROM fl WHERE NOT train), d AS (SELECT CASE WHEN " + _u("redraw", "rf_A") + " < 0.3 THEN (" + _u("redraw value", "rf_A") + " < a)::INTEGER ELSE rf_A END AS rf_A, CASE WHEN " + _u("redraw", "rf_N") + " < 0.3 THEN (" + _u("redraw value", "rf_N") + " < n)::INTEGER ELSE rf_N END AS rf_N FROM fl, s WHERE NOT train) SELECT rf_A, rf_N, count(*) AS n FROM d GROUP BY 1, 2")
+def corrupt_legacy_redraw(spark: SparkSession, d: str) -> DataFrame:
+    """Every cell by itself, by the share of the corrupted rows: members of a group may come together."""
+    out = corrupt.legacy_redraw(flagged_lines(spark, d).where("NOT train"), "rid", ["rf_A", "rf_N"], 0.3, None, 0, SEED)
+    return out.groupBy("rf_A", "rf_N").agg(F.count(F.lit(1)).alias("n"))
+
+
+GRID_NOISE, GRID_SHIFT = [0.0, 0.5, 1.0], [-1.0, 0.0, 1.0]
+LEGACY_SQL = "{frame:line}, n(noise) AS (VALUES (0.0::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)), h(shift) AS (VALUES (-1.0::DOUBLE), (0.0::DOUBLE), (1.0::DOUBLE)), f AS (SELECT avg(price) AS m, stddev_pop(price) AS s FROM line WHERE train), sd AS (SELECT stddev_samp(score) AS s FROM line WHERE train), z AS (SELECT rid, label, score, least(greatest((price - f.m) / f.s, -2), 2) AS z, " + _u("noise", "score") + " AS u FROM line, f WHERE NOT train), w0 AS (SELECT rid, shift, exp(shift * z) AS w, label FROM z, h), w AS (SELECT rid, shift, w * count(*) OVER (PARTITION BY shift, label) / sum(w) OVER (PARTITION BY shift, label) AS w FROM w0), preds AS (SELECT noise || '|' || shift AS k, label AS y, floor((score + noise * sd.s * {probit:greatest(u, 1e-12)}) * 50) AS p, w FROM z JOIN w USING (rid), n, sd), "
+
+
+@query("WITH " + LEGACY_SQL + AUC_SQL.replace("{k}", "k") + " SELECT split_part(k, '|', 1)::DOUBLE AS noise, split_part(k, '|', 2)::DOUBLE AS shift, round(roc_auc, 4) AS roc_auc FROM a")
+def grid_legacy(spark: SparkSession, d: str) -> DataFrame:
+    """The grid of noise on the score and shifts along the price: rows are corrupted once for a level and scored under every
+    weighting."""
+    df = line_frame(spark, d).df
+    train = df.where("train")
+    fit, sd = train.agg(F.avg("price"), F.stddev_pop("price")).first(), train.agg(F.stddev_samp("score")).first()[0]
+    z = F.least(F.greatest((F.col("price") - F.lit(fit[0])) / F.lit(fit[1]), F.lit(-2.0)), F.lit(2.0))
+    test = df.where("NOT train").select("rid", "label", "score", z.alias("z"))
+    weights = test.select("rid", "label", "z", F.explode(F.array(*[F.lit(x) for x in GRID_SHIFT])).alias("shift")).withColumn("w", F.exp(F.col("shift") * F.col("z")))
+    weights = metrics.class_normalised(weights, ["shift"], "label", "w").select("rid", "shift", "w")
+    noisy = test.select("rid", "label", "score", F.explode(F.array(*[F.lit(x) for x in GRID_NOISE])).alias("noise"))
+    noisy = corrupt.gaussian(noisy, "rid", {"score": sd}, F.col("noise"), 0, SEED).withColumn("score", F.floor(F.col("score") * 50))
+    out = metrics.rank_metrics(noisy.join(weights, "rid"), ["noise", "shift"], "label", "score", "w")
+    return out.select("noise", "shift", F.round("roc_auc", 4).alias("roc_auc"))
