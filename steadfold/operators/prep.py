@@ -98,16 +98,16 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5, accuracy:
     known = {c: (first[f"e{i}"], first[f"n{i}"]) for i, c in enumerate(columns) if first[f"n{i}"]}
     if not known:
         return dict.fromkeys(columns)
-    # -inf stands for all that is below the bracket: counted, never kept apart
-    low = lambda c: F.when(value[c] < known[c][0][0], F.lit(float("-inf"))).otherwise(value[c])
-    cells = F.array(*[F.when(value[c] <= known[c][0][1], F.struct(F.lit(c).alias("feature"), low(c).alias("value"))) for c in known])
-    counts = df.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x")).groupBy("x.feature", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    # what is below the bracket, or above, is counted together; of the latter the least may be the upper neighbour
+    side = lambda c: F.when(value[c] < known[c][0][0], F.lit(float("-inf"))).when(value[c] > known[c][0][1], F.lit(float("inf"))).otherwise(value[c])
+    cells = F.array(*[F.when(value[c].isNotNull(), F.struct(F.lit(c).alias("feature"), side(c).alias("value"), value[c].alias("v"))) for c in known])
+    counts = df.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x")).groupBy("x.feature", "x.value").agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("least"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     place = F.create_map(*[F.lit(x) for c, (_, n) in known.items() for x in (c, q * (n - 1))])
     rank = F.element_at(place, F.col("feature"))
     counts = counts.withColumn("before", before)
     hit = lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("n"))
-    rows = counts.where(hit(F.floor(rank)) | hit(F.ceil(rank))).select("feature", "value", hit(F.floor(rank)).alias("lower"), hit(F.ceil(rank)).alias("upper")).collect()
+    rows = counts.where(hit(F.floor(rank)) | hit(F.ceil(rank))).select("feature", F.col("least").alias("value"), hit(F.floor(rank)).alias("lower"), hit(F.ceil(rank)).alias("upper")).collect()
     found = {}
     for c, (_, n) in known.items():
         a, b = (next(r["value"] for r in rows if r["feature"] == c and r[side]) for side in ("lower", "upper"))

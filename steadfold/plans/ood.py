@@ -91,7 +91,7 @@ class DomainEvaluation:
         """(n, n_missing, deviation): the fronts' stored objective against one computed again; beyond tolerance it fails."""
         masks = sorted({r["mask"] for r in self.run.fronts.select("mask").distinct().collect()})
         f = self.run.frame
-        again = model.evaluate_distributed(self.run.folds, f.features, f.label, masks)
+        again = model.fitness(self.run.folds, f.features, f.label, f.row_id)(masks)  # the search's own way: scores that tie there tie here
         new = self.id_rows.sparkSession.createDataFrame([(m, float(a)) for m, (a, _) in again.items()], "mask string, auc double")
         out = stats.largest_deviation(self.run.fronts.select("mask", "auc").distinct(), new, ["mask"], "auc")
         if (row := out.first())["n_missing"] or row["deviation"] > tolerance:
