@@ -13,7 +13,7 @@ from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .pii import pseudonymise
-from .quality_rules import judge
+from .quality_rules import features, judge
 from .secrets import scan_secrets
 from .shared import table
 from .token_shards import materialise
@@ -73,6 +73,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), path, window=4096, end_id=2, with_ids=False)
 
 
+def quality_rules_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that the rules of op6 vote by, which SQL can check."""
+    out = features(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -84,9 +90,39 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_shards": op9_token_shards,
     "op10_packing": op10_packing,
+    "quality_rules_counts": quality_rules_counts,
 }
 
+#: Fixed value: words of a text in SQL.
+SQL_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
 ORACLE_SQL = {
+    "op7_minhash_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, {words} AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+items AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM items a JOIN items b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * c >= 80 * (len(x.s) + len(y.s) - c)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reached.a, ways.b FROM reached JOIN ways ON ways.a = reached.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY 1)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept FROM sets JOIN least USING (doc_id)
+""".replace("{words}", SQL_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")),
+    "quality_rules_counts": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {words} AS w FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM lines WHERE regexp_matches(line, '[^ 	-]') GROUP BY 1),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d),
+wins AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM places),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_rep FROM wins, range(3) r(k) WHERE n > 1 GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_rep, 0)::BIGINT AS n_repeat_words
+FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)
+""".replace("{words}", SQL_WORDS.format(text="coalesce(text, '')")),
     "op1_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -409,6 +409,14 @@ def test_components_of_chains_and_stars(spark):
 # --- secrets
 
 
+def plain_spans(t):
+    pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    want = [("assign", *m.span()) for m in pattern.finditer(t) if len(m[2]) >= 6]
+    want += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    want += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(want, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+
+
 def test_base_spans_and_held_out_secrets(spark):
     rng = random.Random(4)
     key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
@@ -416,14 +424,9 @@ def test_base_spans_and_held_out_secrets(spark):
     odd = [None, "", "password=short token:", "AKIA" + "A" * 15, "AKIA" + "B" * 16, "é api-key: apikey='abcdef' api_key: abc.def-", "a" * 23 + " " + "b" * 24, "paſsword=abcdefgh", LONG + "secret=abcdef1", texts[0]]
     df = docs(spark, texts + odd).withColumn("source", F.lit("s1"))
     out = secrets.scan_secrets(df, with_text=True, carry=True).orderBy("doc_id").collect()
-    pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     for t, r in zip(texts + odd, out):
         t = t or ""
-        want = [("assign", *m.span()) for m in pattern.finditer(t) if len(m[2]) >= 6]
-        want += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
-        want += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
-        want.sort(key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
-        assert [tuple(s) for s in r.base] == want
+        assert [tuple(s) for s in r.base] == plain_spans(t)
         assert {tuple(s) for s in r.base} <= {tuple(s) for s in r.all_spans}
         assert all(t[s.start : s.end] not in r.redacted for s in r.base if s.kind != "assign") and r.in_n_lines == "mine"
     model = secrets.train(df)
