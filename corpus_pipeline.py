@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steadfold.llm import kneser_ney
@@ -11,32 +11,46 @@ from steadfold.llm.line_dedup import dedup_lines
 from steadfold.llm.near_dedup import near_duplicates
 from steadfold.llm.packing import pack_documents
 from steadfold.llm.secrets import scan_secrets
-from steadfold.llm.shared import stash, table
+from steadfold.llm.shared import Sealed, stash, table
+
+
+def _by_place(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under names that no operator adds, and the new name of each column: extra columns may be called anything."""
+    sealed = Sealed.of(docs)
+    return sealed.frame, dict(zip(docs.columns, sealed.frame.columns))
+
+
+def _columns(docs: DataFrame, at: dict[str, str], **changed: Column) -> list[Column]:
+    return [changed.get(c, F.col(at[c])).alias(c) for c in docs.columns]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are as predictable as trusted text (labelled good and not toxic) of their language."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
-    model = kneser_ney.train(docs, trusted, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return kneser_ney.score(docs, model).where("kept").select(*docs.columns)
+    frame, at = _by_place(docs)
+    model = kneser_ney.train(frame, trusted, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, id_col=at["doc_id"], text_col=at["text"], lang_col=at["lang"])
+    return kneser_ney.score(frame, model, text_col=at["text"], lang_col=at["lang"]).where("kept").select(*_columns(docs, at))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that five or more of them share, but for one copy; n_chars follows the text."""
-    out = dedup_lines(docs, min_docs=5, min_chars=40)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    frame, at = _by_place(docs)
+    out = dedup_lines(frame, min_docs=5, min_chars=40, id_col=at["doc_id"], text_col=at["text"])
+    return out.select(*_columns(docs, at, n_chars=F.char_length(at["text"]).cast("long")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of least id."""
-    return near_duplicates(docs, size=5, percent=80).where("kept").select(*docs.columns)
+    frame, at = _by_place(docs)
+    return near_duplicates(frame, size=5, percent=80, id_col=at["doc_id"], text_col=at["text"]).where("kept").select(*_columns(docs, at))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with a mark in place of each secret; n_chars follows the text."""
-    out = scan_secrets(docs, with_text=True, carry=True)
-    new = {"text": F.col("redacted"), "n_chars": F.char_length("redacted").cast("long")}
-    return out.select(*[new.get(c, F.col(f"in_{c}")).alias(c) for c in docs.columns])
+    frame, at = _by_place(docs)
+    out = scan_secrets(frame, with_text=True, carry=True, id_col=at["doc_id"], text_col=at["text"], source_col=at["source"])
+    held = {c: f"in_{name}" for c, name in at.items()}
+    return out.select(*_columns(docs, held, text=F.col("redacted"), n_chars=F.char_length("redacted").cast("long")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
