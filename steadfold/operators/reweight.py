@@ -125,10 +125,15 @@ def principal_axes(df: DataFrame, features: list[str], train: Column, n_axes: in
 
 def axis_columns(features: list[str], values: np.ndarray, vectors: np.ndarray, reach: int, fit: dict[str, tuple[float, float]], n_axes: int = 3) -> dict[str, Column]:
     """PC1.. as dot products, and extremes: the distance from the middle in the leading components."""
-    z = [(F.col(f"`{c}`") - F.lit(fit[c][0])) / F.lit(fit[c][1]) for c in features]
-    dot = lambda k: sum((F.lit(float(v)) * x for v, x in zip(vectors[:, k], z)), F.lit(0.0))
-    out = {f"PC{k + 1}": dot(k) for k in range(min(n_axes, len(values)))}
-    out["extremes"] = F.sqrt(sum((F.pow(dot(k), F.lit(2.0)) / F.lit(float(values[k])) for k in range(reach)), F.lit(0.0)))
+    z = F.array(*[(F.col(f"`{c}`") - F.lit(fit[c][0])) / F.lit(fit[c][1]) for c in features])
+    numbers = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    add = lambda s, x: s + x
+    dot = lambda weights, over: F.aggregate(F.zip_with(weights, over, lambda w, x: w * x), F.lit(0.0), add)
+    out = {f"PC{k + 1}": dot(numbers(vectors[:, k]), z) for k in range(min(n_axes, len(values)))}
+    # a table of loadings in the plan, and not an expression for every product
+    leading = F.array(*[numbers(vectors[:, k] / np.sqrt(values[k])) for k in range(reach)])
+    length = F.transform(F.array(z), lambda one: F.aggregate(F.transform(leading, lambda w: dot(w, one)), F.lit(0.0), lambda s, x: s + x * x))
+    out["extremes"] = F.sqrt(F.get(length, F.lit(0)))
     return out
 
 

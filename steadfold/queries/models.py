@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..plans.run import distinct_masks, train
 from ..plans.suite import Suite, SuiteSettings
 from ..sources.store import fingerprint
 from ..sources.tables import table
+from .metrics import AUC_SQL
 from .registry import query
 
 PACKAGE = [("qty", 25.0, 14.0, 0.8), ("price", 50000.0, 28000.0, 1.6), ("disc", 0.05, 0.03, -0.4), ("(intercept)", 0.0, 1.0, 0.1)]
@@ -216,13 +219,13 @@ def grid_slices(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d).where(F.abs(F.col("shift") - 1.0) < 1e-9).select("model", "noise", r6("v").alias("v"))
 
 
-@query()
+@query("WITH " + GRID_SQL.replace(" WHERE l_linenumber <= 5", "") + " SELECT model, round(sum((shift - s0) * (v + v0) / 2) / (max(shift) - min(shift)), 6) AS aurs FROM t GROUP BY 1")
 def grid_aurs_whole(spark: SparkSession, d: str) -> DataFrame:
     """grid_aurs over all lines: a noise level for every line number there is."""
     return stats.grid_area(_grid(spark, d, "true"), ["model"], "noise", "shift", "v").withColumn("aurs", r6("aurs"))
 
 
-@query()
+@query("WITH " + GRID_SQL.replace(" WHERE l_linenumber <= 5", "") + " SELECT model, noise, round(v, 6) AS v FROM g WHERE abs(shift - 1.0) < 1e-9")
 def grid_slices_whole(spark: SparkSession, d: str) -> DataFrame:
     """grid_slices over all lines."""
     return _grid(spark, d, "true").where(F.abs(F.col("shift") - 1.0) < 1e-9).select("model", "noise", r6("v").alias("v"))
@@ -240,7 +243,11 @@ def model_record_diff(spark: SparkSession, d: str) -> DataFrame:
     return stats.largest_deviation(a, b, ["o_orderkey"], "o_totalprice").withColumn("deviation", r6("deviation"))
 
 
-@query()
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+BOOTSTRAP_SQL = "{frame:doc}, n(sample) AS (SELECT range FROM range(50)), d AS (SELECT sample, label, -avg_w AS p, {u:concat_ws('|', 1, 'bootstrap', sample, doc_id)} AS u FROM doc, n), preds AS (SELECT sample, label AS y, p, (" + " + ".join(f"(u >= {c!r})::INTEGER" for c in POISSON) + ")::DOUBLE AS w FROM d), "
+
+
+@query("WITH " + BOOTSTRAP_SQL + AUC_SQL.replace("{k}", "sample").replace("FROM preds", "FROM preds WHERE w > 0") + " SELECT round(quantile_cont(roc_auc, 0.025), 6) AS low, round(quantile_cont(roc_auc, 0.975), 6) AS high, count(roc_auc) AS n_samples FROM a")
 def bootstrap_auc(spark: SparkSession, d: str) -> DataFrame:
     """Percentile interval of a score's AUC over 50 resamples of the document rows."""
     df = documents_frame(spark, d).df.select("doc_id", F.col("label").alias("y"), (-F.col("avg_w")).alias("p"))

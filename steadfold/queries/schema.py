@@ -91,7 +91,7 @@ def gram_corr_matrix(spark: SparkSession, d: str) -> DataFrame:
     return schema.correlations(df, names).withColumn("corr", r6("corr"))
 
 
-@query()
+@query("WITH e AS (SELECT vec_id, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) r(i)) SELECT 'e' || (a.i - 1) AS a, 'e' || (b.i - 1) AS b, round(covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)), 6) + 0.0 AS corr FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i")
 def gram_corr_matrix_whole(spark: SparkSession, d: str) -> DataFrame:
     """Correlations of all components of the embeddings; gram_corr_matrix has those that its SQL names."""
     rows = table(spark, d, "embeddings")
