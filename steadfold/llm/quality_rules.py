@@ -107,6 +107,10 @@ def default_rules() -> list[Rule]:
     ]
 
 
+#: What is assumed of a rule beforehand: the share of good documents that it calls bad, and with what weight.
+ERROR, TRUST = 0.02, 0.1
+
+
 @dataclass(frozen=True)
 class LabelModel:
     """For each kind of junk: its log odds against good, and what a good and a bad vote of each rule add to them."""
@@ -128,13 +132,15 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> Label
     """Expectation-maximisation over the distinct patterns of votes and how often each occurs (3 ** rules patterns at
     most). Kinds of junk exclude each other - shouting is rarely a table - so beside the good documents there is a kind
     for every rule, beginning with what that rule calls bad. Each class has its share, and for each rule the rate of
-    bad votes, given that the rule votes: its accuracy there. Counts are smoothed towards rules that are right."""
+    bad votes, given that the rule votes: its accuracy there. Counts are smoothed towards rules that are right; among the
+    good documents with the weight of TRUST of all documents, at ERROR: else every lone bad vote would make a kind of
+    its own, and the posterior be a filter that all rules must pass."""
     k, total = (len(patterns[0][0]) if patterns else 0), sum(n for _, n in patterns)
     member = [[0.98 if -1 not in v else 0.02, *[0.98 / v.count(-1) if x == -1 else 0.02 / k for x in v]] for v, _ in patterns]
     share, rates = [0.9, *[0.1 / max(k, 1)] * k], [[0.01] * k, *[[0.9 if i == j else 0.1 for i in range(k)] for j in range(k)]]
     for _ in range(rounds if total else 0):
         mass = [9.0 if c == 0 else 1.0 / k for c in range(k + 1)]
-        votes = [[[0.05, 50.0] if c == 0 else [9.0, 1.0] if c == j + 1 else [0.5, 4.5] for j in range(k)] for c in range(k + 1)]
+        votes = [[[0.05 + ERROR * TRUST * total, 50.0 + (1 - ERROR) * TRUST * total] if c == 0 else [9.0, 1.0] if c == j + 1 else [0.5, 4.5] for j in range(k)] for c in range(k + 1)]
         for p, (v, n) in zip(member, patterns):
             for c in range(k + 1):
                 mass[c] += p[c] * n

@@ -337,6 +337,31 @@ def test_rules_count_like_brute_force_and_find_junk(spark):
     assert quality_rules.judge(docs(spark, []).drop("n_lines")).collect() == []
 
 
+def test_expectation_maximisation_finds_the_accuracies_that_votes_were_drawn_with(spark):
+    """Votes of four rules, drawn from a good class and two kinds of junk: shares, bad-vote rates and posteriors come back,
+    and the posterior errs less than rejecting whatever one rule calls bad."""
+    rng = random.Random(11)
+    share, rates = [0.85, 0.1, 0.05], [[0.02, 0.03, 0.01, 0.02], [0.95, 0.02, 0.6, 0.02], [0.02, 0.9, 0.02, 0.7]]
+    rows = []
+    for _ in range(20_000):
+        c = rng.choices(range(3), share)[0]
+        rows.append((c, tuple(0 if rng.random() < 0.2 else -1 if rng.random() < rates[c][j] else 1 for j in range(4))))
+    counts = Counter(v for _, v in rows)
+    model = quality_rules.fit(sorted(counts.items()))
+    df = spark.createDataFrame([(*v, i) for i, v in enumerate(counts)], "a int, b int, c int, d int, i int")
+    got = [r.p for r in df.select("i", model.probability(["a", "b", "c", "d"]).alias("p")).orderBy("i").collect()]
+    posterior = dict(zip(counts, got))
+
+    def true(v):
+        z = [share[c] * np.prod([1 if x == 0 else rates[c][j] if x < 0 else 1 - rates[c][j] for j, x in enumerate(v)]) for c in range(3)]
+        return z[0] / sum(z)
+
+    apart = sum(n * abs(posterior[v] - true(v)) for v, n in counts.items()) / len(rows)
+    wrong = lambda keep: sum(n for (c, v), n in Counter(rows).items() if keep(v) != (c == 0))
+    assert apart < 0.02 and wrong(lambda v: posterior[v] >= 0.5) < 0.85 * wrong(lambda v: -1 not in v)
+    assert wrong(lambda v: posterior[v] >= 0.5) <= 1.2 * wrong(lambda v: true(v) >= 0.5)
+
+
 def test_repeated_windows_of_either_path(spark):
     rows = [(0, [5, 7, 5, 9, 7]), (1, [1 << 40, (1 << 40) + 1, 1 << 40]), (2, []), (3, [4, 4, 4])]
     df = spark.createDataFrame(rows, "id int, w array<long>").select("id", quality_rules._repeated("w").alias("p"))
