@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 from dataclasses import dataclass
@@ -11,34 +10,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed value: the white space of the contracts, [\x20\x09-\x0D], without the newline that splits lines.
-BLANKS = " \t\n\x0b\x0c\r"
-#: Fixed value: one word of the contracts.
-WORD = r"[^\x20\x09-\x0D]+"
+from ..sources.staging import shared_folder
+from ..sources.staging import staged as stash
 
+__all__ = ["BLANKS", "Sealed", "ascii_lower", "barrier", "fresh_path", "lookup", "release", "remove_path", "stash", "table"]
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run on one machine may it be
-    unset (tests): a folder of that machine is then made and set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="steadfold-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+#: Fixed value: the white space of the contracts, [\x20\x09-\x0D], without the newline that splits lines.
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/steadfold/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and survives the loss of executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return f"{shared_folder(spark)}/steadfold/{name}-{uuid.uuid4().hex}"
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
