@@ -46,13 +46,19 @@ class TrainedRun:
         rows = [(name, m, s, self.masks[m, s], self.masks[m, s].count("1")) for name, (m, s) in self.instances.items()]
         return spark.createDataFrame(rows, "model string, method string, seed int, mask string, n_features int")
 
-    def deployed(self, method: str) -> tuple[str, float]:
-        """(model, threshold): the instance with the best objective, of equals the one with the smaller seed, and the
-        threshold at which its out-of-fold scores are balanced."""
-        name, key = min(((n, k) for n, k in self.instances.items() if k[0] == method), key=lambda x: (-self.objective[x[1]], x[1][1] if x[1][1] is not None else -1))
-        scored = model.out_of_fold(self.folds, self.chosen(self.masks[key]), self.frame.label)
-        threshold = metrics.balanced_threshold(scored.withColumn("all", F.lit(0)), ["all"], self.frame.row_id, self.frame.label).first()["threshold"]
-        return name, threshold
+    def deployed(self, methods: tuple[str, ...] = METHODS) -> dict[str, tuple[str, float]]:
+        """method -> (model, threshold): the instance with the best objective, of equals the one with the smaller seed, and
+        the threshold at which its out-of-fold scores are balanced. All methods' fits of a fold are made together."""
+        best = lambda x: (-self.objective[x[1]], x[1][1] if x[1][1] is not None else -1)
+        picked = {m: min(((n, k) for n, k in self.instances.items() if k[0] == m), key=best) for m in methods}
+        subsets = {m: self.chosen(self.masks[key]) for m, (_, key) in picked.items()}
+        f, scored = self.frame, None
+        for fold in sorted(r[0] for r in self.folds.select("fold").distinct().collect()):
+            made = model.fit_many(self.folds.where(F.col("fold") != fold), f.features, f.label, subsets)
+            part = model.score_models(self.folds.where(F.col("fold") == fold), made, [f.row_id, f.label])
+            scored = part if scored is None else scored.unionByName(part)
+        found = {r["model"]: r["threshold"] for r in metrics.balanced_threshold(scored, ["model"], f.row_id, f.label).collect()}
+        return {m: (picked[m][0], found[m]) for m in methods}
 
 
 def distinct_masks(df: DataFrame, seed: str = "seed", mask: str = "mask", ordinal: str = "ordinal") -> DataFrame:

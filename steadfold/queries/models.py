@@ -334,8 +334,7 @@ def ood_front_correlations(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def model_deployment(spark: SparkSession, d: str) -> DataFrame:
     """Which instance of each method would be deployed, and its threshold."""
-    run = _run(spark, d)
-    rows = [(m, *run.deployed(m)) for m in ("multi", "single", "forward", "all")]
+    rows = [(m, *found) for m, found in _run(spark, d).deployed().items()]
     return spark.createDataFrame(rows, "method string, model string, threshold double").withColumn("threshold", r6("threshold"))
 
 

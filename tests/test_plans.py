@@ -94,7 +94,7 @@ def test_run_has_every_method_once_for_each_seed(run, spark):
     assert run.masks["all", None] == "1" * 18 and run.table(spark).count() == len(run.masks)
     packages = run.packages()
     assert all(len(p) == run.masks[run.instances[name]].count("1") + 1 for name, p in packages.items())
-    name, threshold = run.deployed("single")
+    name, threshold = run.deployed(("single",))["single"]
     best = max(run.objective[k] for k in run.masks if k[0] == "single")
     assert run.objective[run.instances[name]] == best and 0 < threshold < 1
     assert run.fronts.groupBy("seed", "mask").count().where("count > 1").isEmpty()
