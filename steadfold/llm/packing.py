@@ -95,7 +95,9 @@ class WordTokenizer:
     drop white space and never join or change text across it."""
 
     #: Stems (words without a mark at the end, in one case) that are remembered at most.
-    STEMS = 400_000
+    STEMS = 300_000
+    #: Words of a generation of those remembered.
+    WORDS = 300_000
 
     def __init__(self, path: str):
         self.model = tokenizers.Tokenizer.from_file(path)
@@ -107,7 +109,7 @@ class WordTokenizer:
         # general path if the two agree on samples of them.
         self.stems: dict[str, bytes] = {}
         self.direct = all(self._word(w) == self._ids(w) and self._word(w) + self.marks[m] == self._ids(w + m) for w in ("ab", "Édition", "größe", "日本", "ĳsselmeer") for m in MARKS)
-        self.recent = Recent(self._words_to_ids)
+        self.recent = Recent(self._words_to_ids, entries=self.WORDS)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
