@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ import public_tokenizers
 
 from . import kneser_ney
 from .byte_bpe import encode_documents
+from .decontaminate import decontaminate
+from .exponion import cluster_vectors
+from .fill_middle import fill_in_middle, restore
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -73,6 +78,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), path, window=4096, end_id=2, with_ids=False)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = cluster_vectors(table(spark, sf_dir, "embeddings"))
+    digest = [(a, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for a, c in enumerate(centroids)]
+    sums = found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("cluster_inertia"))
+    whole = lambda c: F.least(c, F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long")
+    # A row for each centroid: out by broadcast.
+    sums = sums.crossJoin(F.broadcast(sums.agg(F.sum("cluster_inertia").alias("inertia")))).select("cluster", whole(F.col("cluster_inertia")).alias("cluster_inertia"), whole(F.col("inertia")).alias("inertia"))
+    sums = sums.join(spark.createDataFrame(digest, "cluster int, centroid_sha256 string").hint("broadcast"), "cluster")
+    return found.join(F.broadcast(sums), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def quality_rules_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts that the rules of op6 vote by, which SQL can check."""
     out = features(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -90,13 +118,62 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_shards": op9_token_shards,
     "op10_packing": op10_packing,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_benchmark_decontamination": op13_benchmark_decontamination,
     "quality_rules_counts": quality_rules_counts,
 }
 
 #: Fixed value: words of a text in SQL.
 SQL_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
+#: The rounds of op12 in SQL, one after the other.
+_ASSIGNED = """a{i} AS MATERIALIZED (
+  SELECT vec_id, v, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (
+    SELECT vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{i})
+  GROUP BY vec_id, v)"""
+_MOVED = """c{j} AS MATERIALIZED (
+  SELECT cluster, coalesce(m, c) AS c FROM c{i} LEFT JOIN (
+    SELECT cluster, list(f ORDER BY pos) AS m FROM (
+      SELECT cluster, pos, ((s - ((s % n) + n) % n) // n)::BIGINT AS f FROM (
+        SELECT cluster, pos, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i}) GROUP BY 1, 2))
+    GROUP BY cluster) USING (cluster))"""
+
 ORACLE_SQL = {
+    "op11_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+    [('0x' || h[1:8])::BIGINT, ('0x' || h[9:16])::BIGINT, ('0x' || h[17:24])::BIGINT, ('0x' || h[25:32])::BIGINT] AS h FROM d),
+f AS (SELECT doc_id, text, units, len(units)::BIGINT AS n,
+    CASE WHEN text = '' OR text LIKE '%<P>%' OR text LIKE '%<S>%' OR text LIKE '%<M>%' OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+    least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b FROM u),
+p AS (SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+""",
+    "op12_centroid_clustering": r"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id))::INTEGER - 1 AS cluster, v AS c FROM kept ORDER BY sha256('3:' || vec_id) LIMIT 8),
+""" + ",\n".join(f"{_ASSIGNED.format(i=i)},\n{_MOVED.format(i=i, j=i + 1)}" for i in range(10)) + r""",
+""" + _ASSIGNED.format(i=10) + r"""
+SELECT vec_id, cluster, d AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a10 JOIN c10 USING (cluster)
+""",
+    "op13_benchmark_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all({doc}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({doc}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+wins AS (SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS win FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM wins),
+places AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS win FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes)),
+found AS MATERIALIZED (SELECT doc_id, i, size, item FROM places JOIN wins USING (size, win)),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM found) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+""".replace("{doc}", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"),
     "op7_minhash_dedup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, {words} AS w FROM documents),
@@ -114,7 +191,8 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, component_id = doc_id
     "quality_rules_counts": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {words} AS w FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
-dup AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM lines WHERE regexp_matches(line, '[^ 	-]') GROUP BY 1),
+dup AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM lines WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY 1),
 places AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d),
 wins AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM places),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_rep FROM wins, range(3) r(k) WHERE n > 1 GROUP BY 1)
