@@ -140,7 +140,8 @@ def axis_columns(features: list[str], values: np.ndarray, vectors: np.ndarray, r
 def pair_selection(train: DataFrame, test: DataFrame, continuous: list[str], binaries: list[str], low: float = 0.3, high: float = 0.95, train_least: int = 20, test_least: int = 5, most: int = 200, excluded: set[frozenset[str]] = frozenset()) -> tuple[DataFrame, int]:
     """(a, b, corr, kind) of the strongest `most` pairs with low <= |corr| < high, and how many there are in all. Pairs
     with a flag need rows of each kind on both sides: every cell of two flags, each level of a single one."""
-    from .schema import correlations, pair_counts
+    from .availability import pair_counts
+    from .schema import correlations
 
     features = sorted([*continuous, *binaries])
     flags = F.array(*[F.lit(b) for b in binaries]) if binaries else F.array().cast("array<string>")
@@ -329,14 +330,3 @@ def cohort(scenarios: DataFrame, unit: list[str], usable: str = "usable") -> Dat
     usable_levels = scenarios.where(F.col(usable)).groupBy("family", *unit).agg(F.count_distinct("level").alias("_usable"))
     out = scenarios.join(F.broadcast(levels), "family").join(usable_levels, ["family", *unit], "left")
     return out.withColumn("in_cohort", F.coalesce(F.col("_usable") == F.col("_levels"), F.lit(False))).drop("_levels", "_usable")
-
-
-def scenario_scores(preds: DataFrame, weights: DataFrame, row_id: str, y: str = "y", p: str = "p") -> DataFrame:
-    """(scenario_id, model, roc_auc, pr_auc, delta_roc_auc, delta_pr_auc): predictions are made once; scenarios change
-    weights alone. preds: row, model, y, p; weights: scenario_id, row, w. Deltas are from weights of 1."""
-    from .metrics import rank_metrics
-
-    under = rank_metrics(preds.join(weights, row_id), ["scenario_id", "model"], y, p, "w")
-    clean = rank_metrics(preds, ["model"], y, p).select("model", F.col("roc_auc").alias("_r"), F.col("pr_auc").alias("_p"))
-    out = under.join(clean, "model")
-    return out.select("scenario_id", "model", "roc_auc", "pr_auc", (F.col("roc_auc") - F.col("_r")).alias("delta_roc_auc"), (F.col("pr_auc") - F.col("_p")).alias("delta_pr_auc"))

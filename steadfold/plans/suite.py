@@ -13,7 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import corrupt, metrics, prep, reweight, schema, stats
+from ..operators import corrupt, metrics, prep, reweight, scenarios, schema, stats
+from ..operators.level_counts import level_counts
 from ..operators.model import Package, fit_many, score_models
 from ..sources.staging import staged
 from .frames import FeatureFrame
@@ -70,7 +71,7 @@ class Suite:
         return Suite(run.frame, run.packages(), settings, run.instances)
 
     @cached_property
-    def schema(self) -> schema.FeatureSchema:
+    def schema(self) -> schema.TableProfile:
         return schema.infer(self.frame.part(True).df, self.frame.features)
 
     @cached_property
@@ -102,56 +103,53 @@ class Suite:
     # --- re-weighted populations
 
     @cached_property
-    def axes(self) -> DataFrame:
-        """(row, train, axis, t): normal scores along the principal axes and the distance from the middle."""
-        f = self.frame
+    def pairs(self) -> list[tuple[str, str, str]]:
+        """(a, b, kind) of the pairs whose dependence is moved."""
+        f, s = self.frame, self.schema
+        found, _ = reweight.pair_selection(f.part(True).df, f.part(False).df, s.of("continuous"), s.of("binary"))
+        return [(r["a"], r["b"], r["kind"]) for r in found.orderBy("a", "b").collect()]
+
+    @cached_property
+    def rows(self) -> tuple[DataFrame, dict[tuple[str, str], int]]:
+        """(row, train, y, t), and where in t each number is: an axis's normal score; of a feature in a pair the score that
+        pairs take (clipped and rounded, or for a flag in deviations), and its value. All weights are functions of t."""
+        f, flags = self.frame, set(self.schema.of("binary"))
         values, vectors, reach, fit = reweight.principal_axes(f.df, f.features, F.col(f.train), self.settings.n_axes)
-        columns = reweight.axis_columns(f.features, values, vectors, reach, fit, self.settings.n_axes)
-        long = metrics.long_form(f.df.withColumns({k: F.round(c, 9) for k, c in columns.items()}), list(columns), [f.row_id, f.train])
-        long = long.select(f.row_id, F.col(f.train).alias("train"), F.col("feature").alias("axis"), F.col("value").alias("_v"))
-        return staged(reweight.normal_scores(long, "_v", F.col("train"), "t", ["axis"]).drop("_v"), "axes")
-
-    def _population(self) -> tuple[list[tuple], DataFrame]:
-        """Rows of the scenario table, and (row, train, scenario_id, t): logs of weights up to a constant. Strengths come
-        from training rows' knots; those of the way down are found on the same knots with their sign changed."""
-        s, spark, rows = self.settings, self.frame.df.sparkSession, []
-        for axis in sorted(r["axis"] for r in self.axes.select("axis").distinct().collect()):
-            values, counts = reweight.knots(self.axes.where((F.col("axis") == axis) & F.col("train")), "t")
+        axes = reweight.axis_columns(f.features, values, vectors, reach, fit, self.settings.n_axes)
+        used = sorted({c for a, b, _ in self.pairs for c in (a, b)})
+        plain = {c: f"v{i}" for i, c in enumerate(used)}
+        ranked = {**{k: f"a{i}" for i, k in enumerate(axes)}, **{c: n for c, n in plain.items() if c not in flags}}
+        wide = f.df.select(f.row_id, F.col(f.train).alias("train"), F.col(f.label).cast("int").alias("y"), *[F.round(c, 9).alias(ranked[k]) for k, c in axes.items()], *[F.col(f"`{c}`").cast("double").alias(n) for c, n in plain.items()])
+        long = metrics.long_form(wide, list(ranked.values()), [f.row_id, "train"])
+        scores = reweight.normal_scores(long, "value", F.col("train"), "score", ["feature"]).groupBy(f.row_id).pivot("feature", list(ranked.values())).agg(F.first("score"))
+        both = wide.join(scores.select(f.row_id, *[F.col(n).alias(f"s_{n}") for n in ranked.values()]), f.row_id)
+        moments = prep.moments(wide.where("train"), [n for c, n in plain.items() if c in flags]) if flags & set(used) else {}
+        score = lambda c: (F.col(plain[c]) - F.lit(moments[plain[c]][0])) / F.lit(moments[plain[c]][1]) if c in flags else reweight.pair_score(F.col(f"s_{plain[c]}"))
+        numbers = {**{("axis", k): F.col(f"s_{ranked[k]}") for k in axes}, **{("score", c): score(c) for c in used}, **{("value", c): F.col(plain[c]) for c in used}}
+        return staged(both.select(f.row_id, "train", "y", F.array(*numbers.values()).alias("t")), "rows"), {k: i for i, k in enumerate(numbers)}
+
+    def _population(self) -> tuple[list[dict], list[scenarios.Tilt]]:
+        """Rows of the scenario table, and tilts along the principal axes and the distance from the middle, either way.
+        Strengths come from training rows' knots; those of the way down from the same knots with their sign changed."""
+        s, rows, tilts, (df, at) = self.settings, [], [], self.rows
+        for axis in sorted(k for kind, k in at if kind == "axis"):
+            place = at["axis", axis]
+            values, counts = reweight.knots(df.where("train").select(F.get("t", F.lit(place)).alias("t")), "t")
             for direction, sign in (("up", 1.0), ("down", -1.0)):
                 for level, (strength, ok) in zip(s.ess_levels, reweight.calibrate_ess(reweight.ess_share(sign * values, counts), list(s.ess_levels))):
-                    rows.append((f"{axis}-{direction}-{level:g}", "population", f"{axis}-{direction}", axis, direction, level, sign * strength, ok))
-        table = spark.createDataFrame([(r[0], r[3], r[6]) for r in rows if r[7]], "scenario_id string, axis string, signed double")
-        tilted = self.axes.join(F.broadcast(table), "axis")  # a row for an axis, direction and level
-        return [(*r[:3], r[5], abs(r[6]), r[7]) for r in rows], tilted.select(self.frame.row_id, "train", "scenario_id", (F.col("t") * F.col("signed")).alias("t"))
+                    name = f"{axis}-{direction}-{level:g}"
+                    rows.append({"scenario_id": name, "family": "population", "unit": f"{axis}-{direction}", "direction": direction, "level": level, "strength": strength, "attainable": ok})
+                    if ok:
+                        tilts.append(scenarios.Tilt(name, place, place, one=sign * strength))
+        return rows, tilts
 
-    @cached_property
-    def pairs(self) -> list[tuple[str, str, float]]:
-        """(a, b, corr) of the pairs whose dependence is moved."""
-        f, s = self.frame, self.schema
-        found, _ = reweight.pair_selection(f.part(True).df, f.part(False).df, s.continuous, s.binary)
-        return [(r["a"], r["b"], r["corr"]) for r in found.orderBy("a", "b").collect()]
-
-    def _dependence(self) -> tuple[list[tuple], DataFrame | None]:
+    def _dependence(self) -> tuple[list[dict], list[scenarios.Tilt]]:
         """The same for pairs: each pair's problem is solved in a task of its own, on counts of distinct score pairs."""
-        f, s, spark = self.frame, self.settings, self.frame.df.sparkSession
+        s, (df, at) = self.settings, self.rows
         if not self.pairs:
-            return [], None
-        used = sorted({c for a, b, _ in self.pairs for c in (a, b)})
-        flags, train = set(self.schema.binary), F.col(f.train)
-        df = f.df.select(f.row_id, train.alias("train"), *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(used)])
-        long = metrics.long_form(df, [f"v{i}" for i, c in enumerate(used) if c not in flags], [f.row_id, "train"])
-        if any(c not in flags for c in used):
-            scores = reweight.normal_scores(long, "value", F.col("train"), "score", ["feature"])
-            scores = scores.withColumn("score", reweight.pair_score(F.col("score"))).groupBy(f.row_id, "train").pivot("feature", [f"v{i}" for i, c in enumerate(used) if c not in flags]).agg(F.first("score"))
-        else:
-            scores = df.select(f.row_id, "train")
-        if any(c in flags for c in used):
-            names = [f"v{i}" for i, c in enumerate(used) if c in flags]
-            fit = prep.moments(df.where("train"), names)
-            scores = scores.join(df.select(f.row_id, *[((F.col(n) - F.lit(fit[n][0])) / F.lit(fit[n][1])).alias(n) for n in names]), f.row_id)
-        at = {c: F.col(f"v{i}") for i, c in enumerate(used)}
-        pair = lambda k, a, b: F.struct(F.lit(k).alias("pair"), at[a].alias("a"), at[b].alias("b"))
-        every = staged(scores.select(f.row_id, "train", F.explode(F.array(*[pair(k, a, b) for k, (a, b, _) in enumerate(self.pairs)])).alias("x")).select(f.row_id, "train", "x.*"), "pairs")
+            return [], []
+        places = [(at["score", a], at["score", b]) for a, b, _ in self.pairs]
+        flags = set(self.schema.of("binary"))
         squares = [(a not in flags, b not in flags) for a, b, _ in self.pairs]
         ways = [("dependence_weaken", s.weaken), ("dependence_strengthen", s.strengthen)]
 
@@ -173,40 +171,71 @@ class Suite:
                     out.append((k, family, level, found.theta if found else None, bend[0], bend[1], aa, bb, found is not None))
             return pd.DataFrame(out, columns=["pair", "family", "level", "theta", "ba", "bb", "baa", "bbb", "attainable"])
 
-        counts = every.where("train").groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-        made = staged(counts.groupBy("pair").applyInPandas(solve, "pair int, family string, level double, theta double, ba double, bb double, baa double, bbb double, attainable boolean"), "shifts")
-        rows, name = [], lambda k: f"{self.pairs[k][0]} x {self.pairs[k][1]}"
-        for r in made.orderBy("pair", "family", "level").collect():  # a row for a pair, family and level
-            rows.append((f"{r['family']}-{name(r['pair'])}-{r['level']:g}", r["family"], name(r["pair"]), r["level"], r["theta"], r["attainable"]))
-        names = F.broadcast(spark.createDataFrame([(k, name(k)) for k in range(len(self.pairs))], "pair int, unit string"))
-        known = made.where("attainable").join(names, "pair").withColumn("scenario_id", F.concat_ws("-", "family", "unit", F.format_string("%s", F.regexp_replace(F.col("level").cast("string"), r"\.0$", ""))))
-        a, b = F.col("a"), F.col("b")
-        log = F.col("theta") * a * b + F.col("ba") * a + F.col("bb") * b + F.col("baa") * a * a + F.col("bbb") * b * b
-        return rows, every.join(F.broadcast(known), "pair").select(f.row_id, "train", "scenario_id", log.alias("t"))
+        # each task counts its rows' score pairs before they are exchanged: 63,001 for a pair of numbers at most
+        pair = F.array(*[F.struct(F.lit(k).alias("pair"), F.get("t", F.lit(i)).alias("a"), F.get("t", F.lit(j)).alias("b")) for k, (i, j) in enumerate(places)])
+        counts = df.where("train").select(F.explode(pair).alias("x")).groupBy("x.pair", "x.a", "x.b").agg(F.count(F.lit(1)).alias("n"))
+        made = counts.groupBy("pair").applyInPandas(solve, "pair int, family string, level double, theta double, ba double, bb double, baa double, bbb double, attainable boolean")
+        rows, tilts = [], []
+        for r in sorted(made.collect(), key=lambda r: (r["pair"], r["family"], r["level"])):  # a row for a pair, family and level
+            a, b, kind = self.pairs[r["pair"]]
+            name = f"{r['family']}-{a} x {b}-{r['level']:g}"
+            rows.append({"scenario_id": name, "family": r["family"], "unit": f"{a} x {b}", "level": r["level"], "strength": r["theta"], "attainable": r["attainable"], "pair_a": a, "pair_b": b, "pair_kind": kind})
+            if r["attainable"]:
+                tilts.append(scenarios.Tilt(name, *places[r["pair"]], r["theta"], r["ba"], r["bb"], r["baa"], r["bbb"], (at["value", a], at["value", b])))
+        return rows, tilts
 
     @cached_property
-    def scenarios(self) -> tuple[DataFrame, DataFrame]:
-        """(scenarios, weights of test rows). Test rows get the function that training rows give, and each side's weights a
-        mean of one."""
-        f, spark = self.frame, self.frame.df.sparkSession
-        rows, logs = self._population()
-        more, other = self._dependence()
-        logs = logs if other is None else logs.unionByName(other)
-        table = spark.createDataFrame(rows + more, "scenario_id string, family string, unit string, level double, strength double, attainable boolean")
-        tilted = reweight.tilt(logs, "t", 1.0, ["scenario_id", "train"])
-        labelled = staged(tilted.join(f.df.select(f.row_id, F.col(f.label).alias("y")), f.row_id).select(f.row_id, "scenario_id", "train", "y", "w"), "weights")
-        train_ess = metrics.ess(labelled.where("train"), ["scenario_id"], "w").select("scenario_id", F.col("ess_fraction").alias("train_ess"))
-        test = labelled.where("NOT train")
-        test_ess = metrics.ess(test, ["scenario_id"], "w").select("scenario_id", F.col("ess_fraction").alias("test_ess"))
-        out = table.join(train_ess, "scenario_id", "left").join(test_ess, "scenario_id", "left").join(metrics.ess_by_class(test, ["scenario_id"], "y", "w"), "scenario_id", "left")
-        share = test.groupBy("scenario_id").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("weighted_prevalence"))
+    def tilts(self) -> tuple[list[dict], list[scenarios.Tilt]]:
+        """Rows of the scenario table, and the attainable scenarios."""
+        (rows, tilts), (more, other) = self._population(), self._dependence()
+        return rows + more, tilts + other
+
+    @cached_property
+    def moments(self) -> DataFrame:
+        """scenarios.moments() of all scenarios on either side, and of each unit without weights under `base: unit`."""
+        rows, tilts = self.tilts
+        unit = {r["scenario_id"]: r["unit"] for r in rows}
+        base = {unit[t.scenario_id]: scenarios.Tilt(f"base: {unit[t.scenario_id]}", t.first, t.second, raw=t.raw) for t in tilts}
+        return staged(scenarios.moments(self.rows[0], [*tilts, *base.values()]), "moments")
+
+    @cached_property
+    def scenarios(self) -> DataFrame:
+        """The scenario table. Test rows get the function that training rows give. For a pair: the correlation of its values
+        and of its scores on either side, and the changes of means (in deviations) and deviations on test rows."""
+        rows, _ = self.tilts
+        kinds = {"scenario_id": "string", "family": "string", "unit": "string", "direction": "string", "level": "double", "strength": "double", "attainable": "boolean", "pair_a": "string", "pair_b": "string", "pair_kind": "string"}
+        table = self.frame.df.sparkSession.createDataFrame([tuple(r.get(k) for k in kinds) for r in rows], ", ".join(f"{k} {v}" for k, v in kinds.items()))
+        side = lambda train: self.moments.where(F.col("part") == F.lit(train))
+        out = table.join(scenarios.support(side(True), ["scenario_id"]).select("scenario_id", F.col("ess_fraction").alias("train_ess")), "scenario_id", "left")
+        out = out.join(scenarios.support(side(False), ["scenario_id"]).withColumnRenamed("ess_fraction", "test_ess"), "scenario_id", "left")
+        for of, name in (("v", "correlation"), ("s", "score_correlation")):
+            for train in (True, False):
+                found = scenarios.pair_moments(side(train), ["scenario_id"], of)
+                paired = F.when(F.col("pair_a").isNotNull(), F.col("corr")).alias(f"{name}_{'train' if train else 'test'}")
+                out = out.join(found.select("scenario_id", "corr"), "scenario_id", "left").select(*out.columns, paired)
+        found = scenarios.pair_moments(side(False), ["scenario_id"], "v")
+        base = found.where("startswith(scenario_id, 'base: ')").select(F.expr("substr(scenario_id, 7)").alias("unit"), *[F.col(c).alias(f"base_{c}") for c in ("mean_a", "mean_b", "sd_a", "sd_b")])
+        out = out.join(found.drop("corr"), "scenario_id", "left").join(base, "unit", "left")
+        shifts = [((F.col(f"mean_{x}") - F.col(f"base_mean_{x}")) / F.nullif(F.col(f"base_sd_{x}"), F.lit(0.0))).alias(f"mean_shift_{x}") for x in "ab"]
+        ratios = [(F.col(f"sd_{x}") / F.nullif(F.col(f"base_sd_{x}"), F.lit(0.0))).alias(f"sd_ratio_{x}") for x in "ab"]
+        out = out.select(*[c for c in out.columns if not c.startswith(("base_", "mean_", "sd_"))], *shifts, *ratios)
         ok = F.coalesce(reweight.supported(F.col("train_ess"), F.col("test_ess"), F.least("ess_negatives", "ess_positives")), F.lit(False))
-        out = out.join(share, "scenario_id", "left").withColumn("supported", ok).withColumn("usable", F.col("attainable") & F.col("supported"))
-        return staged(reweight.cohort(out, ["unit"]), "scenarios"), test.select("scenario_id", f.row_id, "w")
+        out = out.withColumn("supported", ok).withColumn("usable", F.col("attainable") & F.col("supported"))
+        return staged(reweight.cohort(out, ["unit"]), "scenarios")
+
+    def weights(self, scenario_id: str) -> DataFrame:
+        """(row, w) of the test rows under one scenario, with a mean of one."""
+        (tilt,) = [t for t in self.tilts[1] if t.scenario_id == scenario_id]
+        test = self.rows[0].where("NOT train").select(self.frame.row_id, scenarios.log_weight(tilt).alias("log"))
+        return reweight.tilt(test, "log", 1.0).select(self.frame.row_id, "w")
 
     @cached_property
     def reweighting_scores(self) -> DataFrame:
-        return staged(reweight.scenario_scores(self.predictions, self.scenarios[1], self.frame.row_id), "reweighted")
+        """(scenario_id, model, roc_auc, pr_auc, delta_roc_auc, delta_pr_auc)."""
+        tilts, f = self.tilts[1], self.frame
+        peaks = {r["scenario_id"]: r["peak"] for r in self.moments.where("NOT part").select("scenario_id", "peak").collect()}  # a row for a scenario
+        rows = self.rows[0].where("NOT train").select(f.row_id, "t")
+        return staged(scenarios.scenario_scores(self.predictions, rows, tilts, f.row_id, peaks=[peaks[t.scenario_id] for t in tilts]), "reweighted")
 
     # --- corrupted rows
 
@@ -216,24 +245,24 @@ class Suite:
         train = f.part(True).df
         copies = corrupt.bank(self.test, list(s.corruption_levels), s.repetitions)
         level, rep, seed = F.col("level"), F.col("repetition"), s.seed
-        flags = {c: flag for c, (flag, _) in known.value_flags.items()}
+        flags = {c: flag for c, (flag, _) in known.flag_of.items()}
         out = []
-        if known.continuous:
-            sd = train.agg(*[F.stddev_samp(F.col(f"`{c}`")).alias(c) for c in known.continuous]).first().asDict()
-            off = {c: o for c, (_, o) in known.value_flags.items()}
+        if numbers := known.of("continuous"):
+            sd = train.agg(*[F.stddev_samp(F.col(f"`{c}`")).alias(c) for c in numbers]).first().asDict()
+            off = {c: o for c, (_, o) in known.flag_of.items()}
             # an available cell is one whose flag is not at its off level; flags that are off at one are turned around
             turned = {c: F.when(F.col(f"`{fl}`") != off[c], 1).otherwise(0) for c, fl in flags.items()}
             here = copies.withColumns({f"_on_{c}": x for c, x in turned.items()})
             on = {c: f"_on_{c}" for c in flags}
             out.append((corrupt.gaussian(here, f.row_id, sd, level, rep, seed, on).drop(*on.values()), "noise"))
-            out.append((corrupt.mask_medians(here, f.row_id, prep.medians(train, known.continuous), level, rep, seed, on).drop(*on.values()), "median_masking"))
-        if known.standalone or known.groups:
-            groups = {p: list(m.items()) for p, (m, _) in known.groups.items()}
-            out.append((corrupt.redraw(copies, f.row_id, {c: known.shares[c] for c in known.standalone}, groups, level, rep, seed), "redraw"))
-        if known.under_recording:
-            out.append((corrupt.under_record(copies, f.row_id, known.under_recording, level, rep, seed), "under_recording"))
-        if known.indicators:
-            out.append((corrupt.mask_values(copies, f.row_id, {i.flag: (i.off, i.fills) for i in known.indicators}, level, rep, seed), "masking"))
+            out.append((corrupt.mask_medians(here, f.row_id, prep.medians(train, numbers), level, rep, seed, on).drop(*on.values()), "median_masking"))
+        if (alone := known.listed("stand_alone_binary")) or known.groups:
+            groups = {p: list(m.items()) for p, m in known.groups.items()}
+            out.append((corrupt.redraw(copies, f.row_id, {c: known.shares[c] for c in alone}, groups, level, rep, seed), "redraw"))
+        if recorded := known.listed("under_recording_inputs"):
+            out.append((corrupt.under_record(copies, f.row_id, recorded, level, rep, seed), "under_recording"))
+        if known.flags:
+            out.append((corrupt.mask_values(copies, f.row_id, known.flags, level, rep, seed), "masking"))
         rows = [df.withColumn("family", F.lit(name)) for df, name in out]
         whole = rows[0]
         for r in rows[1:]:
@@ -248,15 +277,22 @@ class Suite:
         clean = self.clean.select("model", F.col("roc_auc").alias("_r"), F.col("pr_auc").alias("_p"))
         return staged(out.join(clean, "model").select("model", "family", "level", "repetition", "roc_auc", "pr_auc", (F.col("roc_auc") - F.col("_r")).alias("delta_roc_auc"), (F.col("pr_auc") - F.col("_p")).alias("delta_pr_auc")), "corruption")
 
+    @cached_property
+    def corruption_diagnostics(self) -> DataFrame:
+        """(family, level, repetition, eligible, selected, changed, unseen_combinations, rows_with_unseen_combination)."""
+        f, s, known = self.frame, self.settings, self.schema
+        medians = prep.medians(f.part(True).df, known.of("continuous")) if known.of("continuous") else {}
+        return staged(level_counts(self.test, f.row_id, known, medians, list(s.corruption_levels), s.repetitions, s.seed), "diagnostics")
+
     # --- summaries
 
     @cached_property
     def family_scores(self) -> DataFrame:
         """(family, severity, model, method, seed, roc_auc, delta_roc_auc, pr_auc, delta_pr_auc, worst_*, corruption_sd,
         n_scenarios): cohort scenarios alone; families of too few pairs are left out."""
-        scenarios = self.scenarios[0]
-        small = stats.small_cohorts(scenarios, self.settings.least_pairs).where("excluded").select("family")
-        chosen = scenarios.where("usable AND in_cohort").join(small, "family", "left_anti").select("scenario_id", "family", F.col("level").alias("severity"))
+        table = self.scenarios
+        small = stats.small_cohorts(table, self.settings.least_pairs).where("excluded").select("family")
+        chosen = table.where("usable AND in_cohort").join(small, "family", "left_anti").select("scenario_id", "family", F.col("level").alias("severity"))
         numbers = ["roc_auc", "delta_roc_auc", "pr_auc", "delta_pr_auc"]
         shifted = self.reweighting_scores.join(chosen, "scenario_id").select("family", "severity", "model", *numbers, F.lit(False).alias("dirty"))
         dirty = self.corruption_scores.select("family", F.col("level").alias("severity"), "model", *numbers, F.lit(True).alias("dirty"))
@@ -273,8 +309,8 @@ class Suite:
 
     def tests(self, target: str = "multi", rival: str = "single") -> DataFrame:
         """paired_tests() of the target, with the share of cohort scenarios in which its mean change is above the rival's."""
-        scenarios = self.scenarios[0].where("usable AND in_cohort").select("scenario_id", "family", F.col("level").alias("severity"))
-        each = self.reweighting_scores.join(scenarios, "scenario_id").join(self._methods(), "model")
+        known = self.scenarios.where("usable AND in_cohort").select("scenario_id", "family", F.col("level").alias("severity"))
+        each = self.reweighting_scores.join(known, "scenario_id").join(self._methods(), "model")
         share = stats.share_better(each, ["family", "severity", "scenario_id"], "method", "delta_roc_auc", target, rival)
         share = share.select("family", "severity", F.lit("delta_roc_auc").alias("statistic"), F.lit(rival).alias("baseline"), F.col("share").alias("scenario_share_better"))
         return stats.paired_tests(self.family_scores, target).join(share, ["family", "severity", "statistic", "baseline"], "left")

@@ -197,40 +197,27 @@ def stats_sign_vs_degradation(spark: SparkSession, d: str) -> DataFrame:
     return stats.spearman(pts, ["family"], "x", "y").where("n >= 4").withColumn("spearman", r6("spearman"))
 
 
-GRID_SQL = """g AS (SELECT l_returnflag AS model, (l_linenumber - 1) * 0.25 AS noise, floor(l_quantity / 10) * 0.5 AS shift, avg(1 - l_discount) AS v FROM lineitem WHERE l_linenumber <= 5 GROUP BY ALL),
+GRID_SQL = """g AS (SELECT l_returnflag AS model, (l_linenumber - 1) * 0.25 AS noise, floor(l_quantity / 10) * 0.5 AS shift, avg(1 - l_discount) AS v FROM lineitem GROUP BY ALL),
 c AS (SELECT *, v / max(CASE WHEN noise = 0 AND shift = 0 THEN v END) OVER (PARTITION BY model) AS r FROM g),
 l AS (SELECT *, lag(noise) OVER (PARTITION BY model, shift ORDER BY noise) AS n0, lag(r) OVER (PARTITION BY model, shift ORDER BY noise) AS r0 FROM c),
 s AS (SELECT model, shift, sum((noise - n0) * (r + r0) / 2) / (max(noise) - min(noise)) AS v FROM l GROUP BY 1, 2),
 t AS (SELECT *, lag(shift) OVER (PARTITION BY model ORDER BY shift) AS s0, lag(v) OVER (PARTITION BY model ORDER BY shift) AS v0 FROM s)"""
 
 
-def _grid(spark: SparkSession, d: str, lines: str = "l_linenumber <= 5") -> DataFrame:
-    df = table(spark, d, "lineitem").where(lines)
-    return df.groupBy(F.col("l_returnflag").alias("model"), ((F.col("l_linenumber") - 1) * 0.25).alias("noise"), (F.floor(F.col("l_quantity") / 10) * 0.5).alias("shift")).agg(F.avg(1 - F.col("l_discount")).alias("v"))
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("model"), ((F.col("l_linenumber") - 1) * 0.25).alias("noise"), (F.floor(F.col("l_quantity") / 10) * 0.5).alias("shift")).agg(F.avg(1 - F.col("l_discount")).alias("v"))
 
 
-@query("WITH " + GRID_SQL + " SELECT model, round(sum((shift - s0) * (v + v0) / 2) / (max(shift) - min(shift)), 6) AS aurs FROM t GROUP BY 1")
+@query("WITH " + GRID_SQL + " SELECT model, round(sum((shift - s0) * (v + v0) / 2) / (max(shift) - min(shift)), 6) AS aurs FROM t GROUP BY 1", also="grid_aurs_whole")
 def grid_aurs(spark: SparkSession, d: str) -> DataFrame:
     return stats.grid_area(_grid(spark, d), ["model"], "noise", "shift", "v").withColumn("aurs", r6("aurs"))
 
 
-@query("WITH " + GRID_SQL + " SELECT model, noise, round(v, 6) AS v FROM g WHERE abs(shift - 1.0) < 1e-9")
+@query("WITH " + GRID_SQL + " SELECT model, noise, round(v, 6) AS v FROM g WHERE abs(shift - 1.0) < 1e-9", also="grid_slices_whole")
 def grid_slices(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d).where(F.abs(F.col("shift") - 1.0) < 1e-9).select("model", "noise", r6("v").alias("v"))
 
 
-@query("WITH " + GRID_SQL.replace(" WHERE l_linenumber <= 5", "") + " SELECT model, round(sum((shift - s0) * (v + v0) / 2) / (max(shift) - min(shift)), 6) AS aurs FROM t GROUP BY 1")
-def grid_aurs_whole(spark: SparkSession, d: str) -> DataFrame:
-    """grid_aurs over all lines: a noise level for every line number there is."""
-    return stats.grid_area(_grid(spark, d, "true"), ["model"], "noise", "shift", "v").withColumn("aurs", r6("aurs"))
-
-
-@query("WITH " + GRID_SQL.replace(" WHERE l_linenumber <= 5", "") + " SELECT model, noise, round(v, 6) AS v FROM g WHERE abs(shift - 1.0) < 1e-9")
-def grid_slices_whole(spark: SparkSession, d: str) -> DataFrame:
-    """grid_slices over all lines."""
-    return _grid(spark, d, "true").where(F.abs(F.col("shift") - 1.0) < 1e-9).select("model", "noise", r6("v").alias("v"))
-
-
 @query("SELECT model, round(min(v), 4) AS min, round(quantile_cont(v, 0.5), 4) AS median, round(avg(v), 4) AS mean, round(max(v), 4) AS max, round(stddev_samp(v), 4) AS std FROM (SELECT p_brand AS model, p_size::DOUBLE AS v FROM part) GROUP BY 1")
 def feature_count_summary(spark: SparkSession, d: str) -> DataFrame:
     return stats.summary_statistics(table(spark, d, "part").select(F.col("p_brand").alias("model"), F.col("p_size").cast("double").alias("v")), ["model"], "v")

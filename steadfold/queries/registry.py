@@ -22,11 +22,14 @@ def _expanded(sql: str) -> str:
     return sql
 
 
-def query(oracle: str | None = None):
+def query(oracle: str | None = None, also: str | None = None):
+    """Registers a query under its name; also: an earlier name that it goes by."""
+
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE_SQL[f.__name__] = _expanded(oracle)
+        for name in filter(None, (f.__name__, also)):
+            QUERIES[name] = f
+            if oracle:
+                ORACLE_SQL[name] = _expanded(oracle)
         return f
 
     return register

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
-from ..operators import corrupt, metrics, reweight
+from ..operators import corrupt, metrics, reweight, scenarios
 from ..operators.prep import medians
 from ..plans.frames import customer_frame, line_frame
 from ..sources.tables import table
 from .metrics import AUC_SQL
 from .registry import query
-from .schema import CUST_SQL, LINE_FLAGS_SQL, flagged_lines, imputed_customers
+from .schema import CUST_SQL, FACTS_SQL, LINE_FLAGS_SQL, flagged_lines, imputed_customers
 
 SEED = 20260926
 
@@ -88,30 +88,29 @@ r AS (SELECT scenario_id, direction, model, y, p, exp(strength * z - max(strengt
 x AS (SELECT scenario_id, direction, model, y, p, r / avg(r) OVER (PARTITION BY scenario_id) AS w FROM r)"""
 
 
-def _scenario_weights(spark: SparkSession, d: str) -> DataFrame:
+def _scenario_rows(spark: SparkSession, d: str) -> tuple[DataFrame, list[scenarios.Tilt]]:
+    """Lines with their price in deviations, and the tilts along it."""
     df = line_frame(spark, d).df
     fit = df.agg(F.avg("price"), F.stddev_pop("price")).first()
-    df = df.withColumn("z", (F.col("price") - F.lit(fit[0])) / F.lit(fit[1]))
-    scenarios = F.array(*[F.struct(F.lit(i).alias("scenario_id"), F.lit(n).alias("direction"), F.lit(s).alias("strength")) for i, n, s in SCENARIOS])
-    df = df.withColumn("s", F.explode(scenarios)).select("rid", F.col("l_returnflag").alias("model"), F.col("label").alias("y"), F.col("score").alias("p"), "s.scenario_id", "s.direction", (F.col("s.strength") * F.col("z")).alias("t"))
-    return reweight.tilt(df, "t", 1.0, ["scenario_id"])
+    rows = df.select("rid", F.col("l_returnflag").alias("model"), F.col("label").alias("y"), F.col("score").alias("p"), F.array((F.col("price") - F.lit(fit[0])) / F.lit(fit[1])).alias("t"), F.lit(False).alias("train"))
+    return rows, [scenarios.Tilt(i, 0, 0, one=s) for i, _, s in SCENARIOS]
 
 
 @query("WITH " + SCENARIO_SQL + """, e AS (SELECT scenario_id, direction, sum(w) ** 2 / sum(w * w) / count(*) AS ess, sum(w) FILTER (WHERE y = 0) ** 2 / sum(w * w) FILTER (WHERE y = 0) AS e0, sum(w) FILTER (WHERE y = 1) ** 2 / sum(w * w) FILTER (WHERE y = 1) AS e1 FROM x GROUP BY 1, 2)
 SELECT scenario_id, direction, round(ess, 6) AS ess_fraction, round(e0, 3) AS ess_negatives, round(e1, 3) AS ess_positives, ess >= 0.3 AND least(e0, e1) >= 20 AS supported FROM e""")
 def scenario_support(spark: SparkSession, d: str) -> DataFrame:
-    w = _scenario_weights(spark, d)
-    keys = ["scenario_id", "direction"]
-    both = metrics.ess(w, keys, "w").join(metrics.ess_by_class(w, keys, "y", "w"), keys)
+    rows, tilts = _scenario_rows(spark, d)
+    found = scenarios.support(scenarios.moments(rows, tilts), ["scenario_id"])
+    names = spark.createDataFrame([(i, n) for i, n, _ in SCENARIOS], "scenario_id int, direction string")
     ok = reweight.supported(F.col("ess_fraction"), F.col("ess_fraction"), F.least("ess_negatives", "ess_positives"))
-    return both.select(*keys, r6("ess_fraction").alias("ess_fraction"), F.round("ess_negatives", 3).alias("ess_negatives"), F.round("ess_positives", 3).alias("ess_positives"), ok.alias("supported"))
+    return found.join(F.broadcast(names), "scenario_id").select("scenario_id", "direction", r6("ess_fraction").alias("ess_fraction"), F.round("ess_negatives", 3).alias("ess_negatives"), F.round("ess_positives", 3).alias("ess_positives"), ok.alias("supported"))
 
 
 @query("WITH " + SCENARIO_SQL + ", preds AS (SELECT scenario_id || '-' || model AS k, y, p, w FROM x UNION ALL SELECT 'clean-' || model, y, p, 1.0 FROM t), " + AUC_SQL.replace("{k}", "k") + """ SELECT split_part(a.k, '-', 1)::INTEGER AS scenario_id, split_part(a.k, '-', 2) AS model, round(a.roc_auc, 6) AS roc_auc, round(a.pr_auc, 6) AS pr_auc, round(a.roc_auc - b.roc_auc, 6) + 0.0 AS delta_roc_auc, round(a.pr_auc - b.pr_auc, 6) + 0.0 AS delta_pr_auc
 FROM a JOIN a b ON b.k = 'clean-' || split_part(a.k, '-', 2) WHERE NOT a.k LIKE 'clean%'""")
 def scenario_scores(spark: SparkSession, d: str) -> DataFrame:
-    preds = line_frame(spark, d).df.select("rid", F.col("l_returnflag").alias("model"), F.col("label").alias("y"), F.col("score").alias("p"))
-    out = reweight.scenario_scores(preds, _scenario_weights(spark, d).select("rid", "scenario_id", "w"), "rid")
+    rows, tilts = _scenario_rows(spark, d)
+    out = scenarios.scenario_scores(rows.select("rid", "model", "y", "p"), rows, tilts, "rid")
     return out.select("scenario_id", "model", *[r6(c).alias(c) for c in ("roc_auc", "pr_auc", "delta_roc_auc", "delta_pr_auc")])
 
 
@@ -260,3 +259,39 @@ def grid_legacy(spark: SparkSession, d: str) -> DataFrame:
     noisy = corrupt.gaussian(noisy, "rid", {"score": sd}, F.col("noise"), 0, SEED).withColumn("score", F.floor(F.col("score") * 50))
     out = metrics.rank_metrics(noisy.join(weights, "rid"), ["noise", "shift"], "label", "score", "w")
     return out.select("noise", "shift", F.round("roc_auc", 4).alias("roc_auc"))
+
+
+#: Every corruption of the documents' test rows, cell by cell, at every level: what one pass over differences must add up to.
+_LEVELS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+BANK_SQL = FACTS_SQL + f""", lv(level) AS (SELECT unnest({_LEVELS})::DOUBLE), rp(repetition) AS (SELECT range::INTEGER FROM range(10)),
+tl AS MATERIALIZED (SELECT doc_id, name, v FROM (SELECT * FROM mxa WHERE NOT train) UNPIVOT (v FOR name IN (n_chars, n_sp, n_nl, avg_w, lang_de, lang_en, lang_es, lang_fr, long_lines, "dig:missing", dig))),
+med AS (SELECT name, quantile_cont(v, 0.5) AS middle FROM l GROUP BY 1),
+gone AS (SELECT doc_id, value AS name FROM pairs JOIN tl ON tl.name = flag AND v = off),
+cell AS MATERIALIZED (
+  SELECT f.family, repetition, doc_id, tl.name AS unit, NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = tl.doc_id AND g.name = tl.name) AS eligible, CASE f.family WHEN 'noise' THEN 0.0 ELSE {{u:concat_ws('|', {SEED}, 'median_masking', repetition, tl.name, doc_id)}} END AS u, f.family = 'noise' OR v <> middle AS changes
+  FROM tl JOIN k USING (name) JOIN med USING (name), rp, (VALUES ('noise'), ('median_masking')) f(family) WHERE kind = 'continuous'
+  UNION ALL SELECT 'under_recording', repetition, doc_id, name, v = 1, {{u:concat_ws('|', {SEED}, 'under_recording', repetition, name, doc_id)}}, true FROM tl JOIN free USING (name), rp WHERE share < 0.5
+  UNION ALL SELECT 'masking', repetition, doc_id, name, v <> off, {{u:concat_ws('|', {SEED}, 'masking', repetition, name, doc_id)}}, true FROM tl JOIN (SELECT DISTINCT flag AS name, off FROM pairs) USING (name), rp),
+unit AS (SELECT name AS unit, name, share, 0.0 AS below, false AS rest FROM free UNION ALL SELECT prefix, name, share, sum(share) OVER (PARTITION BY prefix ORDER BY name) - share, name = max(name) OVER (PARTITION BY prefix) AND sum(share) OVER (PARTITION BY prefix) >= 1 - 1e-12 FROM pre JOIN grp USING (prefix) JOIN k USING (name)),
+re AS MATERIALIZED (SELECT repetition, doc_id, unit, name, v, u, (w >= below AND (rest OR w < below + share))::DOUBLE AS new FROM (
+  SELECT *, {{u:concat_ws('|', {SEED}, 'redraw', repetition, unit, doc_id)}} AS u, {{u:concat_ws('|', {SEED}, 'redraw value', repetition, unit, doc_id)}} AS w FROM tl JOIN unit USING (name), rp)),
+every AS (SELECT * FROM cell UNION ALL SELECT 'redraw', repetition, doc_id, unit, true, min(u), bool_or(new <> v) FROM re GROUP BY repetition, doc_id, unit),
+sums AS (SELECT family, level, repetition, count(*) FILTER (WHERE eligible) AS eligible, count(*) FILTER (WHERE eligible AND u < level) AS selected, count(*) FILTER (WHERE eligible AND u < level AND changes) AS changed FROM every, lv GROUP BY 1, 2, 3),
+struck AS (SELECT family, repetition, doc_id, unit AS name, u, CASE family WHEN 'masking' THEN (SELECT min(off) FROM pairs WHERE flag = unit) ELSE 0 END::DOUBLE AS new FROM cell WHERE family IN ('under_recording', 'masking') AND eligible
+  UNION ALL SELECT 'redraw', repetition, doc_id, name, u, new FROM re),
+bin AS (SELECT f.family, level, rp.repetition, tl.doc_id, tl.name, tl.v AS was, CASE WHEN s.u < level THEN s.new ELSE tl.v END AS v FROM tl JOIN k USING (name), rp, lv, (VALUES ('redraw'), ('under_recording'), ('masking')) f(family) LEFT JOIN struck s ON s.family = f.family AND s.repetition = rp.repetition AND s.doc_id = tl.doc_id AND s.name = tl.name WHERE kind = 'binary'),
+made AS (SELECT p.family, p.level, p.repetition, count(*) AS n, count(DISTINCT p.doc_id) AS n_rows FROM (SELECT * FROM b2 WHERE seen = 0 AND expected >= 5) c JOIN bin p ON p.name = c.a AND p.v = c.x JOIN bin q ON q.name = c.b AND q.v = c.y AND q.doc_id = p.doc_id AND q.family = p.family AND q.level = p.level AND q.repetition = p.repetition WHERE NOT (p.was = c.x AND q.was = c.y) GROUP BY 1, 2, 3)"""
+
+
+@query("WITH " + BANK_SQL + " SELECT family, level, repetition, eligible, selected, changed, coalesce(n, 0) AS unseen_combinations, coalesce(n_rows, 0) AS rows_with_unseen_combination FROM sums LEFT JOIN made USING (family, level, repetition)")
+def corruption_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Cells that each corruption of the documents' test rows could strike, strikes and changes, and combinations that it
+    makes, at ten levels and ten repetitions."""
+    from ..operators.level_counts import level_counts
+    from ..operators.schema import infer
+    from ..plans.frames import mixed_frame
+
+    frame = mixed_frame(spark, d)
+    train = frame.part(True).df
+    profile = infer(train, frame.features)
+    return level_counts(frame.part(False).df, frame.row_id, profile, medians(train, profile.of("continuous")), _LEVELS, 10, SEED)

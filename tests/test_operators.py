@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from steadfold.functions.columns import hash_uniform, probit
-from steadfold.operators import corrupt, metrics, model, pareto, prep, reweight, schema, search, stats
+from steadfold.operators import availability, corrupt, metrics, model, pareto, prep, reweight, schema, search, stats
 from steadfold.sources.store import RunStore, compare_fingerprints, fingerprint, same_rows
 
 
@@ -134,9 +134,11 @@ def test_masking_at_one_changes_all_and_is_sound(spark):
 
 def test_availability_by_name():
     names = ["rate", "rate:missing", "rate_flag", "lab", "lab_measured"]
-    assert schema.named_pairs(names, ["rate:missing", "rate_flag", "lab_measured"]) == {"lab_measured": ("lab", ["lab"])}
-    assert schema.named_pairs(["f_1", "f_2"], []) == {}
-    assert schema.split_name("_x") is None and schema.split_name("a.b_c") == ("a.b", "_")
+    flags = ["rate:missing", "rate_flag", "lab_measured"]
+    asked = availability.same_names(flags, [c for c in names if c not in flags])
+    assert asked == [("rate", "rate:missing"), ("rate", "rate_flag"), ("lab", "lab_measured")]
+    assert availability.same_names([], ["f_1", "f_2"]) == [] == availability.same_names(["f_1", "f_2"], ["f_3"])
+    assert availability.split_name("_x") is None and availability.split_name("a.b_c") == ("a.b", "_")
 
 
 def test_groups_need_exclusive_members(spark):
@@ -150,7 +152,7 @@ def test_statistical_pairs(spark):
     rng = np.random.default_rng(4)
     on = (np.arange(n) % 5 > 0).astype(int)
     df = frame(spark, on=on, lab=np.where(on == 1, rng.normal(10, 2, n), 5.0), free=rng.normal(0, 1, n))
-    rows = schema.availability_statistical(df, ["on"], ["lab", "free"]).collect()
+    rows = availability.availability_statistical(df, ["on"], ["lab", "free"]).collect()
     assert [(r.flag, r.feature, r.level, r.fill) for r in rows] == [("on", "lab", 0, 5.0)]
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from steadfold.operators import corrupt, metrics, model, pareto, prep, reweight, schema, search, stats
+from steadfold.operators import availability, corrupt, metrics, model, pareto, prep, reweight, schema, search, stats
 from steadfold.plans.frames import FeatureFrame
 from steadfold.plans.ood import DomainEvaluation
 from steadfold.plans.run import distinct_masks, train
@@ -42,13 +42,12 @@ def mixed(spark, n, seed=0):
 def test_inference_on_mixed_columns(spark):
     frame = mixed(spark, 2000)
     found = schema.infer(frame.part(True).df, frame.features)
-    assert found.continuous == ["x1", "x2", "lab"] and set(found.groups) == {"state", "region"} and not found.unresolved
-    (one,) = found.indicators
-    assert (one.flag, one.off, one.fills, one.named) == ("lab_measured", 0, {"lab": 5.0}, ["lab"])
+    assert found.of("continuous") == ["x1", "x2", "lab"] and set(found.groups) == {"state", "region"} and not found.doubts
+    assert found.pairings == [("lab_measured", 0, "lab", 5.0, True)] and found.flags == {"lab_measured": (0, {"lab": 5.0})}
     assert list(found.units().values()) == [3, 11, 6, 1, 3]
     pairs = {(a, b, x, y) for a, b, x, y, _ in found.unseen}
     assert ("general", "specific", 0, 1) in pairs and ("female", "male_code", 1, 1) in pairs
-    assert len(found.summary()) == 15 and json.loads(found.to_json())["indicators"][0]["fills"] == {"lab": 5.0}
+    assert len(found.counts()) == 15 and json.loads(found.to_json())["indicators"][0]["fills"] == {"lab": 5.0}
     with pytest.raises(ValueError, match="nulls"):
         schema.infer(frame.df.withColumn("x1", F.when(F.col("id") > 3, F.col("x1"))), frame.features)
 
@@ -64,10 +63,15 @@ def test_pairs_that_names_or_rows_leave_open(spark):
     off = (rng.random(n) < 0.3).astype(int)
     value = np.where(off == 1, 0.75, rng.random(n))
     other = (rng.random(n) < 0.5).astype(int)
-    pairs = lambda df, names: schema.availability(df, [c for c in names if set(np.unique([r[c] for r in df.collect()])) <= {0.0, 1.0}], [c for c in names if c in ("rate", "x", "rate_all", "feature_1", "feature_3", "act", "small_other")])
+
+    def pairs(df, names):
+        binary = [c for c in names if set(np.unique([r[c] for r in df.collect()])) <= {0.0, 1.0}]
+        found, open_ = availability.availability(df, binary, [c for c in names if c not in binary])
+        return [(r.flag, r.value, r.by_name) for r in found.orderBy("flag_at").collect()], [(r.flag, r.value, r.reason) for r in open_.orderBy("asked_at").collect()]
+
     two = {"rate": value, "rate:missing": off, "rate_flag": other}
     found, open_ = pairs(flagged(spark, **two), list(two))
-    assert [i.flag for i in found] == ["rate:missing"] and found[0].named == [] and {x[0] for x in open_} == {"rate:missing", "rate_flag"}
+    assert found == [("rate:missing", "rate", False)] and {x[0] for x in open_} == {"rate:missing", "rate_flag"}
     loose = {"x": rng.random(n), "x:missing": off}
     found, open_ = pairs(flagged(spark, **loose), list(loose))
     assert found == [] and [x[:2] for x in open_] == [("x:missing", "x")]
@@ -75,12 +79,12 @@ def test_pairs_that_names_or_rows_leave_open(spark):
     assert pairs(flagged(spark, **generic), list(generic)) == ([], [])
     same = {"rate": value, "rate:missing": off, "rate_all": rng.random(n)}
     found, _ = pairs(flagged(spark, **same), list(same))
-    assert [(i.flag, list(i.fills)) for i in found] == [("rate:missing", ["rate"])]
+    assert found == [("rate:missing", "rate", True)]
     # a block: act's flag also explains small_other, but 9 of 10 of the other rows hold its fill, too: by chance
     few = (np.arange(n) < 12).astype(int)
     block = {"act": np.where(few == 1, 0.5, rng.random(n)), "act:missing": few, "small_other": np.where((few == 1) | (np.arange(n) % 10 > 0), 0.4, rng.random(n))}
     found, open_ = pairs(flagged(spark, **block), list(block))
-    assert list(found[0].fills) == ["act"] and [x[:2] for x in open_] == [("act:missing", "small_other")] and "chance" in open_[0][2]
+    assert found == [("act:missing", "act", True)] and [x[:2] for x in open_] == [("act:missing", "small_other")] and "chance" in open_[0][2]
 
 
 @pytest.fixture(scope="module")
@@ -103,8 +107,7 @@ def test_run_has_every_method_once_for_each_seed(run, spark):
 def test_suite_has_all_families(run, spark):
     settings = SuiteSettings(ess_levels=(0.9, 0.6), weaken=(0.5, 1.0), strengthen=(0.25, 0.5), corruption_levels=(0.5, 1.0), repetitions=1, least_pairs=1)
     suite = Suite.of_run(run, settings)
-    scenarios, weights = suite.scenarios
-    kinds = {r["family"]: r["n"] for r in scenarios.groupBy("family").agg(F.count("*").alias("n")).collect()}
+    kinds = {r["family"]: r["n"] for r in suite.scenarios.groupBy("family").agg(F.count("*").alias("n")).collect()}
     assert kinds["population"] == 4 * 2 * 2 and kinds["dependence_weaken"] == kinds["dependence_strengthen"] == 2 * len(suite.pairs) > 0
     assert ("x1", "x2") in [p[:2] for p in suite.pairs]
     # halving the dependence about halves it on test rows, though the weights were found on training rows
@@ -112,9 +115,16 @@ def test_suite_has_all_families(run, spark):
     scored = run.frame.df
     for c in ("x1", "x2"):
         scored = reweight.normal_scores(scored, c, F.col("train"), f"s_{c}").withColumn(f"s_{c}", reweight.pair_score(F.col(f"s_{c}")))
-    test = scored.join(weights.where(F.col("scenario_id") == name), "id").withColumn("all", F.lit(1))
+    test = scored.join(suite.weights(name), "id").withColumn("all", F.lit(1))
     before, after = (metrics.weighted_pearson(test.withColumn("o", F.lit(1.0)), ["all"], "s_x1", "s_x2", w).first()["r"] for w in ("o", "w"))
     assert before > 0.6 and abs(after - before / 2) < 0.15 and test.agg(F.avg("w")).first()[0] == pytest.approx(1.0)
+    row = suite.scenarios.where(F.col("scenario_id") == name).first()
+    assert row.score_correlation_test == pytest.approx(after) and row.pair_kind == "continuous" and abs(row.mean_shift_a) < 0.3 and abs(row.sd_ratio_a - 1) < 0.3
+    # the factorised scores are those of rows with weights
+    preds = suite.predictions.join(suite.weights(name), "id")
+    plain = {r["model"]: r for r in metrics.rank_metrics(preds, ["model"], w="w").collect()}
+    for r in suite.reweighting_scores.where(F.col("scenario_id") == name).collect():
+        assert (r.roc_auc, r.pr_auc) == (pytest.approx(plain[r.model].roc_auc), pytest.approx(plain[r.model].pr_auc))
     families = {r["family"] for r in suite.family_scores.select("family").distinct().collect()}
     assert families >= {"population", "dependence_weaken", "noise", "redraw", "under_recording", "masking", "median_masking"}
     tests = suite.tests().collect()
@@ -243,7 +253,7 @@ def test_levels_refuse_what_is_no_category(spark, monkeypatch):
 
 
 def test_names_split():
-    assert [schema.split_name(x) for x in ("a:b", "a.b_c", "a_", "_a", "abc", "__a", "a__b")] == [("a", ":"), ("a.b", "_"), ("a", "_"), None, None, ("_", "_"), ("a_", "_")]
+    assert [availability.split_name(x) for x in ("a:b", "a.b_c", "a_", "_a", "abc", "__a", "a__b")] == [("a", ":"), ("a.b", "_"), ("a", "_"), None, None, ("_", "_"), ("a_", "_")]
 
 
 def test_knots_are_fine_and_few(spark):
