@@ -108,14 +108,16 @@ class WordTokenizer:
         # A word of letters is one match of the split pattern, and a mark after it another: such words can skip the
         # general path if the two agree on samples of them.
         self.stems: dict[str, bytes] = {}
-        self.direct = all(self._word(w) == self._ids(w) and self._word(w) + self.marks[m] == self._ids(w + m) for w in ("ab", "Édition", "größe", "日本", "ĳsselmeer") for m in MARKS)
+        self.direct = all(self._word(w) == self._ids(w) and (self._word(w) or b"") + self.marks[m] == self._ids(w + m) for w in ("ab", "Édition", "größe", "日本", "ĳsselmeer") for m in MARKS)
         self.recent = Recent(self._words_to_ids, entries=self.WORDS)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """The ids of letters alone, by the file's normalizer and merges, without the search for splits."""
+    def _word(self, word: str) -> bytes | None:
+        """The ids of letters alone, by the file's normalizer and merges, without the search for splits. None if the normalizer
+        makes more than letters of them (a dotted capital I gives a letter and a combining dot): a mark after these may
+        fall into one match with what is not a letter, so such a word must be split whole."""
         if word.isascii():
             word = word.lower()
         got = self.stems.get(word)
@@ -124,7 +126,7 @@ class WordTokenizer:
             if not word.isascii():
                 stem = self.model.normalizer.normalize_str(word)
                 if not stem.isalpha():
-                    return self._ids(word)
+                    return None
                 stem = stem.encode().decode("latin-1").translate(self.letters)
             got = struct.pack(f"<{len(t := self.merge(stem))}I", *[x.id for x in t])
             if len(self.stems) >= self.STEMS:
@@ -138,12 +140,10 @@ class WordTokenizer:
             return [self._ids(w) for w in words]
         out = []
         for word in words:
-            if word.isalpha():
-                out.append(self._word(word))
-            elif word[-1:] in MARKS and word[:-1].isalpha():
-                out.append(self._word(word[:-1]) + self.marks[word[-1]])
-            else:
-                out.append(self._ids(word))
+            mark = self.marks.get(word[-1:], b"")
+            stem = word[:-1] if mark else word
+            ids = self._word(stem) if stem.isalpha() else None
+            out.append(self._ids(word) if ids is None else ids + mark)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
