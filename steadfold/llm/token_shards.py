@@ -26,6 +26,9 @@ U = np.uint64
 ROUNDS = 6
 #: Documents are cut into blocks by a hash of their id: about this many to a block, and MOST_BLOCKS blocks at most.
 BLOCK_DOCS, MOST_BLOCKS = 256, 65_536
+#: Shards are written in waves, so that one wave's exchange is on disk at a time: WAVES of them, or as many more as keep a
+#: job to MOST_SHARDS tasks.
+WAVES, MOST_SHARDS = 4, 8192
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -150,8 +153,9 @@ def materialise(docs: DataFrame, path: str, pattern: str, out: str | None = None
     first, total = np.concatenate([[0], np.cumsum(sizes)]), int(sizes.sum())
     sent = spark.sparkContext.broadcast((ids, first))
 
-    def numbered(df: DataFrame) -> DataFrame:
-        """df with its sequences' places. ids come as a compressed frame, which the exchange moves for less."""
+    def numbered(df: DataFrame, low: int = 0, high: int = 2**62) -> DataFrame:
+        """df with its sequences' places, where the shard is in [low, high). ids come as a compressed frame, which the exchange
+        moves for less."""
         names = df.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +165,9 @@ def materialise(docs: DataFrame, path: str, pattern: str, out: str | None = None
                 block, place = (batch.column(names.index(c)).to_numpy() for c in ("block", "place"))
                 sequence = first[np.searchsorted(ids, block)] + place
                 slot = slots(sequence, total, key)
+                mine = (slot >= low * per_shard) & (slot < high * per_shard)
+                if not mine.all():
+                    sequence, slot, batch = sequence[mine], slot[mine], batch.filter(pa.array(mine))
                 columns = [pa.array(x, pa.int64()) for x in (sequence, slot, slot // per_shard, slot % per_shard)]
                 old = [pa.array([pack(x.as_buffer()) for x in c], pa.binary()) if n == "ids" else c for n, c in zip(names, batch.columns)]
                 yield pa.RecordBatch.from_arrays([*columns, *old], [*made_names, *names])
@@ -170,12 +177,16 @@ def materialise(docs: DataFrame, path: str, pattern: str, out: str | None = None
         return df.mapInArrow(run, schema)
 
     n_shards = -(-total // per_shard)
-    if total:
-        records = numbered(made.select("block", "place", "ids")).select("shard", "slot", "ids")
+    per_wave = min(-(-n_shards // WAVES), MOST_SHARDS) or 1
+    for low in range(0, n_shards, per_wave):
+        high = min(low + per_wave, n_shards)
+        records = numbered(made.select("block", "place", "ids"), low, high).select("shard", "slot", "ids")
         # ranges of slots by arithmetic: the shard is the partition, without a pass that samples
-        records = records.repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
+        records = records.repartitionById(high - low, F.col("shard").cast("int") - low).sortWithinPartitions("shard", "slot")
         records = records.mapInArrow(_whole_shards, "shard long, ids binary").select("shard", F.col("ids").cast("string").alias("ids"))
-        records.write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(out)
+        records.write.mode("append").partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(out)
+        del records
+        release(spark)
     about = {"sequences": total, "window": window, "stride": 2 * window, "per_shard": per_shard, "shards": n_shards, "key": key, "end_id": end_id}
     _write_text(spark, f"{out}/about.json", json.dumps(about))
     return out, numbered(made.drop("ids")).select("sequence", "slot", "shard", "record", "doc_id", "n_docs", "n_tokens", "ids_crc32")
