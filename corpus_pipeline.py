@@ -40,9 +40,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of least id."""
+    """One document of each group of near duplicates, as operator 7 has them (words by four): the one of least id."""
     frame, at = _by_place(docs)
-    return near_duplicates(frame, size=5, percent=80, id_col=at["doc_id"], text_col=at["text"]).where("kept").select(*_columns(docs, at))
+    return near_duplicates(frame, size=4, percent=80, id_col=at["doc_id"], text_col=at["text"]).where("kept").select(*_columns(docs, at))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
