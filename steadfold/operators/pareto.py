@@ -6,15 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from .places import undominated
 
 
 def pareto_front(df: DataFrame, keys: list[str], x: str = "auc", y: str = "sign") -> DataFrame:
-    """The rows that no other row of the keys dominates; rows equal in both stay together. Sorting by x and a running
-    maximum of y take the place of a self-join."""
-    best = df.groupBy(*keys, x).agg(F.max(y).alias("_top"))
-    above = Window.partitionBy(*keys).orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1)
-    best = best.withColumn("_above", F.max("_top").over(above)).where(F.col("_above").isNull() | (F.col("_top") > F.col("_above"))).drop("_above")
-    return df.join(best, [*keys, x]).where(F.col(y) == F.col("_top")).drop("_top").select(*df.columns)
+    """The rows that no other row of the keys dominates; rows equal in both stay together. See undominated()."""
+    return undominated(df, keys, x, y)
 
 
 def best_of(df: DataFrame, keys: list[str], objective: str, ordinal: str = "ordinal") -> DataFrame:

@@ -14,21 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import probit, ratio
-from .metrics import prefix_sums
+from .places import placed
 
 
 def ecdf(df: DataFrame, value: str, train: Column, out: str = "cdf", keys: list[str] = ()) -> DataFrame:
     """df with the mid-rank share of the training rows (of the same keys) below each value, kept 1 / (2 n) away from 0
     and 1; null for a null value. Rows outside training are placed among training rows and do not move them. All keys go
     through one plan."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.coalesce(F.sum(train.cast("long")), F.lit(0)).alias("_k"))
-    at = prefix_sums(counts, list(keys), "_v", {"_below": "_k"}, {"_all": "_k"}).withColumn("_n", F.greatest("_all", F.lit(1)))
-    share, edge = (F.col("_below") + F.col("_k") / 2) / F.col("_n"), 1 / (2 * F.col("_n"))
-    placed = at.select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col("_v").alias("_place"), F.least(F.greatest(share, edge), 1 - edge).alias(out))
-    match = F.col(value) == F.col("_place")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
-    return df.join(placed, match, "left").drop("_place", *[f"_p_{k}" for k in keys])
+    counted = F.coalesce((train & F.col(value).isNotNull()).cast("long"), F.lit(0))
+    at = placed(df, list(keys), value, counted).withColumn("_all", F.greatest("_all", F.lit(1)))
+    share, edge = (F.col("_below") + F.col("_same") / 2) / F.col("_all"), 1 / (2 * F.col("_all"))
+    return at.select(*df.columns, F.when(F.col(value).isNotNull(), F.least(F.greatest(share, edge), 1 - edge)).alias(out))
 
 
 def normal_scores(df: DataFrame, value: str, train: Column, out: str = "score", keys: list[str] = ()) -> DataFrame:

@@ -15,12 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
 from ..sources.staging import staged
-
-#: Rows of a block: with 2,000 scenarios it takes 16 MB.
-BLOCK = 1024
-
-#: A score that so many rows of a batch share is summed before rows are exchanged; at most HELD of them at a time.
-SHARED, HELD = 64, 256
+from .vectors import BLOCK, matrix, vector_scores
 
 
 @dataclass(frozen=True)
@@ -71,12 +66,6 @@ class Tilts:
         return np.nan_to_num(np.exp(self.logs(numbers) - self.peak), nan=0.0)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """A column of equally long arrays of numbers; missing ones are nan."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
 #: What is summed for a scenario over the rows of a part: weights, their squares, of each class; and with weights the
 #: products of the pair's scores (s_) and of its values (v_).
 SUMS = ["w", "ww", "w1", "ww1", "s_a", "s_b", "s_aa", "s_bb", "s_ab", "v_a", "v_b", "v_aa", "v_bb", "v_ab"]
@@ -90,7 +79,7 @@ def moments(rows: DataFrame, tilts: list[Tilt], part: str = "train", y: str = "y
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            parts, one, x = (batch.column(0).to_numpy(zero_copy_only=False).astype(bool), batch.column(1).to_numpy(zero_copy_only=False) == 1, _matrix(batch.column(2)))
+            parts, one, x = (batch.column(0).to_numpy(zero_copy_only=False).astype(bool), batch.column(1).to_numpy(zero_copy_only=False) == 1, matrix(batch.column(2)))
             for side in (False, True):
                 at = np.nonzero(parts == side)[0]
                 for low in range(0, len(at), BLOCK):
@@ -142,135 +131,19 @@ def pair_moments(sums: DataFrame, keys: list[str], of: str) -> DataFrame:
     return sums.select(*keys, ratio(m("ab") - m("a") * m("b"), F.sqrt(va * vb)).alias("corr"), m("a").alias("mean_a"), m("b").alias("mean_b"), F.sqrt(va).alias("sd_a"), F.sqrt(vb).alias("sd_b"))
 
 
-def _with_shared(known: Tilts):
-    """Sums the rows of scores that many rows share, in a task, to one record with a vector for each class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, float], np.ndarray] = {}
-
-        def flush() -> pa.RecordBatch:
-            n = len(held)
-            sums = list(held.values())
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.float64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.float64())), *(pa.array([s[c].tobytes() for s in sums], pa.binary()) for c in (0, 1))], NAMES)
-
-        for batch in batches:
-            models, p = batch.column(0).dictionary_encode(), batch.column(1).to_numpy(zero_copy_only=False)
-            code = models.indices.to_numpy(zero_copy_only=False)
-            pairs, back, counts = np.unique(np.stack([code, p.view(np.int64)]), axis=1, return_inverse=True, return_counts=True)
-            often = counts >= SHARED
-            if often.any():
-                y, x = batch.column(2).to_numpy(zero_copy_only=False), _matrix(batch.column(3))
-                for g in np.nonzero(often)[0]:
-                    mine = np.nonzero(back.ravel() == g)[0]
-                    key = (models.dictionary[int(pairs[0, g])].as_py(), float(pairs[1, g : g + 1].view(np.float64)[0]))
-                    total = held.setdefault(key, np.zeros((2, len(known.peak))))
-                    for low in range(0, len(mine), BLOCK):
-                        at = mine[low : low + BLOCK]
-                        w = known.weights(x[at])
-                        total[1] += w[y[at] == 1].sum(axis=0)
-                        total[0] += w[y[at] == 0].sum(axis=0)
-                    if len(held) >= HELD:
-                        yield flush()
-                        held.clear()
-                batch = batch.filter(pa.array(~often[back.ravel()]))
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], NAMES)
-        if held:
-            yield flush()
-
-    return run
-
-
-NAMES = ["model", "p", "y", "t", "neg", "pos"]
-RECORD = "model string, p double, y int, t array<double>, neg binary, pos binary"
-
-
-def _class_sums(table: pa.Table, known: Tilts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(neg, pos), (scores, scenarios) each, for the distinct scores of records in ascending order, some at a time."""
-    table = table.sort_by("p").combine_chunks()
-    n = table.num_rows
-    if not n:
-        return
-    p, y = table["p"].to_numpy(), table["y"].fill_null(-1).to_numpy()
-    vectors, lists = [table[c].combine_chunks() for c in ("neg", "pos")], table["t"].combine_chunks()
-    cuts = np.concatenate([[0], np.nonzero(np.diff(p))[0] + 1, [n]])
-    i = 0
-    while i + 1 < len(cuts):
-        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + BLOCK, side="right")) - 1)
-        sums = np.zeros((2, j - i, len(known.peak)))
-        for low in range(cuts[i], cuts[j], BLOCK):  # one score may have more rows than a block
-            at = np.arange(low, min(low + BLOCK, cuts[j]))
-            place = np.searchsorted(cuts, at, side="right") - 1 - i
-            plain = y[at] >= 0
-            if plain.any():
-                w, starts = known.weights(_matrix(lists.take(pa.array(at[plain])))), np.nonzero(np.diff(place[plain], prepend=-1))[0]
-                for c in (0, 1):
-                    sums[c, place[plain][starts]] += np.add.reduceat(w * (y[at[plain], None] == c), starts, axis=0)
-            for k in np.nonzero(~plain)[0]:
-                for c in (0, 1):
-                    sums[c, place[k]] += np.frombuffer(vectors[c][int(at[k])].as_py())
-        yield sums[0], sums[1]
-        i = j
-
-
 def scenario_scores(preds: DataFrame, rows: DataFrame, tilts: list[Tilt], row_id: str, y: str = "y", p: str = "p", peaks: list[float] | None = None) -> DataFrame:
     """(scenario_id, model, roc_auc, pr_auc, delta_roc_auc, delta_pr_auc): predictions are made once; scenarios change
     weights alone. preds: row, model, y, p; rows: row, t (an array of numbers, which tilts name by place). Deltas are from
-    weights of 1. peaks: of the logarithms of each tilt's weights, if known.
-
-    Records (model, p, y, t) are cut into ranges of (model, p) and staged once. One pass sums each range's weights by
-    class, a vector for all scenarios; running sums over ranges go in front of a second pass, which takes every range's
-    share of the area and of the average precision. No record is repeated for a scenario, and scores that many rows
-    share are summed before the cut."""
+    weights of 1. peaks: of the logarithms of each tilt's weights, if known. See vector_scores()."""
     spark, n = preds.sparkSession, len(tilts) + 1
-    known = Tilts.of([*tilts, Tilt("", 0, 0)])  # the last one is the clean population: all weights are 1
-    joined = preds.select(row_id, F.col("model").cast("string").alias("model"), F.col(p).cast("double").alias("p"), F.col(y).cast("int").alias("y")).join(rows.select(row_id, "t"), row_id).where("p IS NOT NULL AND y IN (0, 1)")
+    records = preds.select(row_id, F.col("model").cast("string").alias("model"), F.col(p).cast("double").alias("p"), F.col(y).cast("int").alias("y")).join(rows.select(row_id, "t"), row_id).where("p IS NOT NULL AND y IN (0, 1)")
     if peaks is None:
-        found = moments(rows.select("t", F.lit(True).alias("all"), F.lit(0).alias("y")), tilts, "all")
+        found = moments(rows.select("t", F.lit(True).alias("all"), F.lit(0).alias("y")), tilts, "all") if tilts else None
         top = {r["scenario_id"]: r["peak"] for r in found.select("scenario_id", "peak").collect()} if tilts else {}
         peaks = [top[t.scenario_id] for t in tilts]
+    known = Tilts.of([*tilts, Tilt("", 0, 0)])  # the last one is the clean population: all weights are 1
     known = Tilts(known.first, known.second, known.coefficients, known.raw, np.array([*peaks, 0.0]))
-    records = joined.select("model", (F.col("p") + F.lit(0.0)).alias("p"), "y", "t").mapInArrow(_with_shared(known), RECORD)
-    cut = staged(records.repartitionByRange("model", "p").withColumn("range", F.spark_partition_id()), "records")
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], np.ndarray] = {}
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            keys = table.group_by(["model", "range"]).aggregate([])
-            for model, at in zip(keys["model"].to_pylist(), keys["range"].to_pylist()):
-                some = table.filter((pa.compute.field("model") == model) & (pa.compute.field("range") == at))
-                sums = held.setdefault((model, at), np.zeros((2, n)))
-                for neg, pos in _class_sums(some, known):
-                    sums[0] += neg.sum(axis=0)
-                    sums[1] += pos.sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in held], pa.string()), pa.array([r for _, r in held], pa.int32()), *(pa.array([s[c].tolist() for s in held.values()], pa.list_(pa.float64())) for c in (0, 1))], ["model", "range", "neg", "pos"])
-
-    # a row for a model and range (there are about as many as ranges and models), with a place for each scenario
-    sums = cut.mapInArrow(totals, "model string, range int, neg array<double>, pos array<double>")
-    each = sums.select("model", "range", F.posexplode(F.arrays_zip("neg", "pos")).alias("at", "x")).groupBy("model", "range", "at").agg(F.sum("x.neg").alias("neg"), F.sum("x.pos").alias("pos"))
-    each = staged(each, "range_sums")
-    whole = Window.partitionBy("model", "at")
-    before = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.select("model", "range", "at", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"{c}_below") for c in ("neg", "pos")], *[F.sum(c).over(whole).alias(f"{c}_all") for c in ("neg", "pos")])
-    starts = each.groupBy("model", "range").agg(F.array_sort(F.collect_list(F.struct("at", "neg_below", "pos_below", "neg_all", "pos_all"))).alias("s"))
-
-    def shares(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        s = right["s"].combine_chunks().flatten()
-        neg_below, pos_below, neg_all, pos_all = (s.field(c).to_numpy().copy() for c in ("neg_below", "pos_below", "neg_all", "pos_all"))
-        area, average = np.zeros(n), np.zeros(n)
-        for neg, pos in _class_sums(left, known):
-            neg_to, pos_to = neg_below + np.cumsum(neg, axis=0), pos_below + np.cumsum(pos, axis=0)
-            area += (pos * (neg_to - neg / 2)).sum(axis=0)
-            above_pos, above_neg = pos_all - pos_to + pos, neg_all - neg_to + neg
-            with np.errstate(all="ignore"):
-                average += np.nan_to_num(pos * (above_pos / (above_pos + above_neg)), nan=0.0).sum(axis=0)
-            neg_below, pos_below = neg_to[-1], pos_to[-1]
-        return pa.table({"model": pa.array([key[0].as_py()] * n, pa.string()), "at": pa.array(np.arange(n, dtype=np.int32)), "area": area, "average": average, "neg_all": neg_all, "pos_all": pos_all})
-
-    parts = cut.groupBy("model", "range").cogroup(starts.groupBy("model", "range")).applyInArrow(shares, "model string, at int, area double, average double, neg_all double, pos_all double")
-    scored = parts.groupBy("model", "at").agg(F.sum("area").alias("area"), F.sum("average").alias("average"), F.first("neg_all").alias("neg"), F.first("pos_all").alias("pos"))
-    scored = scored.select("model", "at", ratio(F.col("area"), F.col("pos") * F.col("neg")).alias("roc_auc"), F.when(F.col("neg") > 0, ratio(F.col("average"), F.col("pos"))).alias("pr_auc"))
+    scored = vector_scores(records, known.weights, n)
     clean = lambda c: F.max(F.when(F.col("at") == n - 1, F.col(c))).over(Window.partitionBy("model"))
     scored = scored.select("*", (F.col("roc_auc") - clean("roc_auc")).alias("delta_roc_auc"), (F.col("pr_auc") - clean("pr_auc")).alias("delta_pr_auc"))
     kind = "string" if tilts and isinstance(tilts[0].scenario_id, str) else "int"

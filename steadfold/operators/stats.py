@@ -8,18 +8,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_uniform, ratio
-from .metrics import prefix_sums, rank_metrics
+from ..functions.columns import ratio
+from .places import placed
+from .vectors import vector_scores
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """df with the rank of value, ties sharing their mean. Values are counted first, so what is put in order is distinct."""
-    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    at = prefix_sums(counts, keys, "_v", {"_below": "_n"}).select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col("_v").alias("_place"), (F.col("_below") + (F.col("_n") + 1) / 2).alias(out))
-    match = F.col(value).eqNullSafe(F.col("_place"))
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
-    return df.join(at, match).drop("_place", *[f"_p_{k}" for k in keys])
+    """df with the rank of value, ties sharing their mean."""
+    return placed(df, keys, value).withColumn(out, F.col("_below") + (F.col("_same") + 1) / 2).select(*df.columns, out)
 
 
 def pearson(x: str, y: str) -> Column:
@@ -134,16 +130,38 @@ def grid_area(grid: DataFrame, keys: list[str], x: str, y: str, value: str) -> D
     return rows.groupBy(*keys).agg((F.sum((F.col(y) - F.col("_ly")) * (F.col("_s") + F.col("_ls")) / 2) / F.nullif(F.max(y) - F.min(y), F.lit(0.0))).alias("aurs"))
 
 
-def bootstrap_weights(df: DataFrame, row_id: str, samples: int, seed: int = 1) -> DataFrame:
-    """df once for each sample, with w: how often the row is drawn, Poisson by hash. Independent of partitioning, no
-    counting of rows beforehand, and rows that are not drawn go at once."""
-    u = hash_uniform(seed, "bootstrap", F.col("sample"), F.col(row_id))
-    below, cumulative, term = F.lit(0), 0.0, math.exp(-1)
-    for k in range(12):
-        cumulative += term
-        below = below + (u >= cumulative).cast("int")
-        term /= k + 1
-    return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")).withColumn("w", below.cast("double")).where("w > 0")
+#: The constants of a published 64-bit mixing function, by which a row's key and a sample's number give a draw.
+STEP, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+#: The chance of fewer than 1, 2, ... draws of a row.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+def row_key(row_id: str, seed: int = 1) -> Column:
+    """The halves of a 64-bit key of a row, from its id and the seed, as two numbers."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.lit("bootstrap"), F.col(row_id).cast("string")))
+    return F.array(*[F.conv(F.substring(digest, at, 8), 16, 10).cast("double") for at in (1, 9)])
+
+
+def draws(keys: np.ndarray, samples: int) -> np.ndarray:
+    """(rows, samples): how often each row is drawn into each sample, Poisson with mean 1, from row_key()."""
+    with np.errstate(over="ignore"):
+        key = keys[:, 0].astype(np.uint64) << np.uint64(32) | keys[:, 1].astype(np.uint64)
+        x = key[:, None] + np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(STEP)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_1)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_2)
+        u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    return np.searchsorted(POISSON, u, side="right").astype(np.float64)
+
+
+def bootstrap_scores(preds: DataFrame, keys: list[str], row_id: str, samples: int, seed: int = 1, y: str = "y", p: str = "p") -> DataFrame:
+    """(keys, sample, roc_auc, pr_auc): rows are drawn alike for all keys, by hash, so no rows are counted beforehand and
+    draws do not depend on partitioning. A sample is a place in the vectors of vector_scores(): no row is repeated."""
+    fields = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_"))
+    kinds = ", ".join(f"{k}: {kind}" for k, kind in preds.select(*keys).dtypes) if keys else "_: int"
+    records = preds.where(F.col(p).isNotNull() & F.col(y).isin(0, 1)).select(F.to_json(fields).alias("model"), F.col(p).cast("double").alias("p"), F.col(y).cast("int").alias("y"), row_key(row_id, seed).alias("t"))
+    out = vector_scores(records, lambda t: draws(t, samples), samples).withColumn("_k", F.from_json("model", f"struct<{kinds}>"))
+    return out.select(*[F.col("_k")[k].alias(k) for k in keys], F.col("at").alias("sample"), "roc_auc", "pr_auc")
 
 
 def percentile_interval(df: DataFrame, keys: list[str], value: str, level: float = 0.95) -> DataFrame:
@@ -237,7 +255,7 @@ def seed_averaged_bootstrap(id_preds: DataFrame, ood_preds: DataFrame, row_id: s
     are drawn alike for all models and seeds; samples with one class have no AUC and drop out."""
     def side(preds: DataFrame, name: str) -> DataFrame:
         rows = preds.withColumn("_row", F.concat_ws("|", F.lit(name), F.col(row_id).cast("string")))
-        auc = rank_metrics(bootstrap_weights(rows, "_row", samples, seed), ["sample", "model", "seed"], w="w").where("roc_auc IS NOT NULL")
+        auc = bootstrap_scores(rows, ["model", "seed"], "_row", samples, seed).where("roc_auc IS NOT NULL")
         return auc.groupBy("sample", "model").agg(F.avg("roc_auc").alias(name))
 
     both = side(id_preds, "id").join(side(ood_preds, "ood"), ["sample", "model"]).withColumn("drop", F.col("id") - F.col("ood"))

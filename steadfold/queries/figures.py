@@ -82,7 +82,7 @@ def figure_heatmap(spark: SparkSession, d: str) -> DataFrame:
     from .models import _grid
 
     clean = F.max(F.when((F.col("noise") == 0) & (F.col("shift") == 0), F.col("v"))).over(Window.partitionBy("model"))
-    return _grid(spark, d, "true").select("model", "noise", "shift", r6(F.col("v") / clean).alias("retained"))
+    return _grid(spark, d).select("model", "noise", "shift", r6(F.col("v") / clean).alias("retained"))
 
 
 @query("WITH {frame:doc}, s AS (SELECT round(avg_w, 1) AS threshold, label, count(*) AS n FROM doc GROUP BY 1, 2), c AS (SELECT threshold, sum(n) FILTER (WHERE label = 1) AS p, sum(n) FILTER (WHERE label = 0) AS q FROM s GROUP BY 1) SELECT threshold, round(sum(coalesce(p, 0)) OVER (ORDER BY threshold DESC) / sum(p) OVER (), 6) AS sensitivity, round(coalesce(sum(coalesce(q, 0)) OVER (ORDER BY threshold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(q) OVER (), 6) AS specificity FROM c")
@@ -119,25 +119,25 @@ def figure_domains(spark: SparkSession, d: str) -> DataFrame:
     return out.select("method", "seed", r6("inside").alias("inside"), r6("outside").alias("outside"), r6(F.col("inside") - F.col("outside")).alias("drop"))
 
 
-ORDER_SQL = "(VALUES (1, 'population', 0.9), (2, 'population', 0.6), (3, 'noise', 0.1), (4, 'noise', 0.5), (5, 'masking', 0.5)) t(place, family, severity)"
-
-
-@query("SELECT family, severity::DOUBLE AS severity, place::INTEGER AS place FROM " + ORDER_SQL)
+@query("WITH " + LEVELS_SQL + " SELECT family, severity, row_number() OVER (ORDER BY family, CASE WHEN family = '1-URGENT' THEN -severity ELSE severity END)::INTEGER AS place FROM (SELECT DISTINCT family, severity FROM lv)")
 def report_severity_order(spark: SparkSession, d: str) -> DataFrame:
-    """Families and severities in the order of reports: the population's mildest level is its highest."""
-    rows = spark.createDataFrame([("masking", 0.5), ("noise", 0.5), ("population", 0.6), ("noise", 0.1), ("population", 0.9)], "family string, severity double")
-    w = Window.orderBy("family_rank", "severity_rank")  # five rows
-    return stats.severity_rank(rows).select("family", "severity", F.row_number().over(w).alias("place"))
+    """Families and severities in the order of reports: the first family's mildest level is its highest."""
+    rows = _levels(spark, d).select("family", "severity").distinct()
+    ranked = stats.severity_rank(rows, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"), "1-URGENT")
+    w = Window.orderBy("family_rank", "severity_rank")  # a row for a family and level
+    return ranked.select("family", "severity", F.row_number().over(w).alias("place"))
 
 
-@query("SELECT c_mktsegment AS unit, 'dependence_weaken' AS family, count(*) AS n FROM customer GROUP BY 1 LIMIT 0")
+@query("WITH u AS (SELECT 'dependence_' || c_mktsegment AS family, c_nationkey AS unit, count(*) AS n, count(*) > 11 AS in_cohort FROM customer GROUP BY 1, 2), s AS (SELECT family FROM u WHERE in_cohort GROUP BY 1 HAVING count(*) >= 12) SELECT family, unit, n FROM u JOIN s USING (family)")
 def report_small_cohorts(spark: SparkSession, d: str) -> DataFrame:
-    """Units of families with enough of them: of five segments, under the ten that a family of pairs needs, none stays."""
+    """Units of the families whose cohort has twelve or more: a segment stands for a family, and a nation with more than
+    eleven of its customers for a unit of its cohort."""
     from ..sources.tables import table
 
-    units = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("unit")).agg(F.count(F.lit(1)).alias("n")).select("unit", F.lit("dependence_weaken").alias("family"), "n", F.lit(True).alias("in_cohort"))
-    small = stats.small_cohorts(units).where("excluded").select("family")
-    return units.join(small, "family", "left_anti").select("unit", "family", "n")
+    units = table(spark, d, "customer").groupBy(F.concat(F.lit("dependence_"), "c_mktsegment").alias("family"), F.col("c_nationkey").alias("unit")).agg(F.count(F.lit(1)).alias("n"))
+    units = units.withColumn("in_cohort", F.col("n") > 11)
+    small = stats.small_cohorts(units, 12).where("excluded").select("family")
+    return units.join(F.broadcast(small), "family", "left_anti").select("family", "unit", "n")
 
 
 @query("WITH " + SCORES_SQL + ", t AS (SELECT family, method, round(avg(score), 6) AS mean FROM sc WHERE method <> 'two' GROUP BY 1, 2), i AS (SELECT family, method, quantile_cont(score, 0.025) AS low, quantile_cont(score, 0.975) AS high, count(*) AS n_samples FROM sc WHERE method = 'one' GROUP BY 1, 2) SELECT t.family, t.method, mean, round(low, 6) AS low, round(high, 6) AS high, n_samples FROM t LEFT JOIN i USING (family, method)")

@@ -230,15 +230,22 @@ def model_record_diff(spark: SparkSession, d: str) -> DataFrame:
     return stats.largest_deviation(a, b, ["o_orderkey"], "o_totalprice").withColumn("deviation", r6("deviation"))
 
 
-POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
-BOOTSTRAP_SQL = "{frame:doc}, n(sample) AS (SELECT range FROM range(50)), d AS (SELECT sample, label, -avg_w AS p, {u:concat_ws('|', 1, 'bootstrap', sample, doc_id)} AS u FROM doc, n), preds AS (SELECT sample, label AS y, p, (" + " + ".join(f"(u >= {c!r})::INTEGER" for c in POISSON) + ")::DOUBLE AS w FROM d), "
+#: The draws of stats.draws(): 64-bit arithmetic in numbers of 128 bits.
+_WRAP, _MIXED = "18446744073709551616::UHUGEINT", "((xor({x}, {x} >> {by})::UHUGEINT * {c}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+DRAWS_SQL = f"""n(sample) AS (SELECT range FROM range(2000)),
+k0 AS (SELECT doc_id, label, -avg_w AS p, cast(concat('0x', substr(md5(concat_ws('|', 1, 'bootstrap', doc_id)), 1, 16)) AS UBIGINT) AS key FROM doc),
+k1 AS (SELECT sample, label, p, ((key::UHUGEINT + ((sample + 1)::UHUGEINT * {stats.STEP}::UHUGEINT) % {_WRAP}) % {_WRAP})::UBIGINT AS x FROM k0, n),
+k2 AS (SELECT sample, label, p, {_MIXED.format(x="x", by=30, c=stats.MIX_1)} AS x FROM k1),
+k3 AS (SELECT sample, label, p, {_MIXED.format(x="x", by=27, c=stats.MIX_2)} AS x FROM k2),
+k4 AS (SELECT sample, label, p, (xor(x, x >> 31) >> 11)::DOUBLE / 9007199254740992.0 AS u FROM k3)"""
+BOOTSTRAP_SQL = "{frame:doc}, " + DRAWS_SQL + ", preds AS (SELECT sample, label AS y, p, (" + " + ".join(f"(u >= {c!r})::INTEGER" for c in stats.POISSON) + ")::DOUBLE AS w FROM k4), "
 
 
 @query("WITH " + BOOTSTRAP_SQL + AUC_SQL.replace("{k}", "sample").replace("FROM preds", "FROM preds WHERE w > 0") + " SELECT round(quantile_cont(roc_auc, 0.025), 6) AS low, round(quantile_cont(roc_auc, 0.975), 6) AS high, count(roc_auc) AS n_samples FROM a")
 def bootstrap_auc(spark: SparkSession, d: str) -> DataFrame:
     """Percentile interval of a score's AUC over 50 resamples of the document rows."""
     df = documents_frame(spark, d).df.select("doc_id", F.col("label").alias("y"), (-F.col("avg_w")).alias("p"))
-    scores = metrics.rank_metrics(stats.bootstrap_weights(df, "doc_id", 50), ["sample"], "y", "p", "w").withColumn("all", F.lit("all"))
+    scores = stats.bootstrap_scores(df, [], "doc_id", 2000).withColumn("all", F.lit("all"))
     return stats.percentile_interval(scores, ["all"], "roc_auc").select(r6("low").alias("low"), r6("high").alias("high"), "n_samples")
 
 
@@ -298,8 +305,8 @@ def ood_per_seed(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ood_tests(spark: SparkSession, d: str) -> DataFrame:
-    """Paired tests with the bootstrap's intervals of 50 resamples beside them."""
-    out = _domains(spark, d).tests_with_intervals(50)
+    """Paired tests with the bootstrap's intervals of 2,000 resamples beside them."""
+    out = _domains(spark, d).tests_with_intervals(2000)
     return out.select("statistic", "baseline", "n_runs", *[r6(c).alias(c) for c in ("mean_difference", "median_difference", "p_value", "low", "high")], "n_better", "n_samples")
 
 

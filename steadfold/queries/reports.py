@@ -17,12 +17,15 @@ from .schema import LINE_FLAGS_SQL, flagged_lines
 from .stress import SEED, _u
 
 
-@query("WITH {frame:doc}, " + LONG_DOC + ", " + AUC_SQL.replace("{k}", "feature") + " SELECT feature, round(greatest(roc_auc, 1 - roc_auc), 6) AS separation FROM a ORDER BY round(greatest(roc_auc, 1 - roc_auc), 6) DESC, feature LIMIT 3")
+@query("WITH preds AS (SELECT 'e' || (i - 1) AS feature, label % 2 AS y, embedding[i]::DOUBLE AS p, 1.0::DOUBLE AS w FROM embeddings, range(1, 65) r(i)), " + AUC_SQL.replace("{k}", "feature") + " SELECT feature, round(greatest(roc_auc, 1 - roc_auc), 6) AS separation FROM a ORDER BY round(greatest(roc_auc, 1 - roc_auc), 6) DESC, feature LIMIT 10")
 def report_top_screen(spark: SparkSession, d: str) -> DataFrame:
-    """The three features that separate the classes best by themselves: the limit is the report."""
-    frame = documents_frame(spark, d)
-    out = metrics.feature_screen(frame.df, frame.features, frame.label).select("feature", r6("separation").alias("separation"))
-    return out.orderBy(F.desc("separation"), "feature").limit(3)
+    """The ten components of the embeddings that separate odd labels from even ones best by themselves: the limit is the
+    report."""
+    rows = table(spark, d, "embeddings")
+    names = [f"e{i}" for i in range(rows.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    df = rows.select((F.col("label") % 2).alias("y"), *[F.get("embedding", i).cast("double").alias(n) for i, n in enumerate(names)])
+    out = metrics.feature_screen(df, names, "y").select("feature", r6("separation").alias("separation"))
+    return out.orderBy(F.desc("separation"), "feature").limit(10)
 
 
 @query("WITH {frame:doc}, " + LONG_DOC + ", " + CORR_SQL + ", o AS (SELECT feature, row_number() OVER (ORDER BY round(abs(corr), 9) DESC, feature) AS place FROM corr) SELECT k::INTEGER AS k, feature, place::INTEGER AS place FROM o, (VALUES (1), (3), (5)) t(k) WHERE place <= k")
@@ -55,7 +58,8 @@ def corrupt_created_combinations(spark: SparkSession, d: str) -> DataFrame:
     return corrupt.created_combinations(df, dirty, "rid", [("rf_A", "ls_F", 0, 0)])
 
 
-@query("SELECT true AS same, false AS shorter")
+@query("""WITH w AS (SELECT c_custkey, c_mktsegment FROM customer), p AS (SELECT * FROM w WHERE c_custkey % 2 = 0 UNION ALL SELECT * FROM w WHERE c_custkey % 2 = 1), q AS (SELECT * FROM p WHERE c_custkey < (SELECT max(c_custkey) FROM w))
+SELECT NOT EXISTS (SELECT * FROM w EXCEPT ALL SELECT * FROM p) AND NOT EXISTS (SELECT * FROM p EXCEPT ALL SELECT * FROM w) AS same, NOT EXISTS (SELECT * FROM w EXCEPT ALL SELECT * FROM q) AND NOT EXISTS (SELECT * FROM q EXCEPT ALL SELECT * FROM w) AS shorter""")
 def lineage_same_rows(spark: SparkSession, d: str) -> DataFrame:
     """Whether a table read in parts is the table, and whether it still is without its last key."""
     whole = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
@@ -76,10 +80,10 @@ def reweight_single_axis(spark: SparkSession, d: str) -> DataFrame:
     return metrics.ess_by_class(df, ["strength"], "label", "w").select("strength", F.round("ess_negatives", 4).alias("ess_negatives"), F.round("ess_positives", 4).alias("ess_positives"))
 
 
-@query("WITH {frame:line}, " + LINE_FLAGS_SQL + " SELECT 'rf_A' AS a, 'ls_F' AS b, round(corr(rf_A, ls_F), 6) + 0.0 AS corr FROM fl UNION ALL SELECT 'qty', 'price', round(corr(qty, price), 6) + 0.0 FROM fl")
+@query("WITH {frame:line}, " + LINE_FLAGS_SQL + ", n AS (SELECT unnest(['qty', 'rf_A', 'ls_F', 'price']) AS name, unnest([1, 2, 3, 4]) AS i), v AS (SELECT [qty, rf_A::DOUBLE, ls_F::DOUBLE, price] AS x FROM fl) SELECT a.name AS a, b.name AS b, round(corr(x[a.i], x[b.i]), 6) + 0.0 AS corr FROM v, n a JOIN n b ON a.i < b.i GROUP BY 1, 2")
 def gram_line_pairs(spark: SparkSession, d: str) -> DataFrame:
-    out = schema.correlations(flagged_lines(spark, d), ["qty", "rf_A", "ls_F", "price"])
-    return out.where("(a = 'rf_A' AND b = 'ls_F') OR (a = 'qty' AND b = 'price')").withColumn("corr", r6("corr"))
+    """Correlations of all pairs of two numbers and two flags of lines."""
+    return schema.correlations(flagged_lines(spark, d), ["qty", "rf_A", "ls_F", "price"]).withColumn("corr", r6("corr"))
 
 
 @query("WITH {frame:line} SELECT count(*) AS n, count(DISTINCT rid) AS n_ids FROM line")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,19 +38,20 @@ def source_csv_given_names(spark: SparkSession, d: str) -> DataFrame:
     return tables.csv_table(spark, path, NATION, header=False)
 
 
-@query("SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS name, unnest([0, 1, 2])::INTEGER AS place")
+@query("SELECT column_name AS name, (ordinal_position - 1)::INTEGER AS place FROM information_schema.columns WHERE table_name = 'nation'")
 def source_header_only(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark, "csv")
-    tables.write_csv(_nation(spark, d), path)
+    tables.write_csv(tables.table(spark, d, "nation"), path)
     return spark.createDataFrame([(c, i) for i, c in enumerate(tables.header_columns(spark, path))], "name string, place int")
 
 
-@query("SELECT 0 AS part, n_nationkey AS key FROM nation WHERE n_regionkey < 2 UNION ALL SELECT 1, n_nationkey FROM nation WHERE n_regionkey >= 2")
+@query("SELECT (n_regionkey >= 2)::INTEGER AS part, row_number() OVER (PARTITION BY n_regionkey >= 2 ORDER BY n_name DESC) - 1 AS row, n_nationkey AS key FROM nation")
 def source_files_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Two files, each in falling order of names, read with their rows' places."""
     paths = [_folder(spark, "csv") for _ in range(2)]
     for path, some in zip(paths, ("n_regionkey < 2", "n_regionkey >= 2")):
-        tables.write_csv(_nation(spark, d).where(some), path)
-    return tables.files_in_order(spark, paths, NATION).select("part", F.col("n_nationkey").alias("key"))
+        tables.write_csv(_nation(spark, d).where(some).orderBy(F.desc("n_name")), path)
+    return tables.files_in_order(spark, paths, NATION).select("part", "row", F.col("n_nationkey").alias("key"))
 
 
 @query("SELECT count(*) AS n, sum((o_orderstatus = 'F')::INTEGER)::BIGINT AS positives, round(avg(o_totalprice), 4) AS mean, 1::BIGINT AS refused FROM orders")
@@ -80,17 +82,39 @@ def source_statistics(spark: SparkSession, d: str) -> DataFrame:
     return tables.csv_table(spark, path)
 
 
-@query("SELECT unnest(['customers 0', 'customers 2']) AS file")
+@query("SELECT 'customers ' || (c_custkey % 9) AS file, count(*) AS n FROM customer WHERE c_custkey % 9 < 6 GROUP BY 1")
 def lineage_find_files(spark: SparkSession, d: str) -> DataFrame:
-    """Which of four files, one of them another's look-alike, make up a table."""
+    """Which six of eleven files, two of them look-alikes of others, make up a table, and how many of its rows each has."""
     whole = tables.table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    parts = {f"customers {k}": whole.where(F.col("c_custkey") % 3 == k) for k in range(3)}
+    parts = {f"customers {k}": whole.where(F.col("c_custkey") % 9 == k) for k in range(9)}
     parts["customers 1 again"] = parts["customers 1"].withColumn("c_mktsegment", F.lit("OTHER"))
-    names = store.find_files(parts["customers 0"].unionByName(parts["customers 2"]), parts)
-    return spark.createDataFrame([(n,) for n in names], "file string")
+    parts["customers 7 and 8"] = parts["customers 7"].unionByName(parts["customers 8"])
+    names = store.find_files(whole.where("c_custkey % 9 < 6"), parts)
+    found = [parts[n].select(F.lit(n).alias("file")) for n in names]
+    return reduce(DataFrame.unionAll, found).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT part, count(*) AS n, sum(c_custkey)::BIGINT AS keys, (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) AS n_without FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'test' ELSE 'train' END AS part, c_custkey FROM customer) GROUP BY 1")
+def lineage_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """A run's data read again from the files of its manifest and verified; with a file missing they are refused."""
+    whole = tables.table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    files = {k: _folder(spark, "csv") for k in range(3)}
+    for k, path in files.items():
+        tables.write_csv(whole.where(F.col("c_custkey") % 3 == k), path)
+    run, read = store.RunStore(spark, _folder(spark, "run")), lambda paths: tables.csv_table(spark, paths, "c_custkey long, c_mktsegment string")
+    run.write_manifest({"train": [files[1], files[2]], "test": [files[0]]}, store.fingerprint(whole))
+    made = run.rebuild(read)
+    run.write_manifest({"train": [files[1], files[2]]}, store.fingerprint(whole))
+    try:
+        run.rebuild(read)
+        without = F.lit(None).cast("long")
+    except ValueError:
+        without = F.lit(made["test"].count())
+    sides = [df.select(F.lit(name).alias("part"), "c_custkey") for name, df in made.items()]
+    return sides[0].unionAll(sides[1]).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"), without.alias("n_without"))
 
 
-@query("SELECT 'c_custkey' AS column, NULL::VARCHAR AS refused UNION ALL SELECT 'c_mktsegment', 'the run was made with other values of: [''hash'', ''rows'']'")
+@query("SELECT 'c_custkey' AS column, NULL::VARCHAR AS refused UNION ALL SELECT 'c_mktsegment', CASE WHEN count(*) <> count(*) FILTER (WHERE c_custkey % 2 = 0) THEN 'the run was made with other values of: [''hash'', ''rows'']' END FROM customer")
 def lineage_resume(spark: SparkSession, d: str) -> DataFrame:
     """A manifest goes on with its own data, and refuses others."""
     whole = tables.table(spark, d, "customer").select("c_custkey", "c_mktsegment")

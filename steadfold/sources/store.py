@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,7 +92,6 @@ class RunStore:
             self.save(seed, train_seed(seed))
         return self.fronts()
 
-
     def import_results(self, results: dict[int, list[tuple[int, str, float, float, int]]]) -> list[int]:
         """Save fronts that are in memory, but for seeds that are complete already; the seeds that were saved."""
         new = self.missing(sorted(results))
@@ -109,6 +109,15 @@ class RunStore:
         """The files that each part of the data is read from, and the fingerprint of the whole."""
         self.write_json("manifest.json", {"parts": parts, "marks": marks})
 
+    def rebuild(self, read: Callable[[list[str]], DataFrame]) -> dict[str, DataFrame]:
+        """The data of a run, by part, from the files that its manifest lists; refused if they are other data by now. read:
+        makes a table of files."""
+        held = self.read_json("manifest.json")
+        parts = {name: read(files) for name, files in held["parts"].items()}
+        whole = reduce(DataFrame.unionByName, parts.values())
+        compare_fingerprints(held["marks"], fingerprint(whole, held["marks"]["columns"].split("\n")), list(held["marks"]))
+        return parts
+
     def resume_manifest(self, marks: dict, settings: list[str]) -> dict[str, list[str]]:
         """The manifest's parts, if it is of these data; else it is refused."""
         held = self.read_json("manifest.json")
@@ -116,21 +125,72 @@ class RunStore:
         return held["parts"]
 
 
-def find_files(whole: DataFrame, candidates: dict[str, DataFrame], most: int = 4) -> list[str] | None:
+#: Row hashes are summed in this field: a Mersenne prime.
+FIELD = 2**61 - 1
+
+
+def _bucket_sums(tables: dict[str, DataFrame], columns: list[str], buckets: int) -> dict[str, list[int]]:
+    """For each table, in each bucket of row hashes, the sum of a second hash, in the field. One pass over all tables."""
+    names = [F.col(f"`{c}`") for c in columns]
+    marked = [df.select(F.lit(name).alias("name"), F.pmod(F.xxhash64(*names), F.lit(buckets)).alias("bucket"), F.pmod(F.xxhash64(F.lit("sum"), *names), F.lit(FIELD)).cast("decimal(38,0)").alias("h")) for name, df in tables.items()]
+    sums = reduce(DataFrame.unionAll, marked).groupBy("name", "bucket").agg(F.sum("h").alias("h"))
+    out = {name: [0] * buckets for name in tables}
+    for r in sums.collect():  # as many rows as there are tables and buckets
+        out[r["name"]][r["bucket"]] = int(r["h"]) % FIELD
+    return out
+
+
+def _counts_of(whole: list[int], kinds: list[list[int]], most: list[int]) -> Iterator[list[int]]:
+    """All n with 0 <= n <= most and sum of n * kinds = whole, in the field. Elimination leaves free only those kinds that
+    are sums of others; their numbers are tried, and the rest follow."""
+    rows = [[k[b] for k in kinds] + [whole[b]] for b in range(len(whole))]
+    pivots: list[int] = []
+    for column in range(len(kinds)):
+        at = next((i for i in range(len(pivots), len(rows)) if rows[i][column]), None)
+        if at is None:
+            continue
+        top = len(pivots)
+        rows[top], rows[at] = rows[at], rows[top]
+        scale = pow(rows[top][column], -1, FIELD)
+        rows[top] = [x * scale % FIELD for x in rows[top]]
+        for i, row in enumerate(rows):
+            if i != top and row[column]:
+                rows[i] = [(x - row[column] * y) % FIELD for x, y in zip(row, rows[top])]
+        pivots.append(column)
+    if any(row[-1] for row in rows[len(pivots) :]):
+        return
+    free = [c for c in range(len(kinds)) if c not in pivots]
+    for chosen in product(*[range(most[c] + 1) for c in free]):
+        n = [0] * len(kinds)
+        for c, x in zip(free, chosen):
+            n[c] = x
+        for row, c in zip(rows, pivots):
+            n[c] = (row[-1] - sum(row[f] * x for f, x in zip(free, chosen))) % FIELD
+        if all(x <= m for x, m in zip(n, most)):
+            yield n
+
+
+def find_files(whole: DataFrame, candidates: dict[str, DataFrame]) -> list[str] | None:
     """The names of the fewest candidates whose rows together are the whole table's, duplicates counted; None if there are
-    none. Row counts and sums of row hashes, one pass a candidate, leave few lists to compare row by row."""
-    def marks(df: DataFrame) -> tuple[int, int]:
-        n, code = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in whole.columns]).cast("decimal(38,0)"))).first()
-        return n, int(code or 0)
-
-    rows, code = marks(whole)
-    known = {name: marks(df.select(*whole.columns)) for name, df in candidates.items() if set(whole.columns) <= set(df.columns)}
-    for size in range(1, most + 1):
-        for names in combinations(sorted(known), size):
-            if sum(known[n][0] for n in names) == rows and sum(known[n][1] for n in names) == code:
-                parts = [candidates[n].select(*whole.columns) for n in names]
-                if same_rows(whole, reduce(DataFrame.unionByName, parts)):
-                    return list(names)
+    none. An empty table is made of no files.
+
+    Sums of row hashes add up as files do, so with more buckets of sums than files, which files these are is a system of
+    linear equations: any number of files is found in one pass over them. What it gives is compared row by row."""
+    known = {name: df.select(*whole.columns) for name, df in candidates.items() if set(whole.columns) <= set(df.columns)}
+    if whole.isEmpty():
+        return []
+    if not known:
+        return None
+    sums = _bucket_sums({"whole": whole, **{f"file {n}": df for n, df in known.items()}}, whole.columns, len(known) + 8)
+    alike: dict[tuple[int, ...], list[str]] = {}
+    for name in sorted(known):
+        alike.setdefault(tuple(sums[f"file {name}"]), []).append(name)
+    alike.pop((0,) * (len(known) + 8), None)  # files without rows
+    kinds = list(alike)
+    found = sorted((sum(n), sorted(x for kind, k in zip(kinds, n) for x in alike[kind][:k])) for n in _counts_of(sums["whole"], [list(k) for k in kinds], [len(alike[k]) for k in kinds]))
+    for _, names in found:
+        if names and same_rows(whole, reduce(DataFrame.unionByName, [known[n] for n in names])):
+            return names
     return None
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,12 +31,21 @@ def projected(df: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def files_in_order(spark: SparkSession, paths: list[str], schema: str | None = None) -> DataFrame:
-    """Rows of several CSV files with their file's ordinal (part): Spark keeps no order between files."""
-    parts = [csv_table(spark, p, schema).withColumn("part", F.lit(i)) for i, p in enumerate(paths)]
+    """Rows of several CSV files (or folders of files, in the order of their names) with their path's ordinal (part) and
+    their place in it (row, from 0), neither of which a scan keeps.
+
+    A task reads a block of a file from its start on, so a row's place among the rows of its block is known there; how
+    many rows the blocks before it have comes from a table with a row for a block."""
+    parts = [csv_table(spark, p, schema).select("*", F.lit(i).alias("part"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")) for i, p in enumerate(paths)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    names = [c for c in out.columns if c not in ("_file", "_block")]
+    rows = staged(out.withColumn("_at", F.monotonically_increasing_id()), "files")
+    blocks = rows.groupBy("part", "_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("part").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return rows.join(F.broadcast(blocks), ["part", "_file", "_block"]).select(*names, (F.col("_before") + F.col("_at") - F.col("_first")).alias("row"))
 
 
 def checked_split(df: DataFrame, target: str, inputs: list[str]) -> DataFrame:
