@@ -10,8 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.staging import shared_folder
 from ..sources.staging import staged as stash
+from ..sources.staging import work_folder
 
 __all__ = ["BLANKS", "Sealed", "ascii_lower", "barrier", "fresh_path", "lookup", "release", "remove_path", "stash", "table"]
 
@@ -20,7 +20,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/steadfold/{name}-{uuid.uuid4().hex}"
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
