@@ -65,20 +65,31 @@ def null_category(df: DataFrame, columns: list[str], label: str = "Missing") ->
 MOST_LEVELS = 10_000
 
 
+def levels_of(df: DataFrame, columns: list[str]) -> dict[str, list]:
+    """The distinct values of categorical columns, in order, in one pass over all of them. Refuses a column with over
+    MOST_LEVELS, whose flags no table could hold."""
+    kinds = dict(df.dtypes)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)])
+    found = df.select(F.explode(cells).alias("x")).select("x.i", "x.v").where("v IS NOT NULL").distinct()
+    kept = found.groupBy("i").agg(F.slice(F.collect_set("v"), 1, MOST_LEVELS + 1).alias("v")).collect() if columns else []
+    out: dict[str, list] = {c: [] for c in columns}
+    for r in kept:
+        c = columns[r["i"]]
+        if len(r["v"]) > MOST_LEVELS:
+            raise ValueError(f"{c} has over {MOST_LEVELS} values: it is no category")
+        typed = df.sparkSession.createDataFrame([(v,) for v in r["v"]], "v string").select(F.col("v").cast(kinds[c])) if kinds[c] != "string" else None
+        out[c] = sorted([x[0] for x in typed.collect()] if typed is not None else r["v"])
+    return out
+
+
 def levels(df: DataFrame, column: str) -> list:
-    """The distinct values of a categorical column, in order. Refuses a column with over MOST_LEVELS of them, whose flags
-    no table could hold."""
-    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_LEVELS + 1).collect()]
-    if len(found) > MOST_LEVELS:
-        raise ValueError(f"{column} has over {MOST_LEVELS} values: it is no category")
-    return sorted(found)
+    return levels_of(df, [column])[column]
 
 
 def one_hot(df: DataFrame, columns: list[str], drop_first: bool = True) -> DataFrame:
     """<column>_<level> flags in place of each column; levels of all rows in order, the first dropped. Null is no level."""
-    for c in columns:
-        flags = levels(df, c)[int(drop_first) :]
-        df = df.select("*", *[F.coalesce(F.col(c) == F.lit(v), F.lit(False)).cast("int").alias(f"{c}_{v}") for v in flags]).drop(c)
+    for c, found in levels_of(df, columns).items():
+        df = df.select("*", *[F.coalesce(F.col(c) == F.lit(v), F.lit(False)).cast("int").alias(f"{c}_{v}") for v in found[int(drop_first) :]]).drop(c)
     return df
 
 

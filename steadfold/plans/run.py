@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, model, pareto, prep, search
+from ..sources.staging import staged
 from .frames import FeatureFrame
 
 #: The methods, in the order of reports; those whose result a seed changes.
@@ -46,19 +47,40 @@ class TrainedRun:
         rows = [(name, m, s, self.masks[m, s], self.masks[m, s].count("1")) for name, (m, s) in self.instances.items()]
         return spark.createDataFrame(rows, "model string, method string, seed int, mask string, n_features int")
 
-    def deployed(self, methods: tuple[str, ...] = METHODS) -> dict[str, tuple[str, float]]:
-        """method -> (model, threshold): the instance with the best objective, of equals the one with the smaller seed, and
-        the threshold at which its out-of-fold scores are balanced. All methods' fits of a fold are made together."""
-        best = lambda x: (-self.objective[x[1]], x[1][1] if x[1][1] is not None else -1)
-        picked = {m: min(((n, k) for n, k in self.instances.items() if k[0] == m), key=best) for m in methods}
-        subsets = {m: self.chosen(self.masks[key]) for m, (_, key) in picked.items()}
+    def thresholds(self, names: list[str]) -> dict[str, float]:
+        """The threshold at which each instance's out-of-fold scores are balanced. All fits of a fold are made together."""
+        subsets = {n: self.chosen(self.masks[self.instances[n]]) for n in names}
         f, scored = self.frame, None
         for fold in sorted(r[0] for r in self.folds.select("fold").distinct().collect()):
             made = model.fit_many(self.folds.where(F.col("fold") != fold), f.features, f.label, subsets)
             part = model.score_models(self.folds.where(F.col("fold") == fold), made, [f.row_id, f.label])
             scored = part if scored is None else scored.unionByName(part)
-        found = {r["model"]: r["threshold"] for r in metrics.balanced_threshold(scored, ["model"], f.row_id, f.label).collect()}
-        return {m: (picked[m][0], found[m]) for m in methods}
+        return {r["model"]: r["threshold"] for r in metrics.balanced_threshold(scored, ["model"], f.row_id, f.label).collect()}
+
+    def deployment_metrics(self) -> DataFrame:
+        """(model, method, seed, cv_objective, n_features, threshold, accuracy, roc_auc, pr_auc, f1_score, sensitivity,
+        specificity, balanced_accuracy, chosen) of every instance on the test rows, at the threshold that training rows
+        give it; chosen: whether its method would deploy it, which no test row decides."""
+        f, spark, best = self.frame, self.frame.df.sparkSession, {n for n, _ in self._best(METHODS).values()}
+        at = self.thresholds(list(self.instances))
+        rows = [(n, m, s, float(self.objective[m, s]), self.masks[m, s].count("1"), float(at[n]), n in best) for n, (m, s) in self.instances.items()]
+        known = F.broadcast(spark.createDataFrame(rows, "model string, method string, seed int, cv_objective double, n_features int, threshold double, chosen boolean"))
+        scored = staged(model.score_models(f.part(False).df, self.packages(), [f.row_id, f.label]).join(known.select("model", "threshold"), "model"), "deployment")
+        cells = metrics.confusion(scored, ["model"], F.col("threshold"), f.label)
+        out = known.join(cells, "model").join(metrics.rank_metrics(scored, ["model"], f.label), "model")
+        return out.select("model", "method", "seed", "cv_objective", "n_features", "threshold", "accuracy", "roc_auc", "pr_auc", "f1_score", "sensitivity", "specificity", "balanced_accuracy", "chosen")
+
+    def _best(self, methods: tuple[str, ...]) -> dict[str, tuple[str, tuple[str, int | None]]]:
+        """method -> the instance with the best objective; of equals the one with the smaller seed."""
+        rank = lambda x: (-self.objective[x[1]], x[1][1] if x[1][1] is not None else -1)
+        return {m: min(((n, k) for n, k in self.instances.items() if k[0] == m), key=rank) for m in methods}
+
+    def deployed(self, methods: tuple[str, ...] = METHODS) -> dict[str, tuple[str, float]]:
+        """method -> (model, threshold): the instance with the best objective, of equals the one with the smaller seed, and
+        the threshold at which its out-of-fold scores are balanced."""
+        picked = self._best(methods)
+        found = self.thresholds([n for n, _ in picked.values()])
+        return {m: (n, found[n]) for m, (n, _) in picked.items()}
 
 
 def distinct_masks(df: DataFrame, seed: str = "seed", mask: str = "mask", ordinal: str = "ordinal") -> DataFrame:

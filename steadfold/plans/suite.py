@@ -17,7 +17,9 @@ from ..operators import corrupt, metrics, prep, reweight, scenarios, schema, sta
 from ..operators.level_counts import level_counts
 from ..operators.model import Package, fit_many, score_models
 from ..sources.staging import staged
+from ..sources.store import RunStore, fingerprint
 from .frames import FeatureFrame
+from .legacy import NOISE_OF_SHIFTS, areas, by_seed, redraw_line, stress_grid
 from .run import TrainedRun
 
 
@@ -269,9 +271,20 @@ class Suite:
             whole = whole.unionByName(r)
         return whole
 
+    def check_structure(self) -> None:
+        """Fails if any family's strongest corruption breaks what the profile promises: flags that are 0 or 1, one member of a
+        group at most (and one where every clean row has one), and fills where a flag says not available."""
+        f, known = self.frame, self.schema
+        groups = {p: list(m) for p, m in known.groups.items()}
+        dirty = staged(self.corrupted().where((F.col("level") == max(self.settings.corruption_levels)) & (F.col("repetition") == 0)), "strongest")
+        for family in sorted(r["family"] for r in dirty.select("family").distinct().collect()):
+            units = {} if family in ("noise", "redraw") else known.flags
+            corrupt.check_structure(self.test, dirty.where(F.col("family") == family), f.row_id, known.of("binary"), groups, units)
+
     @cached_property
     def corruption_scores(self) -> DataFrame:
         """(model, family, level, repetition, roc_auc, pr_auc, delta_roc_auc, delta_pr_auc)."""
+        self.check_structure()
         scored = score_models(self.corrupted(), self.packages, ["family", "level", "repetition", "y"])
         out = metrics.rank_metrics(scored, ["family", "level", "repetition", "model"])
         clean = self.clean.select("model", F.col("roc_auc").alias("_r"), F.col("pr_auc").alias("_p"))
@@ -284,6 +297,28 @@ class Suite:
         medians = prep.medians(f.part(True).df, known.of("continuous")) if known.of("continuous") else {}
         return staged(level_counts(self.test, f.row_id, known, medians, list(s.corruption_levels), s.repetitions, s.seed), "diagnostics")
 
+    # --- the earlier grid
+
+    @cached_property
+    def legacy(self) -> tuple[DataFrame, DataFrame]:
+        """(grid, line): (model, noise, shift, roc_auc, pr_auc) and (model, flip_rate, roc_auc, pr_auc), by the earlier
+        typing of columns: numbers have more than two values, all other zeros and ones are flags."""
+        f, train = self.frame, self.frame.part(True).df
+        kinds = {r["feature"]: r["kind"] for r in schema.legacy_types(train, f.features).collect()}
+        numbers, flags = ([c for c in f.features if kinds[c] == k] for k in ("continuous", "dummy"))
+        values, vectors, reach, fit = reweight.principal_axes(f.df, f.features, F.col(f.train))
+        axis = reweight.axis_columns(f.features, values, vectors, reach, fit, 1)["PC1"] / F.lit(float(values[0]) ** 0.5)
+        row = train.agg(*[F.stddev_samp(F.col(f"`{c}`")).alias(c) for c in numbers], *[F.avg(F.col(f"`{c}`").cast("double")).alias(c) for c in flags]).first()
+        grid = stress_grid(self.test, f.row_id, "y", self.packages, {c: row[c] for c in numbers}, axis, seed=self.settings.seed)
+        line = redraw_line(self.test, f.row_id, "y", self.packages, {c: row[c] for c in flags}, seed=self.settings.seed)
+        return staged(grid, "grid"), staged(line, "flips")
+
+    def legacy_tables(self, metric: str = "roc_auc") -> dict[str, DataFrame]:
+        """The grid and the line of re-draws by seed, its slices without shift and at one noise, and the areas."""
+        grid, line = (by_seed(df, self.instances, levels, metric) for df, levels in zip(self.legacy, (["noise", "shift"], ["flip_rate"])))
+        near = lambda c, x: F.abs(F.col(c) - F.lit(x)) < 1e-9
+        return {"grid": grid, "noise": grid.where(near("shift", 0.0)).drop("shift"), "shift": grid.where(near("noise", NOISE_OF_SHIFTS)).drop("noise"), "redraw": line, "areas": areas(self.legacy[0], self.instances, metric)}
+
     # --- summaries
 
     @cached_property
@@ -301,6 +336,23 @@ class Suite:
         out = shifted.unionByName(dirty).groupBy("family", "severity", "model").agg(*[F.avg(c).alias(c) for c in numbers], *worst, spread, F.count(F.lit(1)).alias("n_scenarios"))
         return staged(out.join(self._methods(), "model"), "families")
 
+    def tables(self) -> dict[str, DataFrame]:
+        """Every table of the suite, by its name."""
+        named = {"models": self.models(), "scenarios": self.scenarios, "reweighting_scores": self.reweighting_scores, "corruption_scores": self.corruption_scores, "corruption_diagnostics": self.corruption_diagnostics}
+        named |= {"model_family_scores": self.family_scores, "summary": self.summary(), "tests": self.tests(), "sign_vs_degradation": self.sign_vs_degradation()}
+        return named | {f"legacy_{k}": df for k, df in self.legacy_tables().items()}
+
+    def write(self, store: RunStore) -> list[str]:
+        """Write every table into the run's folder, under the fingerprint of the data and the settings; refused, before
+        anything is computed, where another evaluation is written. The tables' names."""
+        f = self.frame
+        marks = fingerprint(f.df.select(f.row_id, F.col(f.train).alias("train"), f.label, *[F.col(f"`{c}`") for c in f.features])) | {"settings": repr(self.settings), "models": "\n".join(sorted(self.packages))}
+        store.claim(marks, list(marks))
+        made = self.tables()
+        for name, df in made.items():
+            df.write.mode("overwrite").parquet(f"{store.path}/suite/{name}")
+        return list(made)
+
     def summary(self) -> DataFrame:
         """(family, severity, method, n_runs, a mean and a deviation over runs of each number, n_scenarios), in order."""
         numbers = ["roc_auc", "delta_roc_auc", "pr_auc", "delta_pr_auc", "worst_roc_auc", "worst_delta_roc_auc", "corruption_sd"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +11,9 @@ from ..functions.columns import r6
 from ..operators import metrics, model, pareto, prep, search, stats
 from ..plans.frames import documents_frame, line_frame, mixed_frame
 from ..plans.ood import DomainEvaluation
-from ..plans.run import distinct_masks, train
+from ..plans.run import TrainedRun, distinct_masks, train
 from ..plans.suite import Suite, SuiteSettings
+from ..sources.staging import lasting
 from ..sources.store import fingerprint
 from ..sources.tables import table
 from .metrics import AUC_SQL
@@ -261,44 +262,103 @@ def lineage_missing_seeds(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(20).select(F.col("id").alias("seed")).join(have, "seed", "left_anti")
 
 
-def _run(spark: SparkSession, d: str):
-    return train(mixed_frame(spark, d), [42, 43], size=8, generations=2)
+#: Runs and suites of this application, by its name and the tables: several queries ask for the same one.
+_MADE: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark: SparkSession, d: str, name: str, make: Callable[[], object]):
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _MADE:
+        with lasting():
+            _MADE[key] = make()
+    return _MADE[key]
+
+
+def _run(spark: SparkSession, d: str) -> TrainedRun:
+    return _once(spark, d, "run", lambda: train(mixed_frame(spark, d), [42, 43]))
 
 
 def _suite(spark: SparkSession, d: str) -> Suite:
-    settings = SuiteSettings(ess_levels=(0.9, 0.6), weaken=(0.5, 1.0), strengthen=(0.25, 0.5), corruption_levels=(0.5, 1.0), repetitions=2, least_pairs=1)
-    return Suite.of_run(_run(spark, d), settings)
+    """The suite at its defaults, but that a family of pairs counts with any number of them: documents have few features."""
+    return _once(spark, d, "suite", lambda: Suite.of_run(_run(spark, d), SuiteSettings(least_pairs=1)))
 
 
 @query()
 def suite_models(spark: SparkSession, d: str) -> DataFrame:
-    out = _suite(spark, d).models()
+    with lasting():
+        out = _suite(spark, d).models()
     return out.select("model", "method", "seed", "n_features", "n_consistent", "n_inconsistent", *[r6(c).alias(c) for c in ("sign_consistency", "clean_roc_auc", "clean_pr_auc")])
 
 
+@query()
+def suite_scenarios(spark: SparkSession, d: str) -> DataFrame:
+    """The scenario table: how far every population and pair of features is moved, and what supports it."""
+    with lasting():
+        out = _suite(spark, d).scenarios
+    numbers = [c for c, kind in out.dtypes if kind == "double" and c != "level"]
+    return out.select("scenario_id", "family", "unit", "direction", "level", "pair_a", "pair_b", "pair_kind", *[r6(c).alias(c) for c in numbers], "attainable", "supported", "usable", "in_cohort")
+
+
+@query()
+def suite_reweighting_scores(spark: SparkSession, d: str) -> DataFrame:
+    with lasting():
+        out = _suite(spark, d).reweighting_scores
+    return out.select("scenario_id", "model", *[r6(c).alias(c) for c in ("roc_auc", "pr_auc", "delta_roc_auc", "delta_pr_auc")])
+
+
+@query()
+def suite_sign_vs_degradation(spark: SparkSession, d: str) -> DataFrame:
+    """How sign consistency goes with what a run loses, by family, and given its number of features."""
+    with lasting():
+        out = _suite(spark, d).sign_vs_degradation(least=2)
+    return out.select("family", "severity", "n_models", r6("spearman").alias("spearman"), r6("partial_spearman").alias("partial_spearman"))
+
+
+@query()
+def suite_legacy_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The earlier grid of the run's models, by seed."""
+    with lasting():
+        out = _suite(spark, d).legacy_tables()["grid"]
+    return out.select("seed", "noise", "shift", *[r6(c).alias(c) for c in out.columns if c.startswith("auc_")])
+
+
+@query()
+def suite_legacy_areas(spark: SparkSession, d: str) -> DataFrame:
+    """The area under what each method retains over the earlier grid."""
+    with lasting():
+        return _suite(spark, d).legacy_tables()["areas"].withColumn("aurs", r6("aurs"))
+
+
 @query()
 def suite_summary(spark: SparkSession, d: str) -> DataFrame:
-    out = _suite(spark, d).summary()
+    with lasting():
+        out = _suite(spark, d).summary()
     return out.select("family", "severity", "method", "n_runs", *[r6(c).alias(c) for c in ("roc_auc", "delta_roc_auc", "worst_delta_roc_auc", "corruption_sd")], "n_scenarios")
 
 
 @query()
 def suite_tests(spark: SparkSession, d: str) -> DataFrame:
     """The paired tests of all families and statistics, and the analysis of signs beside them."""
-    out = _suite(spark, d).tests()
+    with lasting():
+        out = _suite(spark, d).tests()
     return out.select("family", "severity", "statistic", "baseline", "n_runs", *[r6(c).alias(c) for c in ("mean_difference", "median_difference", "p_value", "scenario_share_better")], "n_better")
 
 
 def _domains(spark: SparkSession, d: str) -> DomainEvaluation:
     """English documents are the domain, others are out of it."""
-    run = train(documents_frame(spark, d), [42, 43], size=8, generations=2)
-    rest = run.frame.df.where("NOT train")
-    return DomainEvaluation(run, rest.where("lang = 'en'"), rest.where("lang <> 'en'"))
+
+    def make() -> DomainEvaluation:
+        run = train(documents_frame(spark, d), [42, 43])
+        rest = run.frame.df.where("NOT train")
+        return DomainEvaluation(run, rest.where("lang = 'en'"), rest.where("lang <> 'en'"))
+
+    return _once(spark, d, "domains", make)
 
 
 @query()
 def ood_per_seed(spark: SparkSession, d: str) -> DataFrame:
-    out = _domains(spark, d).per_seed()
+    with lasting():
+        out = _domains(spark, d).per_seed()
     numbers = [c for c in out.columns if c.endswith(("_auc", "_drop")) or c == "sign_consistency"]
     return out.select("model", "method", "seed", "n_features", "n_inconsistent", *[r6(c).alias(c) for c in numbers])
 
@@ -306,22 +366,25 @@ def ood_per_seed(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ood_tests(spark: SparkSession, d: str) -> DataFrame:
     """Paired tests with the bootstrap's intervals of 2,000 resamples beside them."""
-    out = _domains(spark, d).tests_with_intervals(2000)
+    with lasting():
+        out = _domains(spark, d).tests_with_intervals(2000)
     return out.select("statistic", "baseline", "n_runs", *[r6(c).alias(c) for c in ("mean_difference", "median_difference", "p_value", "low", "high")], "n_better", "n_samples")
 
 
 @query()
 def ood_front(spark: SparkSession, d: str) -> DataFrame:
     """Every mask of every front on either side, after its stored objective was computed again."""
-    domains = _domains(spark, d)
-    domains.verified_front()
-    out = domains.front()
+    with lasting():
+        domains = _domains(spark, d)
+        domains.verified_front()
+        out = domains.front()
     return out.select("seed", "mask", "n_features", *[r6(c).alias(c) for c in ("cv_objective", "cv_sign_consistency", "sign_consistency", "id_roc_auc", "ood_roc_auc", "roc_auc_drop")])
 
 
 @query()
 def ood_front_correlations(spark: SparkSession, d: str) -> DataFrame:
-    out = _domains(spark, d).front_correlations()
+    with lasting():
+        out = _domains(spark, d).front_correlations()
     return out.select("seed", *[r6(c).alias(c) for c in out.columns if c != "seed"])
 
 
@@ -332,6 +395,14 @@ def model_deployment(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "method string, model string, threshold double").withColumn("threshold", r6("threshold"))
 
 
+@query()
+def model_deployment_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Every instance of a run on test rows, at the threshold that its training rows give it."""
+    with lasting():
+        out = _run(spark, d).deployment_metrics()
+    return out.select("model", "method", "seed", "n_features", *[r6(c).alias(c) for c, kind in out.dtypes if kind == "double"], "chosen")
+
+
 MONITOR_SQL = """e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, least(greatest(floor(value / 100 * 10), 0), 9)::INTEGER AS bin, (event_type = 'purchase')::INTEGER AS y, 1 + coalesce(value, 0) / 100 AS w FROM events),
 s AS (SELECT start, bin, count(*) AS n, sum(y) AS positives, sum(w) AS w, sum(w * w) AS ww FROM e GROUP BY 1, 2),
 b AS (SELECT *, coalesce(sum(n - positives) OVER (PARTITION BY start ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s)"""

@@ -295,3 +295,25 @@ def corruption_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     train = frame.part(True).df
     profile = infer(train, frame.features)
     return level_counts(frame.part(False).df, frame.row_id, profile, medians(train, profile.of("continuous")), _LEVELS, 10, SEED)
+
+
+GRID_PACKAGES = {"a": [("qty", 25.0, 14.0, 0.8), ("price", 50000.0, 28000.0, 1.6), ("(intercept)", 0.0, 1.0, 0.1)], "b": [("price", 50000.0, 28000.0, 0.7), ("disc", 0.05, 0.03, -0.9), ("(intercept)", 0.0, 1.0, -0.2)]}
+GRID_MODELS_SQL = """{frame:line}, f AS (SELECT avg(tax) AS m, stddev_pop(tax) AS s, stddev_samp(qty) AS sq, stddev_samp(price) AS sp, stddev_samp(disc) AS sd FROM line WHERE train),
+z AS (SELECT rid, label AS y, qty, price, disc, least(greatest((tax - m) / s, -2), 2) AS z, sq * {probit:greatest(""" + _u("noise", "qty") + """, 1e-12)} AS nq, sp * {probit:greatest(""" + _u("noise", "price") + """, 1e-12)} AS np, sd * {probit:greatest(""" + _u("noise", "disc") + """, 1e-12)} AS nd FROM line, f WHERE NOT train),
+n(noise) AS (SELECT range / 10 FROM range(11)), h(shift) AS (SELECT (range - 5) / 5 FROM range(11)),
+d AS (SELECT rid, y, z, noise, qty + noise * nq AS qty, price + noise * np AS price, disc + noise * nd AS disc FROM z, n),
+m AS (SELECT rid, y, z, noise, 'a' AS model, 1 / (1 + exp(-(0.8 * (qty - 25) / 14 + 1.6 * (price - 50000) / 28000 + 0.1))) AS p FROM d UNION ALL SELECT rid, y, z, noise, 'b', 1 / (1 + exp(-(0.7 * (price - 50000) / 28000 - 0.9 * (disc - 0.05) / 0.03 - 0.2))) FROM d),
+c AS (SELECT shift, y AS cls, avg(exp(shift * z)) AS mean FROM z, h GROUP BY 1, 2),
+preds AS (SELECT model || '|' || noise || '|' || h.shift AS k, y, p, exp(h.shift * z) / mean AS w FROM m, h JOIN c ON c.shift = h.shift WHERE c.cls = m.y), """
+
+
+@query("WITH " + GRID_MODELS_SQL + AUC_SQL.replace("{k}", "k").replace("c AS (", "cc AS (").replace("FROM c GROUP", "FROM cc GROUP") + " SELECT split_part(k, '|', 1) AS model, split_part(k, '|', 2)::DOUBLE AS noise, split_part(k, '|', 3)::DOUBLE AS shift, round(roc_auc, 4) AS roc_auc, round(pr_auc, 4) AS pr_auc FROM a")
+def grid_models(spark: SparkSession, d: str) -> DataFrame:
+    """Two models of lines at eleven levels of noise and eleven shifts along the tax."""
+    from ..plans.legacy import stress_grid
+
+    df = line_frame(spark, d).df
+    fit = df.where("train").agg(F.avg("tax"), F.stddev_pop("tax"), *[F.stddev_samp(c).alias(c) for c in ("qty", "price", "disc")]).first()
+    axis = (F.col("tax") - F.lit(fit[0])) / F.lit(fit[1])
+    out = stress_grid(df.where("NOT train"), "rid", "label", GRID_PACKAGES, {c: fit[c] for c in ("qty", "price", "disc")}, axis, seed=SEED)
+    return out.select("model", "noise", "shift", F.round("roc_auc", 4).alias("roc_auc"), F.round("pr_auc", 4).alias("pr_auc"))

@@ -138,6 +138,44 @@ def test_suite_has_all_families(run, spark):
     assert suite.sign_vs_degradation(least=2).count() > 0
 
 
+def test_suite_tables_are_written_once(run, spark, tmp_path):
+    settings = SuiteSettings(ess_levels=(0.6,), weaken=(1.0,), strengthen=(0.5,), corruption_levels=(0.5,), repetitions=1, least_pairs=1)
+    some = {k: v for k, v in run.packages().items() if k in ("multi-42", "single-42", "all")}
+    suite = Suite(run.frame, some, settings, {k: run.instances[k] for k in some})
+    place = store.RunStore(spark, str(tmp_path / "run"))
+    names = suite.write(place)
+    assert {"scenarios", "corruption_diagnostics", "legacy_grid", "legacy_areas"} <= set(names)
+    for name in names:
+        assert spark.read.parquet(f"{place.path}/suite/{name}").columns
+    other = Suite(run.frame, some, SuiteSettings(ess_levels=(0.6,), weaken=(1.0,), strengthen=(0.5,), corruption_levels=(0.5,), repetitions=2), suite.instances)
+    with pytest.raises(ValueError, match="settings"):
+        other.write(place)
+    grid = spark.read.parquet(f"{place.path}/suite/legacy_grid")
+    assert grid.count() == 121 and set(grid.columns) == {"seed", "noise", "shift", "auc_multi", "auc_single", "auc_all"}
+    clean = grid.where("noise = 0 AND shift = 0").first()
+    scores = {r.model: r.roc_auc for r in suite.clean.collect()}
+    assert (clean.auc_multi, clean.auc_all) == (pytest.approx(scores["multi-42"]), pytest.approx(scores["all"]))
+    flips = spark.read.parquet(f"{place.path}/suite/legacy_redraw")
+    assert flips.count() == 11 and flips.where("flip_rate = 0").first().auc_all == pytest.approx(scores["all"])
+    areas = {r.method: r.aurs for r in spark.read.parquet(f"{place.path}/suite/legacy_areas").collect()}
+    assert set(areas) == {"multi", "single", "all"} and all(0.5 < a < 1.1 for a in areas.values())
+    # diagnostics of a family are what comparing its copies with the clean rows gives
+    found = {r.family: r for r in suite.corruption_diagnostics.collect()}
+    dirty = suite.corrupted().where("family = 'under_recording'")
+    lost = suite.schema.listed("under_recording_inputs")
+    both = dirty.join(suite.test.select("id", *[F.col(c).alias(f"was_{c}") for c in lost]), "id")
+    changed = sum(both.where(F.col(c) != F.col(f"was_{c}")).count() for c in lost)
+    assert found["under_recording"].changed == changed > 0
+
+
+def test_deployment_metrics(run):
+    rows = run.deployment_metrics().collect()
+    assert len(rows) == len(run.masks) and sum(r.chosen for r in rows) == 4
+    for r in rows:
+        assert r.balanced_accuracy == pytest.approx((r.sensitivity + r.specificity) / 2) and 0 < r.threshold < 1 and r.n_features == run.masks[run.instances[r.model]].count("1")
+        assert not r.chosen or r.cv_objective == max(x.cv_objective for x in rows if x.method == r.method)
+
+
 def test_domains(run, spark):
     rest = run.frame.df.where("NOT train")
     domains = DomainEvaluation(run, rest.where("x1 < 0.3"), rest.where("x1 >= 0.3"))
