@@ -452,7 +452,7 @@ def train(docs: DataFrame, sample: int = 400, bits: int = 16, rounds: int = 25,
     for kind, n in sizes.items():
         if n > EACH * sample:  # hashes alone are sorted
             cut = cut & ((F.col("kind") != kind) | (F.col("at") <= made.where(F.col("kind") == kind).select("at").orderBy("at").limit(EACH * sample).agg(F.max("at")).first()[0]))
-    used, spark = stash(made.where(cut).repartition(TASKS, "at"), "stretches"), docs.sparkSession
+    used, spark = stash(made.where(cut).repartition("at"), "stretches"), docs.sparkSession
 
     def value(x: np.ndarray) -> tuple[float, np.ndarray]:
         sent = spark.sparkContext.broadcast(x.astype(np.float32))
@@ -466,11 +466,11 @@ def train(docs: DataFrame, sample: int = 400, bits: int = 16, rounds: int = 25,
                     join = lambda parts, kind: np.frombuffer(b"".join(parts), kind).astype(np.int64)
                     one, g, h = batch_gradient(weights, steps, join(flat, "<i4"), join(counts, np.uint8), np.array([len(t) for t in tags]), join(may, np.uint8) > 0, join(tags, np.uint8))
                     loss, by_weights, by_steps = loss + one, by_weights + g, by_steps + h
-            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([np.concatenate([by_weights.ravel(), by_steps.ravel()]).tobytes()], pa.binary())], ["loss", "gradient"])
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([np.concatenate([by_weights.ravel(), by_steps.ravel()]).astype(np.float32).tobytes()], pa.binary())], ["loss", "gradient"])
 
-        parts = used.select("flat", "counts", "may", "tags").mapInArrow(run, "loss double, gradient binary").collect()  # TASKS rows at most
+        parts = used.select("flat", "counts", "may", "tags").coalesce(TASKS).mapInArrow(run, "loss double, gradient binary").collect()  # TASKS rows at most
         sent.destroy()
-        return sum(r["loss"] for r in parts) + decay * float(x @ x) / 2, np.sum([np.frombuffer(r["gradient"]) for r in parts], axis=0) + decay * x
+        return sum(r["loss"] for r in parts) + decay * float(x @ x) / 2, np.sum([np.frombuffer(r["gradient"], np.float32) for r in parts], axis=0, dtype=np.float64) + decay * x
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << bits, np.int64)
@@ -479,7 +479,7 @@ def train(docs: DataFrame, sample: int = 400, bits: int = 16, rounds: int = 25,
         yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], ["n"])
 
     # Steps are taken in weights scaled by how often their features are there: rare ones are as far from flat as common ones.
-    often = np.sum([np.frombuffer(r["n"], np.int64) for r in used.select("flat").mapInArrow(count, "n binary").collect()], axis=0)
+    often = np.sum([np.frombuffer(r["n"], np.int64) for r in used.select("flat").coalesce(TASKS).mapInArrow(count, "n binary").collect()], axis=0)
     scale = np.concatenate([np.repeat(1 / np.sqrt(often / 4 + 1), 3), np.full(9, 1 / np.sqrt(often.max() / 4 + 1))])
 
     def scaled(z: np.ndarray) -> tuple[float, np.ndarray]:
