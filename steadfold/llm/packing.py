@@ -8,6 +8,7 @@ short for 10^11 pieces as for 10^5; every piece then finds its window by its ord
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -100,10 +101,16 @@ class WordTokenizer:
     WORDS = 300_000
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
         self.model = tokenizers.Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.marks = {m: self._ids(m) for m in MARKS}
         self.letters = dict(enumerate(byte_letters()))
+        # Latin letters that the normalizer turns into one letter each: words of these alone are normalized by a table. None
+        # of them joins with a neighbour, as only combining marks and parts of syllables do.
+        each = {c: self.model.normalizer.normalize_str(chr(c)) for c in range(0x250) if chr(c).isalpha()}
+        self.latin = {c: x for c, x in each.items() if len(x) == 1 and x.isalpha()}
+        self.other_latin = frozenset(chr(c) for c in each if c not in self.latin)
         self.merge = self.model.model.tokenize
         # A word of letters is one match of the split pattern, and a mark after it another: such words can skip the
         # general path if the two agree on samples of them.
@@ -124,8 +131,9 @@ class WordTokenizer:
         if got is None:
             stem = word
             if not word.isascii():
-                stem = self.model.normalizer.normalize_str(word)
-                if not stem.isalpha():
+                if max(word) < "\u0250" and self.other_latin.isdisjoint(word):
+                    stem = word.translate(self.latin)
+                elif not (stem := self.model.normalizer.normalize_str(word)).isalpha():
                     return None
                 stem = stem.encode().decode("latin-1").translate(self.letters)
             got = struct.pack(f"<{len(t := self.merge(stem))}I", *[x.id for x in t])
@@ -138,12 +146,17 @@ class WordTokenizer:
     def _words_to_ids(self, words: list[str]) -> list[bytes]:
         if not self.direct:
             return [self._ids(w) for w in words]
-        out = []
+        out: list[bytes | None] = []
+        marks, one, whole = self.marks, self._word, []
         for word in words:
-            mark = self.marks.get(word[-1:], b"")
+            mark = marks.get(word[-1:])
             stem = word[:-1] if mark else word
-            ids = self._word(stem) if stem.isalpha() else None
-            out.append(self._ids(word) if ids is None else ids + mark)
+            ids = one(stem) if stem.isalpha() else None
+            if ids is None:
+                whole.append(len(out))
+            out.append(ids + mark if mark and ids is not None else ids)
+        for at, made in zip(whole, self.model.encode_batch_fast([words[i] for i in whole], add_special_tokens=False)):
+            out[at] = struct.pack(f"<{len(made.ids)}I", *made.ids)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
