@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import hash_uniform
 from ..operators.metrics import long_form
 from ..operators.prep import medians
+from ..sources.staging import staged
 from ..sources.tables import table
 
 
@@ -47,11 +48,11 @@ MIXED = ["n_chars", "n_sp", "n_nl", "avg_w", "lang_de", "lang_en", "lang_es", "l
 
 def mixed_frame(spark: SparkSession, sf_dir: str) -> FeatureFrame:
     """Labelled documents with numbers, a one-hot group, a flag, and a value that an availability flag goes with: digits,
-    which a text without any has the middle number of."""
-    f = documents_frame(spark, sf_dir)
-    fill = medians(f.df.where("train AND n_dig > 0"), ["n_dig"])["n_dig"] or 0.0
+    which a text without any has the middle number of. Numbers of texts are staged: the median takes two passes."""
+    numbers = staged(documents_frame(spark, sf_dir).df, "numbers")
+    fill = medians(numbers.where("train AND n_dig > 0"), ["n_dig"])["n_dig"] or 0.0
     none = F.col("n_dig") == 0
-    df = f.df.withColumns({f"lang_{x}": (F.col("lang") == x).cast("int") for x in ("de", "en", "es", "fr")})
+    df = numbers.withColumns({f"lang_{x}": (F.col("lang") == x).cast("int") for x in ("de", "en", "es", "fr")})
     df = df.withColumns({"long_lines": (F.col("n_chars") > 300 * (F.col("n_nl") + 1)).cast("int"), "dig:missing": none.cast("int"), "dig": F.when(none, F.lit(fill)).otherwise(F.col("n_dig"))})
     return FeatureFrame(df, "doc_id", "label", MIXED, "train")
 

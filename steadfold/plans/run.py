@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,9 +91,11 @@ def distinct_masks(df: DataFrame, seed: str = "seed", mask: str = "mask", ordina
 
 
 def train(frame: FeatureFrame, seeds: list[int], size: int = 40, generations: int = 10, rule: str = "knee") -> TrainedRun:
-    """Search with every method on the training rows' folds. rule: which solution of a front is a run's."""
+    """Search with every method on the training rows' folds. rule: which solution of a front is a run's. The frame and the
+    folds are staged: dozens of jobs read them, and texts are parsed once."""
     spark = frame.df.sparkSession
-    folds = prep.stratified_folds(frame.df.where(F.col(frame.train)), frame.label, frame.row_id)
+    frame = replace(frame, df=staged(frame.df, "frame"))
+    folds = staged(prep.stratified_folds(frame.df.where(F.col(frame.train)), frame.label, frame.row_id), "folds")
     fit = search.Remembered(model.fitness(folds, frame.features, frame.label, frame.row_id))
     ask = lambda masks: dict(zip(masks, fit(masks)))  # noqa: E731  one memory for all methods
     n = len(frame.features)

@@ -170,6 +170,22 @@ def test_join_refuses_repeated_keys(spark):
         prep.validated_left_join(one, frame(spark, k=[1, 1], w=[1, 2]), "k")
 
 
+def test_local_fit_stops_where_rounding_hides_descent(monkeypatch):
+    rng = np.random.default_rng(3)
+    n = np.floor(np.exp(rng.normal(6, 1.2, 4000)))
+    x = np.tile(np.column_stack([n, np.floor(n / 6 + rng.normal(0, 3, 4000)), rng.random(4000) < 0.3, n / (np.floor(n / 6) + 1)]), (25, 1))
+    y = np.tile((rng.random(4000) < 1 / (1 + np.exp(2 - np.log(n) / 3))).astype(float), 25)
+    asked, plain = [], np.logaddexp
+    monkeypatch.setattr(np, "logaddexp", lambda *a: asked.append(1) or plain(*a))
+    (z,) = model.standardised(x)
+    for use in ([0], [1], [0, 1], [0, 2], [1, 3], [0, 1, 2], [0, 1, 2, 3]):
+        asked.clear()
+        coef, free = model.fit_logistic(z[:, use], y)
+        assert len(asked) <= 20
+        off = np.r_[coef, 0.0] + np.column_stack([z[:, use], np.ones(len(y))]).T @ (1 / (1 + np.exp(-z[:, use] @ coef - free)) - y)
+        assert np.abs(off).max() < 1e-10 * len(y)
+
+
 def test_logistic_fit_and_distributed_fit_agree(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((300, 3))
