@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import corrupt, metrics, prep, reweight, scenarios, schema, stats
+from ..operators.copies import copy_scores, score_cuts
 from ..operators.level_counts import level_counts
 from ..operators.model import Package, fit_many, score_models
 from ..sources.staging import staged
@@ -245,7 +246,9 @@ class Suite:
         """The test rows once for each family that applies, level and repetition."""
         f, s, known = self.frame, self.settings, self.schema
         train = f.part(True).df
-        copies = corrupt.bank(self.test, list(s.corruption_levels), s.repetitions)
+        # test rows are few bytes and many copies: they are dealt to all cores before they are copied
+        rows = self.test.repartition(2 * self.test.sparkSession.sparkContext.defaultParallelism, f.row_id)
+        copies = corrupt.bank(rows, list(s.corruption_levels), s.repetitions)
         level, rep, seed = F.col("level"), F.col("repetition"), s.seed
         flags = {c: flag for c, (flag, _) in known.flag_of.items()}
         out = []
@@ -285,8 +288,13 @@ class Suite:
     def corruption_scores(self) -> DataFrame:
         """(model, family, level, repetition, roc_auc, pr_auc, delta_roc_auc, delta_pr_auc)."""
         self.check_structure()
-        scored = score_models(self.corrupted(), self.packages, ["family", "level", "repetition", "y"])
-        out = metrics.rank_metrics(scored, ["family", "level", "repetition", "model"])
+        s = self.settings
+        cells = [(f, float(x), r) for f in corrupt.FAMILIES for x in s.corruption_levels for r in range(s.repetitions)]
+        family = F.array_position(F.array(*[F.lit(f) for f in corrupt.FAMILIES]), F.col("family")) - 1
+        copies = self.corrupted().withColumn("cell", (family * len(s.corruption_levels) + F.col("level_index")) * s.repetitions + F.col("repetition"))
+        scored = copy_scores(copies, self.packages, score_cuts(self.predictions, self.packages))
+        names = self.frame.df.sparkSession.createDataFrame([(i, *c) for i, c in enumerate(cells)], "cell int, family string, level double, repetition int")
+        out = scored.join(F.broadcast(names), "cell")  # a row for a copy
         clean = self.clean.select("model", F.col("roc_auc").alias("_r"), F.col("pr_auc").alias("_p"))
         return staged(out.join(clean, "model").select("model", "family", "level", "repetition", "roc_auc", "pr_auc", (F.col("roc_auc") - F.col("_r")).alias("delta_roc_auc"), (F.col("pr_auc") - F.col("_p")).alias("delta_pr_auc")), "corruption")
 
