@@ -13,9 +13,9 @@ from .places import placed
 from .vectors import vector_scores
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """df with the rank of value, ties sharing their mean."""
-    return placed(df, keys, value).withColumn(out, F.col("_below") + (F.col("_same") + 1) / 2).select(*df.columns, out)
+def average_rank(df: DataFrame, keys: list[str], value: str, out: str, counts: str | None = None) -> DataFrame:
+    """df with the rank of value, ties sharing their mean. counts: how many rows each row of df stands for."""
+    return placed(df, keys, value, F.col(counts) if counts else None).withColumn(out, F.col("_below") + (F.col("_same") + 1) / 2).select(*df.columns, out)
 
 
 def pearson(x: str, y: str) -> Column:

@@ -138,12 +138,14 @@ def metric_shift_in_train_deviations(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_returnflag, true AS same FROM lineitem GROUP BY 1")
 def metric_self_check(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the area by running sums is the area by average ranks, to 1e-10, for every key."""
+    """Whether the area by running sums is the area by average ranks, to 1e-10, for every key. Rows of one score have one
+    rank, so scores are ranked with their counts: no task sorts rows."""
     from ..operators.stats import average_rank
 
     df = line_frame(spark, d).df.select("l_returnflag", F.col("label").alias("y"), F.col("score").alias("p"))
-    ranks = average_rank(df, ["l_returnflag"], "p", "r")
-    pos, n = F.sum("y"), F.count(F.lit(1))
+    scores = df.groupBy("l_returnflag", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
+    ranks = average_rank(scores, ["l_returnflag"], "p", "r", "n")
+    pos, n = F.sum("y"), F.sum("n")
     by_rank = ranks.groupBy("l_returnflag").agg(((F.sum(F.col("r") * F.col("y")) - pos * (pos + 1) / 2) / (pos * (n - pos))).alias("other"))
     both = metrics.rank_metrics(df, ["l_returnflag"]).join(by_rank, "l_returnflag")
     return both.select("l_returnflag", (F.abs(F.col("roc_auc") - F.col("other")) <= 1e-10).alias("same"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from steadfold.operators import pareto, places, reweight, scenarios, stats, vectors
+from steadfold.operators import copies, metrics, model, pareto, places, reweight, scenarios, stats, vectors
 from steadfold.sources import store, tables
 
 
@@ -139,3 +139,55 @@ def test_rows_of_files_keep_their_order(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted((r.part, r.row, r.x) for r in rows) == [(p, i, f"{1 - p}-{i}") for p in range(2) for i in range(3000)]
+
+
+def test_packed_copies_score_as_rows_do(spark):
+    """Ties across ranges, copies of one class, and tasks that pack many times; a score is exchanged in eight bytes."""
+    rng = np.random.default_rng(8)
+    rows = [(i % 7, int(rng.random() < 0.4) if i % 7 else 1, float(np.round(rng.normal(), 1)), float(rng.normal())) for i in range(3000)]
+    df = spark.createDataFrame(rows, "cell int, y int, a double, b double").repartition(5)
+    packages = {"one": [("a", 0.0, 1.0, 1.0), ("(intercept)", 0.0, 1.0, 0.2)], "two": [("a", 0.0, 1.0, 0.5), ("b", 0.0, 1.0, -0.7), ("(intercept)", 0.0, 1.0, 0.0)]}
+    preds = model.score_models(df, packages, ["cell", "y"])
+    want = {(r.cell, r.model): (r.roc_auc, r.pr_auc) for r in metrics.rank_metrics(preds, ["cell", "model"]).collect()}
+    cuts = copies.score_cuts(preds, packages, 700)
+    assert all(len(c) >= 3 for c in cuts.values())
+    for edges in (cuts, dict.fromkeys(packages, [])):
+        out = copies.copy_scores(df, packages, edges, held_rows=100)
+        got = {(r.cell, r.model): (r.roc_auc, r.pr_auc) for r in out.collect()}
+        assert got.keys() == want.keys() and all(got[k] == (pytest.approx(a) if a is not None else None, pytest.approx(b) if b is not None else None) for k, (a, b) in want.items())
+        packed = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in out.inputFiles() if "/packed-" in f})
+        assert packed.agg(F.sum(F.length("neg") + F.length("pos"))).first()[0] == 8 * 2 * 3000
+
+
+def test_ranges_of_vector_scores_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "RANGE", 500)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    df = spark.range(6000).select(F.lit("m").alias("model"), (F.col("id") * 0.37 % 1).alias("p"), (F.col("id") * 7 % 10 < 4).cast("int").alias("y"), F.array(F.lit(1.0)).alias("t"))
+    out = vectors.vector_scores(df, lambda t: np.ones((len(t), 1)), 1)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    cut = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in out.inputFiles() if "/records-" in f})
+    assert cut.groupBy("range").count().agg(F.max("count")).first()[0] < 1500
+    got, want = out.first(), metrics.rank_metrics(df, ["model"]).first()
+    assert (got.roc_auc, got.pr_auc) == (pytest.approx(want.roc_auc), pytest.approx(want.pr_auc))
+
+
+def test_predictions_that_carry_their_numbers_are_not_joined(spark):
+    df = spark.range(300).select("id", F.lit("m").alias("model"), (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") * 17 % 101 / 101).alias("p"), F.array((F.col("id") % 7 / 7.0)).alias("t"))
+    tilts = [scenarios.Tilt(0, 0, 0, one=0.8)]
+    joined = scenarios.scenario_scores(df.drop("t"), df.select("id", "t"), tilts, "id").first()
+    plans = []
+    plain = scenarios.vector_scores
+    scenarios.vector_scores = lambda records, *a: plans.append(records) or plain(records, *a)
+    try:
+        alone = scenarios.scenario_scores(df, df.select("id", "t"), tilts, "id").first()
+    finally:
+        scenarios.vector_scores = plain
+    assert tuple(alone) == pytest.approx(tuple(joined)) and "Join" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counted_values_are_ranked_once(spark):
+    rows = [("a", 1.0), ("a", 1.0), ("a", 2.0), ("a", None), ("b", 3.0), ("b", 3.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    each = {(r.k, r.v): r.r for r in stats.average_rank(df, ["k"], "v", "r").collect()}
+    counted = stats.average_rank(df.groupBy("k", "v").count(), ["k"], "v", "r", "count").collect()
+    assert len(counted) == 4 and {(r.k, r.v): r.r for r in counted} == each
