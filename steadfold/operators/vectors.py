@@ -22,6 +22,9 @@ BLOCK = 1024
 #: A score that so many rows of a batch share is summed before rows are exchanged; at most HELD of them at a time.
 SHARED, HELD = 64, 256
 
+#: Records of a range, about: a task of the second pass holds one range.
+RANGE = 1 << 18
+
 NAMES = ["model", "p", "y", "t", "neg", "pos"]
 RECORD = "model string, p double, y int, t array<double>, neg binary, pos binary"
 
@@ -102,14 +105,18 @@ def _class_sums(table: pa.Table, weigh: Weigh, n_weights: int) -> Iterator[tuple
         i = j
 
 
-def vector_scores(records: DataFrame, weigh: Weigh, n_weights: int) -> DataFrame:
+def vector_scores(records: DataFrame, weigh: Weigh, n_weights: int, n_records: int | None = None) -> DataFrame:
     """(model, at, roc_auc, pr_auc) for each model and weighting. records: model, p, y (0 or 1), t (an array of numbers).
 
     Records are cut into ranges of (model, p) and staged once, when this is called. One pass sums each range's weights by
     class; running sums over ranges go in front of a second pass, which takes every range's share of the area and of
-    the average precision. Scores that many rows share are summed before the cut. Null where a class has no weight."""
+    the average precision. Scores that many rows share are summed before the cut. Null where a class has no weight.
+    There are as many ranges as keep one to RANGE records or so, where there are more than a few. n_records: how many
+    records there are; counted if not given."""
+    n = -(-(records.count() if n_records is None else n_records) // RANGE)
+    ranges = [max(n, records.sparkSession.sparkContext.defaultParallelism)] if n > 8 else []
     made = records.select("model", (F.col("p") + F.lit(0.0)).alias("p"), "y", "t").mapInArrow(_with_shared(weigh, n_weights), RECORD)
-    cut = staged(made.repartitionByRange("model", "p").withColumn("range", F.spark_partition_id()), "records")
+    cut = staged(made.repartitionByRange(*ranges, "model", "p").withColumn("range", F.spark_partition_id()), "records")
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], np.ndarray] = {}

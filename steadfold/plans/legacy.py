@@ -28,7 +28,7 @@ def stress_grid(test: DataFrame, row_id: str, label: str, packages: dict[str, Pa
     rows = test.withColumn("_z", clipped)
     one = F.col(label) == 1
     total = lambda s, c: F.avg(F.when(c, F.exp(F.lit(float(s)) * F.col("_z"))))
-    row = rows.agg(*[total(s, c).alias(f"{k}_{i}") for i, s in enumerate(shifts) for k, c in (("p", one), ("n", ~one))]).first()
+    row = rows.agg(F.count("_z").alias("all"), *[total(s, c).alias(f"{k}_{i}") for i, s in enumerate(shifts) for k, c in (("p", one), ("n", ~one))]).first()
     scale = np.array([[1 / (row[f"{k}_{i}"] or 1.0) for i in range(len(shifts))] for k in "np"])
     steps = np.array(shifts)
 
@@ -39,7 +39,7 @@ def stress_grid(test: DataFrame, row_id: str, label: str, packages: dict[str, Pa
     dirty = corrupt.gaussian(copies, row_id, sd, F.col("_noise"), 0, seed) if sd else copies
     scored = score_models(dirty.withColumn("_y", one.cast("int")), packages, ["_noise", "_z", "_y"])
     records = scored.where("_z IS NOT NULL").select(F.to_json(F.struct("model", "_noise")).alias("model"), "p", F.col("_y").alias("y"), F.array("_z", F.col("_y").cast("double")).alias("t"))
-    out = vector_scores(records, weigh, len(shifts)).withColumn("_k", F.from_json("model", "struct<model: string, _noise: double>"))
+    out = vector_scores(records, weigh, len(shifts), row["all"] * len(noise) * len(packages)).withColumn("_k", F.from_json("model", "struct<model: string, _noise: double>"))
     shift = F.get(F.array(*[F.lit(float(x)) for x in shifts]), F.col("at"))
     return out.select("_k.model", F.col("_k._noise").alias("noise"), shift.alias("shift"), "roc_auc", "pr_auc")
 
@@ -51,7 +51,7 @@ def redraw_line(test: DataFrame, row_id: str, label: str, packages: dict[str, Pa
     dirty = corrupt.redraw(copies, row_id, shares, {}, F.col("flip_rate"), 0, seed)
     scored = score_models(dirty.withColumn("_y", (F.col(label) == 1).cast("int")), packages, ["flip_rate", "_y"])
     records = scored.select(F.to_json(F.struct("model", "flip_rate")).alias("model"), "p", F.col("_y").alias("y"), F.array().cast("array<double>").alias("t"))
-    out = vector_scores(records, lambda t: np.ones((len(t), 1)), 1).withColumn("_k", F.from_json("model", "struct<model: string, flip_rate: double>"))
+    out = vector_scores(records, lambda t: np.ones((len(t), 1)), 1, test.count() * len(levels) * len(packages)).withColumn("_k", F.from_json("model", "struct<model: string, flip_rate: double>"))
     return out.select("_k.model", "_k.flip_rate", "roc_auc", "pr_auc")
 
 
