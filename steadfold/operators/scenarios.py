@@ -134,9 +134,12 @@ def pair_moments(sums: DataFrame, keys: list[str], of: str) -> DataFrame:
 def scenario_scores(preds: DataFrame, rows: DataFrame, tilts: list[Tilt], row_id: str, y: str = "y", p: str = "p", peaks: list[float] | None = None) -> DataFrame:
     """(scenario_id, model, roc_auc, pr_auc, delta_roc_auc, delta_pr_auc): predictions are made once; scenarios change
     weights alone. preds: row, model, y, p; rows: row, t (an array of numbers, which tilts name by place). Deltas are from
-    weights of 1. peaks: of the logarithms of each tilt's weights, if known. See vector_scores()."""
+    weights of 1. peaks: of the logarithms of each tilt's weights, if known. Predictions that carry t themselves are not
+    joined with rows. See vector_scores()."""
     spark, n = preds.sparkSession, len(tilts) + 1
-    records = preds.select(row_id, F.col("model").cast("string").alias("model"), F.col(p).cast("double").alias("p"), F.col(y).cast("int").alias("y")).join(rows.select(row_id, "t"), row_id).where("p IS NOT NULL AND y IN (0, 1)")
+    scored = [F.col("model").cast("string").alias("model"), F.col(p).cast("double").alias("p"), F.col(y).cast("int").alias("y")]
+    records = preds.select(*scored, "t") if "t" in preds.columns else preds.select(row_id, *scored).join(rows.select(row_id, "t"), row_id)
+    records = records.where("p IS NOT NULL AND y IN (0, 1)")
     if peaks is None:
         found = moments(rows.select("t", F.lit(True).alias("all"), F.lit(0).alias("y")), tilts, "all") if tilts else None
         top = {r["scenario_id"]: r["peak"] for r in found.select("scenario_id", "peak").collect()} if tilts else {}

@@ -110,7 +110,7 @@ def scenario_support(spark: SparkSession, d: str) -> DataFrame:
 FROM a JOIN a b ON b.k = 'clean-' || split_part(a.k, '-', 2) WHERE NOT a.k LIKE 'clean%'""")
 def scenario_scores(spark: SparkSession, d: str) -> DataFrame:
     rows, tilts = _scenario_rows(spark, d)
-    out = scenarios.scenario_scores(rows.select("rid", "model", "y", "p"), rows, tilts, "rid")
+    out = scenarios.scenario_scores(rows.select("rid", "model", "y", "p", "t"), rows, tilts, "rid")
     return out.select("scenario_id", "model", *[r6(c).alias(c) for c in ("roc_auc", "pr_auc", "delta_roc_auc", "delta_pr_auc")])
 
 
