@@ -250,6 +250,7 @@ def train(docs: DataFrame, trusted: DataFrame, path: str, pattern: str, order: i
     model.limit = scored.agg(limit.alias("limit")).first()["limit"]
     of_lang = scored.where("lang IS NOT NULL").groupBy("lang").agg(limit.alias("limit"), F.count(F.lit(1)).alias("n"))
     model.limits = stash(of_lang.where(F.col("n") >= least).select("lang", "limit"), "limits")
+    release(docs.sparkSession)  # what was collected is in arrays now
     return model
 
 

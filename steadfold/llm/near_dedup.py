@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Sealed, lookup, stash
+from .shared import Sealed, lookup, release, stash
 
 U = np.uint64
 
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     differ, one of them stands for it. A row with a null id is its own component, null, and is kept. A column of docs
     named like one of the three that are added is replaced.
     """
-    sealed = Sealed.of(docs)
+    spark, sealed = docs.sparkSession, Sealed.of(docs)
     own_id = sealed[id_col].cast("long")
     texts = sealed.frame.select(own_id.alias("doc"), sealed[text_col].alias("text"))
     signed = stash(signatures(texts, size, bands, rows), "signatures")
@@ -225,10 +225,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     first = F.max_by("doc", F.struct("degree", F.negative("doc")))
     hubs = stash(members.join(degrees.hint("merge"), "doc").groupBy("key").agg(first.alias("hub"), F.count(F.lit(1)).alias("weight")), "hubs")
     of_hub = stash(lookup(members.select("doc", "key"), hubs, ["key"], "weight", ["doc"], total * bands), "of_hub")
+    release(spark)  # here and below: dozens of steps would else fill the driver's heap with plans and counts of tasks
     pairs = of_hub.where("hub != doc").select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")).distinct()
     links = stash(confirmed(pairs, reps, texts, size, percent), "links")
+    release(spark)
 
     labels = stash(components(links), "labels")
+    release(spark)
     label = lambda df, c, out: df.join(labels.select(F.col("node").alias(c), F.col("component").alias("_label")).hint("merge"), c, "left").withColumn(out, F.coalesce("_label", c)).drop("_label")
     own = label(members.select("doc").distinct(), "doc", "component").join(reps.select("doc", "n", "sketch").hint("merge"), "doc")
     hub_label = stash(label(hubs.select("key", "hub", "weight"), "hub", "hub_component").select("key", "hub_component", "weight"), "hub_labels")
@@ -236,9 +239,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     rest = stash(rest.select("key", "doc", "component", (F.col("component") != F.col("hub_component")).alias("odd")), "rest")
     unsettled = rest.groupBy("key").agg(F.count_if("odd").alias("n_odd"), F.count(F.lit(1)).alias("n_rows")).where("n_odd > 0 AND n_rows > 1")
     unsettled = stash(unsettled.withColumn("weight", F.col("n_rows")), "unsettled")
+    release(spark)
     rest = lookup(rest, unsettled, ["key"], "weight", ["doc"], total * bands).where("n_odd IS NOT NULL").drop("component")
     late = stash(_block_pairs(rest.join(own.hint("merge"), "doc"), percent), "late")
     links = links.unionByName(stash(confirmed(late, reps, texts, size, percent), "links"))
+    release(spark)
     labels = components(links).select(F.col("node").alias("rep"), "component")
 
     classes = stash(classes.join(labels.hint("merge"), "rep", "left").select("d1", "d2", "weight", F.coalesce("component", "rep").alias("component")), "labelled")

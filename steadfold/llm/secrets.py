@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import release, stash
 
 #: The base patterns, in the order in which spans of one start are listed, with the group that is the
 #: secret itself and its least length. Letters of an assignment's name count in either case.
@@ -486,7 +486,9 @@ def train(docs: DataFrame, sample: int = 400, bits: int = 16, rounds: int = 25,
         loss, gradient = value(z * scale)
         return loss, gradient * scale
 
+    release(spark)
     x = minimised(scaled, np.zeros(3 * (1 << bits) + 9), rounds) * scale
+    release(spark)  # every step collected gradients
     return Field(bits, x[:-9].reshape(-1, 3), x[-9:].reshape(3, 3))
 
 
