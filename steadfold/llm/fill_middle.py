@@ -55,7 +55,7 @@ def _bucketed(rows: DataFrame) -> DataFrame:
     name = f"fill_middle_{uuid.uuid4().hex}"
     merged.write.bucketBy(n, *KEY).sortBy(*KEY).option("path", fresh_path(spark, name)).format("parquet").saveAsTable(name)
     del keyed, merged
-    release(spark)
+    release(spark, 0)
     return spark.table(name)
 
 

@@ -29,13 +29,24 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
+#: When the last collection that release() asked for ended.
+_RELEASED = [float("-inf")]
+
+
+def release(spark: SparkSession, spacing: float = 20.0) -> None:
     """Let go of the shuffle files of steps that are written: Spark deletes them once the driver's garbage, which else is
-    collected when its heap happens to fill, no longer holds their plans. The first round frees what holds them."""
+    collected when its heap happens to fill, no longer holds their plans. The first round frees what holds them.
+
+    Within `spacing` seconds of the last time it is left to a later call. The driver's JVM enlarges its heap as long as
+    collections take more than a small part of the time, and those asked for count: after the short steps of a small
+    input they would make it grow."""
+    if time.monotonic() - _RELEASED[0] < spacing:
+        return
     for _ in range(2):
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(0.3)
+    _RELEASED[0] = time.monotonic()
 
 
 @dataclass(frozen=True)

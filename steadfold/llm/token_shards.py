@@ -146,7 +146,7 @@ def materialise(docs: DataFrame, path: str, pattern: str, out: str | None = None
     n_blocks = min(-(-docs.count() // BLOCK_DOCS), MOST_BLOCKS) or 1
     squeezed = {"compression": "zstd", "parquet.compression.codec.zstd.level": "5", "parquet.page.size": str(4 << 20)}
     token_sequences(docs, path, pattern, window, end_id, n_blocks, id_col, text_col).write.options(**squeezed).parquet(staged)
-    release(spark)  # no name holds the plan above, so the texts' exchange goes before the next one is written
+    release(spark, 0)  # no name holds the plan above, so the texts' exchange goes before the next one is written
     made = spark.read.parquet(staged)
     blocks = made.groupBy("block").agg(F.count(F.lit(1)).alias("n")).orderBy("block").toArrow()  # MOST_BLOCKS rows at most
     ids, sizes = (blocks.column(i).to_numpy() for i in (0, 1))
@@ -186,7 +186,7 @@ def materialise(docs: DataFrame, path: str, pattern: str, out: str | None = None
         records = records.mapInArrow(_whole_shards, "shard long, ids binary").select("shard", F.col("ids").cast("string").alias("ids"))
         records.write.mode("append").partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(out)
         del records
-        release(spark)
+        release(spark, 0)
     about = {"sequences": total, "window": window, "stride": 2 * window, "per_shard": per_shard, "shards": n_shards, "key": key, "end_id": end_id}
     _write_text(spark, f"{out}/about.json", json.dumps(about))
     return out, numbered(made.drop("ids")).select("sequence", "slot", "shard", "record", "doc_id", "n_docs", "n_tokens", "ids_crc32")
