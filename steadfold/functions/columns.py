@@ -27,7 +27,7 @@ def hash_uniform(*parts: Column | str | int) -> Column:
     """A number in [0, 1) that depends on the parts alone: the first 13 hex digits of the MD5 of the parts joined by |.
     The same row gets the same draw in every plan, partitioning and engine."""
     text = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(2**52))
 
 
 def _poly(coefficients, x: Column, last: Column) -> Column:
@@ -37,14 +37,20 @@ def _poly(coefficients, x: Column, last: Column) -> Column:
     return out if last is None else out * x + last
 
 
-def probit(p: Column) -> Column:
-    """The inverse of the standard normal distribution, to about 1e-9, for 0 < p < 1."""
+def probit_parts(p: Column) -> tuple[Column, Column]:
+    """What probit() names many times: the square of the distance from the middle, and the tail's argument (nulls are zero)."""
     q = p - 0.5
-    middle = _poly(ACKLAM_A, q * q, None) * q / _poly(ACKLAM_B, q * q, F.lit(1.0))
-    # One tail stands for both, and nulls are dealt with once: generated code stays within what a method can hold.
-    t = F.coalesce(F.sqrt(-2 * F.ln(F.least(p, 1 - p))), F.lit(0.0))
+    return q * q, F.coalesce(F.sqrt(-2 * F.ln(F.least(p, 1 - p))), F.lit(0.0))
+
+
+def probit(p: Column, parts: tuple[Column, Column] | None = None) -> Column:
+    """The inverse of the standard normal distribution, to about 1e-9, for 0 < p < 1. parts: columns that hold probit_parts(),
+    for several of these in one projection: with the parts written out, generated code is too long to be compiled."""
+    q, (square, t) = p - 0.5, parts or probit_parts(p)
+    middle = _poly(ACKLAM_A, square, None) * q / _poly(ACKLAM_B, square, F.lit(1.0))
+    # One tail stands for both.
     tail = _poly(ACKLAM_C, t, None) / _poly(ACKLAM_D, t, F.lit(1.0))
-    return F.when(p.isNull(), F.lit(None).cast("double")).when(F.least(p, 1 - p) >= TAIL, middle).when(q < 0, tail).otherwise(-tail)
+    return F.when(p.isNull(), F.lit(None).cast("double")).when(F.least(p, 1 - p) >= TAIL, middle).otherwise(F.when(q < 0, F.lit(1.0)).otherwise(F.lit(-1.0)) * tail)
 
 
 def hash_uniform_sql(expression: str) -> str:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_uniform, probit
+from ..functions.columns import hash_uniform, probit, probit_parts
 
 FAMILIES = ("noise", "redraw", "under_recording", "masking", "median_masking")
 
@@ -23,13 +23,27 @@ def available(flag: str | None, off: int = 0) -> Column:
     return F.lit(True) if flag is None else F.col(f"`{flag}`") != off
 
 
+def _normals(df: DataFrame, row_id: str, columns: list[str], rep: int | Column, seed: int) -> DataFrame:
+    """df with _n_<column>, a normal draw. Draws and what the inverse normal names many times get projections of their own."""
+    drawn = df.withColumns({f"_u_{c}": F.greatest(draw(seed, "noise", rep, c, row_id), F.lit(1e-12)) for c in columns})
+    drawn = drawn.withColumns({f"_p{i}_{c}": part for c in columns for i, part in enumerate(probit_parts(F.col(f"`_u_{c}`")))})
+    drawn = drawn.withColumns({f"_n_{c}": probit(F.col(f"`_u_{c}`"), (F.col(f"`_p0_{c}`"), F.col(f"`_p1_{c}`"))) for c in columns})
+    return drawn.drop(*[f"{k}_{c}" for c in columns for k in ("_u", "_p0", "_p1")])
+
+
 def gaussian(df: DataFrame, row_id: str, sd: dict[str, float], level: float | Column, rep: int | Column = 0, seed: int = 20260926, flags: dict[str, str] | None = None) -> DataFrame:
     """Each continuous column plus level times its deviation times a normal draw; cells that are not available stay."""
     flags = flags or {}
-    # Draws get a projection of their own: the inverse normal names its argument many times.
-    drawn = df.withColumns({f"_u_{c}": F.greatest(draw(seed, "noise", rep, c, row_id), F.lit(1e-12)) for c in sd})
-    new = {c: F.when(available(flags.get(c)), F.col(c) + level * F.lit(s) * probit(F.col(f"_u_{c}"))).otherwise(F.col(c)) for c, s in sd.items()}
-    return drawn.withColumns(new).drop(*[f"_u_{c}" for c in sd])
+    drawn = _normals(df, row_id, list(sd), rep, seed)
+    new = {c: F.when(available(flags.get(c)), F.col(f"`{c}`") + level * F.lit(s) * F.col(f"`_n_{c}`")).otherwise(F.col(f"`{c}`")) for c, s in sd.items()}
+    return drawn.withColumns(new).drop(*[f"_n_{c}" for c in sd])
+
+
+def with_noise(df: DataFrame, row_id: str, sd: dict[str, float], rep: int | Column = 0, seed: int = 20260926) -> DataFrame:
+    """df with _noise_<column>, what gaussian() adds at level 1. Other levels are multiples of it, so a row is drawn for once and
+    not for each level."""
+    drawn = _normals(df, row_id, list(sd), rep, seed)
+    return drawn.withColumns({f"_noise_{c}": F.lit(s) * F.col(f"`_n_{c}`") for c, s in sd.items()}).drop(*[f"_n_{c}" for c in sd])
 
 
 def selected(seed: int, family: str, rep: int | Column, unit: str, row_id: str, level: float | Column) -> Column:

@@ -105,6 +105,37 @@ def _class_sums(table: pa.Table, weigh: Weigh, n_weights: int) -> Iterator[tuple
         i = j
 
 
+def range_starts(sums: DataFrame, key: str) -> DataFrame:
+    """(key, range, s): of each range and weighting, the sums by class below it and of the whole key. sums: key, range, neg and
+    pos, arrays with a place for each weighting; any number of rows to a range. They are staged by range."""
+    each = sums.select(key, "range", F.posexplode(F.arrays_zip("neg", "pos")).alias("at", "x")).groupBy(key, "range", "at").agg(F.sum("x.neg").alias("neg"), F.sum("x.pos").alias("pos"))
+    each = staged(each, "range_sums")
+    whole = Window.partitionBy(key, "at")
+    before = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select(key, "range", "at", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"{c}_below") for c in ("neg", "pos")], *[F.sum(c).over(whole).alias(f"{c}_all") for c in ("neg", "pos")])
+    return each.groupBy(key, "range").agg(F.array_sort(F.collect_list(F.struct("at", "neg_below", "pos_below", "neg_all", "pos_all"))).alias("s"))
+
+
+def start_arrays(starts: pa.Table) -> tuple[np.ndarray, ...]:
+    """neg_below, pos_below, neg_all and pos_all of a row of range_starts()."""
+    s = starts["s"].combine_chunks().flatten()
+    return tuple(s.field(c).to_numpy().copy() for c in ("neg_below", "pos_below", "neg_all", "pos_all"))
+
+
+def range_shares(sums: Iterator[tuple[np.ndarray, np.ndarray]], starts: tuple[np.ndarray, ...]) -> dict[str, np.ndarray]:
+    """A range's share of the area and of the average precision, and its key's sums. sums: (neg, pos) of its scores, ascending."""
+    neg_below, pos_below, neg_all, pos_all = starts
+    area, average = np.zeros(len(neg_all)), np.zeros(len(neg_all))
+    for neg, pos in sums:
+        neg_to, pos_to = neg_below + np.cumsum(neg, axis=0), pos_below + np.cumsum(pos, axis=0)
+        area += (pos * (neg_to - neg / 2)).sum(axis=0)
+        above_pos, above_neg = pos_all - pos_to + pos, neg_all - neg_to + neg
+        with np.errstate(all="ignore"):
+            average += np.nan_to_num(pos * (above_pos / (above_pos + above_neg)), nan=0.0).sum(axis=0)
+        neg_below, pos_below = neg_to[-1], pos_to[-1]
+    return {"area": area, "average": average, "neg_all": neg_all, "pos_all": pos_all}
+
+
 def vector_scores(records: DataFrame, weigh: Weigh, n_weights: int, n_records: int | None = None) -> DataFrame:
     """(model, at, roc_auc, pr_auc) for each model and weighting. records: model, p, y (0 or 1), t (an array of numbers).
 
@@ -132,26 +163,11 @@ def vector_scores(records: DataFrame, weigh: Weigh, n_weights: int, n_records: i
         yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in held], pa.string()), pa.array([r for _, r in held], pa.int32()), *(pa.array([s[c].tolist() for s in held.values()], pa.list_(pa.float64())) for c in (0, 1))], ["model", "range", "neg", "pos"])
 
     # a row for a model and range (there are about as many as ranges and models), with a place for each weighting
-    sums = cut.mapInArrow(totals, "model string, range int, neg array<double>, pos array<double>")
-    each = sums.select("model", "range", F.posexplode(F.arrays_zip("neg", "pos")).alias("at", "x")).groupBy("model", "range", "at").agg(F.sum("x.neg").alias("neg"), F.sum("x.pos").alias("pos"))
-    each = staged(each, "range_sums")
-    whole = Window.partitionBy("model", "at")
-    before = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.select("model", "range", "at", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"{c}_below") for c in ("neg", "pos")], *[F.sum(c).over(whole).alias(f"{c}_all") for c in ("neg", "pos")])
-    starts = each.groupBy("model", "range").agg(F.array_sort(F.collect_list(F.struct("at", "neg_below", "pos_below", "neg_all", "pos_all"))).alias("s"))
+    starts = range_starts(cut.mapInArrow(totals, "model string, range int, neg array<double>, pos array<double>"), "model")
 
     def shares(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        s = right["s"].combine_chunks().flatten()
-        neg_below, pos_below, neg_all, pos_all = (s.field(c).to_numpy().copy() for c in ("neg_below", "pos_below", "neg_all", "pos_all"))
-        area, average = np.zeros(n_weights), np.zeros(n_weights)
-        for neg, pos in _class_sums(left, weigh, n_weights):
-            neg_to, pos_to = neg_below + np.cumsum(neg, axis=0), pos_below + np.cumsum(pos, axis=0)
-            area += (pos * (neg_to - neg / 2)).sum(axis=0)
-            above_pos, above_neg = pos_all - pos_to + pos, neg_all - neg_to + neg
-            with np.errstate(all="ignore"):
-                average += np.nan_to_num(pos * (above_pos / (above_pos + above_neg)), nan=0.0).sum(axis=0)
-            neg_below, pos_below = neg_to[-1], pos_to[-1]
-        return pa.table({"model": pa.array([key[0].as_py()] * n_weights, pa.string()), "at": pa.array(np.arange(n_weights, dtype=np.int32)), "area": area, "average": average, "neg_all": neg_all, "pos_all": pos_all})
+        found = range_shares(_class_sums(left, weigh, n_weights), start_arrays(right))
+        return pa.table({"model": pa.array([key[0].as_py()] * n_weights, pa.string()), "at": pa.array(np.arange(n_weights, dtype=np.int32)), **found})
 
     parts = cut.groupBy("model", "range").cogroup(starts.groupBy("model", "range")).applyInArrow(shares, "model string, at int, area double, average double, neg_all double, pos_all double")
     scored = parts.groupBy("model", "at").agg(F.sum("area").alias("area"), F.sum("average").alias("average"), F.first("neg_all").alias("neg"), F.first("pos_all").alias("pos"))

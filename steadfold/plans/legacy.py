@@ -1,7 +1,7 @@
 """The earlier stress grid: models under noise on numbers and shifts along one axis, both at eleven levels, a line of re-drawn
 flags, and the area under the surface of what a model retains.
 
-A row is corrupted once for a noise level, and scored once for a model; the shifts are weightings of those scores."""
+A row's noise is drawn once; it is scored once for a noise level and model; the shifts are weightings of those scores."""
 
 from __future__ import annotations
 
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..operators import corrupt, stats
 from ..operators.model import Package, score_models
+from ..operators.shifts import level_cuts, sampled_share, shifted_scores
 from ..operators.vectors import vector_scores
+from ..sources.staging import staged
 
 #: The levels of noise, of shifts and of re-draws, and the noise that the line of shifts is read at.
 NOISE = [x / 10 for x in range(11)]
@@ -25,23 +27,15 @@ def stress_grid(test: DataFrame, row_id: str, label: str, packages: dict[str, Pa
     number that noise is put on. axis: of the shifts; its values beyond two deviations count as two. Weights are
     exp(shift * axis), scaled so that each class keeps its number of rows."""
     clipped = F.greatest(F.least(axis, F.lit(2.0)), F.lit(-2.0))
-    rows = test.withColumn("_z", clipped)
-    one = F.col(label) == 1
-    total = lambda s, c: F.avg(F.when(c, F.exp(F.lit(float(s)) * F.col("_z"))))
-    row = rows.agg(F.count("_z").alias("all"), *[total(s, c).alias(f"{k}_{i}") for i, s in enumerate(shifts) for k, c in (("p", one), ("n", ~one))]).first()
-    scale = np.array([[1 / (row[f"{k}_{i}"] or 1.0) for i in range(len(shifts))] for k in "np"])
-    steps = np.array(shifts)
-
-    def weigh(t: np.ndarray) -> np.ndarray:
-        return np.exp(t[:, :1] * steps) * scale[(t[:, 1] == 1).astype(int)]
-
-    copies = rows.withColumn("_noise", F.explode(F.array(*[F.lit(float(x)) for x in noise])))
-    dirty = corrupt.gaussian(copies, row_id, sd, F.col("_noise"), 0, seed) if sd else copies
-    scored = score_models(dirty.withColumn("_y", one.cast("int")), packages, ["_noise", "_z", "_y"])
-    records = scored.where("_z IS NOT NULL").select(F.to_json(F.struct("model", "_noise")).alias("model"), "p", F.col("_y").alias("y"), F.array("_z", F.col("_y").cast("double")).alias("t"))
-    out = vector_scores(records, weigh, len(shifts), row["all"] * len(noise) * len(packages)).withColumn("_k", F.from_json("model", "struct<model: string, _noise: double>"))
-    shift = F.get(F.array(*[F.lit(float(x)) for x in shifts]), F.col("at"))
-    return out.select("_k.model", F.col("_k._noise").alias("noise"), shift.alias("shift"), "roc_auc", "pr_auc")
+    steps, used = np.array(shifts), {c for package in packages.values() for c, *_ in package}
+    rows = test.select(row_id, clipped.alias("_z"), (F.col(label) == 1).cast("int").alias("_y"), *[f"`{c}`" for c in test.columns if c in used and c != row_id])
+    rows, sd = rows.where("_z IS NOT NULL"), {c: s for c, s in sd.items() if c in used}
+    noised = lambda some: corrupt.with_noise(some, row_id, sd, 0, seed)
+    named = {c: f"_noise_{c}" for c in sd}
+    cuts = level_cuts(staged(noised(rows.sample(sampled_share(), seed)), "sample"), packages, noise, named)
+    out = shifted_scores(noised(rows), packages, noise, named, cuts, lambda t: np.exp(t * steps), len(shifts), "_y", "_z")
+    at = lambda values, i: F.get(F.array(*[F.lit(float(x)) for x in values]), F.col(i))
+    return out.select("model", at(noise, "level").alias("noise"), at(shifts, "at").alias("shift"), "roc_auc", "pr_auc")
 
 
 def redraw_line(test: DataFrame, row_id: str, label: str, packages: dict[str, Package], shares: dict[str, float], levels: list[float] = FLIPS, seed: int = 20260926) -> DataFrame:
